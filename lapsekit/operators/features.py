@@ -200,8 +200,8 @@ def stratified_split(labels: DataFrame, key: str = "customer_id", label: str = "
     d = ordered_prefix(d, [F.col("__h").asc(), F.col(key).asc()], {"__r": F.lit(1)}, "__b", [label])
     n = labels.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     d = d.join(F.broadcast(n), label)  # one row per class value
-    c1 = F.floor(F.col("__n") * fracs[0])
-    c2 = F.floor(F.col("__n") * (fracs[0] + fracs[1]))
+    c1 = F.floor(F.col("__n") * F.lit(round(fracs[0], 10)))
+    c2 = F.floor(F.col("__n") * F.lit(round(fracs[0] + fracs[1], 10)))
     split = F.when(F.col("__r") <= c1, "train").when(F.col("__r") <= c2, "valid").otherwise("test")
     return d.select(key, label, split.alias("split"))
 
@@ -257,6 +257,7 @@ def impute_fit(df: DataFrame, cols: Sequence[str], split_col: str = "split", fit
     from lapsekit.operators.ordering import exact_quantiles
 
     q = exact_quantiles(df.filter(F.col(split_col) == fit_on), cols, [0.5])
+    q = q.withColumn("value", F.round("value", 6))
     return q.groupBy().pivot("column", list(cols)).agg(F.first("value"))
 
 
@@ -264,7 +265,7 @@ def impute_apply(df: DataFrame, medians: DataFrame, cols: Sequence[str]) -> Data
     """X9 apply: fill NULLs with the fitted medians (1-row frame, broadcast)."""
     m = medians.select([F.col(c).alias(f"__m_{c}") for c in cols])
     j = df.crossJoin(F.broadcast(m))
-    return j.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}").cast(df.schema[c].dataType)) for c in cols}) \
+    return j.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")) for c in cols}) \
             .drop(*[f"__m_{c}" for c in cols])
 
 
