@@ -170,4 +170,8 @@ def sql(views: list[str], body: str, ctes: list[tuple[str, str]] = ()) -> str:
     order: list[str] = []
     _resolve(views, order, set())
     parts = [f"{n} AS ({VIEWS[n][1]})" for n in order] + [f"{n} AS ({s})" for n, s in ctes]
+    b = body.lstrip()
+    if parts and b[:5].upper() == "WITH ":
+        # the body's own WITH list continues the adapter's
+        return "WITH " + ",\n".join(parts) + ",\n" + b[5:]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body

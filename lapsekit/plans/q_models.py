@@ -1,3 +1,208 @@
-"""Registered queries."""
+"""Registered queries: ordering (P0/W*) and model metrics (E*) on a fixed score.
+
+The score is the deterministic stand-in ``((key*7919) % 10007) / 10007`` so
+both engines see the same probabilities (SURVEY 7.2); the ML jobs that
+produce real scores are in ``lapsekit/ml`` and are checked rows-only.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lapsekit.operators import metrics as E
+from lapsekit.operators import ordering as O
+from lapsekit.operators.features import stratified_split
+from lapsekit.plans.catalog import query
+from lapsekit.plans.oracle_views import VIEWS, sql
+from lapsekit.sources import testdata as TD
+
+VIEWS["preds"] = (["split"], """
+    SELECT customer_id, is_churn, split,
+           CAST((customer_id * 7919) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) AS churn_probability,
+           CAST((customer_id * 104729) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) AS alt_probability
+    FROM split""")
+VIEWS["dist"] = (["preds"], """
+    SELECT split, s, pos, neg,
+           sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+           sum(pos) OVER (PARTITION BY split) AS P, sum(neg) OVER (PARTITION BY split) AS N
+    FROM (SELECT split, churn_probability AS s, CAST(sum(is_churn) AS DOUBLE) AS pos,
+                 CAST(sum(1 - is_churn) AS DOUBLE) AS neg
+          FROM preds GROUP BY 1, 2) d
+    WINDOW w AS (PARTITION BY split ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+
+
+def preds(spark, sf):
+    s = stratified_split(TD.labels(spark, sf))
+    return s.withColumns({
+        "churn_probability": TD.fixed_probability(),
+        "alt_probability": ((F.col("customer_id") * 104729) % 10007) / F.lit(10007.0),
+    })
+
+
+def _dist(spark, sf):
+    return E.score_distribution(preds(spark, sf), "churn_probability", "is_churn", ["split"])
+
+
+@query("roc_auc", sql(["dist"], """
+    SELECT split, round(sum(pos * ((N - fp) + 0.5 * neg)) / (max(P) * max(N)), 6) AS auc
+    FROM dist GROUP BY split"""))
+def q_auc(spark, sf):
+    """Exact ROC-AUC per split (ties count 1/2)."""
+    return E.roc_auc(_dist(spark, sf), ["split"])
+
+
+@query("average_precision", sql(["dist"], """
+    SELECT split, round(sum(pos / P * tp / (tp + fp)), 6) AS ap FROM dist GROUP BY split"""))
+def q_ap(spark, sf):
+    """Average precision (step sum) per split."""
+    return E.average_precision(_dist(spark, sf), ["split"])
+
+
+@query("log_loss", sql(["preds"], """
+    SELECT split, round(avg(-(is_churn * ln(least(greatest(churn_probability, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+                  + (1 - is_churn) * ln(1 - least(greatest(churn_probability, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))), 6) AS logloss
+    FROM preds GROUP BY split"""))
+def q_logloss(spark, sf):
+    """Log loss per split, p clipped to machine epsilon."""
+    return E.log_loss(preds(spark, sf), "churn_probability", "is_churn", ["split"])
+
+
+@query("threshold_metrics", sql(["preds"], """
+    SELECT split, tp, fp, fn, tn,
+           round(COALESCE(tp / NULLIF(tp + fp, 0), 0), 6) AS precision,
+           round(COALESCE(tp / NULLIF(tp + fn, 0), 0), 6) AS recall,
+           round(COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0), 6) AS f1
+    FROM (SELECT split, count_if(churn_probability >= 0.75 AND is_churn = 1) AS tp,
+                 count_if(churn_probability >= 0.75 AND is_churn = 0) AS fp,
+                 count_if(churn_probability < 0.75 AND is_churn = 1) AS fn,
+                 count_if(churn_probability < 0.75 AND is_churn = 0) AS tn
+          FROM preds GROUP BY split) x"""))
+def q_threshold(spark, sf):
+    """Confusion matrix and precision/recall/F1 at 0.75."""
+    return E.threshold_metrics(preds(spark, sf), "churn_probability", "is_churn", 0.75, ["split"])
+
+
+@query("best_f1_threshold", sql(["dist"], """
+    SELECT split, round(min(s), 6) AS threshold, round(max(f1), 6) AS best_f1 FROM (
+      SELECT *, max(f1) OVER (PARTITION BY split) AS mf FROM (
+        SELECT split, s, round(2 * (tp / (tp + fp)) * (tp / P) / ((tp / (tp + fp)) + (tp / P) + 1e-12), 12) AS f1
+        FROM dist) a) b
+    WHERE f1 = mf GROUP BY split"""))
+def q_best_f1(spark, sf):
+    """E5: F1-optimal threshold per split, ties to the lowest threshold."""
+    b = E.best_f1_threshold(_dist(spark, sf), "churn_probability", ["split"])
+    return b.withColumn("threshold", F.round("threshold", 6))
+
+
+def _top_sql(frac: float) -> str:
+    return f"""
+    SELECT split, CAST({frac} AS DOUBLE) AS fraction, count_if(sel) AS selected_count,
+           round(sum(CASE WHEN sel THEN is_churn ELSE 0 END) / count_if(sel), 6) AS precision,
+           round(sum(CASE WHEN sel THEN is_churn ELSE 0 END) / sum(is_churn), 6) AS recall,
+           round((sum(CASE WHEN sel THEN is_churn ELSE 0 END) / count_if(sel)) / (sum(is_churn) / count(*)), 6) AS lift
+    FROM (SELECT *, rk <= greatest(floor(n * CAST({frac} AS DOUBLE)), 1) AS sel FROM (
+            SELECT *, row_number() OVER (PARTITION BY split ORDER BY churn_probability DESC, customer_id) AS rk,
+                   count(*) OVER (PARTITION BY split) AS n FROM preds) r) x
+    GROUP BY split"""
+
+
+@query("top5pct_metrics", sql(["preds"], _top_sql(0.05)))
+def q_top5(spark, sf):
+    """precision/recall/lift of the exact top 5 % per split."""
+    return E.top_fraction_metrics(preds(spark, sf), "churn_probability", "is_churn", "customer_id", 0.05, ["split"])
+
+
+@query("top10pct_metrics", sql(["preds"], _top_sql(0.10)))
+def q_top10(spark, sf):
+    """The exact top 10 % per split."""
+    return E.top_fraction_metrics(preds(spark, sf), "churn_probability", "is_churn", "customer_id", 0.10, ["split"])
+
+
+@query("selection_at_threshold", sql(["preds"], """
+    SELECT split, round(count_if(churn_probability >= 0.75) / count(*), 6) AS selection_rate,
+           round((sum(CASE WHEN churn_probability >= 0.75 THEN is_churn ELSE 0 END) / count_if(churn_probability >= 0.75))
+                 / (sum(is_churn) / count(*)), 6) AS lift
+    FROM preds GROUP BY split"""))
+def q_selection(spark, sf):
+    """Selection rate and lift at 0.75."""
+    return E.selection_at_threshold(preds(spark, sf), "churn_probability", "is_churn", 0.75, ["split"])
+
+
+@query("risk_percentiles", sql(["preds"], """
+    SELECT customer_id, churn_probability,
+           round(((rank() OVER w) + (count(*) OVER (PARTITION BY churn_probability) - 1) / 2.0)
+                 / (count(*) OVER ()) * 100, 2) AS percentile
+    FROM preds WINDOW w AS (ORDER BY churn_probability)"""))
+def q_percentiles(spark, sf):
+    """Average-method percentile rank x100 rounded to 2."""
+    p = preds(spark, sf).select("customer_id", "churn_probability")
+    return O.avg_percentile(p, "churn_probability")
+
+
+@query("equal_bins", sql(["preds"], """
+    SELECT customer_id, CAST(CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ceil((rk - 1) * 10 / (n - 1))) END AS INTEGER) AS bin
+    FROM (SELECT customer_id, row_number() OVER (ORDER BY churn_probability DESC, customer_id) AS rk,
+                 count(*) OVER () AS n FROM preds) x"""))
+def q_equal_bins(spark, sf):
+    """Unique descending rank then 10 equal bins (qcut on rank)."""
+    return O.equal_bins(preds(spark, sf), "churn_probability", "customer_id", 10).select("customer_id", "bin")
+
+
+@query("top_k_customers", sql(["preds"], """
+    SELECT customer_id, churn_probability FROM preds ORDER BY churn_probability DESC, customer_id LIMIT 20"""))
+def q_topk(spark, sf):
+    """Global top 20 by score (TakeOrderedAndProject)."""
+    p = preds(spark, sf).select("customer_id", "churn_probability")
+    return O.top_k(p, [F.col("churn_probability").desc(), F.col("customer_id").asc()], 20)
+
+
+@query("page_customers", sql(["preds"], """
+    SELECT customer_id, churn_probability FROM preds ORDER BY churn_probability DESC, customer_id LIMIT 25 OFFSET 50"""))
+def q_page(spark, sf):
+    """Third page of 25 (LIMIT/OFFSET)."""
+    p = preds(spark, sf).select("customer_id", "churn_probability")
+    return O.paginate(p, [F.col("churn_probability").desc(), F.col("customer_id").asc()], 3, 25)
+
+
+@query("riskiest_customer", sql(["preds"], """
+    SELECT max(churn_probability) AS churn_probability,
+           arg_max(customer_id, churn_probability * 1e9 - customer_id * 1e-9) AS customer_id FROM preds"""))
+def q_riskiest(spark, sf):
+    """Argmax over rows (max_by)."""
+    p = preds(spark, sf)
+    return p.agg(F.max("churn_probability").alias("churn_probability"),
+                 F.max_by("customer_id", F.struct(F.col("churn_probability"), -F.col("customer_id"))).alias("customer_id"))
+
+
+@query("model_comparison", sql(["preds"], """
+    WITH m AS (
+      SELECT 'churn_probability' AS model, split, churn_probability AS s, is_churn FROM preds
+      UNION ALL SELECT 'alt_probability', split, alt_probability, is_churn FROM preds),
+    d AS (SELECT model, split, s, CAST(sum(is_churn) AS DOUBLE) AS pos, CAST(sum(1 - is_churn) AS DOUBLE) AS neg
+          FROM m GROUP BY 1, 2, 3),
+    c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model, split) AS P,
+                 sum(neg) OVER (PARTITION BY model, split) AS N FROM d
+          WINDOW w AS (PARTITION BY model, split ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    a AS (SELECT model, split, round(sum(pos * ((N - fp) + 0.5 * neg)) / (max(P) * max(N)), 6) AS auc,
+                 round(sum(pos / P * tp / (tp + fp)), 6) AS ap FROM c GROUP BY 1, 2),
+    f AS (SELECT model, split, s, round(2 * (tp / (tp + fp)) * (tp / P) / ((tp / (tp + fp)) + (tp / P) + 1e-12), 12) AS f1 FROM c),
+    t AS (SELECT model, min(s) AS threshold FROM (SELECT *, max(f1) OVER (PARTITION BY model) AS mf FROM f WHERE split = 'valid') x
+          WHERE f1 = mf GROUP BY model),
+    ll AS (SELECT model, split, round(avg(-(is_churn * ln(least(greatest(s, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+                  + (1 - is_churn) * ln(1 - least(greatest(s, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))), 6) AS logloss
+           FROM m GROUP BY 1, 2),
+    cm AS (SELECT m.model, split, count_if(s >= threshold AND is_churn = 1) AS tp, count_if(s >= threshold AND is_churn = 0) AS fp,
+                  count_if(s < threshold AND is_churn = 1) AS fn, count_if(s < threshold AND is_churn = 0) AS tn, max(threshold) AS threshold
+           FROM m JOIN t ON m.model = t.model GROUP BY 1, 2)
+    SELECT a.model, a.split, a.auc, a.ap, ll.logloss, cm.tp, cm.fp, cm.fn, cm.tn,
+           round(COALESCE(cm.tp / NULLIF(cm.tp + cm.fp, 0), 0), 6) AS precision,
+           round(COALESCE(cm.tp / NULLIF(cm.tp + cm.fn, 0), 0), 6) AS recall,
+           round(COALESCE(2 * cm.tp / NULLIF(2 * cm.tp + cm.fp + cm.fn, 0), 0), 6) AS f1,
+           round(cm.threshold, 6) AS threshold,
+           round(tr.auc - a.auc, 6) AS overfit_gap
+    FROM a JOIN ll ON a.model = ll.model AND a.split = ll.split
+    JOIN cm ON a.model = cm.model AND a.split = cm.split
+    JOIN a tr ON tr.model = a.model AND tr.split = 'train'"""))
+def q_compare(spark, sf):
+    """Two models x three splits; valid threshold applied everywhere; overfit gap."""
+    return E.compare_models(preds(spark, sf), ["churn_probability", "alt_probability"], "is_churn")
