@@ -50,7 +50,7 @@ def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     qw = q.groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
-    qw = qw.select("column", *[F.round(F.col(str(p)), 6).alias(n) for p, n in
+    qw = qw.select("column", *[F.round(F.col(f"`{p}`"), 6).alias(n) for p, n in
                                ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
     return base.join(qw, "column", "left")
 
