@@ -193,11 +193,15 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     tgt = n.crossJoin(F.broadcast(pr)).withColumn("__pos", (F.col("__n") - 1) * F.col("p")) \
         .withColumn("__lo", F.floor("__pos")).withColumn("__hi", F.ceil("__pos"))
     cells = cnt.select(*g2, "v", (F.col("__cum") - F.col("__c")).alias("__from"), (F.col("__cum") - 1).alias("__to"))
-    lo = tgt.join(cells, g2, "inner").filter((F.col("__lo") >= F.col("__from")) & (F.col("__lo") <= F.col("__to"))) \
-        .select(*g2, "p", F.col("v").alias("__vlo"), "__pos", "__lo")
-    hi = tgt.join(cells, g2, "inner").filter((F.col("__hi") >= F.col("__from")) & (F.col("__hi") <= F.col("__to"))) \
-        .select(*g2, "p", F.col("v").alias("__vhi"))
-    return lo.join(hi, g2 + ["p"]).select(
+    # one join: each target rank pair picks the value cells covering its lower and upper rank
+    j = tgt.join(cells, g2, "inner").filter(
+        ((F.col("__lo") >= F.col("__from")) & (F.col("__lo") <= F.col("__to")))
+        | ((F.col("__hi") >= F.col("__from")) & (F.col("__hi") <= F.col("__to"))))
+    inlo = (F.col("__lo") >= F.col("__from")) & (F.col("__lo") <= F.col("__to"))
+    inhi = (F.col("__hi") >= F.col("__from")) & (F.col("__hi") <= F.col("__to"))
+    q = j.groupBy(*g2, "p").agg(F.max(F.when(inlo, F.col("v"))).alias("__vlo"), F.max(F.when(inhi, F.col("v"))).alias("__vhi"),
+                                F.first("__pos").alias("__pos"), F.first("__lo").alias("__lo"))
+    return q.select(
         *g2, "p", (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * (F.col("__pos") - F.col("__lo"))).alias("value"))
 
 

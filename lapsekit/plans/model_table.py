@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsekit.operators import features as X
+from lapsekit.session import cut_lineage
 from lapsekit.sources import testdata
 from lapsekit.spec import TESTDATA_SPEC, ObservationSpec
 
@@ -47,6 +48,9 @@ MEDIAN_CANDIDATES = [
 def filled(spark: SparkSession, sf_dir: str, spec: ObservationSpec = TESTDATA_SPEC) -> DataFrame:
     """Presence flags, zero fill, sentinel fill, train-median fill."""
     d = X.sentinel_fill(X.zero_fill(X.presence_flags(assembled(spark, sf_dir, spec))))
+    # Stage boundary: the assembled table feeds both the median fit and the
+    # fill; a reliable checkpoint (shared checkpoint dir) keeps one lineage.
+    d = cut_lineage(d)
     med = X.impute_fit(d, MEDIAN_CANDIDATES)
     return X.impute_apply(d, med, MEDIAN_CANDIDATES)
 

@@ -23,6 +23,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = os.environ.get("LAPSEKIT_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
