@@ -114,27 +114,34 @@ def selection_at_threshold(df: DataFrame, score: str, label: str, threshold: flo
 
 
 def evaluate(df: DataFrame, score: str, label: str, split: str = "split",
-             threshold_from: str = "valid") -> DataFrame:
-    """E8 for one model: AUC, AP, logloss per split plus precision/recall/F1 at
-    the F1-optimal threshold chosen on ``threshold_from`` and applied to all
-    splits."""
-    dist = score_distribution(df, score, label, [split])
-    auc = roc_auc(dist, [split])
-    ap = average_precision(dist, [split])
-    ll = log_loss(df, score, label, [split])
-    thr = best_f1_threshold(dist, score, [split]).filter(F.col(split) == threshold_from) \
-        .select(F.col("threshold"))
-    scored = df.crossJoin(F.broadcast(thr))  # exactly one row
-    tm = threshold_metrics(scored, score, label, F.col("threshold"), [split])
-    return auc.join(ap, split).join(ll, split).join(tm, split).crossJoin(F.broadcast(thr)) \
-        .withColumn("threshold", F.round("threshold", 6))
+             threshold_from: str = "valid", groups: Sequence[str] = ()) -> DataFrame:
+    """E8 for one or many models (``groups``, e.g. ``["model"]``): AUC, AP and
+    log loss per (group, split), plus precision/recall/F1 at the F1-optimal
+    threshold chosen on ``threshold_from`` and applied to every split.
+
+    One score distribution serves AUC, AP and the threshold search."""
+    g = list(groups)
+    gs = g + [split]
+    dist = score_distribution(df, score, label, gs)
+    auc = roc_auc(dist, gs)
+    ap = average_precision(dist, gs)
+    ll = log_loss(df, score, label, gs)
+    thr = best_f1_threshold(dist, score, gs).filter(F.col(split) == threshold_from).select(*g, "threshold")
+    scored = df.join(F.broadcast(thr), g) if g else df.crossJoin(F.broadcast(thr))  # one row per model
+    tm = threshold_metrics(scored, score, label, F.col("threshold"), gs)
+    out = auc.join(ap, gs).join(ll, gs).join(tm, gs)
+    out = out.join(F.broadcast(thr), g) if g else out.crossJoin(F.broadcast(thr))
+    return out.withColumn("threshold", F.round("threshold", 6))
 
 
 def compare_models(df: DataFrame, scores: Sequence[str], label: str, split: str = "split") -> DataFrame:
-    """One row per (model, split); ``overfit_gap`` = train AUC - this split's AUC."""
-    out = None
-    for s in scores:
-        e = evaluate(df, s, label, split).withColumn("model", F.lit(s))
-        out = e if out is None else out.unionByName(e)
+    """One row per (model, split); ``overfit_gap`` = train AUC - this split's AUC.
+
+    The models are stacked into one long frame (model, split, score, label)
+    so every metric is a single grouped pass, not one pass per model."""
+    long = df.select(split, label, F.explode(F.array(*[
+        F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("__score")) for s in scores])).alias("__m")) \
+        .select(split, label, "__m.model", "__m.__score")
+    out = evaluate(long, "__score", label, split, groups=["model"])
     tr = out.filter(F.col(split) == "train").select("model", F.col("auc").alias("__tr"))
     return out.join(tr, "model").withColumn("overfit_gap", F.round(F.col("__tr") - F.col("auc"), 6)).drop("__tr")

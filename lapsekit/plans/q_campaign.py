@@ -1,3 +1,262 @@
-"""Registered queries."""
+"""Registered queries: campaign audience, launch and ledger operations.
+
+Scores are the scoring table on the fixed probability; the ledger is derived
+from ``events`` (click -> reminder, purchase -> discount_offer); requests,
+claims and manual id lists are derived from events too, so every query's
+work grows with the tables.  ``as_of`` = 2024-01-31 00:00 (end of the events).
+"""
 
 from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from lapsekit.operators import campaign as B
+from lapsekit.plans.catalog import query
+from lapsekit.plans.oracle_views import VIEWS, sql
+from lapsekit.plans.q_analytics import scoring_table
+from lapsekit.sources import testdata as TD
+
+AS_OF = dt.datetime(2024, 1, 31)
+AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
+SPEC = B.AudienceSpec(purpose="winback", action_type="reminder", exclude_recent_days=7,
+                      selection_mode="top_n", audience_limit=100)
+
+VIEWS["aud"] = (["scoring", "ledger"], f"""
+    SELECT s.*, r.customer_id IS NOT NULL AS recent FROM scoring s
+    LEFT JOIN (SELECT DISTINCT customer_id FROM ledger WHERE action_type = 'reminder'
+               AND sent_at >= {AS_OF_SQL} - INTERVAL 7 DAY) r ON s.customer_id = r.customer_id
+    WHERE s.lifecycle_status = 'lapsed'""")
+VIEWS["campaigns"] = (["ledger"], """
+    SELECT CAST(strftime(CAST(sent_at AS DATE), '%Y%m%d') AS BIGINT) * 10 + CASE WHEN action_type = 'reminder' THEN 1 ELSE 2 END AS id,
+           action_type || ' ' || strftime(CAST(sent_at AS DATE), '%Y-%m-%d') AS name,
+           action_type || ':' || strftime(CAST(sent_at AS DATE), '%Y-%m-%d') AS request_key,
+           action_type, count(*) AS recipient_count, min(sent_at) AS created_at
+    FROM ledger GROUP BY 1, 2, 3, 4""")
+
+
+def _scores(spark, sf):
+    return scoring_table(spark, sf)
+
+
+def _ledger(spark, sf):
+    return TD.ledger(spark, sf)
+
+
+def campaigns(spark, sf):
+    l = _ledger(spark, sf)
+    d = F.to_date("sent_at")
+    return l.groupBy(
+        (F.date_format(d, "yyyyMMdd").cast("long") * 10 + F.when(F.col("action_type") == "reminder", 1).otherwise(2)).alias("id"),
+        F.concat_ws(" ", "action_type", F.date_format(d, "yyyy-MM-dd")).alias("name"),
+        F.concat_ws(":", "action_type", F.date_format(d, "yyyy-MM-dd")).alias("request_key"),
+        "action_type").agg(F.count(F.lit(1)).alias("recipient_count"), F.min("sent_at").alias("created_at"))
+
+
+def _flagged(spark, sf, spec=SPEC):
+    return B.audience(_scores(spark, sf), _ledger(spark, sf), spec, AS_OF)
+
+
+@query("audience_flags", sql(["aud"], "SELECT customer_id, recent FROM aud"))
+def q_audience(spark, sf):
+    """B1/B2: lapsed customers flagged when a reminder went out in the last 7 days."""
+    return _flagged(spark, sf).select("customer_id", "recent")
+
+
+@query("campaign_preview", sql(["aud"], """
+    SELECT count(*) AS requested_count, count(*) AS matched_count, CAST(0 AS BIGINT) AS excluded_condition_count,
+           count(*) - count_if(NOT recent) AS excluded_recent_count, count_if(NOT recent) AS eligible_count,
+           least(count_if(NOT recent), 100) AS selected_count,
+           least(count_if(NOT recent), 100) > 0 AND least(count_if(NOT recent), 100) <= 50000 AS launchable,
+           CASE WHEN least(count_if(NOT recent), 100) = 0 THEN 'no_eligible_customers'
+                WHEN least(count_if(NOT recent), 100) > 50000 THEN 'over_recipient_cap' END AS warning
+    FROM aud"""))
+def q_preview(spark, sf):
+    """Preview counts for a top-100 win-back reminder."""
+    return B.preview(_flagged(spark, sf), SPEC)
+
+
+@query("preview_sample", sql(["aud"], """
+    SELECT customer_id, churn_proba, segment FROM aud WHERE NOT recent ORDER BY churn_proba DESC, customer_id LIMIT 10"""))
+def q_sample(spark, sf):
+    """Preview sample, top 10 eligible by risk."""
+    return B.preview_sample(_flagged(spark, sf), SPEC).select("customer_id", "churn_proba", "segment")
+
+
+@query("launch_recipients", sql(["aud"], """
+    SELECT customer_id, 'treatment' AS group_type, churn_proba AS churn_proba_at_send, segment AS segment_at_send,
+           lifecycle_status AS lifecycle_at_send
+    FROM aud WHERE NOT recent ORDER BY churn_proba DESC, customer_id LIMIT 100"""))
+def q_launch(spark, sf):
+    """Top-100 selection snapshot written at launch (new request key)."""
+    rec = B.select_recipients(_flagged(spark, sf), SPEC)
+    out = B.launch(rec, campaigns(spark, sf), SPEC, "winback-2024-01-31", "winback reminder", AS_OF)
+    return out["campaign_recipients"].drop("campaign_id")
+
+
+@query("launch_idempotent", sql(["campaigns"], """
+    SELECT count(*) AS recipients_second_launch FROM campaigns WHERE FALSE"""))
+def q_idem(spark, sf):
+    """Relaunch with an existing request key adds no recipients."""
+    rec = B.select_recipients(_flagged(spark, sf), SPEC)
+    existing_key = "reminder:2024-01-02"
+    out = B.launch(rec, campaigns(spark, sf), SPEC, existing_key, "dup", AS_OF)
+    return out["campaign_recipients"].agg(F.count(F.lit(1)).alias("recipients_second_launch"))
+
+
+VIEWS["manual_ids"] = (["churn_labels"], """
+    SELECT trim(raw_id) AS id, min(pos) AS pos FROM (
+      SELECT '  ' || CAST(user_id AS VARCHAR) || ' ' AS raw_id, event_id AS pos FROM events WHERE event_type = 'signup'
+      UNION ALL SELECT '', -1) x
+    WHERE trim(raw_id) <> '' GROUP BY 1 ORDER BY 2 LIMIT 500""")
+
+
+def _manual(spark, sf):
+    ev = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'signup'")
+    raw = ev.select(F.concat(F.lit("  "), F.col("user_id").cast("string"), F.lit(" ")).alias("raw_id"),
+                    F.col("event_id").alias("pos")).unionByName(
+        spark.range(1).select(F.lit("").alias("raw_id"), F.lit(-1).cast("long").alias("pos")))
+    return B.normalize_ids(raw)
+
+
+@query("manual_preview", sql(["scoring", "ledger", "manual_ids"], f"""
+    WITH m AS (SELECT s.*, r.customer_id IS NOT NULL AS recent FROM scoring s
+               LEFT JOIN (SELECT DISTINCT customer_id FROM ledger WHERE action_type = 'discount_offer'
+                          AND sent_at >= {AS_OF_SQL} - INTERVAL 14 DAY) r ON s.customer_id = r.customer_id
+               WHERE s.lifecycle_status = 'active' AND s.customer_id IN (SELECT CAST(id AS BIGINT) FROM manual_ids))
+    SELECT (SELECT count(*) FROM manual_ids) AS requested_count, count(*) AS matched_count,
+           greatest((SELECT count(*) FROM manual_ids) - count(*), 0) AS excluded_condition_count,
+           count(*) - count_if(NOT recent) AS excluded_recent_count, count_if(NOT recent) AS eligible_count,
+           count_if(NOT recent) AS selected_count,
+           count_if(NOT recent) > 0 AND count_if(NOT recent) <= 50000 AS launchable,
+           CASE WHEN count_if(NOT recent) = 0 THEN 'no_eligible_customers'
+                WHEN count_if(NOT recent) > 50000 THEN 'over_recipient_cap' END AS warning
+    FROM m"""))
+def q_manual(spark, sf):
+    """B1/B3 manual mode: trimmed, de-duplicated id list (J10), retention purpose."""
+    spec = B.AudienceSpec(purpose="retention", action_type="discount_offer", exclude_recent_days=14,
+                          selection_mode="manual")
+    ids = _manual(spark, sf)
+    f = B.audience(_scores(spark, sf), _ledger(spark, sf), spec, AS_OF, manual=ids)
+    return B.preview(f, spec, requested=ids)
+
+
+@query("customer_search", sql(["scoring"], """
+    SELECT customer_id, churn_proba, lifecycle_status FROM scoring WHERE contains(CAST(customer_id AS VARCHAR), '12')
+    ORDER BY churn_proba DESC, customer_id LIMIT 20 OFFSET 20"""))
+def q_search(spark, sf):
+    """Id substring search (overrides filters), page 2 of 20."""
+    page, _ = B.search(_scores(spark, sf), " 12 ", {"risk_tier": "high_risk"}, 2, 20)
+    return page.select("customer_id", "churn_proba", "lifecycle_status")
+
+
+@query("search_total", sql(["scoring"], """
+    SELECT count(*) AS total FROM scoring WHERE risk_tier = 'high_risk' AND lifecycle_status = 'lapsed'"""))
+def q_search_total(spark, sf):
+    """Filtered search total (no id substring)."""
+    _, total = B.search(_scores(spark, sf), None, {"risk_tier": "high_risk", "lifecycle_status": "lapsed"}, 1, 20)
+    return total
+
+
+@query("overview", sql(["scoring", "ledger", "campaigns"], """
+    SELECT count(*) AS customers, count_if(risk_tier = 'high_risk') AS high_risk,
+           count_if(lifecycle_status = 'active') AS active, count_if(lifecycle_status = 'grace') AS grace,
+           count_if(lifecycle_status = 'lapsed') AS lapsed, round(avg(churn_proba), 6) AS avg_churn_proba,
+           (SELECT count(*) FROM ledger) AS actions, (SELECT count(DISTINCT customer_id) FROM ledger) AS contacted_customers,
+           (SELECT count(*) FROM campaigns) AS campaigns
+    FROM scoring"""))
+def q_overview(spark, sf):
+    """One-row KPI overview."""
+    return B.overview(_scores(spark, sf), _ledger(spark, sf), campaigns(spark, sf))
+
+
+@query("contacts_by_type", sql(["ledger"], "SELECT action_type, count(*) AS actions FROM ledger GROUP BY 1"))
+def q_by_type(spark, sf):
+    """Actions by type."""
+    return B.contact_summary(_ledger(spark, sf), _scores(spark, sf))["by_type"]
+
+
+@query("contacts_by_segment", sql(["ledger", "scoring"], """
+    SELECT s.segment, count(*) AS actions FROM ledger l JOIN scoring s ON l.customer_id = s.customer_id GROUP BY 1"""))
+def q_by_segment(spark, sf):
+    """Actions by segment (ledger x scores inner join)."""
+    return B.contact_summary(_ledger(spark, sf), _scores(spark, sf))["by_segment"]
+
+
+@query("latest_contacts", sql(["ledger"], """
+    SELECT id, customer_id, action_type, sent_at FROM ledger ORDER BY sent_at DESC, id DESC LIMIT 10"""))
+def q_latest(spark, sf):
+    """Ten latest ledger rows."""
+    return B.contact_summary(_ledger(spark, sf), _scores(spark, sf))["latest"].select("id", "customer_id", "action_type", "sent_at")
+
+
+@query("campaign_history", sql(["campaigns"], """
+    SELECT id, name, recipient_count, created_at FROM campaigns ORDER BY created_at DESC, id DESC LIMIT 10"""))
+def q_history(spark, sf):
+    """Newest campaigns first."""
+    return campaigns(spark, sf).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(10) \
+        .select("id", "name", "recipient_count", "created_at")
+
+
+@query("inbox_latest3", sql(["ledger"], """
+    SELECT id, customer_id, action_type, is_read, sent_at FROM (
+      SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY sent_at DESC, id DESC) AS rn FROM ledger) x WHERE rn <= 3"""))
+def q_inbox(spark, sf):
+    """Newest 3 messages per customer."""
+    return B.inbox(_ledger(spark, sf), 3).select("id", "customer_id", "action_type", "is_read", "sent_at")
+
+
+@query("apply_reads", sql(["ledger"], """
+    SELECT count_if(NOT is_read AND (customer_id % 5 = 0 OR id % 7 = 0)) AS updated FROM ledger"""))
+def q_reads(spark, sf):
+    """Mark all unread of every 5th customer and single messages (id % 7 = 0) read."""
+    l = _ledger(spark, sf)
+    reads = l.filter(F.col("customer_id") % 5 == 0).select("customer_id", F.lit(None).cast("long").alias("id")).distinct() \
+        .unionByName(l.filter(F.col("id") % 7 == 0).select("customer_id", "id"))
+    _, cnt = B.apply_reads(l, reads)
+    return cnt
+
+
+@query("claim_benefits", sql([], """
+    SELECT event_id AS id, user_id AS customer_id, 'coupon_' || CAST(event_id % 3 AS VARCHAR) AS benefit_key,
+           'self:' || CAST(user_id AS VARCHAR) AS sent_by, ts AS sent_at FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) AS rn
+      FROM events WHERE event_type = 'purchase') x WHERE rn = 1"""))
+def q_claims(spark, sf):
+    """One claim per (customer, benefit), earliest wins; self-claimed rows."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'purchase'")
+    claims = ev.select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("customer_id"),
+                       F.concat(F.lit("coupon_"), (F.col("event_id") % 3).cast("string")).alias("benefit_key"),
+                       F.col("ts").alias("claimed_at"))
+    return B.claim_benefits(_ledger(spark, sf), claims).select("id", "customer_id", "benefit_key", "sent_by", "sent_at")
+
+
+@query("score_lookup", sql(["scoring"], "SELECT * FROM scoring WHERE customer_id = 7"))
+def q_lookup(spark, sf):
+    """One customer's score row."""
+    return _scores(spark, sf).filter(F.col("customer_id") == 7)
+
+
+@query("single_actions", sql(["scoring"], f"""
+    SELECT event_id AS id, user_id AS customer_id, 'reminder' AS action_type, {AS_OF_SQL} AS sent_at
+    FROM events WHERE event_type = 'view' AND user_id IN (SELECT customer_id FROM scoring)"""))
+def q_single(spark, sf):
+    """Action rows only for existing scored customers (semi join)."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'view'")
+    req = ev.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("customer_id"),
+                    F.lit("reminder").alias("action_type"))
+    return B.single_actions(req, _scores(spark, sf), AS_OF).select("id", "customer_id", "action_type", "sent_at")
+
+
+@query("ledger_evolution", sql(["ledger"], """
+    SELECT id, customer_id, action_type, COALESCE(is_read, FALSE) AS is_read, COALESCE(benefit_key, 'none') AS benefit_key
+    FROM (SELECT id, customer_id, action_type, CAST(NULL AS BOOLEAN) AS is_read, CAST(NULL AS VARCHAR) AS benefit_key
+          FROM ledger WHERE id % 2 = 0
+          UNION ALL SELECT id, customer_id, action_type, is_read, benefit_key FROM ledger WHERE id % 2 = 1) u"""))
+def q_evolve(spark, sf):
+    """Old rows without the new columns + new rows, defaults filled."""
+    l = _ledger(spark, sf)
+    old = l.filter(F.col("id") % 2 == 0).select("id", "customer_id", "action_type")
+    new = l.filter(F.col("id") % 2 == 1).select("id", "customer_id", "action_type", "is_read", "benefit_key")
+    return B.evolve(old, new, {"is_read": False, "benefit_key": "none"})
