@@ -237,3 +237,20 @@ def q_dedupe(spark, sf):
               F.count_if(F.col("transaction_date") > SPEC.cutoff_int).alias("after_cutoff_rows"))
     b = t.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
     return a.crossJoin(b).select("raw_rows", "distinct_rows", "after_cutoff_rows")
+
+
+@query("incremental_log_features")
+def q_incremental(spark, sf):
+    """Structured Streaming (availableNow, update mode, foreachBatch) over the
+    log files; equals the batch log features (rows-only check here, equality
+    in tests).  Source/state/output folders live under the shared checkpoint dir."""
+    import os
+    import uuid
+
+    from lapsekit.session import checkpoint_dir
+    from lapsekit.streaming.incremental import incremental_log_features
+
+    base = os.path.join(checkpoint_dir(spark), f"t1-{uuid.uuid4().hex[:8]}")
+    TD.user_logs(spark, sf).write.mode("overwrite").parquet(os.path.join(base, "src"))
+    return incremental_log_features(spark, os.path.join(base, "src"), os.path.join(base, "state"),
+                                    os.path.join(base, "out"), SPEC)
