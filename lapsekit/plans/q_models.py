@@ -206,3 +206,105 @@ def q_riskiest(spark, sf):
 def q_compare(spark, sf):
     """Two models x three splits; valid threshold applied everywhere; overfit gap."""
     return E.compare_models(preds(spark, sf), ["churn_probability", "alt_probability"], "is_churn")
+
+
+# ---------------------------------------------------------------- Spark ML jobs (L*, I*, K*): rows-only checks
+@query("class_weight", sql(["split"], """
+    SELECT round(count_if(is_churn = 0) / count_if(is_churn = 1), 6) AS pos_weight,
+           round(sqrt(count_if(is_churn = 0) / count_if(is_churn = 1)), 6) AS pos_weight_sqrt
+    FROM split WHERE split = 'train'"""))
+def q_class_weight(spark, sf):
+    """Balanced class weight n_neg/n_pos (train split) and its square root."""
+    from lapsekit.ml.models import class_weight
+    return class_weight(stratified_split(TD.labels(spark, sf)).filter("split = 'train'"))
+
+
+def _table(spark, sf):
+    from lapsekit.plans import model_table as MT
+    from lapsekit.session import cut_lineage
+    return cut_lineage(MT.build_model_table(spark, sf))
+
+
+def _fit(spark, sf, kind, params, balanced=False):
+    from lapsekit.ml.models import fit_and_score
+    from lapsekit.plans import model_table as MT
+    return fit_and_score(_table(spark, sf), kind, MT.FEATURE_COLS_V2, MT.CATEGORICAL_COLS, params=params,
+                         balanced=balanced)
+
+
+def _metrics(pred):
+    return E.evaluate(pred.select("split", "is_churn", "churn_probability"), "churn_probability", "is_churn")
+
+
+@query("gbt_model_metrics")
+def q_gbt(spark, sf):
+    """L1: gradient-boosted trees with early stopping on the valid split; E8 metrics."""
+    _, pred = _fit(spark, sf, "gbt", {"maxIter": 30, "maxDepth": 4})
+    return _metrics(pred)
+
+
+@query("rf_model_metrics")
+def q_rf(spark, sf):
+    """L2: balanced random forest; E8 metrics."""
+    _, pred = _fit(spark, sf, "rf", {"numTrees": 40, "maxDepth": 8, "minInstancesPerNode": 10}, balanced=True)
+    return _metrics(pred)
+
+
+@query("lr_model_metrics")
+def q_lr(spark, sf):
+    """L3/L4: balanced logistic regression on standardised features; E8 metrics."""
+    _, pred = _fit(spark, sf, "lr", {"regParam": 0.01}, balanced=True)
+    return _metrics(pred)
+
+
+@query("mlp_model_metrics")
+def q_mlp(spark, sf):
+    """Multilayer perceptron (hidden 16-8 here; 128-64 by default); E8 metrics."""
+    _, pred = _fit(spark, sf, "mlp", {"hidden": [16, 8], "maxIter": 60})
+    return _metrics(pred)
+
+
+@query("random_search")
+def q_search(spark, sf):
+    """Seeded random parameter search, exact valid AUC per trial."""
+    from lapsekit.ml.models import random_search
+    from lapsekit.plans import model_table as MT
+    return random_search(_table(spark, sf), "gbt", MT.FEATURE_COLS_V2, MT.CATEGORICAL_COLS,
+                         {"maxDepth": (2, 5, "int"), "stepSize": (0.03, 0.3, "log"), "maxIter": (5, 20, "int")},
+                         n_trials=3)
+
+
+@query("feature_importance")
+def q_importance(spark, sf):
+    """GBT feature importances ranked by name-mapped vector slots."""
+    from lapsekit.ml.models import feature_importance
+    from lapsekit.plans import model_table as MT
+    model, _ = _fit(spark, sf, "gbt", {"maxIter": 20, "maxDepth": 4})
+    return feature_importance(model, MT.FEATURE_COLS_V2)
+
+
+@query("linear_attributions")
+def q_attr(spark, sf):
+    """Per-row linear attributions (additive to the margin) and their mean |phi| ranking."""
+    from lapsekit.ml.models import linear_attributions
+    from lapsekit.operators.features import sample_rows
+    from lapsekit.operators.quality import mean_abs
+    from lapsekit.plans import model_table as MT
+    model, pred = _fit(spark, sf, "lr", {"regParam": 0.01}, balanced=True)
+    att = linear_attributions(model, pred, MT.FEATURE_COLS_V2)
+    att = sample_rows(att, 5000, seed=42)   # the 5,000-row explanation sample is the feature
+    return mean_abs(att, MT.FEATURE_COLS_V2)
+
+
+@query("scored_customers")
+def q_scored(spark, sf):
+    """K1/K2: save the pipeline with its feature contract, reload, check, score all customers."""
+    import os
+    import uuid
+    from lapsekit.ml.models import save_model, score_customers
+    from lapsekit.plans import model_table as MT
+    from lapsekit.session import checkpoint_dir
+    model, _ = _fit(spark, sf, "gbt", {"maxIter": 10, "maxDepth": 3})
+    path = os.path.join(checkpoint_dir(spark), f"model-{uuid.uuid4().hex[:8]}")
+    save_model(model, path, MT.FEATURE_COLS_V2)
+    return score_customers(path, _table(spark, sf)).select("customer_id", "churn_probability")
