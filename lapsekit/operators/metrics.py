@@ -31,23 +31,23 @@ def score_distribution(df: DataFrame, score: str, label: str, groups: Sequence[s
     d = width_bucket_col(d, score, groups, N_BUCKETS, "__b")
     d = ordered_prefix(d, [F.col(score).desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, "__b", groups,
                        bucket_desc=True)
-    tot = d.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    tot = d.groupBy(*groups).agg(F.sum("pos").alias("pos_total"), F.sum("neg").alias("neg_total"))
     d = d.join(tot, groups, "left") if groups else d.crossJoin(F.broadcast(tot))
     # negatives strictly below s = N - fp (fp counts negatives with score >= s)
-    return d.withColumn("neg_below", F.col("N") - F.col("fp")).drop("__b")
+    return d.withColumn("neg_below", F.col("neg_total") - F.col("fp")).drop("__b")
 
 
 def roc_auc(dist: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Exact ROC-AUC (Mann-Whitney, ties count 1/2)."""
     return dist.groupBy(*groups).agg(
         F.round(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
-                / (F.first("P") * F.first("N")), 6).alias("auc"))
+                / (F.first("pos_total") * F.first("neg_total")), 6).alias("auc"))
 
 
 def average_precision(dist: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """AP as the step sum  sum_s (pos_s / P) * precision(s)."""
     return dist.groupBy(*groups).agg(
-        F.round(F.sum(F.col("pos") / F.col("P") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6).alias("ap"))
+        F.round(F.sum(F.col("pos") / F.col("pos_total") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6).alias("ap"))
 
 
 def log_loss(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -75,7 +75,7 @@ def threshold_metrics(df: DataFrame, score: str, label: str, threshold, groups:
 def best_f1_threshold(dist: DataFrame, score: str, groups: Sequence[str] = ()) -> DataFrame:
     """E5: F1-optimal threshold over distinct scores; ties go to the lowest threshold."""
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    rec = F.col("tp") / F.col("P")
+    rec = F.col("tp") / F.col("pos_total")
     f1 = 2 * prec * rec / (prec + rec + F1_GUARD)
     d = dist.withColumn("__f1", F.round(f1, 12))
     return d.groupBy(*groups).agg(
