@@ -308,3 +308,113 @@ def q_scored(spark, sf):
     path = os.path.join(checkpoint_dir(spark), f"model-{uuid.uuid4().hex[:8]}")
     save_model(model, path, MT.FEATURE_COLS_V2)
     return score_customers(path, _table(spark, sf)).select("customer_id", "churn_probability")
+
+
+# ---------------------------------------------------------------- driver reports (I4-I6, W11) and R7
+def _attr_features():
+    from lapsekit.plans import model_table as MT
+    return [f for f in MT.FEATURE_COLS_V2 if f not in MT.CATEGORICAL_COLS]
+
+
+def _attributions(spark, sf):
+    """Deterministic stand-in attributions for SQL-checkable reports:
+    phi_f = round(x_f - mean(x_f), 6) over the model table (mean as a 1-row broadcast)."""
+    from lapsekit.plans import model_table as MT
+    from lapsekit.session import cut_lineage
+    feats = _attr_features()
+    t = cut_lineage(MT.build_model_table(spark, sf))
+    means = t.agg(*[F.avg(f).alias(f"__m_{f}") for f in feats])
+    j = t.crossJoin(F.broadcast(means))
+    return j.select("customer_id", TD.fixed_probability().alias("p"),
+                    *[F.round(F.col(f) - F.col(f"__m_{f}"), 6).alias(f) for f in feats])
+
+
+VIEWS["attr"] = (["model_v2"], "SELECT customer_id, " + "CAST((customer_id * 7919) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) AS p, "
+                 + ", ".join(f"round({f} - (SELECT avg({f}) FROM model_v2), 6) AS {f}" for f in _attr_features())
+                 + " FROM model_v2")
+
+
+def _argmax_sql(cols):
+    g = "greatest(" + ", ".join(cols) + ")"
+    return "CASE " + " ".join(f"WHEN {c} = {g} THEN '{c}'" for c in cols) + " END"
+
+
+def _cat_sql():
+    from lapsekit.operators.drivers import CATEGORY_MAP
+    feats = set(_attr_features())
+    parts = []
+    for c, fs in CATEGORY_MAP.items():
+        use = [f for f in fs if f in feats]
+        parts.append(f"round({' + '.join(use) if use else '0.0'}, 6) AS {c}")
+    return ", ".join(parts)
+
+
+VIEWS["attr_cat"] = (["attr"], f"SELECT customer_id, p, {_cat_sql()} FROM attr")
+
+
+@query("category_drivers", sql(["attr_cat"], """
+    SELECT top_category, count(*) AS customers FROM (
+      SELECT """ + _argmax_sql(["payment_subscription", "listening_activity", "customer_profile"]) + """ AS top_category
+      FROM attr_cat WHERE p >= 0.75) x GROUP BY 1"""))
+def q_category_drivers(spark, sf):
+    """I4: category attribution sums and the top category of high-risk rows."""
+    from lapsekit.operators import drivers as D
+    a = _attributions(spark, sf)
+    c = D.top_category(D.category_attributions(a, _attr_features(), keep=["p"]))
+    return c.filter(F.col("p") >= 0.75).groupBy("top_category").agg(F.count(F.lit(1)).alias("customers"))
+
+
+def _action_sql():
+    from lapsekit.operators.drivers import ACTION_MAP, DEFAULT_ACTION
+    return ("CASE driver " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTION_MAP.items())
+            + f" ELSE '{DEFAULT_ACTION}' END")
+
+
+VIEWS["drivers"] = (["attr"], "SELECT customer_id, " + _argmax_sql(_attr_features()) + " AS driver FROM attr WHERE p >= 0.75")
+
+
+@query("driver_summary", sql(["drivers"], f"""
+    SELECT driver, count(*) AS customers, round(count(*) / (SELECT count(*) FROM drivers) * 100, 6) AS pct,
+           {_action_sql()} AS suggested_action FROM drivers GROUP BY driver"""))
+def q_driver_summary(spark, sf):
+    """Top single driver per high-risk customer, counts, share, suggested action."""
+    from lapsekit.operators import drivers as D
+    a = _attributions(spark, sf).filter(F.col("p") >= 0.75)
+    return D.driver_summary(D.top_driver(a, _attr_features()))
+
+
+@query("driver_top8", sql(["drivers"], f"""
+    SELECT driver, sum(customers) AS customers, round(sum(customers) / (SELECT count(*) FROM drivers) * 100, 6) AS pct,
+           {_action_sql()} AS suggested_action
+    FROM (SELECT CASE WHEN row_number() OVER (ORDER BY count(*) DESC, driver) > 8 THEN 'other' ELSE driver END AS driver,
+                 count(*) AS customers FROM drivers GROUP BY driver) x GROUP BY driver"""))
+def q_driver_top8(spark, sf):
+    """First 8 drivers and 'other'."""
+    from lapsekit.operators import drivers as D
+    a = _attributions(spark, sf).filter(F.col("p") >= 0.75)
+    return D.driver_summary(D.top_driver(a, _attr_features()), top=8).withColumn("customers", F.col("customers").cast("long"))
+
+
+@query("top_abs_attributions", sql(["attr"], """
+    SELECT customer_id, feature, value, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY abs(value) DESC, feature) AS rank
+      FROM (UNPIVOT attr ON """ + ", ".join(_attr_features()) + """ INTO NAME feature VALUE value) u
+      WHERE p >= 0.95) r WHERE rank <= 10"""))
+def q_top_abs(spark, sf):
+    """Ten largest |attribution| per (riskiest) customer."""
+    from lapsekit.operators.ordering import top_abs_per_row
+    a = _attributions(spark, sf).filter(F.col("p") >= 0.95).drop("p")
+    return top_abs_per_row(a, "customer_id", _attr_features(), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("one_hot_registered_via", sql(["members"], """
+    SELECT customer_id, registered_via,
+           CAST(registered_via = 'BUILDING' AS INTEGER) AS registered_via_BUILDING,
+           CAST(registered_via = 'FURNITURE' AS INTEGER) AS registered_via_FURNITURE,
+           CAST(registered_via = 'HOUSEHOLD' AS INTEGER) AS registered_via_HOUSEHOLD,
+           CAST(registered_via = 'MACHINERY' AS INTEGER) AS registered_via_MACHINERY
+    FROM members"""))
+def q_one_hot(spark, sf):
+    """One-hot with drop-first (reference level = smallest value)."""
+    from lapsekit.operators.drivers import one_hot
+    return one_hot(TD.members(spark, sf).select("customer_id", "registered_via"), "registered_via")
