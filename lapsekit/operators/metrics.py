@@ -145,3 +145,15 @@ def compare_models(df: DataFrame, scores: Sequence[str], label: str, split: str
     out = evaluate(long, "__score", label, split, groups=["model"])
     tr = out.filter(F.col(split) == "train").select("model", F.col("auc").alias("__tr"))
     return out.join(tr, "model").withColumn("overfit_gap", F.round(F.col("__tr") - F.col("auc"), 6)).drop("__tr")
+
+
+def model_stats_export(stats: DataFrame, champion: DataFrame, key: str = "model",
+                       cols: Sequence[str] = ("auc", "ap", "logloss", "precision", "recall", "f1")) -> DataFrame:
+    """Exported model stats where the champion's recorded metrics override
+    the computed ones (left join + coalesce), plus champion-only models
+    (anti join + union)."""
+    c = champion.select(key, *[F.col(x).alias(f"__c_{x}") for x in cols])
+    over = stats.join(c, key, "left").select(key, *[F.coalesce(F.col(f"__c_{x}"), F.col(x)).alias(x) for x in cols],
+                                             F.col(f"__c_{cols[0]}").isNotNull().alias("champion_override"))
+    only = champion.join(stats.select(key), key, "left_anti").select(key, *cols, F.lit(True).alias("champion_override"))
+    return over.unionByName(only)

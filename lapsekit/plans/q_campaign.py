@@ -260,3 +260,15 @@ def q_evolve(spark, sf):
     old = l.filter(F.col("id") % 2 == 0).select("id", "customer_id", "action_type")
     new = l.filter(F.col("id") % 2 == 1).select("id", "customer_id", "action_type", "is_read", "benefit_key")
     return B.evolve(old, new, {"is_read": False, "benefit_key": "none"})
+
+
+@query("kpi_reference_cohorts", sql(["cohorts"], """
+    SELECT strftime(cohort_month, '%Y-%m') AS cohort, month_offset, retention_pct FROM cohorts
+    WHERE cohort_month <= DATE '2000-02-01' ORDER BY cohort_month, month_offset"""))
+def q_kpi_cohorts(spark, sf):
+    """KPI bundle reference table (retention cohort), ordered for serving."""
+    from lapsekit.operators import analytics as A
+    from lapsekit.spec import TESTDATA_SPEC
+    c = A.complete_cohorts(A.cohort_activity(TD.transactions(spark, sf), TESTDATA_SPEC), TESTDATA_SPEC)
+    return c.orderBy("cohort_month", "month_offset").select(
+        F.date_format("cohort_month", "yyyy-MM").alias("cohort"), "month_offset", "retention_pct")
