@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_language_id")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document (operator 1)."""
+    from lapsekit.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 @query("op2_suffix_dedup")
 def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte strings that repeat within or across documents (operator 2)."""
