@@ -79,6 +79,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op7_html_extract")
+def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page (operator 7)."""
+    from lapsekit.llm.html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op9_hilbert_shards")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hilbert-curve shards of every document (operator 9)."""
