@@ -40,6 +40,15 @@ class Page:
     names: list[tuple[str, ...]] = field(default_factory=list)
     text: list[str | None] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
+    share: list[float] = field(default_factory=list)
+
+    def weigh(self) -> Page:
+        """Set ``share``: how much of the page's text each node holds."""
+        size = [len(t) if t else 0 for t in self.text]
+        for i in range(len(size) - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        self.share = [x / max(size[0], 1) for x in size]
+        return self
 
     def add(self, tag: str, parent: int, names: tuple[str, ...] = (), text: str | None = None, linked: int = 0) -> int:
         for column, value in ((self.tag, tag), (self.parent, parent), (self.names, names), (self.text, text), (self.linked, linked)):
@@ -127,7 +136,7 @@ def parse(source: str) -> Page:
             continue
         stack.append((tag, page.add(tag, stack[-1][1], _names(m.group(3)))))
     flush()
-    return page
+    return page.weigh()
 
 
 def features(page: Page, i: int) -> list[str]:
@@ -139,6 +148,10 @@ def features(page: Page, i: int) -> list[str]:
         for name in page.names[i]:
             out.append("name " + name)
             out.append("stem " + name[:5])
+        if not page.names[i]:
+            out.append("plain " + tag)
+        share = page.share[i]
+        out.append("share " + ("little" if share < 0.05 else "some" if share < 0.2 else "much" if share < 0.5 else "most"))
         return out
     size = len(text)
     share = page.linked[i] / max(size, 1)
@@ -256,7 +269,7 @@ PARTS = {
 }
 
 
-def labelled_pages(n: int = 600, seed: int = 0) -> tuple[list[Page], list[list[int]]]:
+def labelled_pages(n: int = 1000, seed: int = 0) -> tuple[list[Page], list[list[int]]]:
     """Labelled pages for training: random parts in random order around and inside a main part of random shape."""
     rng = np.random.default_rng(seed)
     pick = lambda items: items[int(rng.integers(len(items)))]
@@ -282,7 +295,7 @@ def labelled_pages(n: int = 600, seed: int = 0) -> tuple[list[Page], list[list[i
             return f"<label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>" + f"<p>{words(2, 15)}.</p>" * bool(rng.random() < 0.5)
         if how < 0.7:
             return words(2, 15) + pick(["", ".", " © w", " <a href=x>w</a>"])
-        return "".join(f"<{t}>{words(2, 40)}.</{t}>" for t in [pick(["p", "p", "h3", "div", "li"]) for _ in range(int(rng.integers(1, 5)))])
+        return "".join(f"<{t}>{words(2, 40)}.</{t}>" for t in [pick(["p", "p", "h2", "h3", "h4", "div", "li"]) for _ in range(int(rng.integers(1, 5)))])
 
     def part(content: bool) -> str:
         tag, names = pick(PARTS[content])
