@@ -79,6 +79,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op6_decontaminate")
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages (operator 6)."""
+    from lapsekit.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_html_extract")
 def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page (operator 7)."""
