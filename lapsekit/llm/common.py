@@ -78,6 +78,37 @@ def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: st
     return picked.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+FAN_IN = 32
+
+
+def _add_up(batches):
+    import pyarrow as pa
+
+    total = None
+    for batch in batches:
+        for value in batch.column(0):
+            part = np.frombuffer(value.as_buffer(), np.float64)
+            total = part.copy() if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+
+def tree_sum(parts: DataFrame, width: int) -> np.ndarray:
+    """Sum of the vectors of ``width`` doubles in the one binary column of ``parts``.
+
+    Tasks add up ``FAN_IN`` vectors at a time until there are no more than that, so the driver gets few of fixed size.
+    """
+    parts = cut_table(parts.toDF("part").mapInArrow(_add_up, "part binary"))
+    n = parts.count()
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        parts = cut_table(parts.repartition(n).mapInArrow(_add_up, "part binary"))
+    total = np.zeros(width)
+    for row in parts.toLocalIterator():
+        total += np.frombuffer(row[0], np.float64)
+    return total
+
+
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets (n + 1) of an Arrow string or binary array; a null is an empty text."""
     import pyarrow as pa
@@ -109,3 +140,51 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i] + lengths[i] - 1`` of all i, one after the other."""
     ends = np.cumsum(lengths)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers = np.zeros((2, 0), np.uint64)
+
+
+def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values times powers of an odd base, and inverse powers: the hash of values[a:b] is
+    ``(sums[b] - sums[a]) * inverse[a]``, all modulo 2^64."""
+    global _powers
+    if _powers.shape[1] < len(values) + 1:
+        n = len(values) + 1
+        _powers = np.stack([np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, p, np.uint64)]))
+                            for p in (_BASE, _BASE_INVERSE)])
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers[0, :len(values)], out=sums[1:])
+    return sums, _powers[1]
+
+
+_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words of the documents in ``data``: 64-bit hash with A-Z lower-cased, start, end, and the first word of each
+    document (n + 1). Words are runs of bytes for which the table ``inside`` is true; none crosses documents."""
+    within = inside[data]
+    edge = np.empty(len(data) + 1, bool)
+    edge[0], edge[-1] = len(data) > 0 and within[0], len(data) > 0 and within[-1]
+    np.not_equal(within[1:], within[:-1], out=edge[1:-1])
+    at = np.flatnonzero(edge)
+    start, end = at[::2], at[1::2]
+    cuts = offsets[1:-1]  # a word that goes on over the end of a document is two
+    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
+    if len(cuts):
+        own = np.searchsorted(start, cuts, side="right") - 1
+        mid = (own >= 0) & (start[own] < cuts) & (end[own] > cuts)
+        if mid.any():
+            start = np.sort(np.concatenate([start, cuts[mid]]))
+            end = np.sort(np.concatenate([end, cuts[mid]]))
+    values = _BYTE_VALUES.copy()
+    values[ord("A"):ord("Z") + 1] = values[ord("a"):ord("z") + 1]
+    sums, inverse = prefix_sums(values[data])
+    hashes = (sums[end] - sums[start]) * inverse[start]
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    hashes ^= hashes >> np.uint64(32)
+    return hashes, start, end, np.searchsorted(start, offsets)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lapsekit.llm.common import buffers, cut_table, pieces, word_hashes
+from lapsekit.llm.common import buffers, pieces, tree_sum, word_hashes
 
 FEATURES = 2048
 RANK, SKETCH = 48, 64
@@ -30,7 +30,6 @@ COSINE = 0.7
 OVERLAP, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 ITEMS = 512  # passages searched at a time
 CHUNK = 1 << 20
-FAN_IN = 32
 
 #: Bytes of words: letters, digits and all of other scripts; punctuation and space part words.
 LETTERS = np.zeros(256, bool)
@@ -47,16 +46,6 @@ def _feature(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(53)).astype(np.int64)
 
 
-def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        for value in batch.column(0):
-            part = np.frombuffer(value.as_buffer(), np.float64)
-            total = part.copy() if total is None else total + part
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row: number of passages, passages with each feature, and co-occurrences times the random matrix."""
     omega = _sketch_matrix()
@@ -96,16 +85,9 @@ class LatentSpace:
 
     @classmethod
     def fit(cls, docs: DataFrame, text_col: str = "text") -> LatentSpace:
-        """From all passages of all documents. Partial sums are added up ``FAN_IN`` at a time, so the driver gets at
-        most that many of a fixed size."""
+        """From all passages of all documents. Partial sums are added up by tasks before they reach the driver."""
         parts = docs.select(F.lower(F.col(text_col)).alias("text")).mapInArrow(_statistics, "part binary")
-        parts, n = cut_table(parts), max(1, parts.rdd.getNumPartitions())
-        while n > FAN_IN:
-            n = -(-n // FAN_IN)
-            parts = cut_table(parts.repartition(n).mapInArrow(_sum_rows, "part binary"))
-        total = np.zeros(1 + FEATURES * (1 + SKETCH))
-        for row in parts.toLocalIterator():
-            total += np.frombuffer(row[0], np.float64)
+        total = tree_sum(parts, 1 + FEATURES * (1 + SKETCH))
         return cls(cls._decompose(total[0], total[1:1 + FEATURES], total[1 + FEATURES:].reshape(FEATURES, SKETCH)))
 
     @staticmethod

@@ -9,7 +9,6 @@ part in the sweep; rows find their place afterwards by their global rank.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -17,87 +16,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lapsekit.llm.common import buffers, cut_table, global_rank, pieces, ragged, with_unique_ids
+from lapsekit.llm.common import buffers, cut_table, global_rank, pieces, with_unique_ids
+from lapsekit.llm.words import word_ids
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker keeps; at this many it starts anew.
-WORDS_KEPT = 300_000
-
-
-class WordIds:
-    """Token ids of white-space separated words, each encoded once.
-
-    Exact for tokenizers that drop white space and never join tokens across it: the ids of a text are those of
-    its words in order. ``public_tokenizers.path`` names the vocabulary file.
-    """
-
-    def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.pool, self.starts, self.lengths = np.zeros(1 << 20, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = 0
-
-    def learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for row in ids for x in row), np.uint32, int(lengths.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used:self.used + len(flat)] = flat
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.used += len(flat)
-        first = len(self.index)
-        self.index.update(zip(words, range(first, first + len(words))))
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text."""
-        if len(self.index) > WORDS_KEPT:
-            self.clear()
-        split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self.index}
-        if new:
-            self.learn(list(new))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.index.__getitem__
-        at = np.fromiter((get(w) for words in split for w in words), np.int64, int(counts.sum()))
-        lengths = self.lengths[at]
-        flat = self.pool[ragged(self.starts[at], lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
-        return np.split(flat, ends[:-1]) if len(ends) else []
-
-
-_encoders: dict[str, WordIds] = {}
-
-
-def encoder(vocabulary: str) -> WordIds:
-    """This worker's encoder."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = WordIds(vocabulary)
-    return _encoders[vocabulary]
+#: Bytes of text tokenized at a time, so that what repeats in them is tokenized once.
+CHUNK = 12 << 20
 
 
 def _cut(vocabulary: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = word_ids(vocabulary)
         for batch in batches:
             data, offsets = buffers(batch.column(2))
-            for first, end in pieces(offsets, 4 << 20):
-                texts = [data[offsets[i]:offsets[i + 1]].tobytes() for i in range(first, end)]
+            for first, end in pieces(offsets, CHUNK):
+                low = offsets[first]
+                ids, ends = own.encode(data[low:offsets[end]], offsets[first:end + 1] - low)
                 rows: list[tuple] = []
-                for i, ids in enumerate(own.encode(texts), first):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start:start + capacity]
-                        rows.append((i, k, start, len(part), zlib.crc32(part)))
+                for i in range(end - first):
+                    doc = np.append(ids[ends[i]:ends[i + 1]], np.uint32(END_ID)).astype("<u4")
+                    for k, start in enumerate(range(0, len(doc), capacity)):
+                        part = doc[start:start + capacity]
+                        rows.append((first + i, k, start, len(part), zlib.crc32(part)))
                 at, k, start, length, crc = (np.array(x, np.int64) for x in zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(k, pa.int32()),

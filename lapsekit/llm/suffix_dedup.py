@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lapsekit.llm.common import buffers, cut_table, pieces, ragged, with_unique_ids
+from lapsekit.llm.common import buffers, cut_table, pieces, prefix_sums, ragged, with_unique_ids
 
 SPAN = 100
 ANCHOR = 36
@@ -26,7 +26,6 @@ STEP = 1 << 22  # a longer document is hashed in overlapping parts of this size
 ARRAY_BYTES = 4 << 20  # of segments in a suffix array; an anchor with more makes a larger one
 
 _A, _B, _P = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
-_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -57,20 +56,6 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(now[:-rest], now[rest:]) if rest else now
 
 
-_powers = np.zeros((2, 0), np.uint64)
-
-
-def _prefix(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of hashes times powers, and the inverse powers, for hashes of runs."""
-    global _powers
-    if _powers.shape[1] < len(hashes) + 1:
-        n = len(hashes) + 1
-        _powers = np.stack([np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, p, np.uint64)])) for p in (_P, _INVERSE)])
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * _powers[0, :len(hashes)], out=sums[1:])
-    return sums, _powers[1]
-
-
 def segments(data: np.ndarray, offsets: np.ndarray, span: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Segments of the documents in ``data``: document index, start in it, number of starts, anchor, run hash, and
     whether the anchor occurs twice in it (only then can a string repeat within the segment)."""
@@ -97,7 +82,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int, anchor: int) -> t
         begin = np.repeat(begin, parts) + index * MAX_STARTS
         count = np.minimum(np.repeat(count, parts) - index * MAX_STARTS, MAX_STARTS)
     start = at[begin]
-    sums, inverse = _prefix(hashes)
+    sums, inverse = prefix_sums(hashes)
     run = (sums[start + count + span - anchor] - sums[start]) * inverse[start] + count.astype(np.uint64)
     doc = whole[np.searchsorted(ends, begin, side="right")]
     # anchors are positions that are smallest in some window; few lie in a segment
