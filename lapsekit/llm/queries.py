@@ -95,6 +95,14 @@ def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+@query("op8_lm_score")
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document (operator 8)."""
+    from lapsekit.llm.lm_score import lm_score
+
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 @query("op9_hilbert_shards")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hilbert-curve shards of every document (operator 9)."""
