@@ -26,19 +26,22 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_unique_ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_unique_ids(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """Columns ``_id`` (unique, never null), ``doc_id`` and ``text`` of every row of ``df``.
 
     ``_id`` equals the id when ids are unique and not null. Otherwise rows are numbered by (id, nulls first; text),
-    so order by ``_id`` still follows the id and rows that share an id stay separate documents.
+    so order by ``_id`` still follows the id and rows that share an id stay separate documents. With ``carry``, all
+    other columns of the row come along in the struct ``_row``.
     """
-    ids = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+    ids = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                    *[F.struct(*rest).alias("_row")] * carry)
     odd = ids.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count()
     if not odd:
-        return ids.select(F.col("doc_id").alias("_id"), "doc_id", "text")
+        return ids.select(F.col("doc_id").alias("_id"), *ids.columns)
     fixed = cut_table(ids.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "_h", "text").withColumn("_at", F.monotonically_increasing_id()))
-    return _ranked(fixed, "_at", "_id").select("_id", "doc_id", "text")
+    return _ranked(fixed, "_at", "_id").select("_id", *ids.columns)
 
 
 def _ranked(df: DataFrame, at: str, rank: str) -> DataFrame:

@@ -254,15 +254,16 @@ def _rebuild(min_chars: int):
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
-               min_docs: int = 5) -> DataFrame:
-    """Per document: _id, doc_id, text (what stays), n_lines, n_dropped.
+               min_docs: int = 5, carry: bool = False) -> DataFrame:
+    """Per document: _id, doc_id, text (what stays), n_lines, n_dropped; with ``carry``, its other columns in _row.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. A key of at least ``min_chars``
     code points in at least ``min_docs`` documents loses all its lines, except in the largest document holding it.
     A null or empty text is one empty line. Null ids count as the smallest; rows that share an id are separate
     documents, ordered by text. An empty table gives an empty result; other columns are ignored.
     """
-    rows = with_unique_ids(docs, id_col, text_col)
+    rows = with_unique_ids(docs, id_col, text_col, carry)
     drop = dropped_keys(build_state(rows, min_chars, min_docs))
-    done = rows.join(drop, "_id", "left").select("_id", "doc_id", _rebuild(min_chars)("text", "drop").alias("r"))
-    return done.select("_id", "doc_id", "r.text", "r.n_lines", "r.n_dropped")
+    done = rows.join(drop, "_id", "left").select(
+        "_id", "doc_id", _rebuild(min_chars)("text", "drop").alias("r"), *["_row"] * carry)
+    return done.select("_id", "doc_id", "r.text", "r.n_lines", "r.n_dropped", *["_row"] * carry)
