@@ -96,17 +96,15 @@ class LatentSpace:
         inverse document frequencies are applied; singular vectors over singular values fold passages in."""
         idf = np.log((passages + 1) / (frequency + 1)) + 1
         omega = _sketch_matrix().astype(float)
-        size = np.linalg.norm(sketch)
-        if not size:
+        if not sketch.any():
             return np.zeros((FEATURES, RANK), np.float32)
-        sketch = sketch + 1e-7 * size * omega
         core = omega.T @ sketch
         core = (core + core.T) / 2
         value, vector = np.linalg.eigh(core)
         ok = value > 1e-10 * value.max()
         factor = sketch @ (vector[:, ok] / np.sqrt(value[ok]))
         u, s, _ = np.linalg.svd(idf[:, None] * factor, full_matrices=False)
-        k = min(RANK, int((s > 1e-6 * s[0]).sum()))
+        k = min(RANK, int((s > 1e-3 * s[0]).sum()))
         out = np.zeros((FEATURES, RANK))
         out[:, :k] = u[:, :k] / s[:k] * idf[:, None]
         return (out / np.abs(out).max()).astype(np.float32)
