@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lapsekit.functions import r6, safe_div, ymd_to_date
 from lapsekit.operators.cleaning import as_of, clipped_days, dedupe, fill_category, null_before
-from lapsekit.operators.ordering import ordered_prefix
+from lapsekit.operators.ordering import null_safe_join, ordered_prefix
 from lapsekit.spec import ObservationSpec
 
 # Bd validity range, missing-category sentinel, fill lists.
@@ -199,7 +199,7 @@ def stratified_split(labels: DataFrame, key: str = "customer_id", label: str = "
     d = labels.select(key, label).withColumn("__h", h).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
     d = ordered_prefix(d, [F.col("__h").asc(), F.col(key).asc()], {"__r": F.lit(1)}, "__b", [label])
     n = labels.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    d = d.join(F.broadcast(n), label)  # one row per class value
+    d = null_safe_join(d, n, [label], check=True)  # one row per class value; a NULL label is a class
     c1 = F.floor(F.col("__n") * F.lit(round(fracs[0], 10)))
     c2 = F.floor(F.col("__n") * F.lit(round(fracs[0] + fracs[1], 10)))
     split = F.when(F.col("__r") <= c1, "train").when(F.col("__r") <= c2, "valid").otherwise("test")

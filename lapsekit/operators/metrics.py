@@ -2,19 +2,20 @@
 
 The row-level predictions are reduced ONCE to a distinct-score frame
 ``(groups, score, pos, neg)`` (a distributed groupBy: a hot score becomes one
-row, so no skew survives it).  AUC, AP, the F1-optimal threshold and
-percentiles are running sums over that frame, computed with P0
-(``ordered_prefix``), never with a single-partition window.
+row, so no skew survives it) with running sums from P0, which is written
+once.  AUC, AP, log loss, the F1-optimal threshold and the confusion counts
+are aggregates over that frame; rows are not read again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsekit.operators.ordering import N_BUCKETS, ordered_prefix, rank_rows, width_bucket_col
+from lapsekit.operators.ordering import null_safe_join, rank_rows, sorted_prefix
+from lapsekit.session import cut_lineage
 
 EPS = 2.220446049250313e-16   # float64 machine epsilon (log-loss clip)
 F1_GUARD = 1e-12
@@ -28,26 +29,43 @@ def score_distribution(df: DataFrame, score: str, label: str, groups: Sequence[s
     d = df.groupBy(*groups, score).agg(
         F.sum(F.col(label)).cast("long").alias("pos"),
         F.sum(1 - F.col(label)).cast("long").alias("neg"))
-    d = width_bucket_col(d, score, groups, N_BUCKETS, "__b")
-    d = ordered_prefix(d, [F.col(score).desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, "__b", groups,
-                       bucket_desc=True)
-    tot = d.groupBy(*groups).agg(F.sum("pos").alias("pos_total"), F.sum("neg").alias("neg_total"))
-    d = d.join(tot, groups, "left") if groups else d.crossJoin(F.broadcast(tot))
+    d = sorted_prefix(d, [F.col(score).desc_nulls_last()], {"tp": F.col("pos"), "fp": F.col("neg")}, groups, totals=True)
+    d = d.withColumnsRenamed({"tp_total": "pos_total", "fp_total": "neg_total"})
     # negatives strictly below s = N - fp (fp counts negatives with score >= s)
-    return d.withColumn("neg_below", F.col("neg_total") - F.col("fp")).drop("__b")
+    return cut_lineage(d.withColumn("neg_below", F.col("neg_total") - F.col("fp")))
+
+
+def _auc() -> Column:
+    return F.round(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
+                   / (F.first("pos_total") * F.first("neg_total")), 6)
+
+
+def _ap() -> Column:
+    return F.round(F.sum(F.col("pos") / F.col("pos_total") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6)
+
+
+def _best_threshold(score: str) -> tuple[Column, Column]:
+    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
+    rec = F.col("tp") / F.col("pos_total")
+    f1 = F.round(2 * prec * rec / (prec + rec + F1_GUARD), 12)
+    return F.max_by(F.col(score), F.struct(f1, -F.col(score))), F.round(F.max(f1), 6)
+
+
+def _rates() -> dict[str, Column]:
+    prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
+    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp").cast("double"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    return {"precision": F.round(prec, 6), "recall": F.round(rec, 6), "f1": F.round(f1, 6)}
 
 
 def roc_auc(dist: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Exact ROC-AUC (Mann-Whitney, ties count 1/2)."""
-    return dist.groupBy(*groups).agg(
-        F.round(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
-                / (F.first("pos_total") * F.first("neg_total")), 6).alias("auc"))
+    return dist.groupBy(*groups).agg(_auc().alias("auc"))
 
 
 def average_precision(dist: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """AP as the step sum  sum_s (pos_s / P) * precision(s)."""
-    return dist.groupBy(*groups).agg(
-        F.round(F.sum(F.col("pos") / F.col("pos_total") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6).alias("ap"))
+    return dist.groupBy(*groups).agg(_ap().alias("ap"))
 
 
 def log_loss(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -66,21 +84,13 @@ def threshold_metrics(df: DataFrame, score: str, label: str, threshold, groups:
     g = df.groupBy(*groups).agg(
         F.count_if(pred & y).alias("tp"), F.count_if(pred & ~y).alias("fp"),
         F.count_if(~pred & y).alias("fn"), F.count_if(~pred & ~y).alias("tn"))
-    prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
-    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
-    f1 = F.coalesce(F.try_divide(2 * F.col("tp").cast("double"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
-    return g.withColumns({"precision": F.round(prec, 6), "recall": F.round(rec, 6), "f1": F.round(f1, 6)})
+    return g.withColumns(_rates())
 
 
 def best_f1_threshold(dist: DataFrame, score: str, groups: Sequence[str] = ()) -> DataFrame:
     """E5: F1-optimal threshold over distinct scores; ties go to the lowest threshold."""
-    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    rec = F.col("tp") / F.col("pos_total")
-    f1 = 2 * prec * rec / (prec + rec + F1_GUARD)
-    d = dist.withColumn("__f1", F.round(f1, 12))
-    return d.groupBy(*groups).agg(
-        F.max_by(F.col(score), F.struct(F.col("__f1"), -F.col(score))).alias("threshold"),
-        F.round(F.max("__f1"), 6).alias("best_f1"))
+    thr, best = _best_threshold(score)
+    return dist.groupBy(*groups).agg(thr.alias("threshold"), best.alias("best_f1"))
 
 
 def top_fraction_metrics(df: DataFrame, score: str, label: str, key: str, frac: float,
@@ -119,19 +129,22 @@ def evaluate(df: DataFrame, score: str, label: str, split: str = "split",
     log loss per (group, split), plus precision/recall/F1 at the F1-optimal
     threshold chosen on ``threshold_from`` and applied to every split.
 
-    One score distribution serves AUC, AP and the threshold search."""
+    Two aggregates over one written score distribution: AUC, AP, log loss and
+    the threshold in the first, the confusion counts in the second."""
     g = list(groups)
     gs = g + [split]
     dist = score_distribution(df, score, label, gs)
-    auc = roc_auc(dist, gs)
-    ap = average_precision(dist, gs)
-    ll = log_loss(df, score, label, gs)
-    thr = best_f1_threshold(dist, score, gs).filter(F.col(split) == threshold_from).select(*g, "threshold")
-    scored = df.join(F.broadcast(thr), g) if g else df.crossJoin(F.broadcast(thr))  # one row per model
-    tm = threshold_metrics(scored, score, label, F.col("threshold"), gs)
-    out = auc.join(ap, gs).join(ll, gs).join(tm, gs)
-    out = out.join(F.broadcast(thr), g) if g else out.crossJoin(F.broadcast(thr))
-    return out.withColumn("threshold", F.round("threshold", 6))
+    p = F.least(F.greatest(F.col(score), F.lit(EPS)), F.lit(1 - EPS))
+    loss = F.sum(-(F.col("pos") * F.log(p) + F.col("neg") * F.log(1 - p))) / F.sum(F.col("pos") + F.col("neg"))
+    first = cut_lineage(dist.groupBy(*gs).agg(_auc().alias("auc"), _ap().alias("ap"), F.round(loss, 6).alias("logloss"),
+                                              _best_threshold(score)[0].alias("threshold")))  # a row per group
+    thr = first.filter(F.col(split) == threshold_from).select(*g, "threshold")
+    hit = F.col(score) >= F.col("threshold")
+    tm = null_safe_join(dist, thr, g, "inner", check=True).groupBy(*gs).agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(hit, 0).otherwise(F.col("pos"))).alias("fn"), F.sum(F.when(hit, 0).otherwise(F.col("neg"))).alias("tn"),
+        F.round(F.first("threshold"), 6).alias("threshold"))
+    return null_safe_join(first.drop("threshold"), tm.withColumns(_rates()), gs, "inner", check=True)
 
 
 def compare_models(df: DataFrame, scores: Sequence[str], label: str, split: str = "split") -> DataFrame:
@@ -143,6 +156,7 @@ def compare_models(df: DataFrame, scores: Sequence[str], label: str, split: str
         F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("__score")) for s in scores])).alias("__m")) \
         .select(split, label, "__m.model", "__m.__score")
     out = evaluate(long, "__score", label, split, groups=["model"])
+    out = cut_lineage(out)  # a row per model and split
     tr = out.filter(F.col(split) == "train").select("model", F.col("auc").alias("__tr"))
     return out.join(tr, "model").withColumn("overfit_gap", F.round(F.col("__tr") - F.col("auc"), 6)).drop("__tr")
 

@@ -3,16 +3,16 @@
 Spark's ``Window.orderBy`` without ``partitionBy`` moves every row into one
 task.  Everything here instead:
 
-1. assigns each row a *bucket* that is monotone in the sort order,
-2. aggregates per bucket (tiny frame: at most ``n_buckets`` rows per group),
-3. prefix-sums the bucket totals on that tiny frame,
-4. joins the offsets back (AQE turns the join into a broadcast at runtime when
-   the offsets frame is small; no static hint, so a large frame still works),
-5. finishes with a window partitioned by ``(group, bucket)``.
-
-Ties in the sort value are broken by an explicit key, and hot values (one
-score held by a third of the rows) are split by key sub-buckets so no single
-task receives a hot value whole.
+1. range-partitions the rows by the whole sort order, tie-break key included
+   (Spark samples the cut points, so partitions hold like numbers of rows
+   whatever the values look like, and a score shared by a third of the rows is
+   cut by its keys),
+2. numbers the partitions and writes the result, which fixes them,
+3. aggregates per partition (a tiny frame) and prefix-sums that,
+4. joins the offsets back (broadcast if that frame is small, see ``small``),
+5. finishes with a window partitioned by ``(group, partition)``.
+
+Sort values may be numbers, strings or dates; NULL scores come last.
 """
 
 from __future__ import annotations
@@ -23,99 +23,89 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-N_BUCKETS = 1024
-KEY_SUBBUCKETS = 64
+from lapsekit.session import cut_lineage
+
+#: Rows up to which ``small`` broadcasts a frame.
+SMALL_ROWS = 100_000
+PART = "__part"
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def width_bucket_col(df: DataFrame, col: str, groups: Sequence[str], n: int = N_BUCKETS,
-                     name: str = "__bkt") -> DataFrame:
-    """Equal-width bucket ``0..n-1`` of a numeric column within each group (min/max per group)."""
-    groups = list(groups)
-    rng = df.groupBy(*groups).agg(F.min(col).alias("__lo"), F.max(col).alias("__hi")) if groups else \
-        df.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
-    j = df.join(rng, groups, "left") if groups else df.crossJoin(F.broadcast(rng))  # 1-row frame
-    span = F.col("__hi").cast("double") - F.col("__lo").cast("double")
-    b = F.when(span <= 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(col).cast("double") - F.col("__lo")) / span * n), F.lit(n - 1)))
-    return j.withColumn(name, b.cast("int")).drop("__lo", "__hi")
+def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to be small; else as it is (a shuffled join)."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def quantile_bucket_col(df: DataFrame, col: str, n: int = N_BUCKETS, name: str = "__bkt",
-                        rel_err: float = 1e-3) -> DataFrame:
-    """Bucket by approximate quantile cut points of ``col`` (global, balanced by row count).
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
+                   check: bool = False) -> DataFrame:
+    """Equi-join on which NULL keys meet; the keys are taken from the left side. ``check``: see ``small``."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    renamed = right.select(*[F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        e = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        cond = e if cond is None else cond & e
+    return left.join(small(renamed) if check else renamed, cond, how).drop(*[f"__k_{k}" for k in keys])
 
-    The cut points (at most ``n`` literals) are the only thing that reaches the
-    driver; the assignment is a binary search in the JVM (``Bucketizer``).
-    """
-    from pyspark.ml.feature import Bucketizer
 
-    probs = [i / n for i in range(1, n)]
-    cuts = df.approxQuantile(col, probs, rel_err) if n > 1 else []
-    splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
-    tmp = "__bkt_in"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=name, handleInvalid="keep")
-    out = b.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
-    return out.withColumn(name, F.col(name).cast("int"))
+def place(df: DataFrame, order: Sequence[Column], groups: Sequence[str] = ()) -> DataFrame:
+    """Rows in range partitions of ``(groups, order)`` with the partition number in ``__part``, written once."""
+    keys = [F.col(g).asc_nulls_first() for g in groups] + list(order)
+    return cut_lineage(df.repartitionByRange(*keys).withColumn(PART, F.spark_partition_id()))
+
+
+def sorted_prefix(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], groups: Sequence[str] = (),
+                  inclusive: bool = True, totals: bool = False) -> DataFrame:
+    """Running sums in a global order of values.
+
+    ``order``: the full (unique within group) sort order.  Adds one column per
+    entry of ``sums`` with the running total up to and including the row
+    (``inclusive``), or strictly before it; with ``totals`` also ``<name>_total``.
+    """
+    groups = list(groups)
+    d = place(df, order, groups)
+    tot = d.groupBy(*groups, PART).agg(*[F.sum(e).alias(f"__t_{k}") for k, e in sums.items()])
+    wg = Window.partitionBy(*groups)
+    wb = wg.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offs = tot.select(*groups, PART, *[F.coalesce(F.sum(f"__t_{k}").over(wb), F.lit(0)).alias(f"__o_{k}") for k in sums],
+                      *[F.sum(f"__t_{k}").over(wg).alias(f"{k}_total") for k in sums if totals])
+    j = null_safe_join(d, cut_lineage(offs), [*groups, PART], check=True)
+    end = Window.currentRow if inclusive else -1
+    wr = Window.partitionBy(*groups, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    return j.withColumns({k: F.col(f"__o_{k}") + F.coalesce(F.sum(e).over(wr), F.lit(0)) for k, e in sums.items()}) \
+            .drop(*[f"__o_{k}" for k in sums], PART)
 
 
 def ordered_prefix(df: DataFrame, order: Sequence[Column], sums: dict[str, Column],
-                   bucket: str, groups: Sequence[str] = (), bucket_desc: bool = False,
-                   inclusive: bool = True) -> DataFrame:
-    """Running sums in a global order, computed bucket-wise.
+                   bucket: str, groups: Sequence[str] = ()) -> DataFrame:
+    """P0 for an order by a hash: ``bucket`` is the hash's prefix, so buckets are even without looking at the data.
 
-    ``order``: the full (unique within group) sort order; ``bucket``: a column
-    monotone in that order (ascending, or descending when ``bucket_desc``).
     Adds one column per entry of ``sums`` with the running total up to and
-    including the row (``inclusive``), or strictly before it.
+    including the row. Everything stays lazy. Rows whose group is NULL form a group.
     """
     groups = list(groups)
     tot = df.groupBy(*groups, bucket).agg(*[F.sum(e).alias(f"__t_{k}") for k, e in sums.items()])
-    bo = F.col(bucket).desc() if bucket_desc else F.col(bucket).asc()
-    wb = Window.partitionBy(*groups).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*groups, bucket,
                       *[F.coalesce(F.sum(f"__t_{k}").over(wb), F.lit(0)).alias(f"__o_{k}") for k in sums])
-    j = df.join(offs, groups + [bucket], "left")
-    end = Window.currentRow if inclusive else -1
-    wr = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    j = null_safe_join(df, offs, [*groups, bucket])
+    wr = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return j.withColumns({k: F.col(f"__o_{k}") + F.coalesce(F.sum(e).over(wr), F.lit(0)) for k, e in sums.items()}) \
             .drop(*[f"__o_{k}" for k in sums])
 
 
 def rank_rows(df: DataFrame, score: str, key: str, descending: bool = True,
-              groups: Sequence[str] = (), rank_col: str = "rank", n_col: str | None = "n",
-              n_buckets: int = N_BUCKETS) -> DataFrame:
-    """Unique 1-based rank by ``score`` (desc by default), ties by ``key`` ascending.
-
-    Buckets: (equal-width score bucket, key sub-bucket inside hot buckets is not
-    needed for correctness).  The key sub-bucket splits every score bucket into
-    ``KEY_SUBBUCKETS`` hash ranges *only for rows whose score is shared*; to keep
-    order exact the pair ``(score, key)`` is the window order, and the bucket is
-    ``(score_bucket, score, key_range)`` where key ranges are monotone.
-    """
-    groups = list(groups)
-    d = width_bucket_col(df, score, groups, n_buckets, "__sb")
-    # Monotone sub-bucket of the tie-break key so a hot score is split in ranges.
-    d = width_bucket_col(d, key, groups, KEY_SUBBUCKETS, "__kb")
-    sb = (F.lit(n_buckets - 1) - F.col("__sb")) if descending else F.col("__sb")
-    sc = F.col(score).desc() if descending else F.col(score).asc()
-    # Cells (score_bucket, score, key_bucket) in the exact order; count rows per cell.
-    cells = d.groupBy(*groups, "__sb", score, "__kb").agg(F.count(F.lit(1)).alias("__cnt"))
-    cells = cells.withColumn("__ob", (F.lit(n_buckets - 1) - F.col("__sb")) if descending else F.col("__sb"))
-    cells = ordered_prefix(cells, [sc, F.col("__kb").asc()], {"__before": F.col("__cnt")}, "__ob",
-                           groups, inclusive=False)
-    r = d.join(cells.select(*groups, "__sb", score, "__kb", "__before"), groups + ["__sb", score, "__kb"], "left")
-    w = Window.partitionBy(*groups, "__sb", score, "__kb").orderBy(F.col(key).asc())
-    r = r.withColumn(rank_col, (F.col("__before") + F.row_number().over(w)).cast("long"))
-    if n_col:
-        tot = df.groupBy(*groups).agg(F.count(F.lit(1)).alias(n_col)) if groups else \
-            df.agg(F.count(F.lit(1)).alias(n_col))
-        r = r.join(tot, groups, "left") if groups else r.crossJoin(F.broadcast(tot))
-    _ = sb
-    return r.drop("__sb", "__kb", "__before")
+              groups: Sequence[str] = (), rank_col: str = "rank", n_col: str | None = "n") -> DataFrame:
+    """Unique 1-based rank by ``score`` (desc by default, NULL scores last), ties by ``key`` ascending;
+    ``n_col`` gets the group's row count."""
+    sc = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
+    r = sorted_prefix(df, [sc, F.col(key).asc()], {rank_col: F.lit(1)}, groups, totals=bool(n_col))
+    r = r.withColumn(rank_col, F.col(rank_col).cast("long"))
+    return r.withColumnRenamed(f"{rank_col}_total", n_col) if n_col else r
 
 
 def equal_bins(df: DataFrame, score: str, key: str, n_bins: int = 10, out: str = "bin") -> DataFrame:
@@ -145,12 +135,9 @@ def avg_percentile(df: DataFrame, score: str, out: str = "percentile") -> DataFr
     distinct-score frame (no hot keys after the groupBy) and joined back.
     """
     cnt = df.groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
-    cnt = quantile_bucket_col(cnt, score, N_BUCKETS, "__b")
-    cnt = ordered_prefix(cnt, [F.col(score).asc()], {"__before": F.col("__c")}, "__b", inclusive=False)
-    n = df.agg(F.count(F.lit(1)).alias("__n"))
-    cnt = cnt.crossJoin(F.broadcast(n)).withColumn(
-        out, F.round((F.col("__before") + (F.col("__c") + 1) / 2.0) / F.col("__n") * 100, 2))
-    return df.join(cnt.select(score, out), score, "left")
+    cnt = sorted_prefix(cnt, [F.col(score).asc()], {"__before": F.col("__c")}, inclusive=False, totals=True)
+    cnt = cnt.withColumn(out, F.round((F.col("__before") + (F.col("__c") + 1) / 2.0) / F.col("__before_total") * 100, 2))
+    return null_safe_join(df, cnt.select(score, out), [score])
 
 
 def risk_grade(p: Column, cuts=(95, 85, 70), labels=("critical", "high", "medium", "low")) -> Column:
@@ -185,21 +172,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         .select(*groups, "__kv.column", "__kv.v").filter(F.col("v").isNotNull())
     g2 = groups + ["column"]
     cnt = long.groupBy(*g2, "v").agg(F.count(F.lit(1)).alias("__c"))
-    cnt = width_bucket_col(cnt, "v", g2, N_BUCKETS, "__b")
-    cnt = ordered_prefix(cnt, [F.col("v").asc()], {"__cum": F.col("__c")}, "__b", g2)
-    n = cnt.groupBy(*g2).agg(F.sum("__c").alias("__n"))
+    cnt = cut_lineage(sorted_prefix(cnt, [F.col("v").asc()], {"__cum": F.col("__c")}, g2, totals=True))
     pr = df.sparkSession.createDataFrame([(float(p),) for p in probs], "p double")
-    # Each value covers 0-based ranks [cum - c, cum - 1].
-    tgt = n.crossJoin(F.broadcast(pr)).withColumn("__pos", (F.col("__n") - 1) * F.col("p")) \
+    # Each value covers 0-based ranks [cum - c, cum - 1]; a cell meets every probability (a short fixed list).
+    j = cnt.crossJoin(F.broadcast(pr)).select(
+        *g2, "p", "v", (F.col("__cum") - F.col("__c")).alias("__from"), (F.col("__cum") - 1).alias("__to"),
+        ((F.col("__cum_total") - 1) * F.col("p")).alias("__pos")) \
         .withColumn("__lo", F.floor("__pos")).withColumn("__hi", F.ceil("__pos"))
-    cells = cnt.select(*g2, "v", (F.col("__cum") - F.col("__c")).alias("__from"), (F.col("__cum") - 1).alias("__to"))
-    # one join: each target rank pair picks the value cells covering its lower and upper rank
-    j = tgt.join(cells, g2, "inner").filter(
-        ((F.col("__lo") >= F.col("__from")) & (F.col("__lo") <= F.col("__to")))
-        | ((F.col("__hi") >= F.col("__from")) & (F.col("__hi") <= F.col("__to"))))
     inlo = (F.col("__lo") >= F.col("__from")) & (F.col("__lo") <= F.col("__to"))
     inhi = (F.col("__hi") >= F.col("__from")) & (F.col("__hi") <= F.col("__to"))
-    q = j.groupBy(*g2, "p").agg(F.max(F.when(inlo, F.col("v"))).alias("__vlo"), F.max(F.when(inhi, F.col("v"))).alias("__vhi"),
+    q = j.filter(inlo | inhi).groupBy(*g2, "p").agg(F.max(F.when(inlo, F.col("v"))).alias("__vlo"), F.max(F.when(inhi, F.col("v"))).alias("__vhi"),
                                 F.first("__pos").alias("__pos"), F.first("__lo").alias("__lo"))
     return q.select(
         *g2, "p", (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * (F.col("__pos") - F.col("__lo"))).alias("value"))

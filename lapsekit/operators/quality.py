@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsekit.operators.ordering import N_BUCKETS, exact_quantiles, ordered_prefix, width_bucket_col
+from lapsekit.operators.ordering import exact_quantiles, sorted_prefix
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -153,8 +153,7 @@ def univariate_auc(df: DataFrame, label: str, features: Sequence[str]) -> DataFr
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features])).alias("kv")) \
         .select("kv.*", "__y").filter(F.col("v").isNotNull())
     d = long.groupBy("feature", "v").agg(F.sum("__y").alias("pos"), F.sum(1 - F.col("__y")).alias("neg"))
-    d = width_bucket_col(d, "v", ["feature"], N_BUCKETS, "__b")
-    d = ordered_prefix(d, [F.col("v").asc()], {"neg_below": F.col("neg")}, "__b", ["feature"], inclusive=False)
+    d = sorted_prefix(d, [F.col("v").asc()], {"neg_below": F.col("neg")}, ["feature"], inclusive=False)
     a = d.groupBy("feature").agg(
         (F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
          / (F.sum("pos") * F.sum("neg"))).alias("__a"))

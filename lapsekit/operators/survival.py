@@ -16,18 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lapsekit.functions import r6
-from lapsekit.operators.ordering import N_BUCKETS, ordered_prefix, width_bucket_col
+from lapsekit.operators.ordering import sorted_prefix
+from lapsekit.session import cut_lineage
 
 
 def _life_table(df: DataFrame, duration: str, event: str, groups: Sequence[str]) -> DataFrame:
     groups = list(groups)
     t = df.groupBy(*groups, F.col(duration).alias("duration")).agg(
         F.sum(F.col(event)).cast("long").alias("events"), F.count(F.lit(1)).alias("removed"))
-    t = width_bucket_col(t, "duration", groups, N_BUCKETS, "__b")
-    t = ordered_prefix(t, [F.col("duration").asc()], {"__before": F.col("removed")}, "__b", groups, inclusive=False)
-    n = t.groupBy(*groups).agg(F.sum("removed").alias("__N"))
-    t = t.join(n, groups, "left") if groups else t.crossJoin(F.broadcast(n))
-    return t.withColumn("at_risk", F.col("__N") - F.col("__before")).drop("__before", "__N")
+    t = sorted_prefix(t, [F.col("duration").asc()], {"__before": F.col("removed")}, groups, inclusive=False, totals=True)
+    return t.withColumn("at_risk", F.col("__before_total") - F.col("__before")).drop("__before", "__before_total")
 
 
 def km_curve(df: DataFrame, duration: str, event: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -41,8 +39,8 @@ def km_curve(df: DataFrame, duration: str, event: str, groups: Sequence[str] = (
     frac = F.col("events") / F.col("at_risk")
     t = t.withColumns({"__log": F.when(frac < 1, F.log(1 - frac)).otherwise(F.lit(0.0)),
                        "__zero": F.when(frac >= 1, 1).otherwise(0), "__h": frac})
-    t = ordered_prefix(t, [F.col("duration").asc()],
-                       {"__slog": F.col("__log"), "__szero": F.col("__zero"), "__sh": F.col("__h")}, "__b", groups)
+    t = sorted_prefix(t, [F.col("duration").asc()],
+                      {"__slog": F.col("__log"), "__szero": F.col("__zero"), "__sh": F.col("__h")}, groups)
     return t.select(*groups, "duration", "at_risk", "events", (F.col("removed") - F.col("events")).alias("censored"),
                     r6(F.when(F.col("__szero") > 0, F.lit(0.0)).otherwise(F.exp("__slog"))).alias("survival"),
                     r6("__sh").alias("cumulative_hazard"))
@@ -99,6 +97,7 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
     """
     cov = list(covariates)
     p = len(cov)
+    df = cut_lineage(df.select(duration, event, *cov))  # every step reads it again
     st = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cov)],
                 *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cov)]).first()
     n = st["n"]
@@ -119,10 +118,8 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
             for j in range(i, p):
                 sums[f"s2_{i}_{j}"] = F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w"))
         per_t = r.groupBy("t").agg(*[v.alias(k) for k, v in sums.items()])
-        per_t = width_bucket_col(per_t, "t", [], N_BUCKETS, "__b")
         risk_keys = [k for k in sums if k.startswith("s")]
-        suf = ordered_prefix(per_t, [F.col("t").desc()], {f"R{k}": F.col(k) for k in risk_keys}, "__b",
-                             bucket_desc=True)
+        suf = sorted_prefix(per_t, [F.col("t").desc()], {f"R{k}": F.col(k) for k in risk_keys})
         ev = suf.filter(F.col("d") > 0)
         terms = [F.sum(F.col("d") * F.log(F.col("Rs0"))).alias("ll0")]
         for i in range(p):

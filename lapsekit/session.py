@@ -37,10 +37,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: ``spark.checkpoint.dir`` from the session.
 
-    Only when it is unset (local tests) a scratch folder is created and set.
+    Only a local session (tests) gets a scratch folder when it is unset; on a
+    cluster a machine-local folder would lose rows, so that is refused.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="lapsekit-ckpt-", dir=os.environ.get("LAPSEKIT_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
