@@ -11,19 +11,23 @@ from __future__ import annotations
 
 import json
 import math
-import os
 import random
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (OneHotEncoder, OneHotEncoderModel, StandardScaler, StringIndexer, StringIndexerModel,
+                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapsekit.operators.features import sample_rows
 from lapsekit.operators.metrics import roc_auc, score_distribution
+from lapsekit.session import checkpoint_dir, cut_lineage
+from lapsekit.sources.tables import read_text, write_text
 
 
 def class_weight(df: DataFrame, label: str = "is_churn") -> DataFrame:
@@ -36,46 +40,67 @@ def with_weights(df: DataFrame, label: str, pos_weight: float, col: str = "weigh
     return df.withColumn(col, F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
 
 
-def build_pipeline(kind: str, features: Sequence[str], categorical: Sequence[str] = (), label: str = "is_churn",
-                   params: dict | None = None, weight_col: str | None = None) -> Pipeline:
-    """Indexer (unseen category -> extra index, K2) + assembler (+ scaler)
-    + learner.  ``features`` order is the model's column contract."""
-    p = dict(params or {})
+def preprocessing(kind: str, features: Sequence[str], categorical: Sequence[str] = ()) -> Pipeline:
+    """Fitted on the train split only. Trees take category indices (unseen category -> extra index, K2); LR and
+    MLP take one-hot columns (unseen -> all zero) and standardised numbers. ``features`` order is the contract."""
     cat = [c for c in features if c in categorical]
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in cat]
-    cols = [f"{c}__idx" if c in cat else c for c in features]
-    asm = VectorAssembler(inputCols=cols, outputCol="features_raw", handleInvalid="keep")
-    stages = idx + [asm]
-    fcol = "features_raw"
-    if kind in ("lr", "mlp"):
+    stages = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in cat]
+    linear = kind in ("lr", "mlp")
+    if linear and cat:
+        # the index past the vocabulary, for unseen values, is the one that dropLast leaves out
+        stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__hot" for c in cat], dropLast=True))
+    end = "hot" if linear else "idx"
+    stages.append(VectorAssembler(inputCols=[f"{c}__{end}" if c in cat else c for c in features], outputCol="features_raw", handleInvalid="keep"))
+    if linear:
         stages.append(StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True))
-        fcol = "features"
+    return Pipeline(stages=stages)
+
+
+def slots(prep: PipelineModel, features: Sequence[str]) -> list[tuple[str, int]]:
+    """(feature, number of vector slots) in vector order."""
+    hot = any(isinstance(s, OneHotEncoderModel) for s in prep.stages)
+    sizes = {s.getInputCol(): len(s.labels) for s in prep.stages if isinstance(s, StringIndexerModel)} if hot else {}
+    return [(f, sizes.get(f, 1)) for f in features]
+
+
+def learner(kind: str, prep: PipelineModel, features: Sequence[str], label: str = "is_churn", params: dict | None = None,
+            weight_col: str | None = None):
+    """The learner over a fitted preprocessing. Trees get as many bins as the largest vocabulary needs."""
+    p = dict(params or {})
+    vocabulary = [len(s.labels) + 1 for s in prep.stages if isinstance(s, StringIndexerModel)]
+    bins = max([p.get("maxBins", 32), *vocabulary])
     if kind == "gbt":
-        clf = GBTClassifier(featuresCol=fcol, labelCol=label, maxIter=p.get("maxIter", 100), maxDepth=p.get("maxDepth", 5),
+        clf = GBTClassifier(featuresCol="features_raw", labelCol=label, maxIter=p.get("maxIter", 100), maxDepth=p.get("maxDepth", 5),
                             stepSize=p.get("stepSize", 0.1), subsamplingRate=p.get("subsamplingRate", 1.0),
-                            maxBins=p.get("maxBins", 64), seed=p.get("seed", 42),
-                            validationIndicatorCol=p.get("validationIndicatorCol"), validationTol=p.get("validationTol", 0.0))
-        if weight_col:
-            clf.setWeightCol(weight_col)
-        if not p.get("validationIndicatorCol"):
-            clf.clear(clf.validationIndicatorCol)
+                            maxBins=bins, seed=p.get("seed", 42))
+        if p.get("validationIndicatorCol"):
+            clf.setValidationIndicatorCol(p["validationIndicatorCol"])
+            clf = clf.copy({clf.validationTol: p.get("validationTol", 0.01)})
     elif kind == "rf":
-        clf = RandomForestClassifier(featuresCol=fcol, labelCol=label, numTrees=p.get("numTrees", 300),
+        clf = RandomForestClassifier(featuresCol="features_raw", labelCol=label, numTrees=p.get("numTrees", 300),
                                      maxDepth=p.get("maxDepth", 14), minInstancesPerNode=p.get("minInstancesPerNode", 50),
-                                     maxBins=p.get("maxBins", 64), seed=p.get("seed", 42))
-        if weight_col:
-            clf.setWeightCol(weight_col)
+                                     maxBins=bins, seed=p.get("seed", 42))
     elif kind == "lr":
-        clf = LogisticRegression(featuresCol=fcol, labelCol=label, regParam=p.get("regParam", 0.0), maxIter=p.get("maxIter", 100))
-        if weight_col:
-            clf.setWeightCol(weight_col)
+        clf = LogisticRegression(featuresCol="features", labelCol=label, regParam=p.get("regParam", 0.0), maxIter=p.get("maxIter", 100))
     elif kind == "mlp":
-        clf = MultilayerPerceptronClassifier(featuresCol=fcol, labelCol=label,
-                                             layers=[len(features)] + list(p.get("hidden", [128, 64])) + [2],
-                                             maxIter=p.get("maxIter", 100), seed=p.get("seed", 42))
+        width = sum(k for _, k in slots(prep, features))
+        return MultilayerPerceptronClassifier(featuresCol="features", labelCol=label,
+                                              layers=[width] + list(p.get("hidden", [128, 64])) + [2],
+                                              maxIter=p.get("maxIter", 100), seed=p.get("seed", 42))
     else:
         raise ValueError(f"unknown learner {kind}")
-    return Pipeline(stages=stages + [clf])
+    if weight_col:
+        clf.setWeightCol(weight_col)
+    return clf
+
+
+def resample(df: DataFrame, label: str, weight: float, key: str = "customer_id", seed: int = 42) -> DataFrame:
+    """Class weight by repetition, for a learner without weights: a positive row is taken floor(weight) times, and
+    once more with the remaining probability (by a hash of its key)."""
+    whole = int(weight)
+    more = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) < weight - whole).cast("int")
+    times = F.when(F.col(label) == 1, F.lit(whole) + more).otherwise(F.lit(1))
+    return df.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).drop("__copy")
 
 
 def probability(pred: DataFrame, out: str = "churn_probability") -> DataFrame:
@@ -85,28 +110,31 @@ def probability(pred: DataFrame, out: str = "churn_probability") -> DataFrame:
 
 def fit_and_score(table: DataFrame, kind: str, features: Sequence[str], categorical: Sequence[str] = (),
                   label: str = "is_churn", params: dict | None = None, balanced: bool = False):
-    """Fit on the train split (valid split as early-stopping indicator for GBT),
-    score every row.  Returns (PipelineModel, predictions)."""
+    """Fit on the train split (GBT: stop early by the valid split, which teaches nothing else), score every row.
+    ``params["class_weight"]`` repeats positives (L5).  Returns (PipelineModel, predictions)."""
     d = table
     wcol = None
+    p = dict(params or {})
+    train = F.col("split") == "train"
     if balanced:
-        w = class_weight(table.filter(F.col("split") == "train"), label).first()["pos_weight"]
+        w = class_weight(table.filter(train), label).first()["pos_weight"]
         d = with_weights(d, label, w)
         wcol = "weight"
-    p = dict(params or {})
+    prep = preprocessing(kind, features, categorical).fit(d.filter(train))
+    fit_rows = d.filter(train)
     if kind == "gbt" and p.pop("early_stopping", True):
-        d = d.withColumn("__is_valid", F.col("split") == "valid")
         p["validationIndicatorCol"] = "__is_valid"
-        fit_rows = d.filter(F.col("split").isin("train", "valid"))
-    else:
-        fit_rows = d.filter(F.col("split") == "train")
-    model = build_pipeline(kind, features, categorical, label, p, wcol).fit(fit_rows)
+        fit_rows = d.filter(F.col("split").isin("train", "valid")).withColumn("__is_valid", F.col("split") == "valid")
+    if p.get("class_weight"):
+        fit_rows = resample(fit_rows, label, p["class_weight"])
+    last = learner(kind, prep, features, label, p, wcol).fit(prep.transform(fit_rows))
+    model = PipelineModel(stages=[*prep.stages, last])
     return model, probability(model.transform(d))
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     """Tree ``featureImportances`` mapped back to the ordered feature names."""
-    from pyspark.sql import SparkSession, Window
+    from pyspark.sql import Window
 
     imp = model.stages[-1].featureImportances.toArray().tolist()
     spark = SparkSession.getActiveSession()
@@ -117,25 +145,94 @@ def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFra
 
 def linear_attributions(model: PipelineModel, scored: DataFrame, features: Sequence[str], key: str = "customer_id") -> DataFrame:
     """I2 (linear job): per-row attributions phi_j = coef_j * (z_j - mean(z_j)) on
-    the scaled features, plus base value and margin; sum(phi) + base = margin."""
+    the scaled features (a category's is the sum over its columns), plus base
+    value and margin; sum(phi) + base = margin."""
     lr = model.stages[-1]
     coef = lr.coefficients.toArray().tolist()
-    arr = vector_to_array("features")
-    d = scored.select(key, arr.alias("__z"), F.col("rawPrediction"))
-    means = d.select([F.avg(F.col("__z").getItem(i)).alias(f"m{i}") for i in range(len(features))]).first()
-    base = float(lr.intercept) + sum(coef[i] * (means[f"m{i}"] or 0.0) for i in range(len(features)))
-    phis = [(F.lit(coef[i]) * (F.col("__z").getItem(i) - F.lit(means[f"m{i}"] or 0.0))).alias(f) for i, f in enumerate(features)]
-    margin = F.lit(float(lr.intercept)) + sum(F.lit(coef[i]) * F.col("__z").getItem(i) for i in range(len(features)))
+    d = scored.select(key, vector_to_array("features").alias("__z"))
+    means = d.select([F.avg(F.col("__z").getItem(i)).alias(f"m{i}") for i in range(len(coef))]).first()
+    mean = [means[f"m{i}"] or 0.0 for i in range(len(coef))]
+    base = float(lr.intercept) + sum(c * m for c, m in zip(coef, mean))
+    phis, at = [], 0
+    for f, k in slots(model, features):
+        parts = [F.lit(coef[i]) * (F.col("__z").getItem(i) - F.lit(mean[i])) for i in range(at, at + k)]
+        phis.append(sum(parts[1:], parts[0]).alias(f) if parts else F.lit(0.0).alias(f))
+        at += k
+    margin = F.lit(float(lr.intercept)) + sum(F.lit(coef[i]) * F.col("__z").getItem(i) for i in range(len(coef)))
     return d.select(key, *phis, F.lit(base).alias("base_value"), margin.alias("margin"))
 
 
+def tree_nodes(model: PipelineModel) -> list[dict]:
+    """Trees of a boosted model as arrays (feature, threshold, categories, left, right, value, weight), from the
+    model as it is saved; their size is bounded by rounds and depth."""
+    spark = SparkSession.getActiveSession()
+    path = f"{checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    gbt = model.stages[-1]
+    gbt.write().save(path)
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    out = []
+    for tree, weight in enumerate(gbt.treeWeights):
+        nodes = sorted((r for r in rows if r["treeID"] == tree), key=lambda r: r["id"])
+        split = [r["split"] for r in nodes]
+        out.append({"feature": [s["featureIndex"] if s else -1 for s in split],
+                    "threshold": [s["leftCategoriesOrThreshold"][0] if s and s["numCategories"] == -1 else 0.0 for s in split],
+                    "categories": [set(s["leftCategoriesOrThreshold"]) if s and s["numCategories"] != -1 else None for s in split],
+                    "left": [r["leftChild"] for r in nodes], "right": [r["rightChild"] for r in nodes],
+                    "value": [r["prediction"] for r in nodes], "weight": weight})
+    return out
+
+
+def tree_attributions(model: PipelineModel, scored: DataFrame, features: Sequence[str], key: str = "customer_id") -> DataFrame:
+    """I2 (tree job): per-row path attributions of a boosted model. At every node on
+    a row's path the change of the node's mean goes to the feature that was split
+    on, so sum(phi) + base = margin; margins and attributions are computed from the
+    trees inside tasks."""
+    trees = tree_nodes(model)
+    names = list(features)
+    shared = scored.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        trees = shared.value
+        base = sum(t["weight"] * t["value"][0] for t in trees)
+        for batch in batches:
+            n = batch.num_rows
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, len(names)))
+            phi, margin = np.zeros((n, len(names))), np.zeros(n)
+            for t in trees:
+                value, todo = np.array(t["value"]), [(0, np.arange(n))]
+                while todo:
+                    node, rows = todo.pop()
+                    f = t["feature"][node]
+                    if f < 0 or not len(rows):
+                        margin[rows] += t["weight"] * value[node]
+                        continue
+                    seen = x[rows, f]
+                    left = np.isin(seen, list(t["categories"][node])) if t["categories"][node] is not None else seen <= t["threshold"][node]
+                    for child, part in ((t["left"][node], rows[left]), (t["right"][node], rows[~left])):
+                        phi[part, f] += t["weight"] * (value[child] - value[node])
+                        todo.append((child, part))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(phi[:, i]) for i in range(len(names))],
+                                              pa.array(np.full(n, base)), pa.array(margin)], names=[key, *names, "base_value", "margin"])
+
+    schema = f"{key} {scored.schema[key].dataType.simpleString()}, " + ", ".join(f"`{f}` double" for f in names) + ", base_value double, margin double"
+    return scored.select(key, vector_to_array("features_raw").alias("__x")).mapInArrow(run, schema)
+
+
 def random_search(table: DataFrame, kind: str, features: Sequence[str], categorical: Sequence[str],
-                  space: dict[str, tuple], n_trials: int = 5, seed: int = 42, label: str = "is_churn") -> DataFrame:
+                  space: dict[str, tuple], n_trials: int = 10, seed: int = 42, label: str = "is_churn",
+                  sample: int | None = 50_000, parallelism: int = 4, key: str = "customer_id") -> DataFrame:
     """Seeded random draws from ``space`` (name -> (low, high, 'int'|'float'|'log')),
-    each fitted on train and scored by exact valid AUC; one row per trial."""
+    each fitted on a sample of train (``sample`` rows, all if None) and scored by
+    exact valid AUC, ``parallelism`` trials at a time; the best is fitted again on
+    all of train.  One row per trial, and one with ``refit`` set."""
+    from multiprocessing.pool import ThreadPool
+
     rng = random.Random(seed)
-    rows = []
-    for t in range(n_trials):
+    draws = []
+    for _ in range(n_trials):
         params = {}
         for name, (lo, hi, kind_) in space.items():
             if kind_ == "int":
@@ -144,26 +241,35 @@ def random_search(table: DataFrame, kind: str, features: Sequence[str], categori
                 params[name] = math.exp(rng.uniform(math.log(lo), math.log(hi)))
             else:
                 params[name] = rng.uniform(lo, hi)
-        _, pred = fit_and_score(table, kind, features, categorical, label, {**params, "early_stopping": False})
+        draws.append(params)
+    part = table
+    if sample:
+        drawn = sample_rows(table.filter("split = 'train'"), sample, seed, key)
+        part = cut_lineage(drawn.unionByName(table.filter("split = 'valid'")))
+
+    def auc(params: dict, rows: DataFrame) -> float:
+        _, pred = fit_and_score(rows, kind, features, categorical, label, {**params, "early_stopping": False})
         v = pred.filter(F.col("split") == "valid")
-        auc = roc_auc(score_distribution(v, "churn_probability", label)).first()["auc"]
-        rows.append((t, json.dumps(params, sort_keys=True), float(auc)))
-    spark = table.sparkSession
-    return spark.createDataFrame(rows, "trial int, params string, valid_auc double")
+        return float(roc_auc(score_distribution(v, "churn_probability", label)).first()["auc"])
+
+    with ThreadPool(parallelism) as pool:
+        scores = pool.map(lambda params: auc(params, part), draws)
+    best = max(range(n_trials), key=lambda t: (scores[t], -t))
+    rows = [(t, json.dumps(p, sort_keys=True), s, False) for t, (p, s) in enumerate(zip(draws, scores))]
+    rows.append((best, json.dumps(draws[best], sort_keys=True), auc(draws[best], table), True))
+    return table.sparkSession.createDataFrame(rows, "trial int, params string, valid_auc double, refit boolean")
 
 
 def save_model(model: PipelineModel, path: str, features: Sequence[str], meta: dict | None = None) -> None:
     """Model + JSON sidecar with the ordered feature contract."""
     model.write().overwrite().save(path)
-    with open(os.path.join(path, "feature_contract.json"), "w") as fh:
-        json.dump({"feature_cols": list(features), **(meta or {})}, fh)
+    write_text(SparkSession.getActiveSession(), f"{path}/feature_contract.json", json.dumps({"feature_cols": list(features), **(meta or {})}))
 
 
 def score_customers(path: str, df: DataFrame) -> DataFrame:
     """K1: load the saved pipeline, check the feature contract against the
     frame's columns (before reading rows), then score (task-parallel)."""
-    with open(os.path.join(path, "feature_contract.json")) as fh:
-        contract = json.load(fh)
+    contract = json.loads(read_text(df.sparkSession, f"{path}/feature_contract.json"))
     missing = [c for c in contract["feature_cols"] if c not in df.columns]
     if missing:
         raise ValueError(f"scoring frame lacks model features: {missing}")

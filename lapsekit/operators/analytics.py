@@ -114,13 +114,18 @@ def cohort_matrix(cohorts: DataFrame, max_offset: int = 11) -> DataFrame:
 
 
 # --------------------------------------------------------------------- C4/C5
-def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]], first_denominator: bool = True) -> DataFrame:
+def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]], first_denominator: bool = True,
+           last_within: Column | None = None) -> DataFrame:
     """Nested stages (each stage ANDs the previous ones), counted in ONE
     scan with ``count_if``; stage and overall conversion.  With
-    ``first_denominator=False`` the first stage has a NULL denominator."""
+    ``first_denominator=False`` the first stage has a NULL denominator; the last
+    stage and its denominator count only rows for which ``last_within`` holds (C5)."""
     cum = None
     aggs = []
     for i, (_, pred) in enumerate(stages):
+        if last_within is not None and i == len(stages) - 1:
+            cum = cum & last_within
+            aggs.append(F.count_if(F.coalesce(cum, F.lit(False))).alias("within"))
         cum = pred if cum is None else (cum & pred)
         aggs.append(F.count_if(F.coalesce(cum, F.lit(False))).alias(f"s{i}"))
     wide = df.agg(*aggs)
@@ -129,6 +134,8 @@ def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]], first_denominato
         den = F.col("s0") if i == 0 else F.col(f"s{i - 1}")
         if i == 0 and not first_denominator:
             den = F.lit(None).cast("long")
+        if last_within is not None and i == len(stages) - 1:
+            den = F.col("within")
         rows.append(F.struct(F.lit(i + 1).alias("stage_no"), F.lit(name).alias("stage"), F.col(f"s{i}").alias("count"),
                              den.alias("denominator")))
     long = wide.select(F.explode(F.array(*rows)).alias("r"), F.col("s0").alias("__base")).select("r.*", "__base")
@@ -144,7 +151,7 @@ def ltv_concentration(df: DataFrame, ltv: str = "ltv_approx", key: str = "custom
     the top max(int(n*frac), 1) customers (exact rank through P0)."""
     from lapsekit.operators.ordering import exact_quantiles, rank_rows
 
-    v = df.filter(F.col(ltv).isNotNull() & (F.col(ltv) >= 0) & ~F.isnan(F.col(ltv)))
+    v = _valid_ltv(df, ltv)
     q = exact_quantiles(v, [ltv], [0.5, 0.9, 0.99]).groupBy().pivot("p", [0.5, 0.9, 0.99]).agg(F.first("value"))
     q = q.select(*[r6(F.col(f"`{p}`")).alias(n) for p, n in ((0.5, "ltv_median"), (0.9, "ltv_p90"), (0.99, "ltv_p99"))])
     r = rank_rows(v.select(key, ltv), ltv, key, descending=True)
@@ -154,6 +161,33 @@ def ltv_concentration(df: DataFrame, ltv: str = "ltv_approx", key: str = "custom
     return q.crossJoin(share)
 
 
+def _valid_ltv(df: DataFrame, ltv: str) -> DataFrame:
+    return df.filter(F.col(ltv).isNotNull() & (F.col(ltv) >= 0) & ~F.isnan(F.col(ltv)))
+
+
+def ltv_curve(df: DataFrame, ltv: str = "ltv_approx", key: str = "customer_id", points: int = 100) -> DataFrame:
+    """Cumulative concentration curve: the share of total LTV held by the
+    top 1/points, 2/points, ... of customers (largest LTV first)."""
+    from lapsekit.operators.ordering import sorted_prefix
+
+    v = _valid_ltv(df, ltv).select(key, F.col(ltv).cast("double").alias("__v"))
+    r = sorted_prefix(v, [F.col("__v").desc(), F.col(key).asc()], {"__r": F.lit(1), "__c": F.col("__v")}, totals=True)
+    at = F.ceil(F.col("__r") * points / F.col("__r_total"))
+    g = r.groupBy(at.cast("int").alias("point")).agg(F.max("__r").alias("customers"), F.max("__c").alias("__m"), F.first("__c_total").alias("__t"),
+                                                     F.first("__r_total").alias("__n"))
+    return g.select("point", "customers", r6(F.col("customers") * 100 / F.col("__n")).alias("customer_pct"),
+                    r6(F.col("__m") * 100 / F.col("__t")).alias("ltv_share_pct"))
+
+
+def ltv_clipped(df: DataFrame, ltv: str = "ltv_approx", p: float = 0.99) -> DataFrame:
+    """Valid LTV clipped at its ``p`` quantile (a heavy tail would hide the distribution)."""
+    from lapsekit.operators.ordering import exact_quantiles
+
+    v = _valid_ltv(df, ltv)
+    cap = exact_quantiles(v, [ltv], [p]).select(F.col("value").alias("__cap"))
+    return v.crossJoin(F.broadcast(cap)).withColumn(f"{ltv}_clipped", F.least(F.col(ltv), F.col("__cap"))).drop("__cap")
+
+
 # --------------------------------------------------------------------- C10
 def risk_deciles(df: DataFrame, score: str, label: str, key: str = "customer_id", n_bins: int = 10) -> DataFrame:
     """Equal-size risk deciles (1 = riskiest), churn rate, lift, capture

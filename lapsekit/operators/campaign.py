@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# Purpose -> lifecycle status, launch cap, id list cap, sortable columns.
+# Purpose -> lifecycle status, action types, sortable columns.
 PURPOSES = {"retention": "active", "renewal": "grace", "winback": "lapsed"}
 ACTION_TYPES = ("reminder", "discount_offer")
-MAX_RECIPIENTS = 50000
-MAX_MANUAL_IDS = 500
 SORTABLE = ("churn_proba", "ltv_approx")
 SELF_PREFIX = "self:"
+# What a self-claimed benefit is called in the ledger; callers may pass their own names.
+BENEFIT_NAMES = {"concert_raffle": "concert ticket raffle", "annual_tier": "yearly loyalty benefit",
+                 "renewal_reward": "renewal reward"}
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ class AudienceSpec:
     audience_limit: int | None = None
     sort_by: str = "churn_proba"
     manual_ids: tuple = field(default_factory=tuple)
+    max_recipients: int | None = None         # a launch limit of the caller; none by default
 
     def __post_init__(self):
         if self.purpose not in PURPOSES:
@@ -46,14 +48,15 @@ class AudienceSpec:
             raise ValueError(f"unknown selection mode {self.selection_mode}")
         if self.exclude_recent_days < 0:
             raise ValueError("exclude_recent_days must be >= 0")
+        if self.selection_mode == "top_n" and (self.audience_limit is None or self.audience_limit < 1):
+            raise ValueError("top_n needs an audience_limit of at least 1")
 
 
 def normalize_ids(ids: DataFrame, col: str = "raw_id", pos: str = "pos") -> DataFrame:
-    """Ordered de-duplication of a manual id list: trim, drop empties, keep the
-    first occurrence (by ``pos``), at most 500 ids (the list cap is the feature)."""
+    """De-duplication of a manual id list: trim, drop empties, keep each id with
+    its first position (``pos``). A list of any length is kept whole."""
     t = ids.select(F.trim(F.col(col)).alias("id"), pos).filter(F.col("id") != "")
-    first = t.groupBy("id").agg(F.min(pos).alias(pos))
-    return first.orderBy(pos).limit(MAX_MANUAL_IDS)
+    return t.groupBy("id").agg(F.min(pos).alias(pos))
 
 
 def recent_contacts(ledger: DataFrame, action_type: str, days: int, as_of: dt.datetime) -> DataFrame:
@@ -76,8 +79,8 @@ def audience(scores: DataFrame, ledger: DataFrame, spec: AudienceSpec, as_of: dt
     if spec.segment:
         m = m.filter(F.col("segment") == spec.segment)
     if spec.selection_mode == "manual" and manual is not None:
-        ids = manual.select(F.col("id").cast("long").alias("customer_id")).filter(F.col("customer_id").isNotNull())
-        m = m.join(ids, "customer_id", "left_semi")
+        # ids are compared as text: one that no customer has matches nothing
+        m = m.join(manual.select("id"), F.col("customer_id").cast("string") == F.col("id"), "left_semi")
     if spec.exclude_recent_days > 0:
         rc = recent_contacts(ledger, spec.action_type, spec.exclude_recent_days, as_of).withColumn("__recent", F.lit(True))
         m = m.join(rc, "customer_id", "left").withColumn("recent", F.coalesce("__recent", F.lit(False))).drop("__recent")
@@ -95,7 +98,7 @@ def preview(flagged: DataFrame, spec: AudienceSpec, requested: DataFrame | None
         agg = agg.crossJoin(requested.agg(F.count(F.lit(1)).alias("requested_count")))
     else:
         agg = agg.withColumn("requested_count", F.col("matched_count"))
-    sel = F.least(F.col("eligible_count"), F.lit(spec.audience_limit or 0)) if spec.selection_mode == "top_n" \
+    sel = F.least(F.col("eligible_count"), F.lit(spec.audience_limit)) if spec.selection_mode == "top_n" \
         else F.col("eligible_count")
     exc_cond = F.greatest(F.col("requested_count") - F.col("matched_count"), F.lit(0)) \
         if spec.selection_mode == "manual" else F.lit(0).cast("long")
@@ -103,8 +106,12 @@ def preview(flagged: DataFrame, spec: AudienceSpec, requested: DataFrame | None
         "requested_count", "matched_count", exc_cond.alias("excluded_condition_count"),
         (F.col("matched_count") - F.col("eligible_count")).alias("excluded_recent_count"),
         "eligible_count", sel.cast("long").alias("selected_count"),
-        ((sel > 0) & (sel <= MAX_RECIPIENTS)).alias("launchable"),
-        F.when(sel == 0, "no_eligible_customers").when(sel > MAX_RECIPIENTS, "over_recipient_cap").alias("warning"))
+        ((sel > 0) & ~_over(sel, spec)).alias("launchable"),
+        F.when(sel == 0, "no_eligible_customers").when(_over(sel, spec), "over_recipient_cap").alias("warning"))
+
+
+def _over(selected: Column, spec: AudienceSpec) -> Column:
+    return F.lit(False) if spec.max_recipients is None else selected > spec.max_recipients
 
 
 def _order(spec: AudienceSpec) -> list[Column]:
@@ -121,7 +128,7 @@ def select_recipients(flagged: DataFrame, spec: AudienceSpec) -> DataFrame:
     """All eligible, or the top N by the sort column (the limit is the feature)."""
     e = flagged.filter(~F.col("recent"))
     if spec.selection_mode == "top_n":
-        e = e.orderBy(*_order(spec)).limit(spec.audience_limit or 0)
+        e = e.orderBy(*_order(spec)).limit(spec.audience_limit)
     return e
 
 
@@ -131,10 +138,16 @@ def campaign_id_for(request_key: str) -> int:
 
 
 def launch(recipients: DataFrame, campaigns: DataFrame, spec: AudienceSpec, request_key: str,
-           name: str, as_of: dt.datetime, sent_by: str = "staff") -> dict[str, DataFrame]:
+           name: str, as_of: dt.datetime, sent_by: str = "staff", counts: DataFrame | None = None) -> dict[str, DataFrame]:
     """Snapshot recipients, one ledger row per recipient and the campaign
-    row with counts.  Idempotent on ``request_key``: if a campaign with this
-    key exists the three frames are empty (left anti on the key)."""
+    row with its filters and counts (``counts``: the row of ``preview``).
+    Idempotent on ``request_key``: if a campaign with this key exists the three
+    frames are empty (left anti on the key). More recipients than the caller's
+    ``max_recipients``, if given, are refused.
+
+    A ledger row's id is the 64-bit hash of (campaign, customer)."""
+    if spec.max_recipients is not None and recipients.limit(spec.max_recipients + 1).count() > spec.max_recipients:
+        raise ValueError(f"more than {spec.max_recipients} recipients")
     cid = campaign_id_for(request_key)
     spark = recipients.sparkSession
     req = spark.createDataFrame([(request_key,)], "request_key string")
@@ -144,14 +157,23 @@ def launch(recipients: DataFrame, campaigns: DataFrame, spec: AudienceSpec, requ
         F.col("churn_proba").alias("churn_proba_at_send"), F.col("segment").alias("segment_at_send"),
         F.col("lifecycle_status").alias("lifecycle_at_send"))
     actions = rec.select(
-        (F.lit(cid) * 1_000_000_000 + F.col("customer_id")).alias("id"), "customer_id",
+        F.xxhash64("campaign_id", "customer_id").alias("id"), "customer_id",
         F.col("campaign_id"), F.lit(spec.action_type).alias("action_type"), F.lit(False).alias("is_read"),
         F.lit(None).cast("string").alias("benefit_key"), F.lit(sent_by).alias("sent_by"),
         F.lit(as_of).alias("sent_at"))
-    camp = rec.agg(F.count(F.lit(1)).alias("recipient_count")).crossJoin(new).select(
-        F.lit(cid).alias("id"), F.lit(name).alias("name"), "request_key", F.lit(spec.purpose).alias("purpose"),
-        F.lit(spec.action_type).alias("action_type"), "recipient_count", F.lit("launched").alias("status"),
-        F.lit(as_of).alias("created_at"))
+    camp = rec.agg(F.count(F.lit(1)).alias("recipient_count")).crossJoin(new)
+    if counts is not None:
+        camp = camp.crossJoin(counts.select("matched_count", (F.col("excluded_condition_count") + F.col("excluded_recent_count"))
+                                            .alias("excluded_count")))
+    else:
+        camp = camp.withColumns({"matched_count": F.lit(None).cast("long"), "excluded_count": F.lit(None).cast("long")})
+    camp = camp.select(
+        F.lit(cid).alias("id"), F.lit(name.strip()).alias("name"), "request_key", F.lit(spec.purpose).alias("purpose"),
+        F.lit(spec.action_type).alias("action_type"), F.lit(PURPOSES[spec.purpose]).alias("lifecycle_status"),
+        F.lit(spec.risk_tier).cast("string").alias("risk_tier"), F.lit(spec.segment).cast("string").alias("segment"),
+        F.lit(spec.selection_mode).alias("selection_mode"), F.lit(spec.audience_limit).cast("long").alias("audience_limit"),
+        F.lit(spec.exclude_recent_days).alias("exclude_recent_days"), "matched_count", "excluded_count", "recipient_count",
+        F.lit("completed").alias("status"), F.lit(sent_by).alias("created_by"), F.lit(as_of).alias("created_at"))
     return {"campaigns": camp, "campaign_recipients": rec, "customer_actions": actions}
 
 
@@ -183,13 +205,17 @@ def overview(scores: DataFrame, ledger: DataFrame, campaigns: DataFrame) -> Data
     return a.crossJoin(b).crossJoin(c)
 
 
-def contact_summary(ledger: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
-    """Totals, by action type, by segment (ledger x scores inner), 10 latest."""
+def contact_summary(ledger: DataFrame, scores: DataFrame, campaigns: DataFrame, latest: int = 10) -> dict[str, DataFrame]:
+    """Total, by action type, by segment (ledger x scores inner, largest first), and the
+    latest rows of scored customers with their campaign's name (left join) and segment."""
     j = ledger.join(scores.select("customer_id", "segment"), "customer_id", "inner")
+    names = campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign_name"))
+    newest = j.orderBy(F.col("sent_at").desc(), F.col("id").desc()).limit(latest)
     return {
-        "by_type": ledger.groupBy("action_type").agg(F.count(F.lit(1)).alias("actions")),
-        "by_segment": j.groupBy("segment").agg(F.count(F.lit(1)).alias("actions")),
-        "latest": ledger.orderBy(F.col("sent_at").desc(), F.col("id").desc()).limit(10),
+        "total": ledger.agg(F.count(F.lit(1)).alias("total")),
+        "by_type": ledger.groupBy("action_type").agg(F.count(F.lit(1)).alias("actions")).orderBy(F.desc("actions"), "action_type"),
+        "by_segment": j.groupBy("segment").agg(F.count(F.lit(1)).alias("actions")).orderBy(F.desc("actions"), "segment"),
+        "latest": newest.join(names, "campaign_id", "left").orderBy(F.col("sent_at").desc(), F.col("id").desc()),
     }
 
 
@@ -202,28 +228,32 @@ def inbox(ledger: DataFrame, n: int = 20, customers: DataFrame | None = None) ->
 
 def apply_reads(ledger: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bulk read marks.  ``reads`` has (customer_id, id) where a NULL id
-    means "all unread of that customer".  Returns (new ledger, updated count)."""
-    one = reads.filter(F.col("id").isNotNull()).select("id", F.lit(True).alias("__r1")).distinct()
+    means "all unread of that customer"; a message is marked only for its owner.
+    Returns (new ledger, updated count)."""
+    one = reads.filter(F.col("id").isNotNull()).select("id", "customer_id", F.lit(True).alias("__r1")).distinct()
     all_ = reads.filter(F.col("id").isNull()).select("customer_id", F.lit(True).alias("__r2")).distinct()
-    j = ledger.join(one, "id", "left").join(all_, "customer_id", "left")
+    j = ledger.join(one, ["id", "customer_id"], "left").join(all_, "customer_id", "left")
     hit = (F.coalesce("__r1", F.lit(False)) | F.coalesce("__r2", F.lit(False)))
     upd = j.withColumn("__upd", hit & ~F.col("is_read"))
     new = upd.withColumn("is_read", F.col("is_read") | hit).drop("__r1", "__r2", "__upd")
     return new.select(*ledger.columns), upd.agg(F.count_if("__upd").alias("updated"))
 
 
-def claim_benefits(ledger: DataFrame, claims: DataFrame) -> DataFrame:
+def claim_benefits(ledger: DataFrame, claims: DataFrame, names: dict[str, str] = BENEFIT_NAMES) -> DataFrame:
     """One claim per (customer, benefit): earliest request wins and
     already-claimed benefits are ignored (anti join vs the ledger).  New ledger
-    rows carry ``sent_by = 'self:<customer>'``."""
+    rows are read already and carry ``sent_by = 'self:<benefit name>'`` (the key
+    itself if it has no name)."""
     w = Window.partitionBy("customer_id", "benefit_key").orderBy(F.col("claimed_at").asc(), F.col("claim_id").asc())
     first = claims.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
     have = ledger.filter(F.col("benefit_key").isNotNull()).select("customer_id", "benefit_key")
     new = first.join(have, ["customer_id", "benefit_key"], "left_anti")
+    name = F.col("benefit_key")
+    for key, text in names.items():
+        name = F.when(F.col("benefit_key") == key, F.lit(text)).otherwise(name)
     return new.select(F.col("claim_id").alias("id"), "customer_id", F.lit(None).cast("long").alias("campaign_id"),
-                      F.lit("discount_offer").alias("action_type"), F.lit(False).alias("is_read"), "benefit_key",
-                      F.concat(F.lit(SELF_PREFIX), F.col("customer_id").cast("string")).alias("sent_by"),
-                      F.col("claimed_at").alias("sent_at"))
+                      F.lit("discount_offer").alias("action_type"), F.lit(True).alias("is_read"), "benefit_key",
+                      F.concat(F.lit(SELF_PREFIX), name).alias("sent_by"), F.col("claimed_at").alias("sent_at"))
 
 
 def single_actions(requests: DataFrame, scores: DataFrame, as_of: dt.datetime, sent_by: str = "staff") -> DataFrame:

@@ -109,12 +109,13 @@ def log_bucket(days_before: Column, spec: ObservationSpec) -> Column:
     return e.otherwise(F.lit(len(spec.bucket_edges)))
 
 
-def log_partials(logs: DataFrame, spec: ObservationSpec) -> DataFrame:
+def log_partials(logs: DataFrame, spec: ObservationSpec, last_log: bool = False) -> DataFrame:
     """Six additive metrics per (customer, recency bucket), as ONE groupBy
     with conditional sums: ``<metric>_<bucket>`` columns, no pivot.
 
     The partials are sums/counts only, so they can be merged across chunks
-    or micro-batches (T1) by adding.
+    or micro-batches (T1) by adding; with ``last_log`` the last date (G6) comes
+    out of the same aggregate, to be merged by taking the later one.
     """
     k = spec.key
     d = as_of(logs, "date", spec.cutoff_int)
@@ -122,8 +123,8 @@ def log_partials(logs: DataFrame, spec: ObservationSpec) -> DataFrame:
     secs_ok = F.col("total_secs").between(0, spec.secs_cap)
     d = d.select(k, log_bucket(days_before, spec).alias("__b"), "num_unq", "num_100",
                  sum(F.col(c) for c in PLAY_COLS).alias("__plays"),
-                 F.when(secs_ok, F.col("total_secs")).alias("__secs"))
-    aggs = []
+                 F.when(secs_ok, F.col("total_secs")).alias("__secs"), *["date"] * last_log)
+    aggs = [F.max("date").alias("last_log")] * last_log
     for i, b in enumerate(BUCKET_NAMES):
         inb = F.col("__b") == i
         aggs += [
@@ -158,12 +159,17 @@ def log_features_from_partials(p: DataFrame, spec: ObservationSpec) -> DataFrame
     prior = safe_div(_wsum("secs_sum", BUCKET_NAMES[2:3]), _wsum("secs_n", BUCKET_NAMES[2:3]))
     prior = F.when(prior != 0, prior)
     out.append(r6(safe_div(recent - prior, prior)).alias("trend_secs_recent15_vs_prior15"))
-    return p.select(*out)
+    return p.select(*out, *[c for c in p.columns if c == "last_log"])
 
 
-def log_features(logs: DataFrame, spec: ObservationSpec) -> DataFrame:
-    """17 log features, one shuffle on the key."""
-    return log_features_from_partials(log_partials(logs, spec), spec)
+def log_features(logs: DataFrame, spec: ObservationSpec, last_log: bool = False) -> DataFrame:
+    """17 log features (and the last log date), one shuffle on the key."""
+    return log_features_from_partials(log_partials(logs, spec, last_log), spec)
+
+
+def days_since_last_log(col: str, spec: ObservationSpec) -> Column:
+    """Whole days from the last log date (YYYYMMDD) to the cutoff; the no-log value if there is none."""
+    return F.coalesce(F.datediff(F.lit(spec.cutoff), ymd_to_date(col)), F.lit(spec.no_log_days)).cast("int")
 
 
 # --------------------------------------------------------------------- G6
@@ -181,7 +187,7 @@ def log_recency(logs: DataFrame, population: DataFrame, spec: ObservationSpec) -
     return pop.join(last, k, "left").select(
         k,
         F.date_format(d, "yyyy-MM-dd").alias("last_log_date"),
-        F.coalesce(F.datediff(F.lit(spec.cutoff), d), F.lit(spec.no_log_days)).cast("int").alias("days_since_last_log"),
+        days_since_last_log("__last", spec).alias("days_since_last_log"),
         d.isNotNull().cast("int").alias("has_log_before_cutoff"),
     )
 
@@ -269,11 +275,6 @@ def impute_apply(df: DataFrame, medians: DataFrame, cols: Sequence[str]) -> Data
             .drop(*[f"__m_{c}" for c in cols])
 
 
-def impute_values(medians: DataFrame) -> dict:
-    """Persisted fill values (the reference's JSON sidecar): one tiny row."""
-    return medians.first().asDict()
-
-
 # --------------------------------------------------------------------- X10
 def derived_features(df: DataFrame) -> DataFrame:
     """16 derived columns in one projection."""
@@ -313,6 +314,14 @@ def add_recency(table: DataFrame, recency: DataFrame, key: str = "customer_id")
     return table.join(recency.select(key, "days_since_last_log"), key, "left")
 
 
+def recency_mismatch(table: DataFrame, recency: DataFrame, key: str = "customer_id") -> DataFrame:
+    """X11 audit: rows compared, rows whose two log flags differ, and keys that break the one-to-one join."""
+    twice = recency.groupBy(key).count().filter("count > 1").agg(F.count(F.lit(1)).alias("duplicate_keys"))
+    j = table.select(key, "has_log_activity").join(recency.select(key, "has_log_before_cutoff"), key, "left")
+    return j.agg(F.count(F.lit(1)).alias("rows"),
+                 F.count_if(~F.col("has_log_activity").eqNullSafe(F.col("has_log_before_cutoff"))).alias("flag_mismatches")).crossJoin(twice)
+
+
 # --------------------------------------------------------------------- X12/X13
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "customer_id",
                 strata: str | None = None) -> DataFrame:

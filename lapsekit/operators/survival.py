@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -46,9 +46,13 @@ def km_curve(df: DataFrame, duration: str, event: str, groups: Sequence[str] = (
                     r6("__sh").alias("cumulative_hazard"))
 
 
-def exponential_reference(curve: DataFrame, rate: float) -> DataFrame:
-    """V1: exponential reference curve exp(-rate/365 * t) next to the KM curve."""
-    return curve.withColumn("exponential_survival", r6(F.exp(-F.lit(rate) / 365.0 * F.col("duration"))))
+def exponential_reference(curve: DataFrame, rate: float | Column) -> DataFrame:
+    """V1: exponential reference curve exp(-rate/365 * t) next to the KM curve; ``rate`` is per year."""
+    return curve.withColumn("exponential_survival", r6(F.exp(-_lit(rate) / 365.0 * F.col("duration"))))
+
+
+def _lit(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
 
 
 def rmst(curve: DataFrame, horizon: float, groups: Sequence[str] = ()) -> DataFrame:
@@ -85,56 +89,73 @@ def smoothed_hazard(curve: DataFrame, bandwidth: float, groups: Sequence[str] =
         .select(*groups, "duration", r6(F.coalesce("__h", F.lit(0.0))).alias("smoothed_hazard"))
 
 
+def _cox_sums(beta: list[float]):
+    """Per partition and duration: events, event covariates, and the risk sums of order 0, 1 and 2."""
+    def run(batches):
+        import pyarrow as pa
+
+        b = np.array(beta)
+        p = len(b)
+        upper = np.triu_indices(p)
+        total: dict[float, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = batch.column("t").to_numpy(zero_copy_only=False).astype(float)
+            e = batch.column("e").to_numpy(zero_copy_only=False).astype(float)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(t), p)
+            w = np.exp(x @ b)
+            order = np.argsort(t, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(t[order])) + 1):
+                xs, ws = x[rows], w[rows]
+                own = np.concatenate([[e[rows].sum()], e[rows] @ xs, [ws.sum()], ws @ xs, ((xs * ws[:, None]).T @ xs)[upper]])
+                at = float(t[rows[0]])
+                total[at] = total[at] + own if at in total else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))],
+                                         names=["t", "sums"])
+
+    return run
+
+
 def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str], penalizer: float = 0.1,
             max_iter: int = 25, tol: float = 1e-9) -> DataFrame:
     """V6: Cox proportional hazards, Breslow ties, ridge penalty on standardised
     covariates (0.5 * penalizer * n * ||beta||^2), Newton-Raphson.
 
-    Every iteration is ONE distributed pass: per distinct duration the sums
-    of exp(b.x), x exp(b.x), x x' exp(b.x) and of the event covariates, then
-    suffix sums over durations (P0).  Only the p-vector / p x p matrix reaches
-    the driver.  Returns (covariate, coef, hazard_ratio, se) on the original scale.
+    Every iteration is ONE distributed pass over the written input: per distinct
+    duration the sums of exp(b.x), x exp(b.x), x x' exp(b.x) and of the event
+    covariates. There are no more rows than distinct durations (days), so they
+    are brought to the driver, where the risk sets are suffix sums.
+    Returns (covariate, coef, hazard_ratio, se) on the original scale.
     """
     cov = list(covariates)
     p = len(cov)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
     df = cut_lineage(df.select(duration, event, *cov))  # every step reads it again
     st = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cov)],
                 *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cov)]).first()
     n = st["n"]
-    mean = np.array([st[f"m{i}"] for i in range(p)], dtype=float)
+    mean = np.array([st[f"m{i}"] or 0.0 for i in range(p)], dtype=float)
     sd = np.array([st[f"s{i}"] or 1.0 for i in range(p)], dtype=float)
     sd[sd == 0] = 1.0
-    base = df.select(F.col(duration).alias("t"), F.col(event).alias("e"),
-                     *[((F.col(c) - float(mean[i])) / float(sd[i])).alias(f"x{i}") for i, c in enumerate(cov)])
+    base = cut_lineage(df.select(F.col(duration).alias("t"), F.col(event).alias("e"), F.array(*[
+        ((F.col(c) - float(mean[i])) / float(sd[i])).cast("double") for i, c in enumerate(cov)]).alias("x")))
     beta = np.zeros(p)
     hess = np.eye(p)
     for _ in range(max_iter):
-        eta = sum(F.col(f"x{i}") * float(beta[i]) for i in range(p)) if p else F.lit(0.0)
-        r = base.withColumn("w", F.exp(eta))
-        sums = {"s0": F.sum("w"), "d": F.sum("e")}
-        for i in range(p):
-            sums[f"s1_{i}"] = F.sum(F.col(f"x{i}") * F.col("w"))
-            sums[f"ex_{i}"] = F.sum(F.col(f"x{i}") * F.col("e"))
-            for j in range(i, p):
-                sums[f"s2_{i}_{j}"] = F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w"))
-        per_t = r.groupBy("t").agg(*[v.alias(k) for k, v in sums.items()])
-        risk_keys = [k for k in sums if k.startswith("s")]
-        suf = sorted_prefix(per_t, [F.col("t").desc()], {f"R{k}": F.col(k) for k in risk_keys})
-        ev = suf.filter(F.col("d") > 0)
-        terms = [F.sum(F.col("d") * F.log(F.col("Rs0"))).alias("ll0")]
-        for i in range(p):
-            terms.append(F.sum(F.col(f"ex_{i}") - F.col("d") * F.col(f"Rs1_{i}") / F.col("Rs0")).alias(f"g{i}"))
-            for j in range(i, p):
-                terms.append(F.sum(F.col("d") * (F.col(f"Rs2_{i}_{j}") / F.col("Rs0")
-                                                 - F.col(f"Rs1_{i}") * F.col(f"Rs1_{j}") / (F.col("Rs0") * F.col("Rs0"))))
-                             .alias(f"h{i}_{j}"))
-        agg = ev.agg(*terms).first()
-        grad = np.array([agg[f"g{i}"] or 0.0 for i in range(p)]) - n * penalizer * beta
-        hess = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                hess[i, j] = hess[j, i] = agg[f"h{i}_{j}"] or 0.0
-        hess += n * penalizer * np.eye(p)
+        parts = base.mapInArrow(_cox_sums(beta.tolist()), "t double, sums array<double>")
+        per_t = parts.select("t", F.posexplode("sums").alias("k", "v")).groupBy("t", "k").agg(F.sum("v").alias("v")) \
+            .groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s.v).alias("sums")).toPandas()
+        per_t = per_t.sort_values("t", ascending=False)
+        sums = np.array(per_t["sums"].tolist())
+        d, ex = sums[:, 0], sums[:, 1:1 + p]
+        risk = np.cumsum(sums[:, 1 + p:], axis=0)  # everybody with at least this duration
+        s0, s1 = risk[:, 0], risk[:, 1:1 + p] / risk[:, :1]
+        s2 = np.zeros((len(d), p, p))
+        for k, (i, j) in enumerate(pairs):
+            s2[:, i, j] = s2[:, j, i] = risk[:, 1 + p + k] / s0
+        grad = (ex - d[:, None] * s1).sum(axis=0) - n * penalizer * beta
+        hess = (d[:, None, None] * (s2 - s1[:, :, None] * s1[:, None, :])).sum(axis=0) + n * penalizer * np.eye(p)
         step = np.linalg.solve(hess, grad)
         beta = beta + step
         if np.max(np.abs(step)) < tol:

@@ -16,7 +16,7 @@ _PLAN = ("CASE o_orderpriority WHEN '1-URGENT' THEN 7 WHEN '2-HIGH' THEN 30 WHEN
 
 VIEWS: dict[str, tuple[list[str], str]] = {
     "members": ([], """
-        SELECT c.c_custkey AS customer_id, CAST(c.c_nationkey AS INTEGER) AS city,
+        SELECT 'c' || c.c_custkey AS customer_id, CAST(c.c_nationkey AS INTEGER) AS city,
                CAST(floor(c.c_acctbal / 90) AS INTEGER) AS bd,
                CASE c.c_custkey % 3 WHEN 1 THEN 'male' WHEN 2 THEN 'female' END AS gender,
                c.c_mktsegment AS registered_via,
@@ -25,7 +25,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_order FROM orders GROUP BY o_custkey) f
           ON c.c_custkey = f.o_custkey"""),
     "transactions": ([], f"""
-        SELECT o.o_custkey AS customer_id,
+        SELECT 'c' || o.o_custkey AS customer_id,
                CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS payment_method_id,
                {_PLAN} AS payment_plan_days,
                CAST(CAST(round(o.o_totalprice * 100) AS BIGINT) / 100 AS DECIMAL(12,2)) AS plan_list_price,
@@ -46,7 +46,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "user_logs": ([], """
         SELECT customer_id, CAST(strftime(log_day, '%Y%m%d') AS INTEGER) AS date,
                num_25, num_50, num_75, num_985, num_100, num_unq, total_secs
-        FROM (SELECT user_id AS customer_id,
+        FROM (SELECT 'c' || user_id AS customer_id,
                      DATE '2001-01-31' + CAST(5 * date_diff('day', DATE '2024-01-24', CAST(ts AS DATE)) AS INTEGER) AS log_day,
                      count_if(event_type = 'click') AS num_25, count_if(event_type = 'view') AS num_50,
                      count_if(event_type = 'signup') AS num_75, count_if(event_type = 'error') AS num_985,
@@ -54,16 +54,19 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                      count(DISTINCT props) AS num_unq, round(sum(value), 2) AS total_secs
               FROM events GROUP BY 1, 2) x"""),
     "churn_labels": ([], """
-        SELECT c.c_custkey AS customer_id, CAST(CASE WHEN l.o_custkey IS NULL THEN 1 ELSE 0 END AS INTEGER) AS is_churn
+        SELECT 'c' || c.c_custkey AS customer_id, CAST(CASE WHEN l.o_custkey IS NULL THEN 1 ELSE 0 END AS INTEGER) AS is_churn
         FROM customer c
         LEFT JOIN (SELECT DISTINCT o_custkey FROM orders
                    WHERE CAST(o_orderdate AS DATE) > DATE '2001-01-31'
                      AND CAST(o_orderdate AS DATE) <= DATE '2001-08-01') l
           ON c.c_custkey = l.o_custkey"""),
     "ledger": ([], """
-        SELECT event_id AS id, user_id AS customer_id, CAST(NULL AS BIGINT) AS campaign_id,
+        SELECT event_id AS id, 'c' || user_id AS customer_id,
+               CASE WHEN event_id % 3 = 0 THEN CAST(strftime(CAST(ts AS DATE), '%Y%m%d') AS BIGINT) * 10
+                    + CASE WHEN event_type = 'click' THEN 1 ELSE 2 END END AS campaign_id,
                CASE WHEN event_type = 'click' THEN 'reminder' ELSE 'discount_offer' END AS action_type,
-               (event_id % 2 = 0) AS is_read, CAST(NULL AS VARCHAR) AS benefit_key,
+               (event_id % 2 = 0) AS is_read,
+               CASE WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'coupon_' || event_id % 3 END AS benefit_key,
                'system' AS sent_by, ts AS sent_at
         FROM events WHERE event_type IN ('click', 'purchase')"""),
     # ---- features ----

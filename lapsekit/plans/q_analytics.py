@@ -19,7 +19,7 @@ from lapsekit.session import cut_lineage
 from lapsekit.spec import TESTDATA_SPEC as SPEC
 
 THRESHOLD = 0.75
-PROBA_SQL = "CAST((customer_id * 7919) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE)"
+PROBA_SQL = "CAST((CAST(substr(customer_id, 2) AS BIGINT) * 7919) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE)"
 
 # ---------------------------------------------------------------- cohorts
 VIEWS["cohorts"] = (["transactions"], """
@@ -114,15 +114,22 @@ VIEWS["funnel_base"] = (["members", "txn_feat", "log_feat", "churn_labels"], """
            g.full_active_days, l.is_churn
     FROM members m LEFT JOIN txn_feat t ON m.customer_id = t.customer_id
     LEFT JOIN log_feat g ON m.customer_id = g.customer_id LEFT JOIN churn_labels l ON m.customer_id = l.customer_id""")
-_F5 = [("signup", "TRUE"), ("first_payment", "has_txn"), ("usage", "has_log"),
-       ("repeat_usage", "COALESCE(full_active_days >= 7, FALSE)"), ("auto_renew", "COALESCE(auto_renew_rate > 0, FALSE)"),
-       ("labelled", "is_churn IS NOT NULL"), ("renewed", "is_churn = 0")]
-
-
-@query("funnel_members", sql(["funnel_base"], _funnel_sql(_F5, first_den=False).replace("{src}", "funnel_base")))
+@query("funnel_members", sql(["funnel_base"], """
+    WITH k AS (SELECT count(*) AS a, count_if(has_txn) AS b, count_if(has_txn AND has_log) AS c,
+                      count_if(has_txn AND has_log AND full_active_days >= 7) AS d,
+                      count_if(has_txn AND has_log AND full_active_days >= 7 AND auto_renew_rate > 0) AS e,
+                      count_if(has_txn AND has_log AND full_active_days >= 7 AND auto_renew_rate > 0 AND is_churn IS NOT NULL) AS l,
+                      count_if(has_txn AND has_log AND full_active_days >= 7 AND auto_renew_rate > 0 AND is_churn = 0) AS f
+               FROM funnel_base),
+    r AS (SELECT 1 AS stage_no, 'signup' AS stage, a AS count, CAST(NULL AS BIGINT) AS denominator, a FROM k
+          UNION ALL SELECT 2, 'first_payment', b, a, a FROM k UNION ALL SELECT 3, 'usage', c, b, a FROM k
+          UNION ALL SELECT 4, 'repeat_usage', d, c, a FROM k UNION ALL SELECT 5, 'auto_renew', e, d, a FROM k
+          UNION ALL SELECT 6, 'renewed', f, l, a FROM k)
+    SELECT stage_no, stage, count, denominator, round(count * 100 / NULLIF(denominator, 0), 6) AS stage_conversion_pct,
+           round(count * 100 / a, 6) AS overall_pct FROM r"""))
 def q_funnel_all(spark, sf):
-    """Funnel over all members via presence-flag left joins; NULL first
-    denominator; the renewal stage is restricted to labelled customers."""
+    """Six stages over all members via presence-flag left joins; NULL first
+    denominator; the renewal stage counts within labelled customers."""
     t = MT.domain_tables(spark, sf)
     m = t["members"].select("customer_id")
     tf = X.transaction_features(t["transactions"], SPEC).select("customer_id", "auto_renew_rate", F.lit(True).alias("has_txn"))
@@ -131,8 +138,8 @@ def q_funnel_all(spark, sf):
     c = F.col
     return A.funnel(base, [("signup", F.lit(True)), ("first_payment", c("has_txn").isNotNull()),
                            ("usage", c("has_log").isNotNull()), ("repeat_usage", c("full_active_days") >= 7),
-                           ("auto_renew", c("auto_renew_rate") > 0), ("labelled", c("is_churn").isNotNull()),
-                           ("renewed", c("is_churn") == 0)], first_denominator=False)
+                           ("auto_renew", c("auto_renew_rate") > 0), ("renewed", c("is_churn") == 0)],
+                    first_denominator=False, last_within=c("is_churn").isNotNull())
 
 
 # ---------------------------------------------------------------- scoring table
@@ -204,6 +211,12 @@ def q_value_default(spark, sf):
     return A.value_features(j, "churn_proba", default_plan=30).select("customer_id", "avg_monthly_revenue")
 
 
+def _valued(spark, sf):
+    s = TD.labels(spark, sf).select("customer_id", TD.fixed_probability().alias("churn_proba"))
+    t = X.transaction_features(TD.transactions(spark, sf), SPEC)
+    return cut_lineage(A.value_features(s.join(t, "customer_id", "inner"), "churn_proba").select("customer_id", "ltv_approx"))
+
+
 @query("ltv_concentration", sql(["valued"], """
     SELECT round(quantile_cont(ltv_approx, 0.5), 6) AS ltv_median, round(quantile_cont(ltv_approx, 0.9), 6) AS ltv_p90,
            round(quantile_cont(ltv_approx, 0.99), 6) AS ltv_p99,
@@ -213,10 +226,26 @@ def q_value_default(spark, sf):
           FROM valued WHERE ltv_approx >= 0) x"""))
 def q_ltv(spark, sf):
     """LTV median/p90/p99 and top-10 % share."""
-    s = TD.labels(spark, sf).select("customer_id", TD.fixed_probability().alias("churn_proba"))
-    t = X.transaction_features(TD.transactions(spark, sf), SPEC)
-    v = A.value_features(s.join(t, "customer_id", "inner"), "churn_proba")
-    return A.ltv_concentration(v)
+    return A.ltv_concentration(_valued(spark, sf))
+
+
+@query("ltv_curve", sql(["valued"], """
+    SELECT CAST(ceil(rk * 100 / n) AS INTEGER) AS point, max(rk) AS customers, round(max(rk) * 100 / max(n), 6) AS customer_pct,
+           round(max(c) * 100 / max(t), 6) AS ltv_share_pct
+    FROM (SELECT row_number() OVER w AS rk, count(*) OVER () AS n, sum(ltv_approx) OVER (ORDER BY ltv_approx DESC, customer_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c, sum(ltv_approx) OVER () AS t
+          FROM valued WHERE ltv_approx >= 0 WINDOW w AS (ORDER BY ltv_approx DESC, customer_id)) x GROUP BY 1"""))
+def q_ltv_curve(spark, sf):
+    """Cumulative concentration of LTV over 100 customer shares."""
+    return A.ltv_curve(_valued(spark, sf))
+
+
+@query("ltv_clipped", sql(["valued"], """
+    SELECT customer_id, ltv_approx, least(ltv_approx, (SELECT quantile_cont(ltv_approx, 0.99) FROM valued WHERE ltv_approx >= 0)) AS ltv_approx_clipped
+    FROM valued WHERE ltv_approx >= 0"""))
+def q_ltv_clipped(spark, sf):
+    """LTV clipped at its 99th percentile."""
+    return A.ltv_clipped(_valued(spark, sf)).select("customer_id", "ltv_approx", "ltv_approx_clipped")
 
 
 @query("lifecycle_by_segment", sql(["scoring"], """
@@ -292,14 +321,10 @@ VIEWS["targets"] = (["marketing"], """
 
 def _marketing(spark, sf):
     m = cut_lineage(MT.build_model_table(spark, sf, SPEC))
-    s = TD.labels(spark, sf).select("customer_id", TD.fixed_probability().alias("churn_proba"))
-    t = X.transaction_features(TD.transactions(spark, sf), SPEC)
-    v = A.value_features(s.join(t, "customer_id", "inner"), "churn_proba").select("customer_id", "avg_monthly_revenue")
-    base = m.select("customer_id", "is_churn", "last_is_auto_renew", "expiry_alignment_abs_gap", "has_log_activity",
-                    "days_since_last_log", "activity_change_7_30") \
-        .join(v, "customer_id", "left").fillna(0, ["avg_monthly_revenue"]) \
-        .withColumn("p", TD.fixed_probability())
-    return base
+    v = A.value_features(m.withColumn("churn_proba", TD.fixed_probability()), "churn_proba")
+    paid = F.when(F.col("has_transaction_record") == 1, F.col("avg_monthly_revenue")).otherwise(F.lit(0.0))
+    return v.select("customer_id", "is_churn", "last_is_auto_renew", "expiry_alignment_abs_gap", "has_log_activity",
+                    "days_since_last_log", "activity_change_7_30", paid.alias("avg_monthly_revenue"), F.col("churn_proba").alias("p"))
 
 
 def _rules(base):
@@ -486,12 +511,12 @@ def q_rmst(spark, sf):
     FROM (SELECT *, CAST(sum(removed) OVER () - COALESCE(sum(removed) OVER (ORDER BY duration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_risk
           FROM (SELECT duration, CAST(sum(event) AS BIGINT) AS events, count(*) AS removed
                 FROM surv_base s JOIN txn_feat t ON s.customer_id = t.customer_id
-                WHERE t.auto_renew_rate >= 0.3 GROUP BY 1) d) r
+                WHERE t.auto_renew_rate >= 0.9 GROUP BY 1) d) r
     WINDOW w AS (ORDER BY duration ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def q_km_sub(spark, sf):
-    """V3: KM for the subgroup auto_renew_rate >= 0.3 (J5 inner join)."""
+    """V3: KM for the subgroup auto_renew_rate >= 0.9 (J5 inner join)."""
     t = X.transaction_features(TD.transactions(spark, sf), SPEC).select("customer_id", "auto_renew_rate")
-    s = _surv(spark, sf).join(t, "customer_id").filter(F.col("auto_renew_rate") >= 0.3)
+    s = _surv(spark, sf).join(t, "customer_id").filter(F.col("auto_renew_rate") >= 0.9)
     return V.km_curve(s, "duration", "event")
 
 
@@ -505,9 +530,31 @@ def q_hazard(spark, sf):
     return V.smoothed_hazard(V.km_curve(_surv(spark, sf), "duration", "event"), 30.0)
 
 
+@query("km_exponential", sql(["km", "surv_base"], """
+    SELECT duration, survival, round(exp(-(SELECT sum(event) * 365 / sum(duration) FROM surv_base) / 365 * duration), 6) AS exponential_survival
+    FROM km"""))
+def q_km_exp(spark, sf):
+    """V1: the KM curve beside the exponential curve of the yearly churn rate."""
+    s = cut_lineage(_surv(spark, sf))
+    rate = s.agg((F.sum("event") * 365 / F.sum("duration")).alias("__rate"))
+    curve = V.km_curve(s, "duration", "event").crossJoin(F.broadcast(rate))  # one row
+    return V.exponential_reference(curve, F.col("__rate")).select("duration", "survival", "exponential_survival")
+
+
+_GENDERS = ("male", "female")  # 'unknown' is the reference level
+_CITIES = tuple(range(1, 25))  # code 0 is the reference level
+
+
 @query("cox_model")
 def q_cox(spark, sf):
-    """V6: ridge Cox PH (penalty 0.1) on auto_renew_rate and cancel_rate; rows-only check."""
-    t = X.transaction_features(TD.transactions(spark, sf), SPEC).select("customer_id", "auto_renew_rate", "cancel_rate")
-    s = _surv(spark, sf).join(t, "customer_id")
-    return V.cox_fit(s, "duration", "event", ["auto_renew_rate", "cancel_rate"], penalizer=0.1)
+    """V6: ridge Cox PH (penalty 0.1) on age, discount, auto-renewal, cancellation, gender and city, and the same
+    without the cancel rate."""
+    t = X.transaction_features(TD.transactions(spark, sf), SPEC).select("customer_id", "auto_renew_rate", "cancel_rate", "avg_discount")
+    m = X.member_features(TD.members(spark, sf), SPEC).filter(F.col("bd_clean").isNotNull()).select(
+        "customer_id", "bd_clean", *[(F.col("gender") == g).cast("double").alias(f"gender_{g}") for g in _GENDERS],
+        *[F.coalesce(F.col("city") == c, F.lit(False)).cast("double").alias(f"city_{c}") for c in _CITIES])
+    s = cut_lineage(_surv(spark, sf).join(t, "customer_id").join(m, "customer_id"))
+    cov = ["bd_clean", "avg_discount", "auto_renew_rate", "cancel_rate", *[f"gender_{g}" for g in _GENDERS], *[f"city_{c}" for c in _CITIES]]
+    fits = [V.cox_fit(s, "duration", "event", use, penalizer=0.1).withColumn("fit", F.lit(name))
+            for name, use in (("all", cov), ("without_cancel_rate", [c for c in cov if c != "cancel_rate"]))]
+    return fits[0].unionByName(fits[1])

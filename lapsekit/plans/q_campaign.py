@@ -68,9 +68,8 @@ def q_audience(spark, sf):
     SELECT count(*) AS requested_count, count(*) AS matched_count, CAST(0 AS BIGINT) AS excluded_condition_count,
            count(*) - count_if(NOT recent) AS excluded_recent_count, count_if(NOT recent) AS eligible_count,
            least(count_if(NOT recent), 100) AS selected_count,
-           least(count_if(NOT recent), 100) > 0 AND least(count_if(NOT recent), 100) <= 50000 AS launchable,
-           CASE WHEN least(count_if(NOT recent), 100) = 0 THEN 'no_eligible_customers'
-                WHEN least(count_if(NOT recent), 100) > 50000 THEN 'over_recipient_cap' END AS warning
+           least(count_if(NOT recent), 100) > 0 AS launchable,
+           CASE WHEN least(count_if(NOT recent), 100) = 0 THEN 'no_eligible_customers' END AS warning
     FROM aud"""))
 def q_preview(spark, sf):
     """Preview counts for a top-100 win-back reminder."""
@@ -90,33 +89,65 @@ def q_sample(spark, sf):
     FROM aud WHERE NOT recent ORDER BY churn_proba DESC, customer_id LIMIT 100"""))
 def q_launch(spark, sf):
     """Top-100 selection snapshot written at launch (new request key)."""
-    rec = B.select_recipients(_flagged(spark, sf), SPEC)
-    out = B.launch(rec, campaigns(spark, sf), SPEC, "winback-2024-01-31", "winback reminder", AS_OF)
-    return out["campaign_recipients"].drop("campaign_id")
+    return _launched(spark, sf)["campaign_recipients"].drop("campaign_id")
+
+
+def _launched(spark, sf, request_key="winback-2024-01-31"):
+    flagged = _flagged(spark, sf)
+    return B.launch(B.select_recipients(flagged, SPEC), campaigns(spark, sf), SPEC, request_key, "winback reminder", AS_OF,
+                    counts=B.preview(flagged, SPEC))
+
+
+_CID = "CAST('0x' || substr(md5('winback-2024-01-31'), 1, 12) AS BIGINT)"
+
+
+@query("customer_actions", sql(["aud"], f"""
+    SELECT {_CID} AS campaign_id, customer_id, 'reminder' AS action_type, FALSE AS is_read, 'staff' AS sent_by, {AS_OF_SQL} AS sent_at,
+           1 AS rows_with_id
+    FROM aud WHERE NOT recent ORDER BY churn_proba DESC, customer_id LIMIT 100"""))
+def q_actions(spark, sf):
+    """The ledger rows of a launch; every row has an id of its own."""
+    from pyspark.sql import Window
+    out = _launched(spark, sf)["customer_actions"]
+    own = F.count(F.lit(1)).over(Window.partitionBy("id")).cast("int")
+    return out.withColumn("rows_with_id", own).select("campaign_id", "customer_id", "action_type", "is_read", "sent_by", "sent_at", "rows_with_id")
+
+
+@query("launched_campaign", sql(["aud"], f"""
+    SELECT {_CID} AS id, 'winback reminder' AS name, 'winback' AS purpose, 'lapsed' AS lifecycle_status, 'top_n' AS selection_mode,
+           100 AS audience_limit, 7 AS exclude_recent_days, count(*) AS matched_count, count_if(recent) AS excluded_count,
+           least(count_if(NOT recent), 100) AS recipient_count, 'completed' AS status FROM aud"""))
+def q_campaign_row(spark, sf):
+    """The campaign row with its filters and counts."""
+    return _launched(spark, sf)["campaigns"].select("id", "name", "purpose", "lifecycle_status", "selection_mode", "audience_limit",
+                                                    "exclude_recent_days", "matched_count", "excluded_count", "recipient_count", "status")
 
 
 @query("launch_idempotent", sql(["campaigns"], """
-    SELECT count(*) AS recipients_second_launch FROM campaigns WHERE FALSE"""))
+    SELECT count(*) AS campaigns, count(DISTINCT request_key) AS request_keys, CAST(0 AS BIGINT) AS recipients_second_launch
+    FROM campaigns"""))
 def q_idem(spark, sf):
-    """Relaunch with an existing request key adds no recipients."""
-    rec = B.select_recipients(_flagged(spark, sf), SPEC)
-    existing_key = "reminder:2024-01-02"
-    out = B.launch(rec, campaigns(spark, sf), SPEC, existing_key, "dup", AS_OF)
-    return out["campaign_recipients"].agg(F.count(F.lit(1)).alias("recipients_second_launch"))
+    """A launch with the key of an existing campaign adds neither a campaign nor recipients."""
+    have = campaigns(spark, sf)
+    key = have.agg(F.min("request_key")).first()[0]
+    out = _launched(spark, sf, key)
+    both = have.select("request_key").unionByName(out["campaigns"].select("request_key"))
+    return both.agg(F.count(F.lit(1)).alias("campaigns"), F.count_distinct("request_key").alias("request_keys")).crossJoin(
+        out["campaign_recipients"].agg(F.count(F.lit(1)).alias("recipients_second_launch")))
 
 
 VIEWS["manual_ids"] = (["churn_labels"], """
     SELECT trim(raw_id) AS id, min(pos) AS pos FROM (
-      SELECT '  ' || CAST(user_id AS VARCHAR) || ' ' AS raw_id, event_id AS pos FROM events WHERE event_type = 'signup'
-      UNION ALL SELECT '', -1) x
-    WHERE trim(raw_id) <> '' GROUP BY 1 ORDER BY 2 LIMIT 500""")
+      SELECT '  c' || CAST(user_id AS VARCHAR) || ' ' AS raw_id, event_id AS pos FROM events WHERE event_type = 'signup'
+      UNION ALL SELECT 'zz', -2 UNION ALL SELECT '', -1) x
+    WHERE trim(raw_id) <> '' GROUP BY 1""")
 
 
 def _manual(spark, sf):
     ev = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'signup'")
-    raw = ev.select(F.concat(F.lit("  "), F.col("user_id").cast("string"), F.lit(" ")).alias("raw_id"),
-                    F.col("event_id").alias("pos")).unionByName(
-        spark.range(1).select(F.lit("").alias("raw_id"), F.lit(-1).cast("long").alias("pos")))
+    odd = spark.createDataFrame([("zz", -2), ("", -1)], "raw_id string, pos long")  # unknown and empty
+    raw = ev.select(F.concat(F.lit("  "), TD.customer_key("user_id"), F.lit(" ")).alias("raw_id"),
+                    F.col("event_id").alias("pos")).unionByName(odd)
     return B.normalize_ids(raw)
 
 
@@ -124,14 +155,13 @@ def _manual(spark, sf):
     WITH m AS (SELECT s.*, r.customer_id IS NOT NULL AS recent FROM scoring s
                LEFT JOIN (SELECT DISTINCT customer_id FROM ledger WHERE action_type = 'discount_offer'
                           AND sent_at >= {AS_OF_SQL} - INTERVAL 14 DAY) r ON s.customer_id = r.customer_id
-               WHERE s.lifecycle_status = 'active' AND s.customer_id IN (SELECT CAST(id AS BIGINT) FROM manual_ids))
+               WHERE s.lifecycle_status = 'active' AND s.customer_id IN (SELECT id FROM manual_ids))
     SELECT (SELECT count(*) FROM manual_ids) AS requested_count, count(*) AS matched_count,
            greatest((SELECT count(*) FROM manual_ids) - count(*), 0) AS excluded_condition_count,
            count(*) - count_if(NOT recent) AS excluded_recent_count, count_if(NOT recent) AS eligible_count,
            count_if(NOT recent) AS selected_count,
-           count_if(NOT recent) > 0 AND count_if(NOT recent) <= 50000 AS launchable,
-           CASE WHEN count_if(NOT recent) = 0 THEN 'no_eligible_customers'
-                WHEN count_if(NOT recent) > 50000 THEN 'over_recipient_cap' END AS warning
+           count_if(NOT recent) > 0 AS launchable,
+           CASE WHEN count_if(NOT recent) = 0 THEN 'no_eligible_customers' END AS warning
     FROM m"""))
 def q_manual(spark, sf):
     """B1/B3 manual mode: trimmed, de-duplicated id list (J10), retention purpose."""
@@ -171,24 +201,37 @@ def q_overview(spark, sf):
     return B.overview(_scores(spark, sf), _ledger(spark, sf), campaigns(spark, sf))
 
 
+def _contacts(spark, sf):
+    return B.contact_summary(_ledger(spark, sf), _scores(spark, sf), campaigns(spark, sf))
+
+
+@query("contacts_total", sql(["ledger"], "SELECT count(*) AS total FROM ledger"))
+def q_contacts_total(spark, sf):
+    """Ledger rows."""
+    return _contacts(spark, sf)["total"]
+
+
 @query("contacts_by_type", sql(["ledger"], "SELECT action_type, count(*) AS actions FROM ledger GROUP BY 1"))
 def q_by_type(spark, sf):
     """Actions by type."""
-    return B.contact_summary(_ledger(spark, sf), _scores(spark, sf))["by_type"]
+    return _contacts(spark, sf)["by_type"]
 
 
 @query("contacts_by_segment", sql(["ledger", "scoring"], """
     SELECT s.segment, count(*) AS actions FROM ledger l JOIN scoring s ON l.customer_id = s.customer_id GROUP BY 1"""))
 def q_by_segment(spark, sf):
     """Actions by segment (ledger x scores inner join)."""
-    return B.contact_summary(_ledger(spark, sf), _scores(spark, sf))["by_segment"]
+    return _contacts(spark, sf)["by_segment"]
 
 
-@query("latest_contacts", sql(["ledger"], """
-    SELECT id, customer_id, action_type, sent_at FROM ledger ORDER BY sent_at DESC, id DESC LIMIT 10"""))
+@query("latest_contacts", sql(["ledger", "scoring", "campaigns"], """
+    SELECT l.id, l.customer_id, l.action_type, l.sent_by, l.sent_at, l.campaign_id, c.name AS campaign_name, s.segment
+    FROM ledger l JOIN scoring s ON l.customer_id = s.customer_id LEFT JOIN campaigns c ON l.campaign_id = c.id
+    ORDER BY l.sent_at DESC, l.id DESC LIMIT 10"""))
 def q_latest(spark, sf):
-    """Ten latest ledger rows."""
-    return B.contact_summary(_ledger(spark, sf), _scores(spark, sf))["latest"].select("id", "customer_id", "action_type", "sent_at")
+    """Ten latest ledger rows of scored customers, with campaign name and segment."""
+    return _contacts(spark, sf)["latest"].select("id", "customer_id", "action_type", "sent_by", "sent_at", "campaign_id",
+                                                 "campaign_name", "segment")
 
 
 @query("campaign_history", sql(["campaigns"], """
@@ -207,44 +250,60 @@ def q_inbox(spark, sf):
     return B.inbox(_ledger(spark, sf), 3).select("id", "customer_id", "action_type", "is_read", "sent_at")
 
 
+def _reads(l):
+    """Read-all requests of customers c...5, single reads by the owner (id % 7 = 0) and by a stranger (id % 11 = 0)."""
+    return l.filter(F.col("customer_id").endswith("5")).select("customer_id", F.lit(None).cast("long").alias("id")).distinct() \
+        .unionByName(l.filter(F.col("id") % 7 == 0).select("customer_id", "id")) \
+        .unionByName(l.filter(F.col("id") % 11 == 0).select(F.concat("customer_id", F.lit("x")).alias("customer_id"), "id"))
+
+
 @query("apply_reads", sql(["ledger"], """
-    SELECT count_if(NOT is_read AND (customer_id % 5 = 0 OR id % 7 = 0)) AS updated FROM ledger"""))
+    SELECT count_if(NOT is_read AND (customer_id LIKE '%5' OR id % 7 = 0)) AS updated FROM ledger"""))
 def q_reads(spark, sf):
-    """Mark all unread of every 5th customer and single messages (id % 7 = 0) read."""
+    """Number of messages that bulk read marks change."""
+    l = _ledger(spark, sf)
+    return B.apply_reads(l, _reads(l))[1]
+
+
+@query("ledger_after_reads", sql(["ledger"], """
+    SELECT id, customer_id, is_read OR customer_id LIKE '%5' OR id % 7 = 0 AS is_read, sent_at FROM ledger"""))
+def q_ledger_after_reads(spark, sf):
+    """The new ledger; a stranger's read request changes nothing."""
     l = _ledger(spark, sf)
-    reads = l.filter(F.col("customer_id") % 5 == 0).select("customer_id", F.lit(None).cast("long").alias("id")).distinct() \
-        .unionByName(l.filter(F.col("id") % 7 == 0).select("customer_id", "id"))
-    _, cnt = B.apply_reads(l, reads)
-    return cnt
+    return B.apply_reads(l, _reads(l))[0].select("id", "customer_id", "is_read", "sent_at")
 
 
-@query("claim_benefits", sql([], """
-    SELECT event_id AS id, user_id AS customer_id, 'coupon_' || CAST(event_id % 3 AS VARCHAR) AS benefit_key,
-           'self:' || CAST(user_id AS VARCHAR) AS sent_by, ts AS sent_at FROM (
-      SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) AS rn
-      FROM events WHERE event_type = 'purchase') x WHERE rn = 1"""))
+@query("claim_benefits", sql(["ledger"], """
+    SELECT event_id AS id, customer_id, benefit_key, TRUE AS is_read,
+           'self:' || CASE benefit_key WHEN 'renewal_reward' THEN 'renewal reward' ELSE benefit_key END AS sent_by, ts AS sent_at FROM (
+      SELECT *, row_number() OVER (PARTITION BY customer_id, benefit_key ORDER BY ts, event_id) AS rn
+      FROM (SELECT event_id, 'c' || user_id AS customer_id, ts,
+                   CASE event_id % 4 WHEN 3 THEN 'renewal_reward' ELSE 'coupon_' || event_id % 4 END AS benefit_key
+            FROM events WHERE event_type IN ('purchase', 'view')) e) x
+    WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM ledger l WHERE l.customer_id = x.customer_id AND l.benefit_key = x.benefit_key)"""))
 def q_claims(spark, sf):
-    """One claim per (customer, benefit), earliest wins; self-claimed rows."""
-    ev = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'purchase'")
-    claims = ev.select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("customer_id"),
-                       F.concat(F.lit("coupon_"), (F.col("event_id") % 3).cast("string")).alias("benefit_key"),
+    """One claim per (customer, benefit), earliest wins, none that the ledger holds; self-claimed rows."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").filter("event_type in ('purchase', 'view')")
+    kind = F.col("event_id") % 4
+    claims = ev.select(F.col("event_id").alias("claim_id"), TD.customer_key("user_id").alias("customer_id"),
+                       F.when(kind == 3, "renewal_reward").otherwise(F.concat(F.lit("coupon_"), kind.cast("string"))).alias("benefit_key"),
                        F.col("ts").alias("claimed_at"))
-    return B.claim_benefits(_ledger(spark, sf), claims).select("id", "customer_id", "benefit_key", "sent_by", "sent_at")
+    return B.claim_benefits(_ledger(spark, sf), claims).select("id", "customer_id", "benefit_key", "is_read", "sent_by", "sent_at")
 
 
-@query("score_lookup", sql(["scoring"], "SELECT * FROM scoring WHERE customer_id = 7"))
+@query("score_lookup", sql(["scoring"], "SELECT * FROM scoring WHERE customer_id = 'c7'"))
 def q_lookup(spark, sf):
     """One customer's score row."""
-    return _scores(spark, sf).filter(F.col("customer_id") == 7)
+    return _scores(spark, sf).filter(F.col("customer_id") == "c7")
 
 
 @query("single_actions", sql(["scoring"], f"""
-    SELECT event_id AS id, user_id AS customer_id, 'reminder' AS action_type, {AS_OF_SQL} AS sent_at
-    FROM events WHERE event_type = 'view' AND user_id IN (SELECT customer_id FROM scoring)"""))
+    SELECT event_id AS id, 'c' || user_id AS customer_id, 'reminder' AS action_type, {AS_OF_SQL} AS sent_at
+    FROM events WHERE event_type = 'view' AND 'c' || user_id IN (SELECT customer_id FROM scoring)"""))
 def q_single(spark, sf):
     """Action rows only for existing scored customers (semi join)."""
     ev = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'view'")
-    req = ev.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("customer_id"),
+    req = ev.select(F.col("event_id").alias("request_id"), TD.customer_key("user_id").alias("customer_id"),
                     F.lit("reminder").alias("action_type"))
     return B.single_actions(req, _scores(spark, sf), AS_OF).select("id", "customer_id", "action_type", "sent_at")
 

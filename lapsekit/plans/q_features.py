@@ -239,11 +239,20 @@ def q_dedupe(spark, sf):
     return a.crossJoin(b).select("raw_rows", "distinct_rows", "after_cutoff_rows")
 
 
-@query("incremental_log_features")
+@query("recency_mismatch", sql(["filled0", "recency"], """
+    SELECT count(*) AS rows, count_if(f.has_log_activity IS DISTINCT FROM r.has_log_before_cutoff) AS flag_mismatches,
+           (SELECT count(*) FROM (SELECT customer_id FROM recency GROUP BY 1 HAVING count(*) > 1) d) AS duplicate_keys
+    FROM filled0 f LEFT JOIN recency r ON f.customer_id = r.customer_id"""))
+def q_recency_mismatch(spark, sf):
+    """X11: log-presence flag of the table against the recency flag, and the one-to-one check."""
+    t = X.presence_flags(MT.assembled(spark, sf, SPEC))
+    return X.recency_mismatch(t, X.log_recency(TD.user_logs(spark, sf), TD.labels(spark, sf), SPEC))
+
+
+@query("incremental_log_features", sql(["log_feat"], "SELECT * FROM log_feat"))
 def q_incremental(spark, sf):
     """Structured Streaming (availableNow, update mode, foreachBatch) over the
-    log files; equals the batch log features (rows-only check here, equality
-    in tests).  Source/state/output folders live under the shared checkpoint dir."""
+    log files; equals the batch log features.  Source/state/output folders live under the shared checkpoint dir."""
     import os
     import uuid
 

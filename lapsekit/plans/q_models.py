@@ -18,8 +18,8 @@ from lapsekit.sources import testdata as TD
 
 VIEWS["preds"] = (["split"], """
     SELECT customer_id, is_churn, split,
-           CAST((customer_id * 7919) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) AS churn_probability,
-           CAST((customer_id * 104729) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) AS alt_probability
+           CAST((CAST(substr(customer_id, 2) AS BIGINT) * 7919) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) AS churn_probability,
+           CAST((CAST(substr(customer_id, 2) AS BIGINT) * 104729) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) AS alt_probability
     FROM split""")
 VIEWS["dist"] = (["preds"], """
     SELECT split, s, pos, neg,
@@ -35,7 +35,7 @@ def preds(spark, sf):
     s = stratified_split(TD.labels(spark, sf))
     return s.withColumns({
         "churn_probability": TD.fixed_probability(),
-        "alt_probability": ((F.col("customer_id") * 104729) % 10007) / F.lit(10007.0),
+        "alt_probability": TD.fixed_probability(factor=104729),
     })
 
 
@@ -165,13 +165,12 @@ def q_page(spark, sf):
 
 
 @query("riskiest_customer", sql(["preds"], """
-    SELECT max(churn_probability) AS churn_probability,
-           arg_max(customer_id, churn_probability * 1e9 - customer_id * 1e-9) AS customer_id FROM preds"""))
+    SELECT churn_probability, customer_id FROM preds ORDER BY churn_probability DESC, customer_id LIMIT 1"""))
 def q_riskiest(spark, sf):
     """Argmax over rows (max_by)."""
     p = preds(spark, sf)
     return p.agg(F.max("churn_probability").alias("churn_probability"),
-                 F.max_by("customer_id", F.struct(F.col("churn_probability"), -F.col("customer_id"))).alias("customer_id"))
+                 F.min_by("customer_id", F.struct(-F.col("churn_probability"), F.col("customer_id"))).alias("customer_id"))
 
 
 @query("model_comparison", sql(["preds"], """
@@ -239,39 +238,61 @@ def _metrics(pred):
 @query("gbt_model_metrics")
 def q_gbt(spark, sf):
     """L1: gradient-boosted trees with early stopping on the valid split; E8 metrics."""
-    _, pred = _fit(spark, sf, "gbt", {"maxIter": 30, "maxDepth": 4})
+    _, pred = _fit(spark, sf, "gbt", {"maxIter": 100, "maxDepth": 5})
     return _metrics(pred)
 
 
 @query("rf_model_metrics")
 def q_rf(spark, sf):
     """L2: balanced random forest; E8 metrics."""
-    _, pred = _fit(spark, sf, "rf", {"numTrees": 40, "maxDepth": 8, "minInstancesPerNode": 10}, balanced=True)
+    _, pred = _fit(spark, sf, "rf", {"numTrees": 300, "maxDepth": 14, "minInstancesPerNode": 50}, balanced=True)
     return _metrics(pred)
 
 
 @query("lr_model_metrics")
 def q_lr(spark, sf):
-    """L3/L4: balanced logistic regression on standardised features; E8 metrics."""
+    """L3: balanced logistic regression on one-hot and standardised features; E8 metrics."""
     _, pred = _fit(spark, sf, "lr", {"regParam": 0.01}, balanced=True)
     return _metrics(pred)
 
 
 @query("mlp_model_metrics")
 def q_mlp(spark, sf):
-    """Multilayer perceptron (hidden 16-8 here; 128-64 by default); E8 metrics."""
-    _, pred = _fit(spark, sf, "mlp", {"hidden": [16, 8], "maxIter": 60})
+    """Multilayer perceptron 128-64; E8 metrics."""
+    _, pred = _fit(spark, sf, "mlp", {"hidden": [128, 64]})
     return _metrics(pred)
 
 
+@query("gbt_weighted_metrics")
+def q_gbt_weighted(spark, sf):
+    """L4: boosted trees with class weights; E8 metrics."""
+    _, pred = _fit(spark, sf, "gbt", {"maxIter": 100, "maxDepth": 5}, balanced=True)
+    return _metrics(pred)
+
+
+@query("mlp_class_weights")
+def q_mlp_weights(spark, sf):
+    """The perceptron with positives weighted by n_neg/n_pos, by its square root, and not at all."""
+    from lapsekit.ml.models import class_weight, fit_and_score
+    from lapsekit.plans import model_table as MT
+    t = _table(spark, sf)
+    w = class_weight(t.filter("split = 'train'")).first()
+    out = None
+    for name, weight in (("full", w["pos_weight"]), ("sqrt", w["pos_weight_sqrt"]), ("none", 1.0)):
+        _, pred = fit_and_score(t, "mlp", MT.FEATURE_COLS_V2, MT.CATEGORICAL_COLS, params={"hidden": [128, 64], "class_weight": weight})
+        m = _metrics(pred).withColumn("class_weight", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 @query("random_search")
 def q_search(spark, sf):
     """Seeded random parameter search, exact valid AUC per trial."""
     from lapsekit.ml.models import random_search
     from lapsekit.plans import model_table as MT
     return random_search(_table(spark, sf), "gbt", MT.FEATURE_COLS_V2, MT.CATEGORICAL_COLS,
-                         {"maxDepth": (2, 5, "int"), "stepSize": (0.03, 0.3, "log"), "maxIter": (5, 20, "int")},
-                         n_trials=3)
+                         {"maxDepth": (2, 6, "int"), "stepSize": (0.03, 0.3, "log"), "maxIter": (10, 60, "int")},
+                         n_trials=8)
 
 
 @query("feature_importance")
@@ -279,7 +300,7 @@ def q_importance(spark, sf):
     """GBT feature importances ranked by name-mapped vector slots."""
     from lapsekit.ml.models import feature_importance
     from lapsekit.plans import model_table as MT
-    model, _ = _fit(spark, sf, "gbt", {"maxIter": 20, "maxDepth": 4})
+    model, _ = _fit(spark, sf, "gbt", {"maxIter": 100, "maxDepth": 5})
     return feature_importance(model, MT.FEATURE_COLS_V2)
 
 
@@ -287,25 +308,56 @@ def q_importance(spark, sf):
 def q_attr(spark, sf):
     """Per-row linear attributions (additive to the margin) and their mean |phi| ranking."""
     from lapsekit.ml.models import linear_attributions
-    from lapsekit.operators.features import sample_rows
     from lapsekit.operators.quality import mean_abs
     from lapsekit.plans import model_table as MT
     model, pred = _fit(spark, sf, "lr", {"regParam": 0.01}, balanced=True)
     att = linear_attributions(model, pred, MT.FEATURE_COLS_V2)
-    att = sample_rows(att, 5000, seed=42)   # the 5,000-row explanation sample is the feature
     return mean_abs(att, MT.FEATURE_COLS_V2)
 
 
+def _tree_attributions(spark, sf):
+    from lapsekit.ml.models import tree_attributions
+    from lapsekit.plans import model_table as MT
+    from lapsekit.session import cut_lineage
+    model, pred = _fit(spark, sf, "gbt", {"maxIter": 100, "maxDepth": 5})
+    return cut_lineage(tree_attributions(model, pred, MT.FEATURE_COLS_V2))
+
+
+@query("tree_importance")
+def q_tree_importance(spark, sf):
+    """Mean |attribution| of the boosted model's features over all rows."""
+    from lapsekit.operators.quality import mean_abs
+    from lapsekit.plans import model_table as MT
+    return mean_abs(_tree_attributions(spark, sf), MT.FEATURE_COLS_V2)
+
+
+@query("attribution_additivity", sql(["churn_labels"], """
+    SELECT count(*) AS rows, CAST(0 AS BIGINT) AS not_additive FROM churn_labels"""))
+def q_additivity(spark, sf):
+    """Attributions of every row add up to its margin."""
+    from lapsekit.plans import model_table as MT
+    a = _tree_attributions(spark, sf)
+    total = sum((F.col(f) for f in MT.FEATURE_COLS_V2), F.col("base_value"))
+    return a.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(total - F.col("margin")) > 1e-6).alias("not_additive"))
+
+
+@query("tree_driver_summary")
+def q_tree_drivers(spark, sf):
+    """Top driver of every customer by the boosted model's attributions."""
+    from lapsekit.operators import drivers as D
+    from lapsekit.plans import model_table as MT
+    return D.driver_summary(D.top_driver(_tree_attributions(spark, sf), MT.FEATURE_COLS_V2))
+
+
 @query("scored_customers")
 def q_scored(spark, sf):
     """K1/K2: save the pipeline with its feature contract, reload, check, score all customers."""
-    import os
     import uuid
     from lapsekit.ml.models import save_model, score_customers
     from lapsekit.plans import model_table as MT
     from lapsekit.session import checkpoint_dir
-    model, _ = _fit(spark, sf, "gbt", {"maxIter": 10, "maxDepth": 3})
-    path = os.path.join(checkpoint_dir(spark), f"model-{uuid.uuid4().hex[:8]}")
+    model, _ = _fit(spark, sf, "gbt", {"maxIter": 100, "maxDepth": 5})
+    path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex[:8]}"
     save_model(model, path, MT.FEATURE_COLS_V2)
     return score_customers(path, _table(spark, sf)).select("customer_id", "churn_probability")
 
@@ -329,7 +381,7 @@ def _attributions(spark, sf):
                     *[F.round(F.col(f) - F.col(f"__m_{f}"), 6).alias(f) for f in feats])
 
 
-VIEWS["attr"] = (["model_v2"], "SELECT customer_id, " + "CAST((customer_id * 7919) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) AS p, "
+VIEWS["attr"] = (["model_v2"], "SELECT customer_id, " + "CAST((CAST(substr(customer_id, 2) AS BIGINT) * 7919) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) AS p, "
                  + ", ".join(f"round({f} - (SELECT avg({f}) FROM model_v2), 6) AS {f}" for f in _attr_features())
                  + " FROM model_v2")
 
@@ -399,11 +451,11 @@ def q_driver_top8(spark, sf):
     SELECT customer_id, feature, value, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY abs(value) DESC, feature) AS rank
       FROM (UNPIVOT attr ON """ + ", ".join(_attr_features()) + """ INTO NAME feature VALUE value) u
-      WHERE p >= 0.95) r WHERE rank <= 10"""))
+      ) r WHERE rank <= 10"""))
 def q_top_abs(spark, sf):
-    """Ten largest |attribution| per (riskiest) customer."""
+    """Ten largest |attribution| per customer."""
     from lapsekit.operators.ordering import top_abs_per_row
-    a = _attributions(spark, sf).filter(F.col("p") >= 0.95).drop("p")
+    a = _attributions(spark, sf).drop("p")
     return top_abs_per_row(a, "customer_id", _attr_features(), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -417,7 +469,8 @@ def q_top_abs(spark, sf):
 def q_one_hot(spark, sf):
     """One-hot with drop-first (reference level = smallest value)."""
     from lapsekit.operators.drivers import one_hot
-    return one_hot(TD.members(spark, sf).select("customer_id", "registered_via"), "registered_via")
+    levels = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    return one_hot(TD.members(spark, sf).select("customer_id", "registered_via"), "registered_via", levels)
 
 
 VIEWS["model_stats"] = (["dist"], """

@@ -44,7 +44,9 @@ def q_dup(spark, sf):
         .withColumn("extra_key_rows", F.col("extra_key_rows").cast("long"))
 
 
-_DESC = ["txn_count", "total_amount_paid", "days_to_expire", "days_since_last_txn"]
+_DESC = ["txn_count", "payment_method_nunique", "plan_days_nunique", "auto_renew_rate", "cancel_count", "cancel_rate",
+         "total_amount_paid", "avg_discount", "last_payment_plan_days", "last_plan_list_price", "last_actual_amount_paid",
+         "last_is_auto_renew", "days_since_last_txn", "days_to_expire"]
 
 
 @query("describe_transactions", sql(["txn_feat"], " UNION ALL ".join(
@@ -176,7 +178,8 @@ def q_expiry(spark, sf):
     return Q.group_rate(a, status, "is_churn", "days_to_expire")
 
 
-_UNI = ["days_to_expire", "days_since_last_txn", "auto_renew_rate", "last_is_auto_renew", "txn_count", "d7_active_days"]
+# every numeric feature of the assembled table (codes of categories are not numbers)
+_UNI = [f for f in MT.FEATURE_COLS_V2[:MT.FEATURE_COLS_V2.index("has_member_record")] if f not in MT.CATEGORICAL_COLS]
 
 
 @query("univariate_auc", sql(["asm"], " UNION ALL ".join(f"""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +34,10 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str | None = None
         df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
     else:
         df = spark.read.parquet(path)
-        df = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields
-                        if f.name in df.columns])
+        missing = [f.name for f in schema.fields if f.name not in df.columns]
+        if missing:
+            raise ValueError(f"{path} lacks columns of {name}: {missing}")
+        df = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     if columns:
         df = df.select(*columns)
     return df
@@ -69,21 +70,41 @@ def publish(tables: dict[str, DataFrame], root: str, schemas: dict[str, T.Struct
     see a half-written set.  The ledger is not part of ``tables`` and is never
     touched.  Single-writer assumption: one publisher per root at a time.
     """
-    version = dt.datetime.utcnow().strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
-    base = os.path.join(root, f"v={version}")
+    version = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
+    base = f"{root.rstrip('/')}/v={version}"
     for name, df in tables.items():
         if schemas and name in schemas:
             df = conform(df, schemas[name])
-        df.write.mode("errorifexists").parquet(os.path.join(base, name))
-    os.makedirs(root, exist_ok=True)
-    tmp = os.path.join(root, f".CURRENT.{uuid.uuid4().hex}")
-    with open(tmp, "w") as fh:
-        fh.write(version)
-    os.replace(tmp, os.path.join(root, "CURRENT"))
+        df.write.mode("errorifexists").parquet(f"{base}/{name}")
+        spark = df.sparkSession
+    if tables:
+        write_text(spark, f"{root.rstrip('/')}/CURRENT", version)
     return version
 
 
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file of any Hadoop file system: written beside it, then renamed over it."""
+    conf = spark._jsc.hadoopConfiguration()
+    target, tmp = _path(spark, path), _path(spark, f"{path}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(conf)
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    files.rename(fs.makeQualified(tmp), fs.makeQualified(target), options)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    with open(os.path.join(root, "CURRENT")) as fh:
-        version = fh.read().strip()
-    return spark.read.parquet(os.path.join(root, f"v={version}", name))
+    version = read_text(spark, f"{root.rstrip('/')}/CURRENT").strip()
+    return spark.read.parquet(f"{root.rstrip('/')}/v={version}/{name}")

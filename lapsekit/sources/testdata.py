@@ -37,6 +37,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def customer_key(col: str):
+    """Customer keys of the domain are strings; the adapter's are ``c<number>``."""
+    return F.concat(F.lit("c"), F.col(col).cast("string"))
+
+
 def _plan_days(c):
     e = None
     for k, v in PLAN_DAYS.items():
@@ -50,7 +55,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.min("o_orderdate").alias("first_order")))
     g = F.col("c_custkey") % 3
     return (cust.join(first, cust.c_custkey == first.o_custkey, "left")
-            .select(F.col("c_custkey").alias("customer_id"),
+            .select(customer_key("c_custkey").alias("customer_id"),
                     F.col("c_nationkey").cast("int").alias("city"),
                     F.floor(F.col("c_acctbal") / AGE_DIVISOR).cast("int").alias("bd"),
                     F.when(g == 1, "male").when(g == 2, "female").alias("gender"),
@@ -73,7 +78,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     paid_cents = F.when(F.col("n_lines").isNull(), list_cents).otherwise(
         F.expr("(CAST(round(o_totalprice * 100) AS BIGINT) * (n_lines * 100 - disc_pts)) div (n_lines * 100)"))
     return j.select(
-        F.col("o_custkey").alias("customer_id"),
+        customer_key("o_custkey").alias("customer_id"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("payment_method_id"),
         plan.alias("payment_plan_days"),
         (list_cents / 100).cast("decimal(12,2)").alias("plan_list_price"),
@@ -91,7 +96,7 @@ def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit(CUTOFF), F.datediff(F.to_date("ts"), F.lit(EVENT_ANCHOR)) * EVENT_STRETCH)
     aggs = [F.count_if(F.col("event_type") == et).cast("long").alias(name) for name, et in PLAY_BUCKETS.items()]
     return (ev.withColumn("log_day", day)
-            .groupBy(F.col("user_id").alias("customer_id"), "log_day")
+            .groupBy(customer_key("user_id").alias("customer_id"), "log_day")
             .agg(*aggs,
                  F.count_distinct("props").cast("long").alias("num_unq"),
                  F.round(F.sum("value"), 2).alias("total_secs"))
@@ -105,13 +110,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
              .filter((F.to_date("o_orderdate") > F.lit(CUTOFF)) & (F.to_date("o_orderdate") <= F.lit(LABEL_END)))
              .select("o_custkey").distinct())
     return (cust.join(later, cust.c_custkey == later.o_custkey, "left")
-            .select(F.col("c_custkey").alias("customer_id"),
+            .select(customer_key("c_custkey").alias("customer_id"),
                     F.when(F.col("o_custkey").isNull(), 1).otherwise(0).cast("int").alias("is_churn")))
 
 
-def fixed_probability(key_col: str = "customer_id"):
-    """Deterministic stand-in model score: ((key * 7919) % 10007) / 10007."""
-    return ((F.col(key_col) * 7919) % 10007) / F.lit(10007.0)
+def fixed_probability(key_col: str = "customer_id", factor: int = 7919):
+    """Deterministic stand-in model score from the key's number: ((number * factor) % 10007) / 10007."""
+    return ((F.substring(key_col, 2, 20).cast("long") * factor) % 10007) / F.lit(10007.0)
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,10 +124,12 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
     return (ev.filter(F.col("event_type").isin("click", "purchase"))
             .select(F.col("event_id").alias("id"),
-                    F.col("user_id").alias("customer_id"),
-                    F.lit(None).cast("long").alias("campaign_id"),
+                    customer_key("user_id").alias("customer_id"),
+                    F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyyMMdd").cast("long") * 10
+                           + F.when(F.col("event_type") == "click", 1).otherwise(2)).alias("campaign_id"),
                     F.when(F.col("event_type") == "click", "reminder").otherwise("discount_offer").alias("action_type"),
                     (F.col("event_id") % 2 == 0).alias("is_read"),
-                    F.lit(None).cast("string").alias("benefit_key"),
+                    F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 5 == 0),
+                           F.concat(F.lit("coupon_"), (F.col("event_id") % 3).cast("string"))).alias("benefit_key"),
                     F.lit("system").alias("sent_by"),
                     F.col("ts").alias("sent_at")))

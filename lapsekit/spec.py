@@ -47,12 +47,12 @@ TESTDATA_SPEC = ObservationSpec(cutoff=dt.date(2001, 1, 31), min_valid_date=dt.d
 
 
 LABELS_SCHEMA = T.StructType([
-    T.StructField("customer_id", T.LongType(), False),
+    T.StructField("customer_id", T.StringType(), False),
     T.StructField("is_churn", T.IntegerType(), False),
 ])
 
 MEMBERS_SCHEMA = T.StructType([
-    T.StructField("customer_id", T.LongType(), False),
+    T.StructField("customer_id", T.StringType(), False),
     T.StructField("city", T.IntegerType(), True),
     T.StructField("bd", T.IntegerType(), True),
     T.StructField("gender", T.StringType(), True),
@@ -61,7 +61,7 @@ MEMBERS_SCHEMA = T.StructType([
 ])
 
 TRANSACTIONS_SCHEMA = T.StructType([
-    T.StructField("customer_id", T.LongType(), False),
+    T.StructField("customer_id", T.StringType(), False),
     T.StructField("payment_method_id", T.IntegerType(), True),
     T.StructField("payment_plan_days", T.IntegerType(), True),
     T.StructField("plan_list_price", T.DecimalType(12, 2), True),
@@ -73,7 +73,7 @@ TRANSACTIONS_SCHEMA = T.StructType([
 ])
 
 USER_LOGS_SCHEMA = T.StructType([
-    T.StructField("customer_id", T.LongType(), False),
+    T.StructField("customer_id", T.StringType(), False),
     T.StructField("date", T.IntegerType(), True),
     T.StructField("num_25", T.LongType(), True),
     T.StructField("num_50", T.LongType(), True),
@@ -86,7 +86,7 @@ USER_LOGS_SCHEMA = T.StructType([
 
 LEDGER_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
-    T.StructField("customer_id", T.LongType(), False),
+    T.StructField("customer_id", T.StringType(), False),
     T.StructField("campaign_id", T.LongType(), True),
     T.StructField("action_type", T.StringType(), False),
     T.StructField("is_read", T.BooleanType(), False),
@@ -97,7 +97,7 @@ LEDGER_SCHEMA = T.StructType([
 
 # Serving table column order (15 columns) and types.
 SCORES_SCHEMA = T.StructType([
-    T.StructField("customer_id", T.LongType(), False),
+    T.StructField("customer_id", T.StringType(), False),
     T.StructField("churn_proba", T.DecimalType(6, 5), True),
     T.StructField("risk_tier", T.StringType(), True),
     T.StructField("ltv_tier", T.StringType(), True),
