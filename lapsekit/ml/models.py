@@ -174,9 +174,9 @@ def tree_nodes(model: PipelineModel) -> list[dict]:
     for tree, weight in enumerate(gbt.treeWeights):
         nodes = sorted((r for r in rows if r["treeID"] == tree), key=lambda r: r["id"])
         split = [r["split"] for r in nodes]
-        out.append({"feature": [s["featureIndex"] if s else -1 for s in split],
-                    "threshold": [s["leftCategoriesOrThreshold"][0] if s and s["numCategories"] == -1 else 0.0 for s in split],
-                    "categories": [set(s["leftCategoriesOrThreshold"]) if s and s["numCategories"] != -1 else None for s in split],
+        out.append({"feature": [s["featureIndex"] for s in split],
+                    "threshold": [s["leftCategoriesOrThreshold"][0] if s["featureIndex"] >= 0 and s["numCategories"] == -1 else 0.0 for s in split],
+                    "categories": [set(s["leftCategoriesOrThreshold"]) if s["numCategories"] != -1 else None for s in split],
                     "left": [r["leftChild"] for r in nodes], "right": [r["rightChild"] for r in nodes],
                     "value": [r["prediction"] for r in nodes], "weight": weight})
     return out

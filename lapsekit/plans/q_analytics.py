@@ -190,6 +190,34 @@ def q_scoring(spark, sf):
     return scoring_table(spark, sf)
 
 
+@query("published_scores", sql(["scoring"], """
+    SELECT customer_id, CAST(CAST(churn_proba AS DECIMAL(24,8)) AS DECIMAL(6,5)) AS churn_proba, risk_tier, ltv_tier, segment,
+           CAST(CAST(avg_monthly_revenue AS DECIMAL(24,8)) AS DECIMAL(10,2)) AS avg_monthly_revenue, CAST(CAST(expected_lifetime_months AS DECIMAL(24,8)) AS DECIMAL(6,2)) AS expected_lifetime_months,
+           CAST(CAST(ltv_approx AS DECIMAL(24,8)) AS DECIMAL(12,2)) AS ltv_approx, days_to_expire, days_since_last_txn, lifecycle_status,
+           CAST(last_payment_plan_days AS INTEGER) AS last_payment_plan_days,
+           CAST(CAST(last_plan_list_price AS DECIMAL(24,8)) AS DECIMAL(10,2)) AS last_plan_list_price, last_is_auto_renew = 1 AS last_is_auto_renew, scored_at
+    FROM scoring"""))
+def q_published(spark, sf):
+    """The scoring table cast to the serving types, published as a version, and read back through the pointer."""
+    import uuid
+    from lapsekit.session import checkpoint_dir
+    from lapsekit.sources.tables import publish, read_published
+    from lapsekit.spec import SCORES_SCHEMA
+    root = f"{checkpoint_dir(spark).rstrip('/')}/serving-{uuid.uuid4().hex[:8]}"
+    publish({"customer_churn_scores": scoring_table(spark, sf)}, root, {"customer_churn_scores": SCORES_SCHEMA})
+    return read_published(spark, root, "customer_churn_scores")
+
+
+@query("stage_read_back", sql(["transactions"], "SELECT * FROM transactions"))
+def q_stage(spark, sf):
+    """The transactions written as a stage table and read with their fixed schema."""
+    import uuid
+    from lapsekit.session import checkpoint_dir
+    from lapsekit.sources.tables import read_table, write_stage
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex[:8]}"
+    return read_table(spark, "transactions", write_stage(TD.transactions(spark, sf), path))
+
+
 @query("segment_counts", sql(["scoring"], """
     SELECT segment, count(*) AS customers, round(avg(ltv_approx), 6) AS avg_ltv FROM scoring GROUP BY 1"""))
 def q_segments(spark, sf):

@@ -331,3 +331,38 @@ def q_kpi_cohorts(spark, sf):
     c = A.complete_cohorts(A.cohort_activity(TD.transactions(spark, sf), TESTDATA_SPEC), TESTDATA_SPEC)
     return c.orderBy("cohort_month", "month_offset").select(
         F.date_format("cohort_month", "yyyy-MM").alias("cohort"), "month_offset", "retention_pct")
+
+
+def kpi_bundle(spark, sf):
+    """The five reference tables of the KPI page, each in its serving order."""
+    from lapsekit.plans import q_analytics as QA
+    from lapsekit.plans import q_models as QM
+    return {
+        "model_stats": QM.q_model_stats(spark, sf).orderBy("model"),
+        "importance": QM.q_attr(spark, sf).orderBy(F.desc("mean_abs"), "feature"),
+        "funnel": QA.q_funnel_all(spark, sf).orderBy("stage_no"),
+        "drivers": QM.q_driver_summary(spark, sf).orderBy(F.desc("pct"), "driver"),
+        "cohorts": q_kpi_cohorts(spark, sf),
+    }
+
+
+@query("kpi_bundle_rows", sql(["cohorts", "drivers"], """
+    SELECT 'model_stats' AS reference_table, 2 AS rows UNION ALL SELECT 'importance', 57 UNION ALL SELECT 'funnel', 6
+    UNION ALL SELECT 'drivers', (SELECT count(DISTINCT driver) FROM drivers)
+    UNION ALL SELECT 'cohorts', (SELECT count(*) FROM cohorts WHERE cohort_month <= DATE '2000-02-01')"""))
+def q_kpi_bundle(spark, sf):
+    """Row counts of the KPI page's five reference tables."""
+    out = None
+    for name, df in kpi_bundle(spark, sf).items():
+        n = df.agg(F.lit(name).alias("reference_table"), F.count(F.lit(1)).alias("rows"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("kpi_reference_drivers", sql(["drivers"], """
+    SELECT driver, count(*) AS customers, round(count(*) / (SELECT count(*) FROM drivers) * 100, 6) AS pct
+    FROM drivers GROUP BY driver ORDER BY pct DESC, driver"""))
+def q_kpi_drivers(spark, sf):
+    """Top drivers by share, ordered for serving."""
+    from lapsekit.plans import q_models as QM
+    return QM.q_driver_summary(spark, sf).select("driver", "customers", "pct").orderBy(F.desc("pct"), "driver")

@@ -109,7 +109,7 @@ SCORES_SCHEMA = T.StructType([
     T.StructField("days_since_last_txn", T.IntegerType(), True),
     T.StructField("lifecycle_status", T.StringType(), True),
     T.StructField("last_payment_plan_days", T.IntegerType(), True),
-    T.StructField("last_plan_list_price", T.DecimalType(12, 2), True),
+    T.StructField("last_plan_list_price", T.DecimalType(10, 2), True),
     T.StructField("last_is_auto_renew", T.BooleanType(), True),
     T.StructField("scored_at", T.DateType(), True),
 ])
