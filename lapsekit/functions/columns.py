@@ -69,11 +69,6 @@ def clip(c, lo, hi) -> Column:
     return F.least(F.greatest(_c(c), F.lit(lo)), F.lit(hi))
 
 
-def is_finite(c) -> Column:
-    c = _c(c).cast("double")
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
-
-
 def ordered_argmax(cols: list[str], values: dict[str, Column] | None = None) -> Column:
     """Name of the column with the largest value; ties go to the earlier column.
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lapsekit.session import cut_lineage
+
 from lapsekit.functions import ymd_to_date
 
 
@@ -31,27 +33,12 @@ def dedupe(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def mask_range(df: DataFrame, col: str, lo, hi, out: str | None = None, flag: str | None = None) -> DataFrame:
-    """values outside ``[lo, hi]`` become NULL; ``flag`` is 1 when masked or NULL."""
-    ok = _c(col).between(lo, hi)
-    cols = {out or col: F.when(ok, _c(col))}
-    if flag:
-        cols[flag] = F.when(ok, F.lit(0)).otherwise(F.lit(1)).cast("int")
-    return df.withColumns(cols)
-
-
 def null_before(c, min_date) -> Column:
     """date sentinel (anything before ``min_date``) -> NULL."""
     c = _c(c)
     return F.when(c >= F.lit(min_date), c)
 
 
-def valid_or_null(c, lo, hi) -> Column:
-    """numeric kept only inside the valid range (other columns untouched)."""
-    c = _c(c)
-    return F.when(c.between(lo, hi), c)
-
-
 def fill_category(c, default: str = "unknown") -> Column:
     """F6."""
     return F.coalesce(_c(c), F.lit(default))
@@ -65,11 +52,6 @@ def clipped_days(later, earlier) -> Column:
     return F.when(d.isNotNull(), F.greatest(d, F.lit(0)))
 
 
-def parse_ymd(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """YYYYMMDD ints -> DATE, unparsable -> NULL."""
-    return df.withColumns({c: ymd_to_date(c) for c in cols})
-
-
 def label_when(cases: Sequence[tuple[Column, str]], default: str | None = None) -> Column:
     """first matching condition wins (``np.select``/CASE)."""
     e = None
@@ -78,19 +60,6 @@ def label_when(cases: Sequence[tuple[Column, str]], default: str | None = None)
     return e.otherwise(F.lit(default)) if default is not None else e
 
 
-def map_values(df: DataFrame, col: str, mapping: DataFrame, key: str, value: str, out: str,
-               default=None) -> DataFrame:
-    """dictionary lookup as a broadcast left join on a mapping frame.
-
-    ``mapping`` is a fixed, small literal table (its size is the number of
-    dictionary entries, independent of the data), so broadcasting is safe.
-    """
-    m = mapping.select(F.col(key).alias("__mk"), F.col(value).alias("__mv"))
-    j = df.join(F.broadcast(m), F.col(col) == F.col("__mk"), "left")
-    v = F.coalesce(F.col("__mv"), F.lit(default)) if default is not None else F.col("__mv")
-    return j.withColumn(out, v).drop("__mk", "__mv")
-
-
 def key_contract(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """One-row frame ``rows, distinct_keys, unique`` used by J2 and Q10."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -102,9 +71,9 @@ def key_contract(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
 def join_1to1(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join that enforces ``validate='one_to_one'``.
 
-    Uniqueness of both sides is checked with one aggregate each (two tiny
-    results on the driver) before the join is returned.
+    Both sides are written once; the check and the join read the written rows.
     """
+    left, right = cut_lineage(left), cut_lineage(right)
     for side, name in ((left, "left"), (right, "right")):
         r = key_contract(side, key).first()
         if not r["unique"]:
@@ -117,16 +86,6 @@ def semi_keep(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def latest_per_key(df: DataFrame, key: str, order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
-    """The last row per key under ``order`` (ascending struct order, NULL smallest).
-
-    ``max_by(struct(cols), struct(order))`` is a partial aggregate: no sort,
-    map-side combine, skew-safe for hot keys.
-    """
-    picked = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*order)).alias("__last")
-    return df.groupBy(key).agg(picked).select(key, "__last.*")
-
-
 def latest_by_row_number(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """W2/W3 as a window (plans to WindowGroupLimit + Window)."""
     w = Window.partitionBy(key).orderBy(*order)

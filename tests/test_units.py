@@ -21,8 +21,12 @@ def ymd(d):
     return int(d.strftime("%Y%m%d"))
 
 
+def key(x):
+    return x if isinstance(x, str) else f"c{x}"
+
+
 def logs_frame(spark, rows):
-    return spark.createDataFrame(rows, USER_LOGS_SCHEMA)
+    return spark.createDataFrame([(key(r[0]), *r[1:]) for r in rows], USER_LOGS_SCHEMA)
 
 
 def test_u1_buckets_and_windows(spark):
@@ -53,7 +57,7 @@ def test_u3_trend_zero_prior(spark):
 
 def txn_frame(spark, rows):
     from decimal import Decimal
-    return spark.createDataFrame([(r[0], r[1], r[2], Decimal(r[3]), Decimal(r[4]), r[5], r[6], r[7], r[8]) for r in rows],
+    return spark.createDataFrame([(key(r[0]), r[1], r[2], Decimal(r[3]), Decimal(r[4]), r[5], r[6], r[7], r[8]) for r in rows],
                                  TRANSACTIONS_SCHEMA)
 
 
@@ -69,7 +73,7 @@ def test_u5_u6_u7_u8_transactions(spark):
         (5, 1, 30, "149", "149", 1, 20170101, 20100101, 0),
         (1, 1, 30, "149", "149", 1, 20170205, 20170305, 0),     # after cutoff, ignored
     ]
-    f = {r["customer_id"]: r for r in X.transaction_features(txn_frame(spark, rows), SPEC).collect()}
+    f = {int(r["customer_id"][1:]): r for r in X.transaction_features(txn_frame(spark, rows), SPEC).collect()}
     assert f[1]["txn_count"] == 1
     assert f[2]["days_to_expire"] == 1
     assert f[3]["last_actual_amount_paid"] == 149.0
@@ -153,12 +157,12 @@ def test_u19_power(spark):
 
 
 def ledger_frame(spark, rows):
-    return spark.createDataFrame(rows, LEDGER_SCHEMA)
+    return spark.createDataFrame([(r[0], key(r[1]), *r[2:]) for r in rows], LEDGER_SCHEMA)
 
 
 def scores_frame(spark, ids):
-    return spark.createDataFrame([(i, 0.9, "high_risk", "high_risk/high_value", "lapsed", 100.0) for i in ids],
-                                 "customer_id long, churn_proba double, risk_tier string, segment string, lifecycle_status string, ltv_approx double")
+    return spark.createDataFrame([(key(i), 0.9, "high_risk", "high_risk/high_value", "lapsed", 100.0) for i in ids],
+                                 "customer_id string, churn_proba double, risk_tier string, segment string, lifecycle_status string, ltv_approx double")
 
 
 def test_u20_recent_exclusion(spark):
@@ -174,11 +178,11 @@ def test_u20_recent_exclusion(spark):
 
 
 def test_u21_manual_ids(spark):
-    raw = spark.createDataFrame([(" 1", 0), ("1", 1), ("", 2), ("99", 3)], "raw_id string, pos int")
+    raw = spark.createDataFrame([(" a", 0), ("a", 1), ("", 2), ("zz", 3)], "raw_id string, pos int")
     ids = B.normalize_ids(raw)
     spec = B.AudienceSpec("winback", "reminder", selection_mode="manual")
     led = ledger_frame(spark, [])
-    p = B.preview(B.audience(scores_frame(spark, [1, 2]), led, spec, dt.datetime(2024, 1, 31), manual=ids), spec, ids).first()
+    p = B.preview(B.audience(scores_frame(spark, ["a", "b"]), led, spec, dt.datetime(2024, 1, 31), manual=ids), spec, ids).first()
     assert (p["requested_count"], p["matched_count"], p["excluded_condition_count"]) == (2, 1, 1)
 
 
@@ -192,12 +196,43 @@ def test_u22_idempotent_launch(spark):
     assert out2["campaign_recipients"].count() == 2 and out2["campaigns"].first()["recipient_count"] == 2
 
 
+def test_u21_long_manual_list_is_kept_whole(spark):
+    raw = spark.range(1500).selectExpr("concat('c', id) AS raw_id", "cast(id AS int) AS pos")
+    assert B.normalize_ids(raw).count() == 1500
+
+
+def test_launch_writes_ledger_rows(spark):
+    spec = B.AudienceSpec("winback", "reminder")
+    out = B.launch(scores_frame(spark, ["a", "b"]), spark.createDataFrame([], "request_key string"), spec, "k", "n", dt.datetime(2024, 1, 31))
+    rows = out["customer_actions"].collect()
+    assert {r["customer_id"] for r in rows} == {"a", "b"} and len({r["id"] for r in rows}) == 2
+    capped = B.AudienceSpec("winback", "reminder", max_recipients=1)
+    with pytest.raises(ValueError):
+        B.launch(scores_frame(spark, ["a", "b"]), spark.createDataFrame([], "request_key string"), capped, "k", "n", dt.datetime(2024, 1, 31))
+
+
+def test_top_n_needs_a_limit():
+    with pytest.raises(ValueError):
+        B.AudienceSpec("winback", "reminder", selection_mode="top_n")
+
+
+def test_reads_are_the_owners(spark):
+    now = dt.datetime(2024, 1, 1)
+    led = ledger_frame(spark, [(10, 1, None, "reminder", False, None, "s", now), (11, 2, None, "reminder", False, None, "s", now)])
+    reads = spark.createDataFrame([("c2", 10), ("c2", 11)], "customer_id string, id long")  # 10 is not c2's
+    new, n = B.apply_reads(led, reads)
+    assert {r["id"]: r["is_read"] for r in new.collect()} == {10: False, 11: True} and n.first()["updated"] == 1
+
+
 def test_u23_claim_once(spark):
-    led = ledger_frame(spark, [])
-    claims = spark.createDataFrame([(10, 1, "b", dt.datetime(2024, 1, 2)), (11, 1, "b", dt.datetime(2024, 1, 1))],
-                                   "claim_id long, customer_id long, benefit_key string, claimed_at timestamp")
-    r = B.claim_benefits(led, claims).collect()
-    assert len(r) == 1 and r[0]["id"] == 11 and r[0]["sent_by"] == "self:1"
+    now = dt.datetime(2024, 1, 1)
+    led = ledger_frame(spark, [(1, 2, None, "discount_offer", True, "b", "self:b", now)])  # c2 has it already
+    claims = spark.createDataFrame([(10, "c1", "b", dt.datetime(2024, 1, 2)), (11, "c1", "b", now), (12, "c2", "b", now),
+                                    (13, "c2", "renewal_reward", now)],
+                                   "claim_id long, customer_id string, benefit_key string, claimed_at timestamp")
+    r = {x["id"]: x for x in B.claim_benefits(led, claims).collect()}
+    assert set(r) == {11, 13} and r[11]["sent_by"] == "self:b" and r[13]["sent_by"] == "self:renewal reward"
+    assert all(x["is_read"] for x in r.values())
 
 
 def test_u24_impute_train_only(spark):
@@ -228,14 +263,112 @@ def test_exact_quantiles_interpolate(spark):
     assert O.exact_quantiles(d, ["x"], [0.5]).first()["value"] == 3.0
 
 
-def test_rank_rows_hot_score(spark):
-    # a third of the rows share one score: ranks stay unique and ordered by key
-    rows = [(i, 0.5 if i % 3 == 0 else i / 1000.0) for i in range(300)]
-    d = spark.createDataFrame(rows, "customer_id long, p double")
+SHAPES = {
+    "outlier": lambda i: 9.2e15 if i == 7 else float(i % 1000),
+    "steep": lambda i: ((i * 7919 % 10007) / 10007) ** 8,
+    "hot": lambda i: 0.5 if i % 3 == 0 else i / 30000.0,
+}
+
+
+@pytest.mark.parametrize("shape", list(SHAPES))
+@pytest.mark.parametrize("keys", ["long", "string"])
+def test_rank_rows_is_exact_and_even(spark, shape, keys):
+    """Ranks follow (score, key) whatever the scores look like, and no partition gets much more than its share."""
+    name = (lambda i: f"c{i}") if keys == "string" else (lambda i: i)
+    rows = [(name(i), SHAPES[shape](i)) for i in range(6000)]
+    d = spark.createDataFrame(rows, f"customer_id {keys}, p double").repartition(4)
     r = O.rank_rows(d, "p", "customer_id").orderBy("rank").collect()
-    assert [x["rank"] for x in r] == list(range(1, 301))
     exp = sorted(rows, key=lambda t: (-t[1], t[0]))
     assert [x["customer_id"] for x in r] == [t[0] for t in exp]
+    assert [x["rank"] for x in r] == list(range(1, 6001)) and r[0]["n"] == 6000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        share = O.place(d, [F.col("p").desc(), F.col("customer_id").asc()]).groupBy(O.PART).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(x["count"] for x in share) < 2 * 6000 / len(share) and len(share) == 4
+
+
+def test_rank_rows_null_scores_come_last(spark):
+    d = spark.createDataFrame([("a", None), ("b", 1.0), ("c", 2.0), ("d", None)], "customer_id string, p double")
+    assert [x["customer_id"] for x in O.rank_rows(d, "p", "customer_id").orderBy("rank").collect()] == ["c", "b", "a", "d"]
+
+
+def test_null_label_is_a_class(spark):
+    d = spark.createDataFrame([(f"c{i}", None if i % 7 == 0 else i % 2) for i in range(70)], "customer_id string, is_churn int")
+    assert X.stratified_split(d).count() == 70
+    assert X.sample_rows(d, 3, strata="is_churn").count() == 9
+
+
+def test_metrics_from_the_distribution(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    rows = [("train" if i % 2 else "valid", float(round(rng.random(), 2)), int(rng.random() < 0.3)) for i in range(400)]
+    got = {r["split"]: r for r in E.evaluate(spark.createDataFrame(rows, "split string, p double, y int"), "p", "y").collect()}
+    for split in ("train", "valid"):
+        p, y = (np.array(x) for x in zip(*[(r[1], r[2]) for r in rows if r[0] == split]))
+        pos, neg = p[y == 1], p[y == 0]
+        auc = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+        hit = p >= got[split]["threshold"]
+        assert got[split]["auc"] == pytest.approx(auc, abs=1e-6)
+        assert (got[split]["tp"], got[split]["fp"]) == ((hit & (y == 1)).sum(), (hit & (y == 0)).sum())
+
+
+def test_one_hot_categories_are_not_numbers(spark):
+    """A churn rate that isn't monotone in any order of the codes: one-hot columns separate it, indices can't."""
+    from lapsekit.ml.models import fit_and_score
+    rows = [(f"c{i}", "train" if i % 4 else "valid", "abcde"[i % 5], float(i % 3), int(i % 5 in (1, 3))) for i in range(600)]
+    d = spark.createDataFrame(rows, "customer_id string, split string, kind string, x double, is_churn int")
+    _, pred = fit_and_score(d, "lr", ["kind", "x"], ["kind"])
+    assert E.roc_auc(E.score_distribution(pred, "churn_probability", "is_churn")).first()["auc"] == 1.0
+    unseen = pred.limit(1).select("customer_id", "split", F.lit("z").alias("kind"), "x", "is_churn")
+    model, _ = fit_and_score(d, "lr", ["kind", "x"], ["kind"])
+    assert model.transform(unseen).count() == 1
+
+
+def test_attributions_add_up(spark):
+    from lapsekit.ml.models import fit_and_score, linear_attributions, tree_attributions
+    rows = [(f"c{i}", "train" if i % 4 else "valid", "abcdefgh"[i % 8], float(i % 13), int(i % 8 in (1, 3) or i % 13 > 9)) for i in range(400)]
+    d = spark.createDataFrame(rows, "customer_id string, split string, kind string, x double, is_churn int")
+    for kind, explain in (("gbt", tree_attributions), ("lr", linear_attributions)):
+        model, pred = fit_and_score(d, kind, ["kind", "x"], ["kind"], params={"maxIter": 8})
+        a = explain(model, pred, ["kind", "x"]).join(pred.select("customer_id", "rawPrediction"), "customer_id").collect()
+        for r in a:
+            assert r["kind"] + r["x"] + r["base_value"] == pytest.approx(r["margin"], abs=1e-9)
+            assert r["margin"] == pytest.approx(r["rawPrediction"][1], abs=1e-6)
+
+
+def test_class_weight_by_repetition(spark):
+    from lapsekit.ml.models import resample
+    d = spark.createDataFrame([(f"c{i}", i % 4 == 0) for i in range(4000)], "customer_id string, y boolean").withColumn("y", F.col("y").cast("int"))
+    n = {r["y"]: r["count"] for r in resample(d, "y", 2.5).groupBy("y").count().collect()}
+    assert n[0] == 3000 and abs(n[1] - 2500) < 80
+
+
+def test_cox_score_equation_is_zero(spark):
+    """At the fit, the penalised score of the partial likelihood (Breslow ties) vanishes."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 2))
+    t, e = rng.integers(1, 30, 120), rng.integers(0, 2, 120)
+    df = spark.createDataFrame([(int(a), int(b), float(c), float(d)) for a, b, (c, d) in zip(t, e, x)], "t int, e int, x0 double, x1 double")
+    coef = {r["covariate"]: r["coef"] for r in V.cox_fit(df, "t", "e", ["x0", "x1"], penalizer=0.1).collect()}
+    sd = x.std(axis=0, ddof=1)
+    z = (x - x.mean(axis=0)) / sd
+    beta = np.array([coef["x0"], coef["x1"]]) * sd
+    w = np.exp(z @ beta)
+    score = -120 * 0.1 * beta
+    for i in np.flatnonzero(e):
+        risk = t >= t[i]
+        score += z[i] - (w[risk, None] * z[risk]).sum(axis=0) / w[risk].sum()
+    assert np.abs(score).max() < 1e-6
+
+
+def test_ltv_curve_and_clip(spark):
+    d = spark.createDataFrame([(f"c{i}", float(i)) for i in range(1, 101)], "customer_id string, ltv_approx double")
+    c = {r["point"]: r for r in A.ltv_curve(d).collect()}
+    assert c[1]["ltv_share_pct"] == pytest.approx(100 * 100 / 5050, abs=1e-6) and c[100]["ltv_share_pct"] == 100.0
+    assert A.ltv_clipped(d).agg(F.max("ltv_approx_clipped")).first()[0] == pytest.approx(99.01)
 
 
 def test_cox_direction(spark):
