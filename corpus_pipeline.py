@@ -21,14 +21,19 @@ MIN_SCORE = 0.35
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The whole row as one struct beside its text, so that no new column can clash with one of the row's."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    """The text, and the other columns as one struct, so that no new column can clash with one of them."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select(rest.alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def _unpacked(out: DataFrame, columns: list[str]) -> DataFrame:
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told: ``und``, or a score under ``MIN_SCORE``."""
     out = with_language(_packed(docs), fit(docs))
-    return out.filter((F.col("language.lang") != UNKNOWN) & (F.col("language.score") >= MIN_SCORE)).select("row.*")
+    return _unpacked(out.filter((F.col("language.lang") != UNKNOWN) & (F.col("language.score") >= MIN_SCORE)), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return with_leaks(_packed(docs), benchmark).filter(F.size("leaks") == 0).select("row.*")
+    return _unpacked(with_leaks(_packed(docs), benchmark).filter(F.size("leaks") == 0), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lapsekit.llm.common import buffers, pieces, tree_sum, word_hashes
+from lapsekit.llm.common import buffers, pieces, release, releasing, tree_sum, word_hashes
 
 FEATURES = 2048
 RANK, SKETCH = 48, 64
@@ -86,7 +86,7 @@ class LatentSpace:
     @classmethod
     def fit(cls, docs: DataFrame, text_col: str = "text") -> LatentSpace:
         """From all passages of all documents. Partial sums are added up by tasks before they reach the driver."""
-        parts = docs.select(F.lower(F.col(text_col)).alias("text")).mapInArrow(_statistics, "part binary")
+        parts = docs.select(F.lower(F.col(text_col)).alias("text")).mapInArrow(releasing(_statistics), "part binary")
         total = tree_sum(parts, 1 + FEATURES * (1 + SKETCH))
         return cls(cls._decompose(total[0], total[1:1 + FEATURES], total[1 + FEATURES:].reshape(FEATURES, SKETCH)))
 
@@ -248,6 +248,7 @@ def search_udf(search: Search):
             low = offsets[a]
             for d, i, share in search.run(data[low:offsets[b]], offsets[a:b + 1] - low):
                 out[a + d].append({"item_id": search.passages.ids[i], "share": share})
+        release()
         return pa.array([sorted(x, key=lambda m: m["item_id"]) for x in out], kind)
 
     return find

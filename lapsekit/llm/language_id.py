@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lapsekit.llm.common import buffers, pieces
+from lapsekit.llm.common import buffers, pieces, release
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # a width
@@ -206,6 +206,7 @@ def predict_udf(net: ByteConvNet | None):
             best = total.argmax(axis=1)
             langs[first:end][own] = names[best][own]
             scores[first:end][own] = np.minimum(total.max(axis=1), 1)[own]
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], names=["lang", "score"])
 
     return predict

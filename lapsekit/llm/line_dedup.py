@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lapsekit.llm.common import buffers, cut_table, salted_lookup, with_unique_ids
+from lapsekit.llm.common import buffers, cut_table, release, releasing, salted_lookup, with_unique_ids
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Line rows a shard serves; the number of shards follows the table.
@@ -120,7 +120,7 @@ def _postings(min_chars: int):
                 [pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])),
                  batch.column(0).take(pa.array(np.concatenate(at)))], names=["h1", "h2", "_id"])
 
-    return run
+    return releasing(run)
 
 
 def postings(rows: DataFrame, min_chars: int) -> DataFrame:
@@ -246,6 +246,7 @@ def _rebuild(min_chars: int):
             texts.append(b"\n".join(kept))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
+        release()
         return pa.StructArray.from_arrays(
             [pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()), pa.array(n_lines, pa.int64()),
              pa.array(n_dropped, pa.int64())], names=["text", "n_lines", "n_dropped"])

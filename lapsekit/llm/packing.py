@@ -16,13 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lapsekit.llm.common import buffers, cut_table, global_rank, pieces, with_unique_ids
+from lapsekit.llm.common import buffers, cut_table, global_rank, pieces, releasing, with_unique_ids
 from lapsekit.llm.words import word_ids
 
 CAPACITY = 4096
 END_ID = 1
 #: Bytes of text tokenized at a time, so that what repeats in them is tokenized once.
-CHUNK = 12 << 20
+CHUNK = 4 << 20
 
 
 def _cut(vocabulary: str, capacity: int):
@@ -45,7 +45,7 @@ def _cut(vocabulary: str, capacity: int):
                      pa.array(start), pa.array(length), pa.array(crc)],
                     names=["_id", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return releasing(run)
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lapsekit.llm.common import buffers, cut_table, pieces, prefix_sums, ragged, with_unique_ids
+from lapsekit.llm.common import buffers, cut_table, pieces, prefix_sums, ragged, release, releasing, with_unique_ids
 
 SPAN = 100
 ANCHOR = 36
@@ -134,7 +134,7 @@ def _emit(span: int, anchor: int):
                 [pa.array(x) for x in (value, run_hash, doc, start, count.astype(np.int32))],
                 names=["anchor", "run", "_id", "start", "starts"])
 
-    return run
+    return releasing(run)
 
 
 def meet(rows: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
@@ -286,7 +286,7 @@ def _cut(span: int):
                 [flat.field("anchor"), batch.column("_id").take(pa.array(doc)), pa.array(start),
                  pa.array(parts, pa.binary())], names=["anchor", "_id", "start", "part"])
 
-    return run
+    return releasing(run)
 
 
 def _sort(span: int):
@@ -331,7 +331,7 @@ def _sort(span: int):
         if held:
             yield result(held)
 
-    return run
+    return releasing(run)
 
 
 DONE = "struct<n_bytes:bigint,spans:array<struct<start:bigint,end:bigint>>,kept:binary>"
@@ -363,6 +363,7 @@ def _remove(span: int):
             stay[ragged(low, high - low)] = False
             kept.append(own[stay].tobytes())
             spans.append([{"start": x, "end": y} for x, y in zip(low.tolist(), high.tolist())])
+        release()
         return pa.StructArray.from_arrays(
             [pa.array(sizes), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
              pa.array(kept, pa.binary())], names=["n_bytes", "spans", "kept"])

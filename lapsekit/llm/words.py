@@ -12,7 +12,7 @@ import regex
 from lapsekit.llm.common import ragged, word_hashes
 
 #: Words and pre-tokens a worker remembers; at this many it starts anew. Both only save work.
-WORDS_KEPT, PRETOKENS_KEPT = 2_000_000, 400_000
+WORDS_KEPT, PRETOKENS_KEPT = 600_000, 250_000
 
 #: True for bytes of words ``[^\x20\x09-\x0D]+``.
 NOT_SPACE = np.ones(256, bool)
@@ -92,18 +92,23 @@ class WordIds:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used:self.used + len(flat)] = flat
-        all_hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(all_hashes, kind="stable")
-        self.hashes = all_hashes[order]
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])[order]
-        self.lengths = np.concatenate([self.lengths, lengths])[order]
+        at = np.searchsorted(self.hashes, hashes)  # both are sorted
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(lengths) - lengths)
+        self.lengths = np.insert(self.lengths, at, lengths)
         self.used += len(flat)
 
     def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct word hashes (sorted), the place in them of every word, the first word of each document (n + 1),
         and the place of each distinct word in this object's table, which holds its ids until the next call."""
         hashes, start, end, first = word_hashes(data, offsets, NOT_SPACE)
-        distinct, index, which = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        first_of = np.ones(len(ranked), bool)
+        np.not_equal(ranked[1:], ranked[:-1], out=first_of[1:])
+        distinct, index = ranked[first_of], order[first_of]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(first_of) - 1
         if len(self.hashes) + len(distinct) > WORDS_KEPT:
             self.clear()
         at = np.searchsorted(self.hashes, distinct)
@@ -116,7 +121,7 @@ class WordIds:
             words = [raw[a:b] for a, b in zip(start[places].tolist(), end[places].tolist())]
             self._learn(distinct[new], words)
             at = np.searchsorted(self.hashes, distinct)
-        return distinct, which.reshape(-1), first, at
+        return distinct, which, first, at
 
     def ids(self, at: np.ndarray) -> np.ndarray:
         """Ids of the table's words ``at``, one after the other."""
