@@ -22,9 +22,9 @@ def corpus(n=120, seed=0):
             lines.insert(0, shared[i % len(shared)].upper() if i % 2 else "  " + shared[i % len(shared)])
         text = "\n".join(lines)
         if i % 10 == 7:
-            text = rows[i - 5][1]
+            text, lang = rows[i - 5][1:3]
         elif i % 10 == 8:
-            text = rows[i - 3][1].replace(".", "!", 1).swapcase()
+            text, lang = rows[i - 3][1].replace(".", "!", 1).swapcase(), rows[i - 3][2]
         rows.append((i, text, lang, f"src{0 if i % 3 else i % 7}", len(text)))
     return rows
 
