@@ -19,8 +19,8 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "labels": testdata.labels(spark, sf_dir),
         "members": testdata.members(spark, sf_dir),
-        "transactions": testdata.transactions(spark, sf_dir),
-        "user_logs": testdata.user_logs(spark, sf_dir),
+        "transactions": testdata.transactions(spark, sf_dir, until_cutoff=True),
+        "user_logs": testdata.user_logs(spark, sf_dir, until_cutoff=True),
     }
 
 

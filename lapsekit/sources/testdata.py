@@ -63,9 +63,12 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
                     date_to_ymd("first_order").alias("registration_init_time")))
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, until_cutoff: bool = False) -> DataFrame:
+    """``until_cutoff`` leaves out later orders at the scan: the filter is on the stored column, so it is pushed down."""
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                            "o_orderdate", "o_orderpriority")
+    if until_cutoff:
+        o = o.filter(F.col("o_orderdate") < F.lit(CUTOFF + dt.timedelta(days=1)))
     # Per-order discount in whole percent points; integer math keeps it exact.
     li = (_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount")
           .groupBy("l_orderkey")
@@ -91,8 +94,11 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_logs(spark: SparkSession, sf_dir: str, until_cutoff: bool = False) -> DataFrame:
+    """``until_cutoff`` leaves out events after the day that is mapped onto the cutoff, at the scan."""
     ev = _t(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value", "props")
+    if until_cutoff:
+        ev = ev.filter(F.col("ts") < F.lit(dt.datetime.combine(EVENT_ANCHOR + dt.timedelta(days=1), dt.time())))
     day = F.date_add(F.lit(CUTOFF), F.datediff(F.to_date("ts"), F.lit(EVENT_ANCHOR)) * EVENT_STRETCH)
     aggs = [F.count_if(F.col("event_type") == et).cast("long").alias(name) for name, et in PLAY_BUCKETS.items()]
     return (ev.withColumn("log_day", day)
