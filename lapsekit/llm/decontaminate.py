@@ -24,7 +24,7 @@ PASSAGE = 128  # words
 BLOCK = 4  # words between windows
 #: Window lengths in blocks, for passages of about as many words.
 LENGTHS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 14, 16, 20, 25, 32, 40, 50, 64, 80, 100, 128)
-COSINE = 0.7
+COSINE = 0.65
 #: A document holds a passage if their longest common subsequence has this share of the passage's words, or the
 #: smaller share and that much of the answer, in order.
 OVERLAP, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
