@@ -54,7 +54,7 @@ def safe_div(num, den) -> Column:
 
 def r6(c) -> Column:
     """Round derived doubles to 6 decimals so two engines agree bit for bit."""
-    return F.round(_c(c).cast("double"), 6)
+    return F.bround(_c(c).cast("double"), 6)
 
 
 def clip_low(c, lo) -> Column:

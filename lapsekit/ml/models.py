@@ -33,7 +33,7 @@ from lapsekit.sources.tables import read_text, write_text
 def class_weight(df: DataFrame, label: str = "is_churn") -> DataFrame:
     """n_neg / n_pos and its square root (one aggregate)."""
     return df.agg((F.count_if(F.col(label) == 0) / F.count_if(F.col(label) == 1)).alias("__w")) \
-        .select(F.round("__w", 6).alias("pos_weight"), F.round(F.sqrt("__w"), 6).alias("pos_weight_sqrt"))
+        .select(F.bround("__w", 6).alias("pos_weight"), F.bround(F.sqrt("__w"), 6).alias("pos_weight_sqrt"))
 
 
 def with_weights(df: DataFrame, label: str, pos_weight: float, col: str = "weight") -> DataFrame:

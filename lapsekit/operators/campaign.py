@@ -199,7 +199,7 @@ def overview(scores: DataFrame, ledger: DataFrame, campaigns: DataFrame) -> Data
                    F.count_if(F.col("lifecycle_status") == "active").alias("active"),
                    F.count_if(F.col("lifecycle_status") == "grace").alias("grace"),
                    F.count_if(F.col("lifecycle_status") == "lapsed").alias("lapsed"),
-                   F.round(F.avg("churn_proba"), 6).alias("avg_churn_proba"))
+                   F.bround(F.avg("churn_proba"), 6).alias("avg_churn_proba"))
     b = ledger.agg(F.count(F.lit(1)).alias("actions"), F.count_distinct("customer_id").alias("contacted_customers"))
     c = campaigns.agg(F.count(F.lit(1)).alias("campaigns"))
     return a.crossJoin(b).crossJoin(c)

@@ -227,7 +227,7 @@ def assemble(labels: DataFrame, split: DataFrame, *features: DataFrame, key: str
 
 def coverage(df: DataFrame, marker_cols: dict[str, str]) -> DataFrame:
     """X5 coverage rates: share of rows whose marker column is present."""
-    return df.agg(*[F.round(F.avg(F.col(c).isNotNull().cast("double")), 6).alias(n) for n, c in marker_cols.items()])
+    return df.agg(*[F.bround(F.avg(F.col(c).isNotNull().cast("double")), 6).alias(n) for n, c in marker_cols.items()])
 
 
 def presence_flags(df: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def impute_fit(df: DataFrame, cols: Sequence[str], split_col: str = "split", fit
     from lapsekit.operators.ordering import exact_quantiles
 
     q = exact_quantiles(df.filter(F.col(split_col) == fit_on), cols, [0.5])
-    q = q.withColumn("value", F.round("value", 6))
+    q = q.withColumn("value", F.bround("value", 6))
     return q.groupBy().pivot("column", list(cols)).agg(F.first("value"))
 
 

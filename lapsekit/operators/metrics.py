@@ -36,26 +36,26 @@ def score_distribution(df: DataFrame, score: str, label: str, groups: Sequence[s
 
 
 def _auc() -> Column:
-    return F.round(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
+    return F.bround(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
                    / (F.first("pos_total") * F.first("neg_total")), 6)
 
 
 def _ap() -> Column:
-    return F.round(F.sum(F.col("pos") / F.col("pos_total") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6)
+    return F.bround(F.sum(F.col("pos") / F.col("pos_total") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6)
 
 
 def _best_threshold(score: str) -> tuple[Column, Column]:
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     rec = F.col("tp") / F.col("pos_total")
-    f1 = F.round(2 * prec * rec / (prec + rec + F1_GUARD), 12)
-    return F.max_by(F.col(score), F.struct(f1, -F.col(score))), F.round(F.max(f1), 6)
+    f1 = F.bround(2 * prec * rec / (prec + rec + F1_GUARD), 12)
+    return F.max_by(F.col(score), F.struct(f1, -F.col(score))), F.bround(F.max(f1), 6)
 
 
 def _rates() -> dict[str, Column]:
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * F.col("tp").cast("double"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
-    return {"precision": F.round(prec, 6), "recall": F.round(rec, 6), "f1": F.round(f1, 6)}
+    return {"precision": F.bround(prec, 6), "recall": F.bround(rec, 6), "f1": F.bround(f1, 6)}
 
 
 def roc_auc(dist: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -72,7 +72,7 @@ def log_loss(df: DataFrame, score: str, label: str, groups: Sequence[str] = ())
     """Mean binary cross-entropy, p clipped to [eps, 1-eps]."""
     p = F.least(F.greatest(F.col(score), F.lit(EPS)), F.lit(1 - EPS))
     y = F.col(label)
-    return df.groupBy(*groups).agg(F.round(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))), 6).alias("logloss"))
+    return df.groupBy(*groups).agg(F.bround(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))), 6).alias("logloss"))
 
 
 def threshold_metrics(df: DataFrame, score: str, label: str, threshold, groups: Sequence[str] = ()) -> DataFrame:
@@ -106,9 +106,9 @@ def top_fraction_metrics(df: DataFrame, score: str, label: str, key: str, frac:
         F.sum(label).alias("__P"), F.count(F.lit(1)).alias("__n"))
     prec = F.col("__tp") / F.col("selected_count")
     return g.select(*groups, F.lit(frac).alias("fraction"), "selected_count",
-                    F.round(prec, 6).alias("precision"),
-                    F.round(F.try_divide(F.col("__tp").cast("double"), F.col("__P")), 6).alias("recall"),
-                    F.round(F.try_divide(prec, F.col("__P") / F.col("__n")), 6).alias("lift"))
+                    F.bround(prec, 6).alias("precision"),
+                    F.bround(F.try_divide(F.col("__tp").cast("double"), F.col("__P")), 6).alias("recall"),
+                    F.bround(F.try_divide(prec, F.col("__P") / F.col("__n")), 6).alias("lift"))
 
 
 def selection_at_threshold(df: DataFrame, score: str, label: str, threshold: float,
@@ -118,8 +118,8 @@ def selection_at_threshold(df: DataFrame, score: str, label: str, threshold: flo
     g = df.groupBy(*groups).agg(F.count_if(sel).alias("__s"), F.count(F.lit(1)).alias("__n"),
                                 F.sum(F.when(sel, F.col(label)).otherwise(0)).alias("__tp"),
                                 F.sum(label).alias("__P"))
-    return g.select(*groups, F.round(F.col("__s") / F.col("__n"), 6).alias("selection_rate"),
-                    F.round(F.try_divide(F.try_divide(F.col("__tp").cast("double"), F.col("__s")),
+    return g.select(*groups, F.bround(F.col("__s") / F.col("__n"), 6).alias("selection_rate"),
+                    F.bround(F.try_divide(F.try_divide(F.col("__tp").cast("double"), F.col("__s")),
                                          F.col("__P") / F.col("__n")), 6).alias("lift"))
 
 
@@ -136,14 +136,14 @@ def evaluate(df: DataFrame, score: str, label: str, split: str = "split",
     dist = score_distribution(df, score, label, gs)
     p = F.least(F.greatest(F.col(score), F.lit(EPS)), F.lit(1 - EPS))
     loss = F.sum(-(F.col("pos") * F.log(p) + F.col("neg") * F.log(1 - p))) / F.sum(F.col("pos") + F.col("neg"))
-    first = cut_lineage(dist.groupBy(*gs).agg(_auc().alias("auc"), _ap().alias("ap"), F.round(loss, 6).alias("logloss"),
+    first = cut_lineage(dist.groupBy(*gs).agg(_auc().alias("auc"), _ap().alias("ap"), F.bround(loss, 6).alias("logloss"),
                                               _best_threshold(score)[0].alias("threshold")))  # a row per group
     thr = first.filter(F.col(split) == threshold_from).select(*g, "threshold")
     hit = F.col(score) >= F.col("threshold")
     tm = null_safe_join(dist, thr, g, "inner", check=True).groupBy(*gs).agg(
         F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(hit, 0).otherwise(F.col("pos"))).alias("fn"), F.sum(F.when(hit, 0).otherwise(F.col("neg"))).alias("tn"),
-        F.round(F.first("threshold"), 6).alias("threshold"))
+        F.bround(F.first("threshold"), 6).alias("threshold"))
     return null_safe_join(first.drop("threshold"), tm.withColumns(_rates()), gs, "inner", check=True)
 
 
@@ -158,7 +158,7 @@ def compare_models(df: DataFrame, scores: Sequence[str], label: str, split: str
     out = evaluate(long, "__score", label, split, groups=["model"])
     out = cut_lineage(out)  # a row per model and split
     tr = out.filter(F.col(split) == "train").select("model", F.col("auc").alias("__tr"))
-    return out.join(tr, "model").withColumn("overfit_gap", F.round(F.col("__tr") - F.col("auc"), 6)).drop("__tr")
+    return out.join(tr, "model").withColumn("overfit_gap", F.bround(F.col("__tr") - F.col("auc"), 6)).drop("__tr")
 
 
 def model_stats_export(stats: DataFrame, champion: DataFrame, key: str = "model",

@@ -136,7 +136,7 @@ def avg_percentile(df: DataFrame, score: str, out: str = "percentile") -> DataFr
     """
     cnt = df.groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
     cnt = sorted_prefix(cnt, [F.col(score).asc()], {"__before": F.col("__c")}, inclusive=False, totals=True)
-    cnt = cnt.withColumn(out, F.round((F.col("__before") + (F.col("__c") + 1) / 2.0) / F.col("__before_total") * 100, 2))
+    cnt = cnt.withColumn(out, F.bround((F.col("__before") + (F.col("__c") + 1) / 2.0) / F.col("__before_total") * 100, 2))
     return null_safe_join(df, cnt.select(score, out), [score])
 
 

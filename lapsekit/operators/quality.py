@@ -21,7 +21,7 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                   *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     long = wide.unpivot(["__n"], cols, "column", "nulls")
     return long.select("column", F.col("nulls").cast("long").alias("nulls"),
-                       F.round(F.col("nulls") / F.col("__n") * 100, 6).alias("null_pct"))
+                       F.bround(F.col("nulls") / F.col("__n") * 100, 6).alias("null_pct"))
 
 
 def distinct_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -46,11 +46,11 @@ def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     base = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("kv")) \
         .select("kv.*").groupBy("column").agg(
-            F.count("v").alias("count"), F.round(F.avg("v"), 6).alias("mean"),
-            F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+            F.count("v").alias("count"), F.bround(F.avg("v"), 6).alias("mean"),
+            F.bround(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     qw = q.groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
-    qw = qw.select("column", *[F.round(F.col(f"`{p}`"), 6).alias(n) for p, n in
+    qw = qw.select("column", *[F.bround(F.col(f"`{p}`"), 6).alias(n) for p, n in
                                ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
     return base.join(qw, "column", "left")
 
@@ -64,7 +64,7 @@ def moments(df: DataFrame, col_ranges: dict[str, tuple[float, float]]) -> DataFr
                   F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
     wide = df.agg(*parts)
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("count"),
-                     F.round(F.col(f"{c}__mean"), 6).alias("mean"), F.round(F.col(f"{c}__std"), 6).alias("std"),
+                     F.bround(F.col(f"{c}__mean"), 6).alias("mean"), F.bround(F.col(f"{c}__std"), 6).alias("std"),
                      F.col(f"{c}__min").cast("double").alias("min"), F.col(f"{c}__max").cast("double").alias("max"))
             for c in col_ranges]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
@@ -77,7 +77,7 @@ def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int) -> DataF
     x = F.least(F.col(col).cast("double"), F.lit(float(hi)))
     b = F.least(F.floor((x - lo) / w), F.lit(bins - 1)).cast("int")
     return df.filter(F.col(col) >= lo).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count")) \
-        .withColumn("bin_start", F.round(F.lit(float(lo)) + F.col("bin") * w, 6))
+        .withColumn("bin_start", F.bround(F.lit(float(lo)) + F.col("bin") * w, 6))
 
 
 def monthly_volume(df: DataFrame, date_col: str, dense: bool = True) -> DataFrame:
@@ -109,8 +109,8 @@ def compare(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str], to
         a, b = F.col(f"__l_{c}").cast("double"), F.col(f"__r_{c}").cast("double")
         same = F.when(a.isNull() & b.isNull(), True).otherwise(F.coalesce(F.abs(a - b) < tol, F.lit(False)))
         aggs += [F.avg(same.cast("double")).alias(f"{c}__m"), F.avg(F.abs(a - b)).alias(f"{c}__e")]
-        rows.append(F.struct(F.lit(c).alias("column"), F.round(F.col(f"{c}__m"), 6).alias("match_rate"),
-                             F.round(F.col(f"{c}__e"), 6).alias("mean_abs_error")))
+        rows.append(F.struct(F.lit(c).alias("column"), F.bround(F.col(f"{c}__m"), 6).alias("match_rate"),
+                             F.bround(F.col(f"{c}__e"), 6).alias("mean_abs_error")))
     return j.agg(*aggs).select("__n", F.explode(F.array(*rows)).alias("r")) \
         .select(F.col("__n").alias("compared_rows"), "r.*")
 
@@ -124,7 +124,7 @@ def value_counts(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     """Counts per value with the normalised share, largest first (ties by value)."""
     cnt = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     tot = df.agg(F.count(F.lit(1)).alias("__t"))
-    out = cnt.crossJoin(F.broadcast(tot)).withColumn("share", F.round(F.col("count") / F.col("__t"), 6)).drop("__t")
+    out = cnt.crossJoin(F.broadcast(tot)).withColumn("share", F.bround(F.col("count") / F.col("__t"), 6)).drop("__t")
     if top:
         out = out.orderBy(F.col("count").desc(), F.col(col).asc_nulls_first()).limit(top)
     return out
@@ -133,13 +133,13 @@ def value_counts(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
 def group_rate(df: DataFrame, group: Column | str, label: str, value: str | None = None) -> DataFrame:
     """G9 helper: customers, churn rate, min/max of ``value`` and share of total per group."""
     g = F.col(group) if isinstance(group, str) else group
-    aggs = [F.count(F.lit(1)).alias("customers"), F.round(F.avg(label), 6).alias("churn_rate")]
+    aggs = [F.count(F.lit(1)).alias("customers"), F.bround(F.avg(label), 6).alias("churn_rate")]
     if value:
         aggs += [F.min(value).alias("min_value"), F.max(value).alias("max_value")]
     out = df.groupBy(g.alias("group")).agg(*aggs)
     tot = df.agg(F.count(F.lit(1)).alias("__t"))
     return out.crossJoin(F.broadcast(tot)).withColumn(
-        "customer_pct", F.round(F.col("customers") / F.col("__t") * 100, 6)).drop("__t")
+        "customer_pct", F.bround(F.col("customers") / F.col("__t") * 100, 6)).drop("__t")
 
 
 def univariate_auc(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
@@ -157,16 +157,16 @@ def univariate_auc(df: DataFrame, label: str, features: Sequence[str]) -> DataFr
     a = d.groupBy("feature").agg(
         (F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
          / (F.sum("pos") * F.sum("neg"))).alias("__a"))
-    return a.select("feature", F.round("__a", 6).alias("auc"),
-                    F.round(F.greatest(F.col("__a"), 1 - F.col("__a")), 6).alias("directional_auc"),
+    return a.select("feature", F.bround("__a", 6).alias("auc"),
+                    F.bround(F.greatest(F.col("__a"), 1 - F.col("__a")), 6).alias("directional_auc"),
                     F.when(F.col("__a") >= 0.5, "higher_churns").otherwise("lower_churns").alias("direction"))
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     """Q13: class counts, positive rate and the majority-class baseline accuracy."""
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(label).cast("long").alias("positives"),
-                  F.round(F.avg(label), 6).alias("positive_rate"),
-                  F.round(F.greatest(F.avg(label), 1 - F.avg(label)), 6).alias("majority_accuracy"))
+                  F.bround(F.avg(label), 6).alias("positive_rate"),
+                  F.bround(F.greatest(F.avg(label), 1 - F.avg(label)), 6).alias("majority_accuracy"))
 
 
 def per_key_distribution(df: DataFrame, key: str) -> DataFrame:
@@ -181,10 +181,10 @@ def ratio_of_means(df: DataFrame, num: Sequence[str], den: Sequence[str], name:
                *[F.avg(c).alias(f"__d{i}") for i, c in enumerate(den)])
     n = sum(F.col(f"__n{i}") for i in range(len(num)))
     d = sum(F.col(f"__d{i}") for i in range(len(den)))
-    return a.select(F.round(n / d, 6).alias(name))
+    return a.select(F.bround(n / d, 6).alias(name))
 
 
 def mean_abs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean absolute value per column, long form, largest first."""
     wide = df.agg(*[F.avg(F.abs(F.col(c))).alias(c) for c in cols])
-    return wide.unpivot([], list(cols), "feature", "mean_abs").withColumn("mean_abs", F.round("mean_abs", 6))
+    return wide.unpivot([], list(cols), "feature", "mean_abs").withColumn("mean_abs", F.bround("mean_abs", 6))

@@ -51,7 +51,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                      count_if(event_type = 'click') AS num_25, count_if(event_type = 'view') AS num_50,
                      count_if(event_type = 'signup') AS num_75, count_if(event_type = 'error') AS num_985,
                      count_if(event_type = 'purchase') AS num_100,
-                     count(DISTINCT props) AS num_unq, round(sum(value), 2) AS total_secs
+                     count(DISTINCT props) AS num_unq, round_even(sum(value), 2) AS total_secs
               FROM events GROUP BY 1, 2) x"""),
     "churn_labels": ([], """
         SELECT 'c' || c.c_custkey AS customer_id, CAST(CASE WHEN l.o_custkey IS NULL THEN 1 ELSE 0 END AS INTEGER) AS is_churn
@@ -91,11 +91,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM (SELECT customer_id, count(*) AS txn_count,
                      count(DISTINCT payment_method_id) AS payment_method_nunique,
                      count(DISTINCT payment_plan_days) AS plan_days_nunique,
-                     round(sum(is_auto_renew) / count(*), 6) AS auto_renew_rate,
+                     round_even(sum(is_auto_renew) / count(*), 6) AS auto_renew_rate,
                      CAST(sum(is_cancel) AS BIGINT) AS cancel_count,
-                     round(sum(is_cancel) / count(*), 6) AS cancel_rate,
+                     round_even(sum(is_cancel) / count(*), 6) AS cancel_rate,
                      CAST(sum(actual_amount_paid) AS DOUBLE) AS total_amount_paid,
-                     round(CAST(sum(discount) AS DOUBLE) / count(*), 6) AS avg_discount
+                     round_even(CAST(sum(discount) AS DOUBLE) / count(*), 6) AS avg_discount
               FROM txn_clean GROUP BY customer_id) a
         JOIN (SELECT customer_id, payment_plan_days AS last_payment_plan_days,
                      CAST(plan_list_price AS DOUBLE) AS last_plan_list_price,
@@ -145,13 +145,13 @@ def _log_feat_sql() -> str:
         ld = _wsum("logdays", nb)
         cols += [
             f"CAST({ld} AS BIGINT) AS {win}_active_days",
-            f"round({_div(_wsum('num_unq_sum', nb), ld)}, 6) AS {win}_avg_num_unq",
-            f"round({_div(_wsum('secs_sum', nb), _wsum('secs_n', nb))}, 6) AS {win}_avg_total_secs",
-            f"round({_div(_wsum('num_100_sum', nb), _wsum('total_plays_sum', nb))}, 6) AS {win}_completion_rate",
+            f"round_even({_div(_wsum('num_unq_sum', nb), ld)}, 6) AS {win}_avg_num_unq",
+            f"round_even({_div(_wsum('secs_sum', nb), _wsum('secs_n', nb))}, 6) AS {win}_avg_total_secs",
+            f"round_even({_div(_wsum('num_100_sum', nb), _wsum('total_plays_sum', nb))}, 6) AS {win}_completion_rate",
         ]
     rec = _div(_wsum_range("secs_sum", ["b0_6", "b7_14"]), _wsum_range("secs_n", ["b0_6", "b7_14"]))
     pri = f"NULLIF({_div(_wsum_range('secs_sum', ['b15_29']), _wsum_range('secs_n', ['b15_29']))}, 0)"
-    cols.append(f"round(({rec} - {pri}) / {pri}, 6) AS trend_secs_recent15_vs_prior15")
+    cols.append(f"round_even(({rec} - {pri}) / {pri}, 6) AS trend_secs_recent15_vs_prior15")
     return "SELECT " + ",\n".join(cols) + " FROM log_part"
 
 

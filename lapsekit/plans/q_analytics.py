@@ -24,7 +24,7 @@ PROBA_SQL = "CAST((CAST(substr(customer_id, 2) AS BIGINT) * 7919) % 10007 AS DOU
 # ---------------------------------------------------------------- cohorts
 VIEWS["cohorts"] = (["transactions"], """
     SELECT cohort_month, month_offset, active_users, cohort_size,
-           round(active_users / cohort_size * 100, 6) AS retention_pct
+           round_even(active_users / cohort_size * 100, 6) AS retention_pct
     FROM (SELECT c.cohort_month, CAST(date_diff('month', c.cohort_month, t.m) AS INTEGER) AS month_offset,
                  count(*) AS active_users
           FROM (SELECT DISTINCT customer_id, CAST(date_trunc('month', CAST(try_strptime(CAST(transaction_date AS VARCHAR), '%Y%m%d') AS DATE)) AS DATE) AS m
@@ -58,7 +58,7 @@ def q_complete(spark, sf):
 
 
 @query("retention_curve", sql(["cohorts"], """
-    SELECT month_offset, round(avg(retention_pct), 6) AS avg_retention_pct, count(*) AS cohorts
+    SELECT month_offset, round_even(avg(retention_pct), 6) AS avg_retention_pct, count(*) AS cohorts
     FROM cohorts WHERE cohort_month <= DATE '2000-02-01'
       AND cohort_month > (SELECT min(cohort_month) FROM cohorts WHERE cohort_month <= DATE '2000-02-01')
     GROUP BY 1"""))
@@ -89,8 +89,8 @@ def _funnel_sql(stages, first_den=True):
             den = "CAST(NULL AS BIGINT)"
         rows.append(f"SELECT {i + 1} AS stage_no, '{name}' AS stage, s{i} AS count, {den} AS denominator, s0 AS base FROM w")
     return ("WITH w AS (SELECT " + ", ".join(sel) + " FROM {src}) "
-            "SELECT stage_no, stage, count, denominator, round(count * 100 / denominator, 6) AS stage_conversion_pct, "
-            "round(count * 100 / base, 6) AS overall_pct FROM (" + " UNION ALL ".join(rows) + ") r")
+            "SELECT stage_no, stage, count, denominator, round_even(count * 100 / denominator, 6) AS stage_conversion_pct, "
+            "round_even(count * 100 / base, 6) AS overall_pct FROM (" + " UNION ALL ".join(rows) + ") r")
 
 
 _F4 = [("cohort", "TRUE"), ("has_transaction", "txn_count IS NOT NULL"), ("log_activity", "full_active_days IS NOT NULL"),
@@ -125,8 +125,8 @@ VIEWS["funnel_base"] = (["members", "txn_feat", "log_feat", "churn_labels"], """
           UNION ALL SELECT 2, 'first_payment', b, a, a FROM k UNION ALL SELECT 3, 'usage', c, b, a FROM k
           UNION ALL SELECT 4, 'repeat_usage', d, c, a FROM k UNION ALL SELECT 5, 'auto_renew', e, d, a FROM k
           UNION ALL SELECT 6, 'renewed', f, l, a FROM k)
-    SELECT stage_no, stage, count, denominator, round(count * 100 / NULLIF(denominator, 0), 6) AS stage_conversion_pct,
-           round(count * 100 / a, 6) AS overall_pct FROM r"""))
+    SELECT stage_no, stage, count, denominator, round_even(count * 100 / NULLIF(denominator, 0), 6) AS stage_conversion_pct,
+           round_even(count * 100 / a, 6) AS overall_pct FROM r"""))
 def q_funnel_all(spark, sf):
     """Six stages over all members via presence-flag left joins; NULL first
     denominator; the renewal stage counts within labelled customers."""
@@ -149,8 +149,8 @@ VIEWS["scored_base"] = (["churn_labels", "txn_feat"], f"""
     FROM (SELECT customer_id, {PROBA_SQL} AS churn_proba FROM churn_labels) s
     JOIN txn_feat t ON s.customer_id = t.customer_id""")
 VIEWS["valued"] = (["scored_base"], """
-    SELECT *, round(rev_txn, 6) AS avg_revenue_per_txn, round(monthly, 6) AS avg_monthly_revenue,
-           round(life, 6) AS expected_lifetime_months, round(monthly * life, 6) AS ltv_approx
+    SELECT *, round_even(rev_txn, 6) AS avg_revenue_per_txn, round_even(monthly, 6) AS avg_monthly_revenue,
+           round_even(life, 6) AS expected_lifetime_months, round_even(monthly * life, 6) AS ltv_approx
     FROM (SELECT *, total_amount_paid / GREATEST(txn_count, 1) AS rev_txn,
                  total_amount_paid / GREATEST(txn_count, 1) / (CAST(GREATEST(last_payment_plan_days, 7) AS DOUBLE) / CAST(30 AS DOUBLE)) AS monthly,
                  least(CAST(1 AS DOUBLE) / greatest(churn_proba, 0.01), CAST(60 AS DOUBLE)) AS life
@@ -219,15 +219,15 @@ def q_stage(spark, sf):
 
 
 @query("segment_counts", sql(["scoring"], """
-    SELECT segment, count(*) AS customers, round(avg(ltv_approx), 6) AS avg_ltv FROM scoring GROUP BY 1"""))
+    SELECT segment, count(*) AS customers, round_even(avg(ltv_approx), 6) AS avg_ltv FROM scoring GROUP BY 1"""))
 def q_segments(spark, sf):
     """2x2 risk/value segment sizes."""
     return scoring_table(spark, sf).groupBy("segment").agg(
-        F.count(F.lit(1)).alias("customers"), F.round(F.avg("ltv_approx"), 6).alias("avg_ltv"))
+        F.count(F.lit(1)).alias("customers"), F.bround(F.avg("ltv_approx"), 6).alias("avg_ltv"))
 
 
 @query("value_default_plan", sql(["churn_labels", "txn_feat"], f"""
-    SELECT customer_id, round(monthly, 6) AS avg_monthly_revenue FROM (
+    SELECT customer_id, round_even(monthly, 6) AS avg_monthly_revenue FROM (
       SELECT l.customer_id, COALESCE(t.total_amount_paid, 0) / GREATEST(COALESCE(t.txn_count, 0), 1)
              / (CAST(GREATEST(COALESCE(t.last_payment_plan_days, 30), 7) AS DOUBLE) / CAST(30 AS DOUBLE)) AS monthly
       FROM churn_labels l LEFT JOIN txn_feat t ON l.customer_id = t.customer_id) x"""))
@@ -246,9 +246,9 @@ def _valued(spark, sf):
 
 
 @query("ltv_concentration", sql(["valued"], """
-    SELECT round(quantile_cont(ltv_approx, 0.5), 6) AS ltv_median, round(quantile_cont(ltv_approx, 0.9), 6) AS ltv_p90,
-           round(quantile_cont(ltv_approx, 0.99), 6) AS ltv_p99,
-           round(sum(CASE WHEN rk <= greatest(floor(n * CAST(0.1 AS DOUBLE)), 1) THEN ltv_approx ELSE 0 END) / sum(ltv_approx) * 100, 6) AS top_share_pct,
+    SELECT round_even(quantile_cont(ltv_approx, 0.5), 6) AS ltv_median, round_even(quantile_cont(ltv_approx, 0.9), 6) AS ltv_p90,
+           round_even(quantile_cont(ltv_approx, 0.99), 6) AS ltv_p99,
+           round_even(sum(CASE WHEN rk <= greatest(floor(n * CAST(0.1 AS DOUBLE)), 1) THEN ltv_approx ELSE 0 END) / sum(ltv_approx) * 100, 6) AS top_share_pct,
            count(*) AS customers
     FROM (SELECT ltv_approx, row_number() OVER (ORDER BY ltv_approx DESC, customer_id) AS rk, count(*) OVER () AS n
           FROM valued WHERE ltv_approx >= 0) x"""))
@@ -258,8 +258,8 @@ def q_ltv(spark, sf):
 
 
 @query("ltv_curve", sql(["valued"], """
-    SELECT CAST(ceil(rk * 100 / n) AS INTEGER) AS point, max(rk) AS customers, round(max(rk) * 100 / max(n), 6) AS customer_pct,
-           round(max(c) * 100 / max(t), 6) AS ltv_share_pct
+    SELECT CAST(ceil(rk * 100 / n) AS INTEGER) AS point, max(rk) AS customers, round_even(max(rk) * 100 / max(n), 6) AS customer_pct,
+           round_even(max(c) * 100 / max(t), 6) AS ltv_share_pct
     FROM (SELECT row_number() OVER w AS rk, count(*) OVER () AS n, sum(ltv_approx) OVER (ORDER BY ltv_approx DESC, customer_id
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c, sum(ltv_approx) OVER () AS t
           FROM valued WHERE ltv_approx >= 0 WINDOW w AS (ORDER BY ltv_approx DESC, customer_id)) x GROUP BY 1"""))
@@ -289,7 +289,7 @@ def q_lifecycle_seg(spark, sf):
            CAST(CAST(churn_probability >= 0.75 AS INTEGER) = is_churn AS INTEGER) AS is_correct, percentile,
            CASE WHEN percentile >= 95 THEN 'critical' WHEN percentile >= 85 THEN 'high'
                 WHEN percentile >= 70 THEN 'medium' ELSE 'low' END AS risk_grade
-    FROM (SELECT *, round(((rank() OVER w) + (count(*) OVER (PARTITION BY churn_probability) - 1) / 2.0)
+    FROM (SELECT *, round_even(((rank() OVER w) + (count(*) OVER (PARTITION BY churn_probability) - 1) / 2.0)
                           / (count(*) OVER ()) * 100, 2) AS percentile
           FROM preds WINDOW w AS (ORDER BY churn_probability)) x"""))
 def q_export(spark, sf):
@@ -303,9 +303,9 @@ def q_export(spark, sf):
 
 # ---------------------------------------------------------------- marketing
 @query("risk_deciles", sql(["preds"], """
-    SELECT risk_decile, customers, churners, round(rate, 6) AS churn_rate, round(risk, 6) AS avg_predicted_risk,
-           round(rate / base, 6) AS lift, round(churners / pos * 100, 6) AS churn_capture_pct,
-           round(sum(churners / pos * 100) OVER (ORDER BY risk_decile ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative_capture_pct
+    SELECT risk_decile, customers, churners, round_even(rate, 6) AS churn_rate, round_even(risk, 6) AS avg_predicted_risk,
+           round_even(rate / base, 6) AS lift, round_even(churners / pos * 100, 6) AS churn_capture_pct,
+           round_even(sum(churners / pos * 100) OVER (ORDER BY risk_decile ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative_capture_pct
     FROM (SELECT bin AS risk_decile, count(*) AS customers, CAST(sum(is_churn) AS BIGINT) AS churners,
                  avg(is_churn) AS rate, avg(churn_probability) AS risk,
                  (SELECT avg(is_churn) FROM preds) AS base, (SELECT sum(is_churn) FROM preds) AS pos
@@ -335,10 +335,10 @@ _RULES_SQL = [
     ("high_risk_high_value", f"p >= {THRESHOLD} AND avg_monthly_revenue >= (SELECT quantile_cont(avg_monthly_revenue, 0.5) FROM marketing)"),
 ]
 VIEWS["targets"] = (["marketing"], """
-    SELECT r.rule_no, r.strategy, COALESCE(g.c, 0) AS customers, round(COALESCE(g.c, 0) / t.n * 100, 6) AS customer_pct,
-           CAST(COALESCE(g.p, 0) AS BIGINT) AS churners, round(g.p / g.c, 6) AS churn_rate,
-           round((g.p / g.c) / (t.pp / t.n), 6) AS lift, round(COALESCE(g.p, 0) / t.pp, 6) AS recall,
-           round(g.r, 6) AS avg_monthly_revenue
+    SELECT r.rule_no, r.strategy, COALESCE(g.c, 0) AS customers, round_even(COALESCE(g.c, 0) / t.n * 100, 6) AS customer_pct,
+           CAST(COALESCE(g.p, 0) AS BIGINT) AS churners, round_even(g.p / g.c, 6) AS churn_rate,
+           round_even((g.p / g.c) / (t.pp / t.n), 6) AS lift, round_even(COALESCE(g.p, 0) / t.pp, 6) AS recall,
+           round_even(g.r, 6) AS avg_monthly_revenue
     FROM (VALUES """ + ", ".join(f"({i + 1}, '{n}')" for i, (n, _) in enumerate(_RULES_SQL)) + """) r(rule_no, strategy)
     LEFT JOIN (""" + " UNION ALL ".join(
     f"SELECT '{n}' AS strategy, count(*) AS c, sum(is_churn) AS p, avg(avg_monthly_revenue) AS r FROM ranked WHERE {cond}"
@@ -385,10 +385,10 @@ def q_targets(spark, sf):
 
 @query("roi_scenarios", sql(["targets"], """
     SELECT strategy, e AS assumed_prevented_churn_rate, customers AS selected_customers, churners AS historical_churners,
-           round(churners * e, 6) AS assumed_saved_customers, round(customers * 2.0 + customers * 0.2 * 30.0, 6) AS campaign_cost,
-           round(churners * e * (avg_monthly_revenue * 3 * 0.7), 6) AS assumed_gross_value,
-           round(churners * e * (avg_monthly_revenue * 3 * 0.7) - (customers * 2.0 + customers * 0.2 * 30.0), 6) AS assumed_net_value,
-           round(CASE WHEN churners > 0 AND avg_monthly_revenue * 3 * 0.7 > 0
+           round_even(churners * e, 6) AS assumed_saved_customers, round_even(customers * 2.0 + customers * 0.2 * 30.0, 6) AS campaign_cost,
+           round_even(churners * e * (avg_monthly_revenue * 3 * 0.7), 6) AS assumed_gross_value,
+           round_even(churners * e * (avg_monthly_revenue * 3 * 0.7) - (customers * 2.0 + customers * 0.2 * 30.0), 6) AS assumed_net_value,
+           round_even(CASE WHEN churners > 0 AND avg_monthly_revenue * 3 * 0.7 > 0
                       THEN (customers * 2.0 + customers * 0.2 * 30.0) / (churners * (avg_monthly_revenue * 3 * 0.7)) END, 6) AS break_even_prevented_rate
     FROM targets CROSS JOIN (VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(0.15 AS DOUBLE))) e(e)"""))
 def q_roi(spark, sf):
@@ -398,8 +398,8 @@ def q_roi(spark, sf):
 
 
 @query("recency_retention", sql(["txn_feat", "churn_labels"], """
-    SELECT c.cutoff, round(COALESCE(sum(CASE WHEN d.days_since_last_txn >= c.cutoff THEN 1 ELSE 0 END), 0) / (SELECT count(*) FROM txn_feat t JOIN churn_labels l USING (customer_id)) * 100, 6) AS user_share_pct,
-           round((1 - sum(CASE WHEN d.days_since_last_txn >= c.cutoff THEN d.is_churn END) / sum(CASE WHEN d.days_since_last_txn >= c.cutoff THEN 1 END)) * 100, 6) AS retention_pct
+    SELECT c.cutoff, round_even(COALESCE(sum(CASE WHEN d.days_since_last_txn >= c.cutoff THEN 1 ELSE 0 END), 0) / (SELECT count(*) FROM txn_feat t JOIN churn_labels l USING (customer_id)) * 100, 6) AS user_share_pct,
+           round_even((1 - sum(CASE WHEN d.days_since_last_txn >= c.cutoff THEN d.is_churn END) / sum(CASE WHEN d.days_since_last_txn >= c.cutoff THEN 1 END)) * 100, 6) AS retention_pct
     FROM (SELECT unnest(range(10, 150, 10)) AS cutoff) c
     CROSS JOIN (SELECT t.days_since_last_txn, l.is_churn FROM txn_feat t JOIN churn_labels l USING (customer_id)) d
     GROUP BY c.cutoff"""))
@@ -440,17 +440,17 @@ def _design(spark, sf):
         F.count(F.lit(1)).alias("customers"), F.avg("is_churn").alias("baseline_rate"))
 
 
-@query("design_candidates", sql(["design"], "SELECT segment, customers, round(baseline_rate, 6) AS baseline_rate FROM design WHERE customers > 0"))
+@query("design_candidates", sql(["design"], "SELECT segment, customers, round_even(baseline_rate, 6) AS baseline_rate FROM design WHERE customers > 0"))
 def q_design(spark, sf):
     """C17: candidate experiment segments and their baseline churn."""
-    return _design(spark, sf).withColumn("baseline_rate", F.round("baseline_rate", 6))
+    return _design(spark, sf).withColumn("baseline_rate", F.bround("baseline_rate", 6))
 
 
 _Z = A.z_value(1 - 0.05 / len(_DESIGN_SQL) / 2) + A.z_value(0.8)
 
 
 @query("power_table", sql(["design"], f"""
-    SELECT segment, round(baseline_rate, 6) AS baseline_rate, mde, {0.05 / len(_DESIGN_SQL)!r} AS alpha,
+    SELECT segment, round_even(baseline_rate, 6) AS baseline_rate, mde, {0.05 / len(_DESIGN_SQL)!r} AS alpha,
            CAST(ceil({_Z * _Z!r} * (baseline_rate * (1 - baseline_rate) + (baseline_rate + mde) * (1 - (baseline_rate + mde)))
                 / (((baseline_rate + mde) - baseline_rate) * ((baseline_rate + mde) - baseline_rate))) AS BIGINT) AS n_per_arm
     FROM design CROSS JOIN (VALUES {", ".join(f"(CAST({m} AS DOUBLE))" for m in _MDES)}) g(mde) WHERE customers > 0"""))
@@ -484,10 +484,10 @@ def q_arms(spark, sf):
     WITH g AS (SELECT arm, count(*) AS n, CAST(sum(1 - l.is_churn) AS BIGINT) AS successes, sum(1 - l.is_churn) / count(*) AS rate
                FROM arms a JOIN churn_labels l USING (customer_id) GROUP BY arm),
     c AS (SELECT n AS n0, rate AS r0 FROM g WHERE arm = 'control')
-    SELECT arm, n, successes, round(rate, 6) AS rate, round(rate - r0, 6) AS diff_vs_control,
-           round(rate - r0 - {A.z_value(0.975)!r} * sqrt(rate * (1 - rate) / n + r0 * (1 - r0) / n0), 6) AS ci_low,
-           round(rate - r0 + {A.z_value(0.975)!r} * sqrt(rate * (1 - rate) / n + r0 * (1 - r0) / n0), 6) AS ci_high,
-           round((rate - r0) / NULLIF(r0, 0), 6) AS relative_lift, 0.05 AS alpha,
+    SELECT arm, n, successes, round_even(rate, 6) AS rate, round_even(rate - r0, 6) AS diff_vs_control,
+           round_even(rate - r0 - {A.z_value(0.975)!r} * sqrt(rate * (1 - rate) / n + r0 * (1 - r0) / n0), 6) AS ci_low,
+           round_even(rate - r0 + {A.z_value(0.975)!r} * sqrt(rate * (1 - rate) / n + r0 * (1 - r0) / n0), 6) AS ci_high,
+           round_even((rate - r0) / NULLIF(r0, 0), 6) AS relative_lift, 0.05 AS alpha,
            abs(rate - r0) > {A.z_value(0.975)!r} * sqrt(rate * (1 - rate) / n + r0 * (1 - r0) / n0) AS significant
     FROM g CROSS JOIN c"""))
 def q_readout(spark, sf):
@@ -502,9 +502,9 @@ VIEWS["surv_base"] = (["member_feat", "churn_labels"], """
     FROM member_feat m JOIN churn_labels l ON m.customer_id = l.customer_id WHERE m.tenure_days IS NOT NULL""")
 VIEWS["km"] = (["surv_base"], """
     SELECT duration, at_risk, events, removed - events AS censored,
-           round(CASE WHEN sum(CASE WHEN events >= at_risk THEN 1 ELSE 0 END) OVER w > 0 THEN 0.0
+           round_even(CASE WHEN sum(CASE WHEN events >= at_risk THEN 1 ELSE 0 END) OVER w > 0 THEN 0.0
                       ELSE exp(sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) ELSE 0 END) OVER w) END, 6) AS survival,
-           round(sum(events / at_risk) OVER w, 6) AS cumulative_hazard
+           round_even(sum(events / at_risk) OVER w, 6) AS cumulative_hazard
     FROM (SELECT *, CAST(sum(removed) OVER () - COALESCE(sum(removed) OVER (ORDER BY duration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_risk
           FROM (SELECT duration, CAST(sum(event) AS BIGINT) AS events, count(*) AS removed FROM surv_base GROUP BY 1) d) r
     WINDOW w AS (ORDER BY duration ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
@@ -523,7 +523,7 @@ def q_km(spark, sf):
 
 
 @query("rmst", sql(["km"], """
-    SELECT round(sum(survival * (least(COALESCE(nx, 4722), 4722) - duration)) + least(greatest(min(duration), 0), 4722), 6) AS rmst,
+    SELECT round_even(sum(survival * (least(COALESCE(nx, 4722), 4722) - duration)) + least(greatest(min(duration), 0), 4722), 6) AS rmst,
            CAST(4722 AS DOUBLE) AS horizon
     FROM (SELECT *, lead(duration) OVER (ORDER BY duration) AS nx FROM km) k WHERE duration < 4722"""))
 def q_rmst(spark, sf):
@@ -533,9 +533,9 @@ def q_rmst(spark, sf):
 
 @query("km_subgroup", sql(["surv_base", "txn_feat"], """
     SELECT duration, at_risk, events, removed - events AS censored,
-           round(CASE WHEN sum(CASE WHEN events >= at_risk THEN 1 ELSE 0 END) OVER w > 0 THEN 0.0
+           round_even(CASE WHEN sum(CASE WHEN events >= at_risk THEN 1 ELSE 0 END) OVER w > 0 THEN 0.0
                       ELSE exp(sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) ELSE 0 END) OVER w) END, 6) AS survival,
-           round(sum(events / at_risk) OVER w, 6) AS cumulative_hazard
+           round_even(sum(events / at_risk) OVER w, 6) AS cumulative_hazard
     FROM (SELECT *, CAST(sum(removed) OVER () - COALESCE(sum(removed) OVER (ORDER BY duration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_risk
           FROM (SELECT duration, CAST(sum(event) AS BIGINT) AS events, count(*) AS removed
                 FROM surv_base s JOIN txn_feat t ON s.customer_id = t.customer_id
@@ -549,7 +549,7 @@ def q_km_sub(spark, sf):
 
 
 @query("smoothed_hazard", sql(["km"], """
-    SELECT p.duration, round(COALESCE(sum(CASE WHEN abs(p.duration - e.duration) <= 30
+    SELECT p.duration, round_even(COALESCE(sum(CASE WHEN abs(p.duration - e.duration) <= 30
              THEN 0.75 * (1 - ((p.duration - e.duration) / 30.0) * ((p.duration - e.duration) / 30.0)) * (e.events / e.at_risk) END) / 30.0, 0), 6) AS smoothed_hazard
     FROM km p LEFT JOIN (SELECT * FROM km WHERE events > 0) e ON abs(p.duration - e.duration) <= 30
     GROUP BY p.duration"""))
@@ -559,7 +559,7 @@ def q_hazard(spark, sf):
 
 
 @query("km_exponential", sql(["km", "surv_base"], """
-    SELECT duration, survival, round(exp(-(SELECT sum(event) * 365 / sum(duration) FROM surv_base) / 365 * duration), 6) AS exponential_survival
+    SELECT duration, survival, round_even(exp(-(SELECT sum(event) * 365 / sum(duration) FROM surv_base) / 365 * duration), 6) AS exponential_survival
     FROM km"""))
 def q_km_exp(spark, sf):
     """V1: the KM curve beside the exponential curve of the yearly churn rate."""

@@ -192,7 +192,7 @@ def q_search_total(spark, sf):
 @query("overview", sql(["scoring", "ledger", "campaigns"], """
     SELECT count(*) AS customers, count_if(risk_tier = 'high_risk') AS high_risk,
            count_if(lifecycle_status = 'active') AS active, count_if(lifecycle_status = 'grace') AS grace,
-           count_if(lifecycle_status = 'lapsed') AS lapsed, round(avg(churn_proba), 6) AS avg_churn_proba,
+           count_if(lifecycle_status = 'lapsed') AS lapsed, round_even(avg(churn_proba), 6) AS avg_churn_proba,
            (SELECT count(*) FROM ledger) AS actions, (SELECT count(DISTINCT customer_id) FROM ledger) AS contacted_customers,
            (SELECT count(*) FROM campaigns) AS campaigns
     FROM scoring"""))
@@ -360,7 +360,7 @@ def q_kpi_bundle(spark, sf):
 
 
 @query("kpi_reference_drivers", sql(["drivers"], """
-    SELECT driver, count(*) AS customers, round(count(*) / (SELECT count(*) FROM drivers) * 100, 6) AS pct
+    SELECT driver, count(*) AS customers, round_even(count(*) / (SELECT count(*) FROM drivers) * 100, 6) AS pct
     FROM drivers GROUP BY driver ORDER BY pct DESC, driver"""))
 def q_kpi_drivers(spark, sf):
     """Top drivers by share, ordered for serving."""

@@ -77,13 +77,13 @@ OV.VIEWS["filled0"] = (["asm"], f"""
     FROM asm""")
 _MED = MT.MEDIAN_CANDIDATES
 OV.VIEWS["medians"] = (["filled0"], "SELECT " + ", ".join(
-    f"round(quantile_cont({c}, 0.5), 6) AS {c}" for c in _MED) + " FROM filled0 WHERE split = 'train'")
+    f"round_even(quantile_cont({c}, 0.5), 6) AS {c}" for c in _MED) + " FROM filled0 WHERE split = 'train'")
 OV.VIEWS["filled"] = (["filled0", "medians"], "SELECT f.* REPLACE (" + ", ".join(
     f"COALESCE(CAST(f.{c} AS DOUBLE), m.{c}) AS {c}" for c in _MED) + ") FROM filled0 f CROSS JOIN medians m")
 
 
 def _r6(e):
-    return f"round({e}, 6)"
+    return f"round_even({e}, 6)"
 
 
 OV.VIEWS["derived"] = (["filled"], "SELECT *, " + ", ".join([
@@ -128,12 +128,12 @@ def q_split(spark, sf):
 
 @query("split_summary", sql(["split"], """
     SELECT split, count(*) AS customers, CAST(sum(is_churn) AS BIGINT) AS churners,
-           round(avg(is_churn), 6) AS churn_rate FROM split GROUP BY split"""))
+           round_even(avg(is_churn), 6) AS churn_rate FROM split GROUP BY split"""))
 def q_split_summary(spark, sf):
     """Per-split rows and churn rate."""
     return _split(spark, sf).groupBy("split").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("is_churn").cast("long").alias("churners"),
-        F.round(F.avg("is_churn"), 6).alias("churn_rate"))
+        F.bround(F.avg("is_churn"), 6).alias("churn_rate"))
 
 
 @query("split_disjoint", sql(["split"], """
@@ -153,9 +153,9 @@ def q_assembled(spark, sf):
 
 
 @query("coverage", sql(["asm"], """
-    SELECT round(avg(CAST(city IS NOT NULL AS DOUBLE)), 6) AS member_coverage,
-           round(avg(CAST(txn_count IS NOT NULL AS DOUBLE)), 6) AS transaction_coverage,
-           round(avg(CAST(full_active_days IS NOT NULL AS DOUBLE)), 6) AS log_coverage FROM asm"""))
+    SELECT round_even(avg(CAST(city IS NOT NULL AS DOUBLE)), 6) AS member_coverage,
+           round_even(avg(CAST(txn_count IS NOT NULL AS DOUBLE)), 6) AS transaction_coverage,
+           round_even(avg(CAST(full_active_days IS NOT NULL AS DOUBLE)), 6) AS log_coverage FROM asm"""))
 def q_coverage(spark, sf):
     """X5 coverage rates."""
     return X.coverage(MT.assembled(spark, sf, SPEC), {

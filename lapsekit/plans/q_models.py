@@ -44,7 +44,7 @@ def _dist(spark, sf):
 
 
 @query("roc_auc", sql(["dist"], """
-    SELECT split, round(sum(pos * ((N - fp) + 0.5 * neg)) / (max(P) * max(N)), 6) AS auc
+    SELECT split, round_even(sum(pos * ((N - fp) + 0.5 * neg)) / (max(P) * max(N)), 6) AS auc
     FROM dist GROUP BY split"""))
 def q_auc(spark, sf):
     """Exact ROC-AUC per split (ties count 1/2)."""
@@ -52,14 +52,14 @@ def q_auc(spark, sf):
 
 
 @query("average_precision", sql(["dist"], """
-    SELECT split, round(sum(pos / P * tp / (tp + fp)), 6) AS ap FROM dist GROUP BY split"""))
+    SELECT split, round_even(sum(pos / P * tp / (tp + fp)), 6) AS ap FROM dist GROUP BY split"""))
 def q_ap(spark, sf):
     """Average precision (step sum) per split."""
     return E.average_precision(_dist(spark, sf), ["split"])
 
 
 @query("log_loss", sql(["preds"], """
-    SELECT split, round(avg(-(is_churn * ln(least(greatest(churn_probability, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+    SELECT split, round_even(avg(-(is_churn * ln(least(greatest(churn_probability, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
                   + (1 - is_churn) * ln(1 - least(greatest(churn_probability, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))), 6) AS logloss
     FROM preds GROUP BY split"""))
 def q_logloss(spark, sf):
@@ -69,9 +69,9 @@ def q_logloss(spark, sf):
 
 @query("threshold_metrics", sql(["preds"], """
     SELECT split, tp, fp, fn, tn,
-           round(COALESCE(tp / NULLIF(tp + fp, 0), 0), 6) AS precision,
-           round(COALESCE(tp / NULLIF(tp + fn, 0), 0), 6) AS recall,
-           round(COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0), 6) AS f1
+           round_even(COALESCE(tp / NULLIF(tp + fp, 0), 0), 6) AS precision,
+           round_even(COALESCE(tp / NULLIF(tp + fn, 0), 0), 6) AS recall,
+           round_even(COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0), 6) AS f1
     FROM (SELECT split, count_if(churn_probability >= 0.75 AND is_churn = 1) AS tp,
                  count_if(churn_probability >= 0.75 AND is_churn = 0) AS fp,
                  count_if(churn_probability < 0.75 AND is_churn = 1) AS fn,
@@ -83,23 +83,23 @@ def q_threshold(spark, sf):
 
 
 @query("best_f1_threshold", sql(["dist"], """
-    SELECT split, round(min(s), 6) AS threshold, round(max(f1), 6) AS best_f1 FROM (
+    SELECT split, round_even(min(s), 6) AS threshold, round_even(max(f1), 6) AS best_f1 FROM (
       SELECT *, max(f1) OVER (PARTITION BY split) AS mf FROM (
-        SELECT split, s, round(2 * (tp / (tp + fp)) * (tp / P) / ((tp / (tp + fp)) + (tp / P) + 1e-12), 12) AS f1
+        SELECT split, s, round_even(2 * (tp / (tp + fp)) * (tp / P) / ((tp / (tp + fp)) + (tp / P) + 1e-12), 12) AS f1
         FROM dist) a) b
     WHERE f1 = mf GROUP BY split"""))
 def q_best_f1(spark, sf):
     """E5: F1-optimal threshold per split, ties to the lowest threshold."""
     b = E.best_f1_threshold(_dist(spark, sf), "churn_probability", ["split"])
-    return b.withColumn("threshold", F.round("threshold", 6))
+    return b.withColumn("threshold", F.bround("threshold", 6))
 
 
 def _top_sql(frac: float) -> str:
     return f"""
     SELECT split, CAST({frac} AS DOUBLE) AS fraction, count_if(sel) AS selected_count,
-           round(sum(CASE WHEN sel THEN is_churn ELSE 0 END) / count_if(sel), 6) AS precision,
-           round(sum(CASE WHEN sel THEN is_churn ELSE 0 END) / sum(is_churn), 6) AS recall,
-           round((sum(CASE WHEN sel THEN is_churn ELSE 0 END) / count_if(sel)) / (sum(is_churn) / count(*)), 6) AS lift
+           round_even(sum(CASE WHEN sel THEN is_churn ELSE 0 END) / count_if(sel), 6) AS precision,
+           round_even(sum(CASE WHEN sel THEN is_churn ELSE 0 END) / sum(is_churn), 6) AS recall,
+           round_even((sum(CASE WHEN sel THEN is_churn ELSE 0 END) / count_if(sel)) / (sum(is_churn) / count(*)), 6) AS lift
     FROM (SELECT *, rk <= greatest(floor(n * CAST({frac} AS DOUBLE)), 1) AS sel FROM (
             SELECT *, row_number() OVER (PARTITION BY split ORDER BY churn_probability DESC, customer_id) AS rk,
                    count(*) OVER (PARTITION BY split) AS n FROM preds) r) x
@@ -119,8 +119,8 @@ def q_top10(spark, sf):
 
 
 @query("selection_at_threshold", sql(["preds"], """
-    SELECT split, round(count_if(churn_probability >= 0.75) / count(*), 6) AS selection_rate,
-           round((sum(CASE WHEN churn_probability >= 0.75 THEN is_churn ELSE 0 END) / count_if(churn_probability >= 0.75))
+    SELECT split, round_even(count_if(churn_probability >= 0.75) / count(*), 6) AS selection_rate,
+           round_even((sum(CASE WHEN churn_probability >= 0.75 THEN is_churn ELSE 0 END) / count_if(churn_probability >= 0.75))
                  / (sum(is_churn) / count(*)), 6) AS lift
     FROM preds GROUP BY split"""))
 def q_selection(spark, sf):
@@ -130,7 +130,7 @@ def q_selection(spark, sf):
 
 @query("risk_percentiles", sql(["preds"], """
     SELECT customer_id, churn_probability,
-           round(((rank() OVER w) + (count(*) OVER (PARTITION BY churn_probability) - 1) / 2.0)
+           round_even(((rank() OVER w) + (count(*) OVER (PARTITION BY churn_probability) - 1) / 2.0)
                  / (count(*) OVER ()) * 100, 2) AS percentile
     FROM preds WINDOW w AS (ORDER BY churn_probability)"""))
 def q_percentiles(spark, sf):
@@ -182,23 +182,23 @@ def q_riskiest(spark, sf):
     c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model, split) AS P,
                  sum(neg) OVER (PARTITION BY model, split) AS N FROM d
           WINDOW w AS (PARTITION BY model, split ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    a AS (SELECT model, split, round(sum(pos * ((N - fp) + 0.5 * neg)) / (max(P) * max(N)), 6) AS auc,
-                 round(sum(pos / P * tp / (tp + fp)), 6) AS ap FROM c GROUP BY 1, 2),
-    f AS (SELECT model, split, s, round(2 * (tp / (tp + fp)) * (tp / P) / ((tp / (tp + fp)) + (tp / P) + 1e-12), 12) AS f1 FROM c),
+    a AS (SELECT model, split, round_even(sum(pos * ((N - fp) + 0.5 * neg)) / (max(P) * max(N)), 6) AS auc,
+                 round_even(sum(pos / P * tp / (tp + fp)), 6) AS ap FROM c GROUP BY 1, 2),
+    f AS (SELECT model, split, s, round_even(2 * (tp / (tp + fp)) * (tp / P) / ((tp / (tp + fp)) + (tp / P) + 1e-12), 12) AS f1 FROM c),
     t AS (SELECT model, min(s) AS threshold FROM (SELECT *, max(f1) OVER (PARTITION BY model) AS mf FROM f WHERE split = 'valid') x
           WHERE f1 = mf GROUP BY model),
-    ll AS (SELECT model, split, round(avg(-(is_churn * ln(least(greatest(s, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+    ll AS (SELECT model, split, round_even(avg(-(is_churn * ln(least(greatest(s, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
                   + (1 - is_churn) * ln(1 - least(greatest(s, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))), 6) AS logloss
            FROM m GROUP BY 1, 2),
     cm AS (SELECT m.model, split, count_if(s >= threshold AND is_churn = 1) AS tp, count_if(s >= threshold AND is_churn = 0) AS fp,
                   count_if(s < threshold AND is_churn = 1) AS fn, count_if(s < threshold AND is_churn = 0) AS tn, max(threshold) AS threshold
            FROM m JOIN t ON m.model = t.model GROUP BY 1, 2)
     SELECT a.model, a.split, a.auc, a.ap, ll.logloss, cm.tp, cm.fp, cm.fn, cm.tn,
-           round(COALESCE(cm.tp / NULLIF(cm.tp + cm.fp, 0), 0), 6) AS precision,
-           round(COALESCE(cm.tp / NULLIF(cm.tp + cm.fn, 0), 0), 6) AS recall,
-           round(COALESCE(2 * cm.tp / NULLIF(2 * cm.tp + cm.fp + cm.fn, 0), 0), 6) AS f1,
-           round(cm.threshold, 6) AS threshold,
-           round(tr.auc - a.auc, 6) AS overfit_gap
+           round_even(COALESCE(cm.tp / NULLIF(cm.tp + cm.fp, 0), 0), 6) AS precision,
+           round_even(COALESCE(cm.tp / NULLIF(cm.tp + cm.fn, 0), 0), 6) AS recall,
+           round_even(COALESCE(2 * cm.tp / NULLIF(2 * cm.tp + cm.fp + cm.fn, 0), 0), 6) AS f1,
+           round_even(cm.threshold, 6) AS threshold,
+           round_even(tr.auc - a.auc, 6) AS overfit_gap
     FROM a JOIN ll ON a.model = ll.model AND a.split = ll.split
     JOIN cm ON a.model = cm.model AND a.split = cm.split
     JOIN a tr ON tr.model = a.model AND tr.split = 'train'"""))
@@ -209,8 +209,8 @@ def q_compare(spark, sf):
 
 # ---------------------------------------------------------------- Spark ML jobs (L*, I*, K*): rows-only checks
 @query("class_weight", sql(["split"], """
-    SELECT round(count_if(is_churn = 0) / count_if(is_churn = 1), 6) AS pos_weight,
-           round(sqrt(count_if(is_churn = 0) / count_if(is_churn = 1)), 6) AS pos_weight_sqrt
+    SELECT round_even(count_if(is_churn = 0) / count_if(is_churn = 1), 6) AS pos_weight,
+           round_even(sqrt(count_if(is_churn = 0) / count_if(is_churn = 1)), 6) AS pos_weight_sqrt
     FROM split WHERE split = 'train'"""))
 def q_class_weight(spark, sf):
     """Balanced class weight n_neg/n_pos (train split) and its square root."""
@@ -370,7 +370,7 @@ def _attr_features():
 
 def _attributions(spark, sf):
     """Deterministic stand-in attributions for SQL-checkable reports:
-    phi_f = round(x_f - mean(x_f), 6) over the model table (mean as a 1-row broadcast)."""
+    phi_f = round_even(x_f - mean(x_f), 6) over the model table (mean as a 1-row broadcast)."""
     from lapsekit.plans import model_table as MT
     from lapsekit.session import cut_lineage
     feats = _attr_features()
@@ -378,11 +378,11 @@ def _attributions(spark, sf):
     means = t.agg(*[F.avg(f).alias(f"__m_{f}") for f in feats])
     j = t.crossJoin(F.broadcast(means))
     return j.select("customer_id", TD.fixed_probability().alias("p"),
-                    *[F.round(F.col(f) - F.col(f"__m_{f}"), 6).alias(f) for f in feats])
+                    *[F.bround(F.col(f) - F.col(f"__m_{f}"), 6).alias(f) for f in feats])
 
 
 VIEWS["attr"] = (["model_v2"], "SELECT customer_id, " + "CAST((CAST(substr(customer_id, 2) AS BIGINT) * 7919) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) AS p, "
-                 + ", ".join(f"round({f} - (SELECT avg({f}) FROM model_v2), 6) AS {f}" for f in _attr_features())
+                 + ", ".join(f"round_even({f} - (SELECT avg({f}) FROM model_v2), 6) AS {f}" for f in _attr_features())
                  + " FROM model_v2")
 
 
@@ -397,7 +397,7 @@ def _cat_sql():
     parts = []
     for c, fs in CATEGORY_MAP.items():
         use = [f for f in fs if f in feats]
-        parts.append(f"round({' + '.join(use) if use else '0.0'}, 6) AS {c}")
+        parts.append(f"round_even({' + '.join(use) if use else '0.0'}, 6) AS {c}")
     return ", ".join(parts)
 
 
@@ -426,7 +426,7 @@ VIEWS["drivers"] = (["attr"], "SELECT customer_id, " + _argmax_sql(_attr_feature
 
 
 @query("driver_summary", sql(["drivers"], f"""
-    SELECT driver, count(*) AS customers, round(count(*) / (SELECT count(*) FROM drivers) * 100, 6) AS pct,
+    SELECT driver, count(*) AS customers, round_even(count(*) / (SELECT count(*) FROM drivers) * 100, 6) AS pct,
            {_action_sql()} AS suggested_action FROM drivers GROUP BY driver"""))
 def q_driver_summary(spark, sf):
     """Top single driver per high-risk customer, counts, share, suggested action."""
@@ -436,7 +436,7 @@ def q_driver_summary(spark, sf):
 
 
 @query("driver_top8", sql(["drivers"], f"""
-    SELECT driver, sum(customers) AS customers, round(sum(customers) / (SELECT count(*) FROM drivers) * 100, 6) AS pct,
+    SELECT driver, sum(customers) AS customers, round_even(sum(customers) / (SELECT count(*) FROM drivers) * 100, 6) AS pct,
            {_action_sql()} AS suggested_action
     FROM (SELECT CASE WHEN row_number() OVER (ORDER BY count(*) DESC, driver) > 8 THEN 'other' ELSE driver END AS driver,
                  count(*) AS customers FROM drivers GROUP BY driver) x GROUP BY driver"""))
@@ -474,14 +474,14 @@ def q_one_hot(spark, sf):
 
 
 VIEWS["model_stats"] = (["dist"], """
-    SELECT 'churn_probability' AS model, round(sum(pos * ((N - fp) + 0.5 * neg)) / (max(P) * max(N)), 6) AS auc,
-           round(sum(pos / P * tp / (tp + fp)), 6) AS ap FROM dist WHERE split = 'test'""")
+    SELECT 'churn_probability' AS model, round_even(sum(pos * ((N - fp) + 0.5 * neg)) / (max(P) * max(N)), 6) AS auc,
+           round_even(sum(pos / P * tp / (tp + fp)), 6) AS ap FROM dist WHERE split = 'test'""")
 
 
 @query("model_stats_export", sql(["model_stats"], """
     WITH champ AS (SELECT model, auc, ap FROM (
-            SELECT 'churn_probability' AS model, round(sum(pos * ((N - fp) + 0.5 * neg)) / (max(P) * max(N)), 6) AS auc,
-                   round(sum(pos / P * tp / (tp + fp)), 6) AS ap FROM dist WHERE split = 'valid'
+            SELECT 'churn_probability' AS model, round_even(sum(pos * ((N - fp) + 0.5 * neg)) / (max(P) * max(N)), 6) AS auc,
+                   round_even(sum(pos / P * tp / (tp + fp)), 6) AS ap FROM dist WHERE split = 'valid'
             UNION ALL SELECT 'champion_v2', 0.90356, 0.58343) c)
     SELECT s.model, COALESCE(c.auc, s.auc) AS auc, COALESCE(c.ap, s.ap) AS ap, c.auc IS NOT NULL AS champion_override
     FROM model_stats s LEFT JOIN champ c ON s.model = c.model

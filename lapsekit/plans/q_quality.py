@@ -18,7 +18,7 @@ _MEMBER_COLS = ["customer_id", "city", "bd", "gender", "registered_via", "regist
 
 
 @query("null_profile_members", sql(["members"], " UNION ALL ".join(
-    f"SELECT '{c}' AS column, count_if({c} IS NULL) AS nulls, round(count_if({c} IS NULL) / count(*) * 100, 6) AS null_pct FROM members"
+    f"SELECT '{c}' AS column, count_if({c} IS NULL) AS nulls, round_even(count_if({c} IS NULL) / count(*) * 100, 6) AS null_pct FROM members"
     for c in _MEMBER_COLS)))
 def q_null_profile(spark, sf):
     """Q1: null count and percent per column (one pass + unpivot)."""
@@ -50,17 +50,17 @@ _DESC = ["txn_count", "payment_method_nunique", "plan_days_nunique", "auto_renew
 
 
 @query("describe_transactions", sql(["txn_feat"], " UNION ALL ".join(
-    f"""SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+    f"""SELECT '{c}' AS column, count({c}) AS count, round_even(avg({c}), 6) AS mean, round_even(stddev_samp({c}), 6) AS std,
                CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
-               round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50,
-               round(quantile_cont({c}, 0.75), 6) AS q75 FROM txn_feat""" for c in _DESC)))
+               round_even(quantile_cont({c}, 0.25), 6) AS q25, round_even(quantile_cont({c}, 0.5), 6) AS q50,
+               round_even(quantile_cont({c}, 0.75), 6) AS q75 FROM txn_feat""" for c in _DESC)))
 def q_describe(spark, sf):
     """Q3: exact describe (sample std, exact interpolated quartiles)."""
     return Q.describe_exact(X.transaction_features(TD.transactions(spark, sf), SPEC), _DESC)
 
 
 @query("moments_logs", sql(["user_logs"], " UNION ALL ".join(
-    f"""SELECT '{c}' AS column, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std,
+    f"""SELECT '{c}' AS column, count(v) AS count, round_even(avg(v), 6) AS mean, round_even(stddev_pop(v), 6) AS std,
                CAST(min(v) AS DOUBLE) AS min, CAST(max(v) AS DOUBLE) AS max
         FROM (SELECT CASE WHEN {c} BETWEEN {lo} AND {hi} THEN {c} END AS v FROM user_logs) x"""
     for c, lo, hi in (("total_secs", 0, 172800), ("num_unq", 0, 1000000)))))
@@ -71,7 +71,7 @@ def q_moments(spark, sf):
 
 @query("histogram_secs", sql(["user_logs"], """
     SELECT CAST(least(floor((least(total_secs, 1000.0) - 0) / 40.0), 24) AS INTEGER) AS bin, count(*) AS count,
-           round(0 + least(floor((least(total_secs, 1000.0) - 0) / 40.0), 24) * 40.0, 6) AS bin_start
+           round_even(0 + least(floor((least(total_secs, 1000.0) - 0) / 40.0), 24) * 40.0, 6) AS bin_start
     FROM user_logs WHERE total_secs >= 0 GROUP BY 1, 3"""))
 def q_hist(spark, sf):
     """Q5: 25 fixed bins on [0, 1000] seconds, clipped upper tail."""
@@ -165,9 +165,9 @@ EXPIRY_STATUS = """CASE WHEN days_to_expire < 1 THEN 'expired_or_today' WHEN day
 
 
 @query("expiry_audit", sql(["asm"], f"""
-    SELECT {EXPIRY_STATUS} AS "group", count(*) AS customers, round(avg(is_churn), 6) AS churn_rate,
+    SELECT {EXPIRY_STATUS} AS "group", count(*) AS customers, round_even(avg(is_churn), 6) AS churn_rate,
            min(days_to_expire) AS min_value, max(days_to_expire) AS max_value,
-           round(count(*) / (SELECT count(*) FROM asm) * 100, 6) AS customer_pct
+           round_even(count(*) / (SELECT count(*) FROM asm) * 100, 6) AS customer_pct
     FROM asm GROUP BY 1"""))
 def q_expiry(spark, sf):
     """Expiry horizon buckets with churn rate and share of total."""
@@ -183,7 +183,7 @@ _UNI = [f for f in MT.FEATURE_COLS_V2[:MT.FEATURE_COLS_V2.index("has_member_reco
 
 
 @query("univariate_auc", sql(["asm"], " UNION ALL ".join(f"""
-    SELECT '{c}' AS feature, round(a, 6) AS auc, round(greatest(a, 1 - a), 6) AS directional_auc,
+    SELECT '{c}' AS feature, round_even(a, 6) AS auc, round_even(greatest(a, 1 - a), 6) AS directional_auc,
            CASE WHEN a >= 0.5 THEN 'higher_churns' ELSE 'lower_churns' END AS direction
     FROM (SELECT sum(pos * (COALESCE(nb, 0) + 0.5 * neg)) / (sum(pos) * sum(neg)) AS a
           FROM (SELECT *, sum(neg) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb
@@ -196,15 +196,15 @@ def q_uni_auc(spark, sf):
 
 
 @query("class_balance", sql(["churn_labels"], """
-    SELECT count(*) AS rows, CAST(sum(is_churn) AS BIGINT) AS positives, round(avg(is_churn), 6) AS positive_rate,
-           round(greatest(avg(is_churn), 1 - avg(is_churn)), 6) AS majority_accuracy FROM churn_labels"""))
+    SELECT count(*) AS rows, CAST(sum(is_churn) AS BIGINT) AS positives, round_even(avg(is_churn), 6) AS positive_rate,
+           round_even(greatest(avg(is_churn), 1 - avg(is_churn)), 6) AS majority_accuracy FROM churn_labels"""))
 def q_balance(spark, sf):
     """Q13: class balance and majority-class baseline."""
     return Q.class_balance(TD.labels(spark, sf), "is_churn")
 
 
 @query("category_cardinality", sql(["members"], """
-    SELECT city, count(*) AS count, round(count(*) / (SELECT count(*) FROM members), 6) AS share
+    SELECT city, count(*) AS count, round_even(count(*) / (SELECT count(*) FROM members), 6) AS share
     FROM members GROUP BY city ORDER BY count DESC, city LIMIT 15"""))
 def q_cardinality(spark, sf):
     """Q14: top 15 observed city codes (the limit is the feature)."""
@@ -212,7 +212,7 @@ def q_cardinality(spark, sf):
 
 
 @query("plan_value_counts", sql(["transactions"], """
-    SELECT payment_plan_days, count(*) AS count, round(count(*) / (SELECT count(*) FROM transactions), 6) AS share
+    SELECT payment_plan_days, count(*) AS count, round_even(count(*) / (SELECT count(*) FROM transactions), 6) AS share
     FROM transactions GROUP BY 1"""))
 def q_value_counts(spark, sf):
     """Value counts with normalised share."""
@@ -220,7 +220,7 @@ def q_value_counts(spark, sf):
 
 
 @query("completion_composition", sql(["user_logs"], """
-    SELECT round(avg(num_100) / (avg(num_25) + avg(num_50) + avg(num_75) + avg(num_985) + avg(num_100)), 6) AS ratio
+    SELECT round_even(avg(num_100) / (avg(num_25) + avg(num_50) + avg(num_75) + avg(num_985) + avg(num_100)), 6) AS ratio
     FROM user_logs"""))
 def q_ratio(spark, sf):
     """Grand-total ratio of column means (full plays / all plays)."""

@@ -105,7 +105,7 @@ def user_logs(spark: SparkSession, sf_dir: str, until_cutoff: bool = False) -> D
             .groupBy(customer_key("user_id").alias("customer_id"), "log_day")
             .agg(*aggs,
                  F.count_distinct("props").cast("long").alias("num_unq"),
-                 F.round(F.sum("value"), 2).alias("total_secs"))
+                 F.bround(F.sum("value"), 2).alias("total_secs"))
             .select("customer_id", date_to_ymd("log_day").alias("date"),
                     *PLAY_BUCKETS.keys(), "num_unq", "total_secs"))
 
