@@ -45,7 +45,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special_bytes = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pre: dict[str, int] = {}
         self.clear()
 
@@ -68,27 +68,47 @@ class WordIds:
         get = self.pre.__getitem__
         return np.fromiter(map(get, found), np.int64, len(found))
 
-    def _direct(self, words: list[bytes]) -> list[list[int]]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+    def _direct(self, texts: list[bytes]) -> list[list[int]]:
+        """Ids by the tokenizer itself, a few texts at a time: its results are large."""
+        out: list[list[int]] = []
+        for i in range(0, len(texts), 256):
+            part = [t.decode("utf-8", "replace") for t in texts[i:i + 256]]
+            out += [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+        return out
+
+    def _odd(self, text: bytes) -> bool:
+        """A capital sigma, whose small form depends on its place; a special token; bytes that are not UTF-8."""
+        if b"\xce\xa3" in text or b"<|" in text and any(s in text.lower() for s in self.special_bytes):
+            return True
         try:
-            joined = b" ".join(words).decode()
+            text.decode()
         except UnicodeDecodeError:
-            joined = "Σ"
-        if "Σ" in joined or any(s in joined.lower() for s in self.special):
-            ids = self._direct(words)  # a capital sigma, whose small form depends on its place, or special tokens
+            return True
+        return False
+
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has."""
+        joined = b" ".join(words).decode()
+        if not joined.isascii():
+            joined = unicodedata.normalize("NFC", joined)
+        at = self._pretokens(PRETOKEN.findall(joined.lower()))
+        own = self.pre_lengths[at]
+        flat = self.pre_pool[ragged((np.cumsum(self.pre_lengths) - self.pre_lengths)[at], own)]
+        ends = np.cumsum(own)[np.append(np.flatnonzero(at == 0), len(at) - 1)]
+        return flat, np.diff(np.concatenate([[0], ends]))
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Add words to the table; hashes are sorted."""
+        if self._odd(b" ".join(words)):
+            odd = np.array([self._odd(w) for w in words])
+            if not odd.all():
+                self._learn(hashes[~odd], [w for w, o in zip(words, odd) if not o])
+            hashes = hashes[odd]
+            ids = self._direct([w for w, o in zip(words, odd) if o])
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.uint32)
         else:
-            if not joined.isascii():
-                joined = unicodedata.normalize("NFC", joined)
-            at = self._pretokens(PRETOKEN.findall(joined.lower()))
-            own = self.pre_lengths[at]
-            flat = self.pre_pool[ragged((np.cumsum(self.pre_lengths) - self.pre_lengths)[at], own)]
-            ends = np.cumsum(own)[np.append(np.flatnonzero(at == 0), len(at) - 1)]
-            lengths = np.diff(np.concatenate([[0], ends]))
+            flat, lengths = self._plain(words)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used:self.used + len(flat)] = flat
@@ -129,13 +149,18 @@ class WordIds:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in ``data``, and where each document's begin (n + 1)."""
-        if any(s.encode() in data.tobytes().lower() for s in self.special):  # a special token's case matters
-            ids = self._direct([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])])
-            return np.array([x for row in ids for x in row], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         _, which, first, at = self.split(data, offsets)
         at = at[which]
-        ends = np.concatenate([[0], np.cumsum(self.lengths[at])])
-        return self.ids(at), ends[first]
+        ends = np.concatenate([[0], np.cumsum(self.lengths[at])])[first]
+        ids = self.ids(at)
+        raw = data.tobytes().lower()
+        if any(s in raw for s in self.special_bytes):  # a special token's case matters, which the words' hash drops
+            parts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                if any(s in raw[a:b] for s in self.special_bytes):
+                    parts[i] = np.array(self._direct([data[a:b].tobytes()])[0], np.uint32)
+            ids, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        return ids, ends
 
 
 _workers: dict[str, WordIds] = {}
