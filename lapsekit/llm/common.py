@@ -14,15 +14,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 16
 
 
-def cut_table(df: DataFrame) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut_table(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
     It cuts the lineage like ``checkpoint()``, but the copy is columnar: later reads prune columns, and a lost
-    executor costs a re-read of a file and no recomputation.
+    executor costs a re-read of a file and no recomputation. ``batch_rows`` bounds the rows that Python workers get
+    at a time while it is written, for rows that are large.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(BATCH, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -96,12 +106,12 @@ def _add_up(batches):
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
 
-def tree_sum(parts: DataFrame, width: int) -> np.ndarray:
+def tree_sum(parts: DataFrame, width: int, batch_rows: int | None = None) -> np.ndarray:
     """Sum of the vectors of ``width`` doubles in the one binary column of ``parts``.
 
     Tasks add up ``FAN_IN`` vectors at a time until there are no more than that, so the driver gets few of fixed size.
     """
-    parts = cut_table(parts.toDF("part").mapInArrow(_add_up, "part binary"))
+    parts = cut_table(parts.toDF("part").mapInArrow(_add_up, "part binary"), batch_rows)
     n = parts.count()
     while n > FAN_IN:
         n = -(-n // FAN_IN)

@@ -475,3 +475,39 @@ def test_html_deep_nesting():
 
     source = "<div>" * 5000 + "deep" + "</div>" * 4000 + "<p>" + "long text " * 50000
     assert "long text" in H.main_text(source, H.default_model())
+
+
+def test_tree_sum_of_many_parts(spark):
+    from lapsekit.llm.common import FAN_IN, tree_sum
+
+    def vectors(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([np.array([ids.sum(), len(ids), 0.0]).tobytes()], pa.binary())], names=["part"])
+
+    n = 3 * FAN_IN
+    parts = spark.range(n).repartition(n).mapInArrow(vectors, "part binary")
+    assert tree_sum(parts, 3).tolist() == [n * (n - 1) / 2, n, 0]
+
+
+def test_ranks_cover_every_row_once(spark):
+    from pyspark.sql import functions as F
+
+    from lapsekit.llm.common import global_rank
+
+    rows = [(i, i % 3 if i % 2 else 0) for i in range(500)]
+    got = global_rank(spark.createDataFrame(rows, "id long, v int").repartition(7), [F.col("v"), F.col("id")]).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == [i for i, v in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert sorted(r["rank"] for r in got) == list(range(500))
+
+
+def test_lookup_of_a_hot_key(spark):
+    from lapsekit.llm.common import salted_lookup
+
+    rows = spark.range(600).selectExpr("id", "case when id % 3 = 0 then 0 else id end AS k")
+    table = spark.range(600).selectExpr("id AS k", "id * 2 AS v")
+    got = {r["id"]: r["v"] for r in salted_lookup(rows, table, ["k"], "id").collect()}
+    assert got == {i: 0 if i % 3 == 0 else 2 * i for i in range(600)}
