@@ -29,7 +29,8 @@ COSINE = 0.65
 #: smaller share and that much of the answer, in order.
 OVERLAP, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 ITEMS = 512  # passages searched at a time
-CHUNK = 1 << 20
+CHUNK = 1 << 20  # bytes of text worked on at a time
+DOCS = 2000  # documents that a Python worker gets at a time
 
 #: Bytes of words: letters, digits and all of other scripts; punctuation and space part words.
 LETTERS = np.zeros(256, bool)
@@ -87,7 +88,7 @@ class LatentSpace:
     def fit(cls, docs: DataFrame, text_col: str = "text") -> LatentSpace:
         """From all passages of all documents. Partial sums are added up by tasks before they reach the driver."""
         parts = docs.select(F.lower(F.col(text_col)).alias("text")).mapInArrow(releasing(_statistics), "part binary")
-        total = tree_sum(parts, 1 + FEATURES * (1 + SKETCH))
+        total = tree_sum(parts, 1 + FEATURES * (1 + SKETCH), DOCS)
         return cls(cls._decompose(total[0], total[1:1 + FEATURES], total[1 + FEATURES:].reshape(FEATURES, SKETCH)))
 
     @staticmethod

@@ -23,6 +23,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Line rows a shard serves; the number of shards follows the table.
 SHARD_ROWS = 1 << 17
 SALTS = 4
+DOCS = 2000  # documents that a Python worker gets at a time
 
 
 class CuckooFilter:
@@ -158,7 +159,7 @@ def _filters(hot: DataFrame, shards: int) -> DataFrame:
 
 def build_state(rows: DataFrame, min_chars: int = 40, min_docs: int = 5) -> LineState:
     """State of all documents in ``rows`` (_id, text)."""
-    post = cut_table(postings(rows, min_chars))
+    post = cut_table(postings(rows, min_chars), DOCS)
     shards = max(1, -(-post.count() // SHARD_ROWS))
     counts = cut_table(_count(post))
     return LineState(post, counts, cut_table(_filters(counts.filter(F.col("refs") >= min_docs), shards)),
@@ -185,7 +186,7 @@ def update_state(state: LineState, added: DataFrame | None = None, removed: Data
         lost = old.join(out, "_id", "left_semi")
         kept, touched = old.join(out, "_id", "left_anti"), lost.select("h1", "h2")
     if added is not None:
-        new = cut_table(postings(added, state.min_chars))
+        new = cut_table(postings(added, state.min_chars), DOCS)
         kept, touched = kept.unionByName(new), touched.unionByName(new.select("h1", "h2"))
     if touched is None:
         return state

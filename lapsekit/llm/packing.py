@@ -23,6 +23,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Bytes of text tokenized at a time, so that what repeats in them is tokenized once.
 CHUNK = 4 << 20
+DOCS = 2000  # documents that a Python worker gets at a time
 
 
 def _cut(vocabulary: str, capacity: int):
@@ -126,7 +127,7 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     rows = with_unique_ids(docs, id_col, text_col)
     cut = cut_table(rows.mapInArrow(_cut(vocabulary, capacity),
-                                    "_id long, doc_id long, piece int, start long, length long, ids_crc32 long"))
+                                    "_id long, doc_id long, piece int, start long, length long, ids_crc32 long"), DOCS)
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     ranked = global_rank(cut, [F.desc("length"), F.col("_id"), F.col("piece")])
     runs = spark.sparkContext.broadcast(plan(counts, capacity))

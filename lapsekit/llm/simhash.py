@@ -11,6 +11,7 @@ from lapsekit.llm.common import buffers, cut_table, salted_lookup, with_unique_i
 
 SEED = 42
 HALF = 32
+DOCS = 2000  # documents that a Python worker gets at a time
 
 
 def simhash(text: bytes, words: int = 3) -> int:
@@ -119,7 +120,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id counts as the smallest, rows that share an id are separate; an empty table gives an empty result.
     """
     rows = with_unique_ids(docs, id_col, text_col)
-    marked = cut_table(rows.select("_id", "doc_id", fingerprint_udf(words)("text").alias("fp")))
+    marked = cut_table(rows.select("_id", "doc_id", fingerprint_udf(words)("text").alias("fp")), DOCS)
     classes = cut_table(marked.groupBy("fp").agg(F.min(F.struct("_id", "doc_id")).alias("first")))
     joined = components(links(classes.select("fp"), max_bits))
     named = classes.join(joined, F.col("fp") == F.col("node"), "left").select(
