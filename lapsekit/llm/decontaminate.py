@@ -3,8 +3,9 @@
 Words are hashed to features and documents cut into passages. One pass over all passages counts in how many each
 feature occurs and applies their co-occurrence matrix to a random matrix; a singular value decomposition of that
 sketch, with inverse document frequencies put in, gives the latent space. A second pass folds windows of several
-lengths into it, takes those whose cosine to a benchmark passage is high, and checks them word by word: the longest
-common subsequence with the passage, and for a looser match also with its answer.
+lengths into it and takes those whose cosine to a benchmark passage is high. What the latent space leaves out, it
+finds by words: every stretch of a document that holds as many of a passage's words as a match needs. Candidates are
+checked word by word: the longest common subsequence with the passage, and for a looser match also with its answer.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lapsekit.llm.common import buffers, pieces, release, releasing, tree_sum, word_hashes
+from lapsekit.llm.common import buffers, pieces, ragged, release, releasing, tree_sum, word_hashes
 
 FEATURES = 2048
 RANK, SKETCH = 48, 64
@@ -25,9 +26,14 @@ BLOCK = 4  # words between windows
 #: Window lengths in blocks, for passages of about as many words.
 LENGTHS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 14, 16, 20, 25, 32, 40, 50, 64, 80, 100, 128)
 COSINE = 0.65
-#: A document holds a passage if their longest common subsequence has this share of the passage's words, or the
-#: smaller share and that much of the answer, in order.
+#: A document holds a passage if the longest common subsequence of a stretch of it and the passage has this share of
+#: the passage's words, or the smaller share and that much of the answer, in order.
 OVERLAP, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
+#: A passage is looked for in all stretches of a document of up to this many times its words.
+SPAN = 2.0
+FREQUENT = 0.001  # words with this share of the text are taken to be found wherever a passage is looked for
+WINDOWS = 4096  # stretches compared at a time
+TABLE = 1 << 22  # words times passages in a table
 ITEMS = 512  # passages searched at a time
 CHUNK = 1 << 20  # bytes of text worked on at a time
 DOCS = 2000  # documents that a Python worker gets at a time
@@ -162,6 +168,135 @@ def _masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
+def _least(share: float, words: np.ndarray) -> np.ndarray:
+    """Least whole numbers that are this share of ``words``."""
+    low = np.floor(share * words).astype(np.int64)
+    return np.where(low / np.maximum(words, 1) >= share, low, low + 1)
+
+
+def _table(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int32)
+    for i, row in enumerate(rows):
+        out[i, :len(row)] = row
+    return out
+
+
+class Group:
+    """Passages that are looked for together: their distinct words in hash buckets, and which passage has which."""
+
+    def __init__(self, items: list[int], passages: Passages):
+        own, answers = [passages.words[i] for i in items], [passages.answers[i] for i in items]
+        words = np.unique(np.concatenate(own + answers))
+        bucket = (words & np.uint64((1 << (4 * len(words)).bit_length()) - 1)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.items, self.words = np.array(items), words[order]
+        self.first = np.searchsorted(bucket[order], np.arange((1 << (4 * len(words)).bit_length()) + 1)).astype(np.int32)
+        self.chain = int(np.diff(self.first).max())
+        own, answers = [self.rows(w) for w in own], [self.rows(w) for w in answers]
+        self.own, self.answers = _table(own), _table(answers)  # rows of the words, then zeros
+        self.size, self.answer = (np.array([len(w) for w in x]) for x in (own, answers))
+        self.most, self.least = _least(OVERLAP, self.size), _least(PARAPHRASE, self.size)
+        self.told = np.where(self.answer > 0, _least(ANSWER, self.answer), 1 << 40)  # no answer, no looser match
+        self.step = np.maximum(self.size // 2, 2 * BLOCK)
+        self.wide = self.step + (SPAN * self.size).astype(np.int64) + 4 * BLOCK
+        pair = np.unique(np.concatenate([w.astype(np.int64) * len(items) + k for x in (own, answers) for k, w in enumerate(x)]))
+        row, self.holder = np.divmod(pair, len(items))
+        self.postings = np.searchsorted(row, np.arange(len(words) + 2))
+        inside = [np.unique(np.concatenate([w.astype(np.int64) * len(items) + k for k, w in enumerate(x)])) for x in (own, answers)]
+        self.kind = np.isin(pair, inside[0]) + 2 * np.isin(pair, inside[1])  # bits: in the passage, in its answer
+        self.bits = None  # places of a word in a passage
+        if self.size.max() <= 64:
+            self.bits = np.zeros((len(words) + 1, len(items)), np.uint64)
+            for k, w in enumerate(own):
+                np.bitwise_or.at(self.bits[:, k], w, np.uint64(1) << np.arange(len(w), dtype=np.uint64))
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """Place + 1 of each hash in ``words``, 0 for others."""
+        bucket = (hashes & np.uint64(len(self.first) - 2)).astype(np.int64)
+        low, high = self.first[bucket], self.first[bucket + 1]
+        out = np.zeros(len(hashes), np.int32)
+        for k in range(self.chain):
+            at = np.flatnonzero(low + k < high)
+            at = at[self.words[low[at] + k] == hashes[at]]
+            out[at] = low[at] + (k + 1)
+        return out
+
+    def stretches(self, rows: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(document, first word, end, passage) of all windows that can pass the check by the words they hold.
+
+        A document's windows start every half a passage, so a stretch of ``SPAN`` passages lies in one of them. Words
+        that are frequent in the text are taken to be found: the others must make up the rest. Passages for which
+        that asks nothing have all their words counted.
+        """
+        words = np.diff(first)
+        frequent = np.bincount(rows, minlength=len(self.words) + 1) > max(FREQUENT * len(rows), 4)
+        frequent[0] = False
+        free = frequent[self.own].sum(axis=1)
+        most, least, told = self.most - free, self.least - free, self.told - frequent[self.answers].sum(axis=1)
+        sparse = (most > 0) & (np.maximum(least, told) > 0)
+
+        at = np.flatnonzero((rows > 0) & ~frequent[rows])
+        many = self.postings[rows[at] + 1] - self.postings[rows[at]]
+        pair = ragged(self.postings[rows[at]], many)
+        at = np.repeat(at, many)
+        keep = sparse[self.holder[pair]]
+        at, pair = at[keep], pair[keep]
+        k = self.holder[pair]
+        doc = np.searchsorted(first, at, side="right") - 1
+        place, step, wide = at - first[doc], self.step[k], self.wide[k]
+        last = np.maximum(-(-(words[doc] - wide) // step), 0)
+        low = np.maximum((place - wide) // step + 1, 0)
+        many = np.minimum(last, place // step) - low + 1
+        window = ragged(low + first[doc] + doc + k * (len(rows) + len(words)), many)
+        found = np.sort(window * 4 + np.repeat(self.kind[pair], many))  # a window's words side by side, with their kinds
+        start = np.flatnonzero(np.diff(found >> 2, prepend=-1))
+        held, answer = (np.add.reduceat(found >> bit & 1, start) if len(start) else start for bit in (0, 1))
+        k, window = np.divmod(found[start] >> 2, len(rows) + len(words))
+        ok = (held >= most[k]) | (held >= least[k]) & (answer >= told[k])
+        k, window = k[ok], window[ok]
+        starts = first[:-1] + np.arange(len(words))
+        doc = np.searchsorted(starts, window, side="right") - 1
+        low = first[doc] + (window - starts[doc]) * self.step[k]
+        yield doc, low, np.minimum(low + self.wide[k], first[doc + 1]), k
+
+        sums = np.zeros((2, len(rows) + 1), np.int64)
+        for k in np.flatnonzero(~sparse):
+            for out, own in zip(sums, (self.own[k, :self.size[k]], self.answers[k, :self.answer[k]])):
+                mine = np.zeros(len(self.words) + 1, bool)
+                mine[own] = True
+                np.cumsum(mine[rows], out=out[1:])
+            many = np.maximum(-(-(words - self.wide[k]) // self.step[k]), 0) + (words > 0)
+            doc = np.repeat(np.arange(len(words)), many)
+            low = ragged(np.zeros(len(many), np.int64), many) * self.step[k] + first[doc]
+            high = np.minimum(low + self.wide[k], first[doc + 1])
+            held, answer = sums[:, high] - sums[:, low]
+            ok = (held >= self.most[k]) | (held >= self.least[k]) & (answer >= self.told[k])
+            yield doc[ok], low[ok], high[ok], np.full(ok.sum(), k)
+
+    def common(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of each stretch and its passage, by ``bits``."""
+        left = np.full(len(k), ~np.uint64(0))
+        for t in range(int((high - low).max())):
+            at = low + t
+            hit = self.bits[np.where(at < high, rows[np.minimum(at, len(rows) - 1)], 0), k] & left
+            left = (left + hit) | (left - hit)
+        unused = (64 - self.size[k]).astype(np.uint64)
+        return self.size[k] - np.bitwise_count(left << unused).astype(np.int64)
+
+
+def _groups(passages: Passages) -> list[Group]:
+    """Passages of about one length together, as many as the table of their words has room for."""
+    out, own, words = [], [], 0
+    for i in sorted(range(len(passages.words)), key=lambda i: len(passages.words[i])):
+        n, many = len(passages.words[i]), len(passages.words[i]) + len(passages.answers[i])
+        if own and ((words + many) * (len(own) + 1) > TABLE or (n > 64) != (len(passages.words[own[0]]) > 64)):
+            out.append(Group(own, passages))
+            own, words = [], 0
+        own.append(i)
+        words += many
+    return out + ([Group(own, passages)] if own else [])
+
+
 class Search:
     """Finds the passages in batches of documents."""
 
@@ -180,6 +315,7 @@ class Search:
             blocks = -(-len(w) // BLOCK)
             by.setdefault(max(x for x in LENGTHS if x <= max(blocks, 1)), []).append(i)
         self.classes = {n: np.array(items) for n, items in by.items()}
+        self.groups = _groups(passages)
 
     def run(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float]]:
         """(document, passage, share of its words) for every passage that a document holds."""
@@ -205,8 +341,36 @@ class Search:
             window, item = np.divmod(np.flatnonzero(cosine >= COSINE), len(items))
             if len(window):
                 self._verify(best, at[window], n, items[item], hashes, short, first, base, of_block)
+        for group in self.groups:
+            self._by_words(best, group, hashes, first)
         return [(d, i, share) for (d, i), share in best.items()]
 
+    def _by_words(self, best, group: Group, hashes: np.ndarray, first: np.ndarray) -> None:
+        """Check every stretch that holds enough of a passage's words: no common subsequence is longer than their
+        count, so no passage is missed that the latent space leaves out."""
+        rows = group.rows(hashes)
+        for found in group.stretches(rows, first):
+            for a in range(0, len(found[0]), WINDOWS):
+                doc, low, high, k = (x[a:a + WINDOWS] for x in found)
+                if group.bits is not None:
+                    length = group.common(rows, low, high, k)
+                    ok = np.flatnonzero(length >= group.least[k])
+                    doc, low, high, k, length = doc[ok], low[ok], high[ok], k[ok], length[ok].tolist()
+                for j, (d, i) in enumerate(zip(doc.tolist(), group.items[k].tolist())):
+                    if best.get((d, i), 0) < 1:
+                        text, n = hashes[low[j]:high[j]].tolist(), len(self.passages.words[i])
+                        own = length[j] if group.bits is not None else common_subsequence(self.masks[i], n, text)
+                        self._settle(best, d, i, own / n, text)
+
+    def _settle(self, best, d: int, i: int, share: float, text: list[int]) -> None:
+        if share < PARAPHRASE or share <= best.get((d, i), 0):
+            return
+        if share < OVERLAP:
+            answer = len(self.passages.answers[i])
+            if not answer or common_subsequence(self.answer_masks[i], answer, text) < ANSWER * answer:
+                return
+        best[d, i] = share
+
     def _verify(self, best, block, n, item, hashes, short, first, base, of_block) -> None:
         """Check windows of ``n`` blocks, with half as many words more on both sides, against their passage."""
         doc = of_block[np.minimum(block, len(of_block) - 1)]
@@ -228,13 +392,7 @@ class Search:
                     continue
                 text = hashes[low[k]:high[k]].tolist()
                 share = common_subsequence(self.masks[i], int(sizes[i]), text) / int(sizes[i])
-                if share < OVERLAP and share >= PARAPHRASE:
-                    answer = len(self.passages.answers[i])
-                    found = common_subsequence(self.answer_masks[i], answer, text) if answer else 0
-                    if not answer or found < ANSWER * answer:
-                        continue
-                if share >= PARAPHRASE and share > best.get((d, i), 0):
-                    best[d, i] = share
+                self._settle(best, d, i, share, text)
 
 
 def search_udf(search: Search):
