@@ -335,8 +335,9 @@ class Search:
         best: dict[tuple[int, int], float] = {}
         for n, items in self.classes.items():
             step = 1 if n < 8 else 2 if n < 32 else n // 16
-            at = np.arange(0, max(len(sums) - n, 1), step)
-            windows = _unit(sums[np.minimum(at + n, len(sums) - 1)] - sums[at])
+            many = -(-blocks // step)  # from every step of each document, and none crosses its end
+            at = np.repeat(base[:-1], many) + ragged(np.zeros(len(many), np.int64), many) * step
+            windows = _unit(sums[np.minimum(at + n, np.repeat(base[1:], many))] - sums[at])
             cosine = windows @ self.places[items].T
             window, item = np.divmod(np.flatnonzero(cosine >= COSINE), len(items))
             if len(window):
@@ -373,7 +374,7 @@ class Search:
 
     def _verify(self, best, block, n, item, hashes, short, first, base, of_block) -> None:
         """Check windows of ``n`` blocks, with half as many words more on both sides, against their passage."""
-        doc = of_block[np.minimum(block, len(of_block) - 1)]
+        doc = of_block[block]
         start = first[doc] + (block - base[doc]) * BLOCK
         margin = (n * BLOCK) // 2 + BLOCK
         low = np.maximum(start - margin, first[doc])

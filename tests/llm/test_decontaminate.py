@@ -56,3 +56,26 @@ def test_finds_all_that_brute_force_finds():
     assert len(true) > 250 and sum(v < D.OVERLAP for v in true.values()) > 20
     assert {k: got.get(k) for k in true} == true
     assert set(got) <= set(brute(docs, own.passages))
+
+
+def test_windows_belong_to_one_document():
+    """A short trimmed copy is found by the latent space wherever it lies, alone, first or last in a batch, and what a
+    document holds does not depend on its neighbours."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijk"), 6))
+    passage = [word() for _ in range(59)]
+    copy = " ".join(passage[4:54])
+    others = [" ".join(word() for _ in range(n)) for n in (8, 20, 45, 400)]
+    own = search([*others, copy], [(7, " ".join(passage), None)])
+    own.groups = []
+
+    def found(docs):
+        return {(d, i) for d, i, _ in own.run(*buffers(pa.array(docs)))}
+
+    assert found([copy]) == {(0, 0)}
+    for other in others:
+        assert found([copy, other]) == {(0, 0)}
+        assert found([other, copy]) == {(1, 0)}
+        assert found([other, "", copy]) == {(2, 0)}
+    assert found([*others, copy]) == {(4, 0)}
+    assert found([copy, *others, copy]) == {(0, 0), (5, 0)}
