@@ -23,7 +23,7 @@ FEATURES = 2048
 RANK, SKETCH = 48, 64
 PASSAGE = 128  # words
 BLOCK = 4  # words between windows
-#: Window lengths in blocks, for passages of about as many words.
+#: Window lengths in blocks, for passages of about as many words. Longer passages are searched by pieces of the last.
 LENGTHS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 14, 16, 20, 25, 32, 40, 50, 64, 80, 100, 128)
 COSINE = 0.65
 #: A document holds a passage if the longest common subsequence of a stretch of it and the passage has this share of
@@ -303,15 +303,19 @@ class Search:
     def __init__(self, space: LatentSpace, passages: Passages):
         self.passages = passages
         self.fold = np.concatenate([space.fold, np.zeros((1, RANK), np.float32)])  # the last row pads blocks
-        places = np.stack([space.fold[_feature(w)].sum(axis=0) for w in passages.words])
-        self.places = _unit(places)
+        self.sizes = np.array([len(w) for w in passages.words])
+        longest = LENGTHS[-1] * BLOCK
+        cuts = [(i, a) for i, n in enumerate(self.sizes) for a in range(0, max(n - longest // 2, 1), longest // 2)]
+        own = [passages.words[i][a:a + longest] for i, a in cuts]
+        self.owner = np.array([i for i, _ in cuts])
+        self.places = _unit(np.stack([space.fold[_feature(w)].sum(axis=0) for w in own]))
         self.masks = [_masks(w) for w in passages.words]
         self.answer_masks = [_masks(w) for w in passages.answers]
         self.member = np.zeros((len(passages.ids), 1 << 14), bool)
         for i, w in enumerate(passages.words):
             self.member[i, (w & np.uint64((1 << 14) - 1)).astype(np.int64)] = True
         by: dict[int, list[int]] = {}
-        for i, w in enumerate(passages.words):
+        for i, w in enumerate(own):
             blocks = -(-len(w) // BLOCK)
             by.setdefault(max(x for x in LENGTHS if x <= max(blocks, 1)), []).append(i)
         self.classes = {n: np.array(items) for n, items in by.items()}
@@ -341,7 +345,7 @@ class Search:
             cosine = windows @ self.places[items].T
             window, item = np.divmod(np.flatnonzero(cosine >= COSINE), len(items))
             if len(window):
-                self._verify(best, at[window], n, items[item], hashes, short, first, base, of_block)
+                self._verify(best, at[window], n, self.owner[items[item]], hashes, short, first, base, of_block)
         for group in self.groups:
             self._by_words(best, group, hashes, first)
         return [(d, i, share) for (d, i), share in best.items()]
@@ -373,13 +377,15 @@ class Search:
         best[d, i] = share
 
     def _verify(self, best, block, n, item, hashes, short, first, base, of_block) -> None:
-        """Check windows of ``n`` blocks, with half as many words more on both sides, against their passage."""
+        """Check windows of ``n`` blocks, with half as many words more on both sides, against their passage; around
+        a piece of a long passage, 1.5 times the passage's words more."""
         doc = of_block[block]
         start = first[doc] + (block - base[doc]) * BLOCK
-        margin = (n * BLOCK) // 2 + BLOCK
+        size = self.sizes[item]
+        margin = np.where(size > LENGTHS[-1] * BLOCK, size * 3 // 2, (n * BLOCK) // 2 + BLOCK)
         low = np.maximum(start - margin, first[doc])
         high = np.minimum(start + n * BLOCK + margin, first[doc + 1])
-        sizes = np.array([len(w) for w in self.passages.words])
+        sizes = self.sizes
         width = int((high - low).max())
         for a in range(0, len(doc), max(1, (1 << 20) // width)):
             b = a + max(1, (1 << 20) // width)

@@ -79,3 +79,23 @@ def test_windows_belong_to_one_document():
         assert found([other, "", copy]) == {(2, 0)}
     assert found([*others, copy]) == {(4, 0)}
     assert found([copy, *others, copy]) == {(0, 0), (5, 0)}
+
+
+def test_long_passages():
+    """A copy of a passage of thousands of words is found by the latent space and by words alone."""
+    rng = np.random.default_rng(5)
+    pool = ["".join(rng.choice(list("abcdefghijk"), 6)) for _ in range(4000)]
+    draw = lambda n: [str(w) for w in rng.choice(pool, n)]
+    items = [draw(n) for n in (700, 1600, 2500)]
+    docs = [" ".join(draw(3000)) for _ in range(3)]
+    docs += [" ".join(draw(300) + x + draw(300)) for x in items]
+    docs += [" ".join(changed(rng, x, 0.15, 0, pool)) for x in items]
+    want = {(3 + i, i) for i in range(3)} | {(6 + i, i) for i in range(3)}
+    for words in (True, False):
+        own = search(docs, [(i, " ".join(x), "no such answer") for i, x in enumerate(items)])
+        own.groups = own.groups if words else []
+        got = {(d, i): share for d, i, share in own.run(*buffers(pa.array(docs)))}
+        assert set(got) == want
+        assert all(got[3 + i, i] == 1 for i in range(3))
+        own.classes = {}
+        assert {(d, i) for d, i, _ in own.run(*buffers(pa.array(docs)))} == (want if words else set())
