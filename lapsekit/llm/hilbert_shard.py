@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lapsekit.llm.common import cut_table, global_rank, salted_lookup, with_unique_ids
 
@@ -88,7 +88,22 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
                     F.lit(None).cast("int").alias("grown_shard"), "curve_index"))
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the documents as one folder a shard, in slot order, for readers that prune by shard or by statistics."""
-    (docs.join(shards.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
+def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the documents as one folder a shard, in slot order, for readers that prune by shard or by statistics.
+
+    Rows with a null or shared id are told apart by size and checksum, and equal ones by number, so each row is
+    written once."""
+    own = ["_doc_id", "_size", "_crc"]
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col(f"`{id_col}`").cast("long").alias("_doc_id"),
+                       (F.octet_length(body) + 16).cast("long").alias("_size"), F.crc32(body).alias("_crc"),
+                       F.to_json(F.struct(*rest)).alias("_order"))
+    left = left.withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy("_order"))).drop("_order")
+    right = shards.select(F.col("doc_id").alias("_doc_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"),
+                          "shard", "slot")
+    right = right.withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy("shard", "slot")))
+    same = [left[c].eqNullSafe(right[c]) for c in [*own, "_n"]]
+    (left.join(right, same).select("_row.*", "shard", "slot")
      .repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))
