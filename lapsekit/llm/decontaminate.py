@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lapsekit.llm.common import buffers, pieces, ragged, release, releasing, tree_sum, word_hashes
@@ -38,13 +39,29 @@ ITEMS = 512  # passages searched at a time
 CHUNK = 1 << 20  # bytes of text worked on at a time
 DOCS = 2000  # documents that a Python worker gets at a time
 
-#: Bytes of words: letters, digits and all of other scripts; punctuation and space part words.
+#: Bytes of words: letters, digits and all of other scripts; punctuation and space part words. ``_texts`` leaves of
+#: other characters only letters, marks and digits, and parts the letters of scripts without spaces.
 LETTERS = np.zeros(256, bool)
 LETTERS[128:] = True
 for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
     LETTERS[_c] = True
 
 
+OTHER = r"[^\x00-\x7f\p{L}\p{M}\p{N}]"
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
+def _texts(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of about ``CHUNK`` bytes of a string array."""
+    data, offsets = buffers(column)
+    for a, b in pieces(offsets, CHUNK):
+        own, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+        if own.size and own.max() > 127:
+            plain = pc.replace_substring_regex(column.slice(a, b - a).cast(pa.large_string()), OTHER, " ")
+            own, at = buffers(pc.replace_substring_regex(plain, UNSPACED, r" \1 "))
+        yield a, own, at
+
+
 def _sketch_matrix() -> np.ndarray:
     return np.random.default_rng(5).normal(size=(FEATURES, SKETCH)).astype(np.float32)
 
@@ -59,10 +76,8 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     passages, frequency = 0, np.zeros(FEATURES)
     sketch = np.zeros((FEATURES, SKETCH))
     for batch in batches:
-        data, offsets = buffers(batch.column(0))
-        for a, b in pieces(offsets, CHUNK):
-            low = offsets[a]
-            hashes, _, _, first = word_hashes(data[low:offsets[b]], offsets[a:b + 1] - low, LETTERS)
+        for _, data, offsets in _texts(batch.column(0)):
+            hashes, _, _, first = word_hashes(data, offsets, LETTERS)
             if not len(hashes):
                 continue
             words = np.diff(first)
@@ -145,8 +160,8 @@ class Passages:
 
 
 def _words(text: str) -> np.ndarray:
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    return word_hashes(data, np.array([0, len(data)]), LETTERS)[0]
+    column = pa.array([text.encode("utf-8", "replace").decode()])
+    return np.concatenate([np.zeros(0, np.uint64), *[word_hashes(data, at, LETTERS)[0] for _, data, at in _texts(column)]])
 
 
 def common_subsequence(masks: dict[int, int], length: int, text: list[int]) -> int:
@@ -408,11 +423,9 @@ def search_udf(search: Search):
 
     @F.arrow_udf("array<struct<item_id:bigint,share:double>>")
     def find(text: pa.Array) -> pa.Array:
-        data, offsets = buffers(text)
         out: list[list[dict]] = [[] for _ in range(len(text))]
-        for a, b in pieces(offsets, CHUNK):
-            low = offsets[a]
-            for d, i, share in search.run(data[low:offsets[b]], offsets[a:b + 1] - low):
+        for a, data, offsets in _texts(text):
+            for d, i, share in search.run(data, offsets):
                 out[a + d].append({"item_id": search.passages.ids[i], "share": share})
         release()
         return pa.array([sorted(x, key=lambda m: m["item_id"]) for x in out], kind)

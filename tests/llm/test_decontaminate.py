@@ -99,3 +99,15 @@ def test_long_passages():
         assert all(got[3 + i, i] == 1 for i in range(3))
         own.classes = {}
         assert {(d, i) for d, i, _ in own.run(*buffers(pa.array(docs)))} == (want if words else set())
+
+
+def test_words_of_other_scripts_and_punctuation(spark):
+    """Punctuation beyond ASCII parts words, and text without spaces is words of one character."""
+    latin = "die größe der straße wächst und mañana canta el niño über die brücke"
+    chinese = "春天来了花园里的桃树开满了粉红色的花朵孩子们在树下唱歌"
+    docs = [(1, " — ".join(f"“{w}”…" for w in latin.split())), (2, latin.replace(" ", " ")),
+            (3, "昨天老师对我们说" + chinese + "然后大家一起回家"), (4, "昨天老师对我们说然后大家一起回家，没有别的"), (5, "größer straßen")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, latin), (2, chinese)], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in D.decontaminate(frame, items).collect()}
+    assert got == {1: [1], 2: [1], 3: [2], 4: [], 5: []}
