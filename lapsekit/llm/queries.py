@@ -117,3 +117,22 @@ def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lapsekit.llm.packing import best_fit_pack
 
     return best_fit_pack(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_align")
+def align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two vocabularies in every document (operator 12)."""
+    from lapsekit.llm.token_align import align_tokens
+
+    out = align_tokens(table(spark, sf_dir, "documents"), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op13_bpe_round_trip")
+def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text decoded from them (operator 13)."""
+    from lapsekit.llm.bpe_prefix import bpe_round_trip
+
+    out = bpe_round_trip(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
