@@ -439,7 +439,8 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for coded in _encode(vocabulary)(batches):
-            for plain in _decode(vocabulary)(iter([coded])):
-                yield pa.RecordBatch.from_arrays([coded.column(0), coded.column(1), plain.column(1)], names=["doc_id", "ids", "text"])
+            plain = pa.Table.from_batches(_decode(vocabulary)(iter([coded])))
+            yield pa.RecordBatch.from_arrays([coded.column(0), coded.column(1), plain.column("text").combine_chunks()],
+                                             names=["doc_id", "ids", "text"])
 
     return rows.mapInArrow(run, "doc_id long, ids binary, text string")

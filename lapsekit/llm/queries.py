@@ -136,3 +136,29 @@ def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_round_trip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op11_prefix_trie", """
+WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, xor(4294967295, list_reduce(
+          list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+          lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h
+      FROM t),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS s
+      FROM h c LEFT JOIN t b ON b.conv_id = c.conv_id - c.conv_id % 5),
+m AS (SELECT conv_id, d, s[1:d] AS p, len(s) AS n FROM r, unnest(range(0, len(s) + 1)) u(d)),
+n AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(strlen(p[d].x)), 0) AS size,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+      FROM m GROUP BY d, p),
+k AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+j AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, p)),
+s AS (SELECT e AS d, p[1:e] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+      FROM j, unnest(range(0, d + 1)) u(e) GROUP BY ALL)
+SELECT j.conv_id, j.d AS depth, a.conv_id AS parent_conv_id, j.n_convs, j.n_children, s.n_leaves, s.saved_tokens, j.ends_sha256
+FROM j JOIN s USING (d, p) LEFT JOIN n a ON a.d = j.d - 1 AND a.p = j.p[1:j.d - 1]""")
+def trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings that conversations share, as a trie (operator 11)."""
+    from lapsekit.llm.prefix_trie import prefix_trie, sequences, with_openings
+
+    return prefix_trie(with_openings(sequences(table(spark, sf_dir, "conversations"))))
