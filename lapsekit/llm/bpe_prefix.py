@@ -24,7 +24,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text encoded at a time.
 CHUNK = 2 << 20
 #: Pre-tokens a worker remembers; at this many it starts anew, which only costs work.
-KEPT = 600_000
+KEPT = 250_000
 #: Pre-tokens of more bytes go through the same recurrence one by one.
 LONG = 48
 NEVER = np.int32(1 << 30)
@@ -103,31 +103,52 @@ class Vocabulary:
         self.merge_time = dict(zip(keys.tolist(), range(1, len(keys) + 1)))
 
     def _automaton(self, ids: dict[bytes, int], size: int) -> None:
-        """States are prefixes of tokens; ``step`` follows a byte, ``longest`` is the longest token that ends a state,
-        ``shorter`` the longest token that is a proper suffix of a token (-1: none)."""
+        """States are prefixes of tokens. ``branch`` finds the state one byte longer, ``suffix`` the longest proper suffix
+        that is a state, ``longest`` the longest token that ends a state, ``shorter`` the longest token that is a
+        proper suffix of a token (-1: none)."""
         number: dict[bytes, int] = {b"": 0}
-        for token in sorted(ids, key=len):
+        for token in ids:
             for k in range(1, len(token) + 1):
-                number.setdefault(token[:k], len(number))
+                number.setdefault(token[:k], 0)
         order = sorted(number, key=len)
         number = {s: i for i, s in enumerate(order)}
-        branches: list[list[tuple[int, int]]] = [[] for _ in order]
-        for i, state in enumerate(order[1:], 1):
-            branches[number[state[:-1]]].append((state[-1], i))
-        self.step = np.zeros((len(order), 256), np.int32)
+        self.branch = {number[s[:-1]] << 8 | s[-1]: i for i, s in enumerate(order) if i}
         self.longest, self.shorter = np.full(len(order), -1, np.int32), np.full(size, -1, np.int32)
-        suffix = np.zeros(len(order), np.int32)
-        for i, state in enumerate(order):  # shorter states first, so a suffix state is whole before it is read
-            row = self.step[suffix[i]]
+        self.suffix = np.zeros(len(order), np.int32)
+        for i, state in enumerate(order):  # shorter states first, so a suffix is whole before it is read
+            if len(state) > 1:
+                self.suffix[i] = self.next_state(int(self.suffix[number[state[:-1]]]), state[-1])
             own = ids.get(state, -1)
             if own >= 0:
-                self.shorter[own] = self.longest[suffix[i]]
-            self.longest[i] = own if own >= 0 else self.longest[suffix[i]]
-            for byte, child in branches[i]:
-                suffix[child] = row[byte] if i else 0
-            self.step[i] = row
-            for byte, child in branches[i]:
-                self.step[i, byte] = child
+                self.shorter[own] = self.longest[self.suffix[i]]
+            self.longest[i] = own if own >= 0 else self.longest[self.suffix[i]]
+        keys = np.array(sorted(self.branch), np.int32)
+        self.branch_keys, self.branch_ends = keys, np.array([self.branch[k] for k in keys.tolist()], np.int32)
+        self.first = np.zeros(256, np.int32)
+        for byte in range(256):
+            self.first[byte] = self.branch.get(byte, 0)
+
+    def next_state(self, state: int, byte: int) -> int:
+        """Longest suffix of the state and the byte that is a state."""
+        while (found := self.branch.get(state << 8 | byte)) is None:
+            if not state:
+                return 0
+            state = int(self.suffix[state])
+        return found
+
+    def next_states(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        out = self.first[byte]  # where no longer suffix goes on
+        at = np.flatnonzero(state)
+        state = state[at]
+        while len(at):
+            key = state << 8 | byte[at]
+            place = np.minimum(np.searchsorted(self.branch_keys, key), len(self.branch_keys) - 1)
+            found = self.branch_keys[place] == key
+            out[at[found]] = self.branch_ends[place[found]]
+            at, state = at[~found], self.suffix[state[~found]]
+            go = state > 0
+            at, state = at[go], state[go]
+        return out
 
     def _times(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """When byte-pair merging would join the tokens; NEVER without such a merge."""
@@ -167,7 +188,7 @@ class Vocabulary:
         active = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1 if len(lengths) else 1), side="right")
         for position, n in enumerate(active.tolist()):
             at = starts[:n] + position
-            state = self.step[state[:n], data[at]]
+            state = self.next_states(state[:n], data[at])
             token = self.longest[state]
             while len(at):
                 size = self.lengths[token]
@@ -199,7 +220,7 @@ class Vocabulary:
         """Ids of one pre-token by the same recurrence, for those too long for steps over all of a chunk."""
         last, state, seen = [], 0, {}
         for position, byte in enumerate(pretoken):
-            state = int(self.step[state, byte])
+            state = self.next_state(state, byte)
             token = int(self.longest[state])
             while True:
                 size = int(self.lengths[token])

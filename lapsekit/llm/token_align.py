@@ -25,7 +25,7 @@ CHUNK = 2 << 20
 DOCS = 4000  # documents that a Python worker gets at a time
 CHUNKS = 4  # rows of chunks that a Python worker gets at a time
 #: Pieces a worker remembers; at this many it starts anew, which only costs work.
-KEPT = 400_000
+KEPT = 120_000
 
 LINK_SCHEMA = ("doc_id array<long>, groups array<string>, stats binary, own_ends binary, own_a binary, own_n binary, "
                "far_ends binary, far_at binary, far_n binary, pairs binary, pair_docs binary")
