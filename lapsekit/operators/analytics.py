@@ -293,16 +293,70 @@ def power_table(candidates: DataFrame, mdes: DataFrame, alpha: float = 0.05, pow
 
 
 def assign_arms(df: DataFrame, key: str, strata: Sequence[str], arms: Sequence[str], seed: int = 7) -> DataFrame:
-    """Sticky customer-level assignment, stratified: md5(key:seed) order
-    inside each stratum, arm = position mod #arms (balanced to +-1 per stratum).
-    The per-stratum position is P0 over md5-prefix buckets (no hot stratum task)."""
+    """C15, one population at once: md5(key:seed) order inside each stratum, arm = position mod #arms (balanced
+    to +-1 per stratum). The per-stratum position is P0 over md5-prefix buckets (no hot stratum task). Arms depend on
+    the population: use ``sticky_arms`` where customers come in later."""
+    d = _stratum_positions(df, key, strata, seed)
+    arm = F.element_at(F.array(*[F.lit(a) for a in arms]), ((F.col("__r") - 1) % len(arms) + 1).cast("int"))
+    return d.withColumn("arm", arm).drop("__r")
+
+
+def _stratum_positions(df: DataFrame, key: str, strata: Sequence[str], seed: int) -> DataFrame:
+    """``__r``: place of a row in its stratum, from 1, in the order of md5(key:seed)."""
     from lapsekit.operators.ordering import ordered_prefix
 
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     d = df.withColumn("__h", h).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
-    d = ordered_prefix(d, [F.col("__h").asc(), F.col(key).asc()], {"__r": F.lit(1)}, "__b", list(strata))
-    arm = F.element_at(F.array(*[F.lit(a) for a in arms]), ((F.col("__r") - 1) % len(arms) + 1).cast("int"))
-    return d.withColumn("arm", arm).drop("__h", "__b", "__r")
+    return ordered_prefix(d, [F.col("__h").asc(), F.col(key).asc()], {"__r": F.lit(1)}, "__b", list(strata)).drop("__h", "__b")
+
+
+def sticky_arms(population: DataFrame, assigned: DataFrame, key: str, strata: Sequence[str], arms: Sequence[str],
+                seed: int = 7, per_arm: int = 2) -> DataFrame:
+    """Assignments of customers that have none yet, by permuted blocks; the others keep theirs.
+
+    ``assigned`` has (key, strata, position, arm) of all earlier calls; strata are those at assignment, so a customer
+    that moves to another stratum keeps arm and place. A stratum's newcomers go on where its last block
+    stopped, in the order of md5(key:seed). Every block holds each arm ``per_arm`` times in an order drawn by hash,
+    so two arms of a stratum never differ by more than ``per_arm``. Returns the new rows of ``assigned``; an empty
+    population gives none, a NULL stratum is a stratum, and keys must be unique and not NULL (others raise or are left out).
+    """
+    from lapsekit.operators.ordering import null_safe_join
+
+    strata = list(strata)
+    new = population.select(key, *strata).filter(F.col(key).isNotNull()).join(assigned.select(key), key, "left_anti")
+    if not new.groupBy(key).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{key} must be unique in the population")
+    last = assigned.groupBy(*strata).agg(F.max("position").alias("__last"))
+    placed = null_safe_join(_stratum_positions(new, key, strata, seed), last, strata, check=True)
+    placed = placed.withColumn("position", F.coalesce("__last", F.lit(0)).cast("long") + F.col("__r").cast("long"))
+    size = per_arm * len(arms)
+    stratum = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata])
+    block = F.floor((F.col("position") - 1) / size).cast("string")
+    draw = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(
+        F.md5(F.concat_ws(":", F.lit(str(seed)), stratum, block, i.cast("string"))).alias("h"), i.alias("i"))))
+    slot = F.element_at(draw, (F.pmod(F.col("position") - 1, F.lit(size)) + 1).cast("int")).i
+    arm = F.element_at(F.array(*[F.lit(a) for a in arms]), (slot % len(arms) + 1).cast("int"))
+    return placed.select(key, *strata, "position", arm.alias("arm"))
+
+
+def assign_committed(store, experiment: str, population: DataFrame, key: str, strata: Sequence[str], arms: Sequence[str],
+                     seed: int = 7, per_arm: int = 2) -> DataFrame:
+    """C15 with a ``TableStore``: deal out the customers of ``population`` that the experiment doesn't have yet, commit
+    them, and return key and arm of the whole population. Writers that run at once deal nobody out twice: the one
+    whose version was taken starts again from the other's assignments."""
+    from lapsekit.session import cut_lineage
+    from lapsekit.sources.store import Change
+
+    table = f"assignments-{experiment}"
+    types = dict(population.dtypes)
+    schema = ", ".join([f"{key} {types[key]}", *[f"{c} {types[c]}" for c in strata], "position long", "arm string"])
+
+    def build(base):
+        new = cut_lineage(sticky_arms(population, store.read(table, schema, base), key, strata, arms, seed, per_arm))
+        return None if new.isEmpty() else Change(add={table: new})
+
+    have = store.read(table, schema, store.transact(build))
+    return population.select(key).join(have, key).select(key, *strata, "position", "arm")
 
 
 def experiment_readout(df: DataFrame, arm: str, outcome: str, control: str = "control",

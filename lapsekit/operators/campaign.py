@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lapsekit.session import cut_lineage
+
 # Purpose -> lifecycle status, action types, sortable columns.
 PURPOSES = {"retention": "active", "renewal": "grace", "winback": "lapsed"}
 ACTION_TYPES = ("reminder", "discount_offer")
@@ -268,3 +270,69 @@ def evolve(old: DataFrame, new: DataFrame, defaults: dict[str, object]) -> DataF
     """Union of tables with different column sets; missing columns get defaults."""
     u = old.unionByName(new, allowMissingColumns=True)
     return u.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items() if c in u.columns})
+
+
+# --------------------------------------------------------------------- B6, B7, B16 by commits
+CAMPAIGN_SCHEMA = ("id long, name string, request_key string, purpose string, action_type string, lifecycle_status string, risk_tier string, "
+                   "segment string, selection_mode string, audience_limit long, exclude_recent_days int, matched_count long, "
+                   "excluded_count long, recipient_count long, status string, created_by string, created_at timestamp")
+RECIPIENT_SCHEMA = ("campaign_id long, customer_id string, group_type string, churn_proba_at_send double, segment_at_send string, "
+                    "lifecycle_at_send string")
+ACTION_SCHEMA = ("id long, customer_id string, campaign_id long, action_type string, is_read boolean, benefit_key string, sent_by string, "
+                 "sent_at timestamp")
+
+
+def _as(df: DataFrame, schema: str) -> DataFrame:
+    return df.select(*[F.col(c).cast(t).alias(c) for c, t in (f.split(" ") for f in schema.split(", "))])
+
+
+def _one_per(df: DataFrame, keys: list[str], what: str) -> None:
+    if not df.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{what}: {', '.join(keys)} must be unique")
+
+
+def launch_committed(store, scores: DataFrame, spec: AudienceSpec, request_key: str, name: str, as_of: dt.datetime,
+                     sent_by: str = "staff", manual: DataFrame | None = None):
+    """Campaign, recipients and ledger rows in one commit of a ``TableStore``, chosen against the ledger of the
+    version they are committed on.
+
+    A request key that has a campaign commits nothing, whoever launched it and however many launches run at once. Campaign
+    and ledger ids come from the store's counters, so they are unique; a recipient is unique in its campaign. If
+    anything fails before the commit, none of the three tables changes. Returns the snapshot that holds the campaign.
+    """
+    from lapsekit.sources.store import Change
+
+    def build(base):
+        campaigns = store.read("campaigns", CAMPAIGN_SCHEMA, base)
+        if not campaigns.filter(F.col("request_key") == request_key).isEmpty():
+            return None
+        flagged = audience(scores, store.read("customer_actions", ACTION_SCHEMA, base), spec, as_of, manual=manual)
+        chosen = cut_lineage(select_recipients(flagged, spec))  # the same rows in all three tables
+        _one_per(chosen, ["customer_id"], "recipients")
+        out = launch(chosen, campaigns, spec, request_key, name, as_of, sent_by, preview(flagged, spec, requested=manual))
+        campaign_id = int(base.properties.get("next_campaign_id", 1))
+        actions, ids = store.numbered(out["customer_actions"].drop("id"), "customer_id", base, "id", "next_action_id")
+        own = {"campaigns": out["campaigns"].withColumn("id", F.lit(campaign_id)),
+               "campaign_recipients": out["campaign_recipients"].withColumn("campaign_id", F.lit(campaign_id)),
+               "customer_actions": actions.withColumn("campaign_id", F.lit(campaign_id))}
+        schemas = {"campaigns": CAMPAIGN_SCHEMA, "campaign_recipients": RECIPIENT_SCHEMA, "customer_actions": ACTION_SCHEMA}
+        return Change(add={t: _as(df, schemas[t]) for t, df in own.items()}, properties={"next_campaign_id": campaign_id + 1, **ids})
+
+    return store.transact(build)
+
+
+def claim_committed(store, claims: DataFrame, names: dict[str, str] = BENEFIT_NAMES):
+    """``claim_benefits`` against the ledger of the version it is committed on, with ids from the store's counter; of
+    two claims of one benefit by one customer, in whatever commits, one gets a row."""
+    from lapsekit.sources.store import Change
+
+    def build(base):
+        ledger = store.read("customer_actions", ACTION_SCHEMA, base)
+        new = cut_lineage(claim_benefits(ledger, claims, names))
+        if new.isEmpty():
+            return None
+        new = new.withColumn("__key", F.concat_ws("\u0000", "customer_id", "benefit_key"))
+        rows, ids = store.numbered(new.drop("id"), "__key", base, "id", "next_action_id")
+        return Change(add={"customer_actions": _as(rows, ACTION_SCHEMA)}, properties=ids)
+
+    return store.transact(build)

@@ -476,10 +476,52 @@ def _arms(spark, sf):
 
 @query("experiment_assignment", sql(["arms"], "SELECT * FROM arms"))
 def q_arms(spark, sf):
-    """Sticky stratified 1:1 assignment (md5 order within stratum)."""
+    """Stratified 1:1 assignment of one population (md5 order within stratum)."""
     return _arms(spark, sf)
 
 
+_BLOCK = 4  # two places for each of two arms
+_STRATUM = "coalesce(risk_tier, '') || '|' || coalesce(ltv_tier, '')"
+
+
+def _dealt_sql(source: str, before: str | None) -> str:
+    """Newcomers of ``source`` after the assignments ``before``: places by md5 order, arms by permuted blocks."""
+    have = f"SELECT risk_tier, ltv_tier, max(position) AS last FROM {before} GROUP BY ALL" if before else \
+        "SELECT NULL::VARCHAR AS risk_tier, NULL::VARCHAR AS ltv_tier, 0::BIGINT AS last WHERE FALSE"
+    new = f"WHERE customer_id NOT IN (SELECT customer_id FROM {before})" if before else ""
+    return f"""
+    SELECT customer_id, risk_tier, ltv_tier, position,
+           ['control', 'treatment'][list_sort(list_transform(range({_BLOCK}), lambda i: {{'h': md5('7:' || {_STRATUM} || ':' ||
+               ((position - 1) // {_BLOCK})::VARCHAR || ':' || i::VARCHAR), 'i': i}}))[(position - 1) % {_BLOCK} + 1].i % 2 + 1] AS arm
+    FROM (SELECT n.*, coalesce(h.last, 0) + row_number() OVER (PARTITION BY n.risk_tier, n.ltv_tier ORDER BY md5(customer_id || ':7'), customer_id) AS position
+          FROM (SELECT * FROM {source} {new}) n LEFT JOIN ({have}) h
+               ON n.risk_tier IS NOT DISTINCT FROM h.risk_tier AND n.ltv_tier IS NOT DISTINCT FROM h.ltv_tier) x"""
+
+
+VIEWS["wave1"] = (["scoring"], "SELECT customer_id, risk_tier, ltv_tier FROM scoring WHERE lifecycle_status <> 'lapsed'")
+VIEWS["wave2"] = (["scoring"], """SELECT customer_id, CASE WHEN lifecycle_status = 'grace' THEN 'high_risk' ELSE risk_tier END AS risk_tier,
+                                         ltv_tier FROM scoring""")
+VIEWS["dealt1"] = (["wave1"], _dealt_sql("wave1", None))
+VIEWS["dealt2"] = (["wave2", "dealt1"], _dealt_sql("wave2", "dealt1"))
+
+
+@query("sticky_assignment", sql(["dealt1", "dealt2"], "SELECT * FROM dealt1 UNION ALL SELECT * FROM dealt2"))
+def q_sticky(spark, sf):
+    """An experiment starts with all customers that haven't lapsed; later the lapsed ones come in and those in grace
+    have another risk tier. Nobody's arm changes, and the newcomers go on in the open blocks."""
+    import uuid
+
+    from lapsekit.session import checkpoint_dir, cut_lineage
+    from lapsekit.sources.store import TableStore
+
+    s = cut_lineage(scoring_table(spark, sf).select("customer_id", "risk_tier", "ltv_tier", "lifecycle_status"))
+    store = TableStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/experiment-{uuid.uuid4().hex}")
+    strata, arms = ["risk_tier", "ltv_tier"], ["control", "treatment"]
+    A.assign_committed(store, "renewal", s.filter("lifecycle_status <> 'lapsed'"), "customer_id", strata, arms)
+    moved = s.withColumn("risk_tier", F.when(F.col("lifecycle_status") == "grace", "high_risk").otherwise(F.col("risk_tier")))
+    return A.assign_committed(store, "renewal", moved, "customer_id", strata, arms)
+
+
 @query("experiment_readout", sql(["arms", "churn_labels"], f"""
     WITH g AS (SELECT arm, count(*) AS n, CAST(sum(1 - l.is_churn) AS BIGINT) AS successes, sum(1 - l.is_churn) / count(*) AS rate
                FROM arms a JOIN churn_labels l USING (customer_id) GROUP BY arm),

@@ -136,6 +136,43 @@ def q_idem(spark, sf):
         out["campaign_recipients"].agg(F.count(F.lit(1)).alias("recipients_second_launch")))
 
 
+def _store(spark, sf):
+    """A store whose ledger is the adapter's."""
+    import uuid
+
+    from lapsekit.session import checkpoint_dir
+    from lapsekit.sources.store import Change, Snapshot, TableStore
+
+    store = TableStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}")
+    ledger = _ledger(spark, sf).select(*[c.split(" ")[0] for c in B.ACTION_SCHEMA.split(", ")])
+    first = ledger.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+    store.commit(Snapshot(), Change(add={"customer_actions": B._as(ledger, B.ACTION_SCHEMA)}, properties={"next_action_id": first}))
+    return store
+
+
+@query("launch_committed", sql(["aud", "ledger"], f"""
+    WITH r AS (SELECT customer_id FROM aud WHERE NOT recent ORDER BY churn_proba DESC, customer_id LIMIT 100)
+    SELECT CAST(1 AS BIGINT) AS campaigns, (SELECT count(*) FROM r) AS recipients, l.id + row_number() OVER (ORDER BY customer_id) AS id,
+           customer_id, CAST(1 AS BIGINT) AS campaign_id, 'reminder' AS action_type, 'staff' AS sent_by, {AS_OF_SQL} AS sent_at
+    FROM r CROSS JOIN (SELECT coalesce(max(id), 0) AS id FROM ledger) l"""))
+def q_launch_committed(spark, sf):
+    """Three launches with one request key at the same time; campaign, recipients and ledger rows of the one that
+    was committed."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lapsekit.session import cut_lineage
+
+    store, scores = _store(spark, sf), cut_lineage(_scores(spark, sf))
+    with ThreadPoolExecutor(3) as pool:
+        done = [pool.submit(B.launch_committed, store, scores, SPEC, "winback-2024-01-31", "winback reminder", AS_OF) for _ in range(3)]
+        version = max((d.result() for d in done), key=lambda s: s.version)
+    read = lambda t, schema: store.read(t, schema, version)
+    one = read("campaigns", B.CAMPAIGN_SCHEMA).agg(F.count(F.lit(1)).alias("campaigns")).crossJoin(
+        read("campaign_recipients", B.RECIPIENT_SCHEMA).agg(F.count(F.lit(1)).alias("recipients")))
+    new = read("customer_actions", B.ACTION_SCHEMA).filter(F.col("campaign_id") == 1)
+    return new.crossJoin(F.broadcast(one)).select("campaigns", "recipients", "id", "customer_id", "campaign_id", "action_type", "sent_by", "sent_at")
+
+
 VIEWS["manual_ids"] = (["churn_labels"], """
     SELECT trim(raw_id) AS id, min(pos) AS pos FROM (
       SELECT '  c' || CAST(user_id AS VARCHAR) || ' ' AS raw_id, event_id AS pos FROM events WHERE event_type = 'signup'
