@@ -163,8 +163,8 @@ def linear_attributions(model: PipelineModel, scored: DataFrame, features: Seque
 
 
 def tree_nodes(model: PipelineModel) -> list[dict]:
-    """Trees of a boosted model as arrays (feature, threshold, categories, left, right, value, weight), from the
-    model as it is saved; their size is bounded by rounds and depth."""
+    """Trees of a boosted model as arrays (feature, threshold, categories, left, right, value, cover, weight), from the
+    model as it is saved; cover is the weighted number of training rows of a node; their size is bounded by rounds and depth."""
     spark = SparkSession.getActiveSession()
     path = f"{checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
     gbt = model.stages[-1]
@@ -178,42 +178,150 @@ def tree_nodes(model: PipelineModel) -> list[dict]:
                     "threshold": [s["leftCategoriesOrThreshold"][0] if s["featureIndex"] >= 0 and s["numCategories"] == -1 else 0.0 for s in split],
                     "categories": [set(s["leftCategoriesOrThreshold"]) if s["numCategories"] != -1 else None for s in split],
                     "left": [r["leftChild"] for r in nodes], "right": [r["rightChild"] for r in nodes],
-                    "value": [r["prediction"] for r in nodes], "weight": weight})
+                    "value": [r["prediction"] for r in nodes], "cover": [r["impurityStats"][0] for r in nodes], "weight": weight})
     return out
 
 
-def tree_attributions(model: PipelineModel, scored: DataFrame, features: Sequence[str], key: str = "customer_id") -> DataFrame:
-    """I2 (tree job): per-row path attributions of a boosted model. At every node on
-    a row's path the change of the node's mean goes to the feature that was split
-    on, so sum(phi) + base = margin; margins and attributions are computed from the
-    trees inside tasks."""
+def leaf_paths(trees: list[dict]) -> list[dict]:
+    """One entry per leaf: its value, the features on its path, the condition on each (an interval or a set of
+    categories), and for each the share of training rows that its splits let through."""
+    out = []
+    for t in trees:
+        todo = [(0, {})]
+        while todo:
+            node, path = todo.pop()
+            f = t["feature"][node]
+            if f < 0:
+                out.append({"value": t["weight"] * t["value"][node], "features": list(path), "tests": list(path.values())})
+                continue
+            left, right = t["left"][node], t["right"][node]
+            cover = t["cover"][left] + t["cover"][right]
+            for child, is_left in ((left, True), (right, False)):
+                old = path.get(f, {"low": -math.inf, "high": math.inf, "sets": (), "share": 1.0})
+                new = dict(old, share=old["share"] * t["cover"][child] / cover)
+                if t["categories"][node] is not None:
+                    new["sets"] = (*old["sets"], (tuple(sorted(t["categories"][node])), is_left))
+                elif is_left:
+                    new["high"] = min(old["high"], t["threshold"][node])
+                else:
+                    new["low"] = max(old["low"], t["threshold"][node])
+                todo.append((child, {**path, f: new}))
+    return out
+
+
+def _passes(x, test):
+    """Rows whose value of the feature meets all splits on it of a path; a missing number goes right, as it is above no threshold."""
+    import numpy as np
+
+    ok = np.ones(len(x), bool)
+    if test["high"] < math.inf:
+        ok &= x <= test["high"]
+    if test["low"] > -math.inf:
+        ok &= ~(x <= test["low"])
+    for values, inside in test["sets"]:
+        ok &= np.isin(x, values) == inside
+    return ok
+
+
+def _shapley_of_patterns(passes, shares):
+    """Shapley values (patterns x features) of a leaf worth 1: a coalition's worth is the product of ``passes`` over its
+    features and of ``shares`` over the others.
+
+    Coalitions are summed by size: the product of (share + pass * y) over the other features is a polynomial in y,
+    and the coefficient of y^k gets the Shapley weight k! (m - k - 1)! / m!.
+    """
+    import numpy as np
+
+    n, m = passes.shape
+    weights = np.array([math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)])
+    out = np.zeros((n, m))
+    for i in range(m):
+        poly = np.zeros((n, m))
+        poly[:, 0] = 1.0
+        for j in range(m):
+            if j != i:
+                grown = poly * shares[j]
+                grown[:, 1:] += poly[:, :-1] * passes[:, j:j + 1]
+                poly = grown
+        out[:, i] = (passes[:, i] - shares[i]) * (poly @ weights)
+    return out
+
+
+def shapley_rows(x, paths: list[dict], n_features: int):
+    """Shapley values (rows x features), expected margin and margins of a boosted model given by its ``leaf_paths``.
+
+    A leaf's game has its path's features only, and rows differ in it by which conditions they meet, so values are
+    worked out once per pattern of met conditions.
+    """
+    import numpy as np
+
+    phi, margin, base = np.zeros((len(x), n_features)), np.zeros(len(x)), 0.0
+    for leaf in paths:
+        m = len(leaf["features"])
+        shares = np.array([t["share"] for t in leaf["tests"]])
+        base += leaf["value"] * shares.prod()
+        if not m:
+            margin += leaf["value"]
+            continue
+        met = np.stack([_passes(x[:, f], t) for f, t in zip(leaf["features"], leaf["tests"])], axis=1)
+        patterns, own = np.unique(met, axis=0, return_inverse=True) if m > 16 else _patterns(met)
+        phi[:, leaf["features"]] += leaf["value"] * _shapley_of_patterns(patterns.astype(float), shares)[own]
+        margin += leaf["value"] * met.all(axis=1)
+    return phi, base, margin
+
+
+def _patterns(met):
+    import numpy as np
+
+    code = met @ (1 << np.arange(met.shape[1]))
+    found, own = np.unique(code, return_inverse=True)
+    return (found[:, None] >> np.arange(met.shape[1]) & 1).astype(bool), own
+
+
+def _path_rows(x, trees: list[dict], n_features: int):
+    """Path attributions: at every node on a row's path the change of the node's mean goes to the feature split on."""
+    import numpy as np
+
+    phi, margin = np.zeros((len(x), n_features)), np.zeros(len(x))
+    base = sum(t["weight"] * t["value"][0] for t in trees)
+    for t in trees:
+        value, todo = np.array(t["value"]), [(0, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            f = t["feature"][node]
+            if f < 0 or not len(rows):
+                margin[rows] += t["weight"] * value[node]
+                continue
+            seen = x[rows, f]
+            left = np.isin(seen, list(t["categories"][node])) if t["categories"][node] is not None else seen <= t["threshold"][node]
+            for child, part in ((t["left"][node], rows[left]), (t["right"][node], rows[~left])):
+                phi[part, f] += t["weight"] * (value[child] - value[node])
+                todo.append((child, part))
+    return phi, base, margin
+
+
+def tree_attributions(model: PipelineModel, scored: DataFrame, features: Sequence[str], key: str = "customer_id",
+                      method: str = "shapley") -> DataFrame:
+    """I2 (tree job): per-row attributions of a boosted model; sum(phi) + base = margin.
+
+    ``method="shapley"``: exact Shapley values of the game in which a node whose feature is unknown sends a row to both
+    children in proportion to their training rows (cover); base is the expected margin. ``"path"``: changes of node
+    means along the row's path, cheaper. Both are computed from the trees, whose size is bounded by rounds and
+    depth, in Arrow batches inside tasks.
+    """
     trees = tree_nodes(model)
     names = list(features)
-    shared = scored.sparkSession.sparkContext.broadcast(trees)
+    shared = scored.sparkSession.sparkContext.broadcast(leaf_paths(trees) if method == "shapley" else trees)
+    explain = {"shapley": shapley_rows, "path": _path_rows}[method]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        trees = shared.value
-        base = sum(t["weight"] * t["value"][0] for t in trees)
         for batch in batches:
             n = batch.num_rows
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, len(names)))
-            phi, margin = np.zeros((n, len(names))), np.zeros(n)
-            for t in trees:
-                value, todo = np.array(t["value"]), [(0, np.arange(n))]
-                while todo:
-                    node, rows = todo.pop()
-                    f = t["feature"][node]
-                    if f < 0 or not len(rows):
-                        margin[rows] += t["weight"] * value[node]
-                        continue
-                    seen = x[rows, f]
-                    left = np.isin(seen, list(t["categories"][node])) if t["categories"][node] is not None else seen <= t["threshold"][node]
-                    for child, part in ((t["left"][node], rows[left]), (t["right"][node], rows[~left])):
-                        phi[part, f] += t["weight"] * (value[child] - value[node])
-                        todo.append((child, part))
+            phi, base, margin = explain(x, shared.value, len(names))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(phi[:, i]) for i in range(len(names))],
                                               pa.array(np.full(n, base)), pa.array(margin)], names=[key, *names, "base_value", "margin"])
 

@@ -89,15 +89,25 @@ def smoothed_hazard(curve: DataFrame, bandwidth: float, groups: Sequence[str] =
         .select(*groups, "duration", r6(F.coalesce("__h", F.lit(0.0))).alias("smoothed_hazard"))
 
 
+def _pack(rows: list[tuple[float, np.ndarray]]):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.float64()), pa.array([v.tobytes() for _, v in rows], pa.binary())],
+                                      names=["t", "sums"])
+
+
 def _cox_sums(beta: list[float]):
-    """Per partition and duration: events, event covariates, and the risk sums of order 0, 1 and 2."""
+    """Per partition and duration: events, event covariates, and the sums of order 0, 1 and 2 of the rows and of those with
+    an event."""
     def run(batches):
-        import pyarrow as pa
-
         b = np.array(beta)
         p = len(b)
         upper = np.triu_indices(p)
         total: dict[float, np.ndarray] = {}
+
+        def orders(xs, ws):
+            return [[ws.sum()], ws @ xs, ((xs * ws[:, None]).T @ xs)[upper]]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -107,30 +117,112 @@ def _cox_sums(beta: list[float]):
             w = np.exp(x @ b)
             order = np.argsort(t, kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(t[order])) + 1):
-                xs, ws = x[rows], w[rows]
-                own = np.concatenate([[e[rows].sum()], e[rows] @ xs, [ws.sum()], ws @ xs, ((xs * ws[:, None]).T @ xs)[upper]])
+                own = np.concatenate([[e[rows].sum()], e[rows] @ x[rows], *orders(x[rows], w[rows]), *orders(x[rows], w[rows] * e[rows])])
                 at = float(t[rows[0]])
                 total[at] = total[at] + own if at in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))],
-                                         names=["t", "sums"])
+        yield _pack(list(total.items()))
+
+    return run
+
+
+def _cox_merge(batches):
+    """Add up the sums of equal durations, which come one after the other."""
+    at, total = None, None
+    for batch in batches:
+        done = []
+        for t, sums in zip(batch.column("t").to_pylist(), batch.column("sums")):
+            own = np.frombuffer(sums.as_buffer())
+            if t == at:
+                total = total + own
+            else:
+                if at is not None:
+                    done.append((at, total))
+                at, total = t, own
+        if done:
+            yield _pack(done)
+    if at is not None:
+        yield _pack([(at, total)])
+
+
+def _tied(d: int, risk: float, tied: float, chunk: int = 1 << 20) -> np.ndarray:
+    """Sums over c = 0, 1/d, .., (d-1)/d of 1/f, c/f, 1/f^2, c/f^2, c^2/f^2 with f = risk - c * tied: the l-th of d tied events
+    leaves a risk set without the l/d-th part of the tied rows."""
+    out = np.zeros(5)
+    for first in range(0, d, chunk):
+        c = np.arange(first, min(d, first + chunk)) / d
+        f = risk - c * tied
+        out += [(1 / f).sum(), (c / f).sum(), (1 / f ** 2).sum(), (c / f ** 2).sum(), (c ** 2 / f ** 2).sum()]
+    return out
+
+
+def _cox_step(p: int, above, ties: str):
+    """Contribution of a partition's durations to gradient and Hessian; ``above``: sums of the later ones, by partition."""
+    upper, k = np.triu_indices(p), 1 + p + p * (p + 1) // 2
+
+    def square(v):
+        out = np.zeros((p, p))
+        out[upper] = v
+        return out + np.triu(out, 1).T
+
+    def run(batches):
+        import pyarrow as pa
+
+        risk, grad, hess = None, np.zeros(p), np.zeros((p, p))
+        for batch in batches:
+            parts = batch.column("part").to_pylist()
+            for part, sums in zip(parts, batch.column("sums")):
+                own = np.frombuffer(sums.as_buffer())
+                risk = (above.value[part] if risk is None else risk) + own[1 + p:1 + p + k]
+                d = int(own[0])
+                if not d:
+                    continue
+                s0, s1, s2 = risk[0], risk[1:1 + p], square(risk[1 + p:])
+                tied = own[1 + p + k:] if ties == "efron" else np.zeros(k)
+                t1, t2 = tied[1:1 + p], square(tied[1 + p:])
+                if ties == "efron" and d > 1:
+                    a, b, a2, b2, c2 = _tied(d, s0, tied[0])
+                else:
+                    a, b, a2, b2, c2 = d / s0, 0.0, d / s0 ** 2, 0.0, 0.0
+                grad += own[1:1 + p] - a * s1 + b * t1
+                cross = np.outer(s1, t1)
+                hess += a * s2 - b * t2 - a2 * np.outer(s1, s1) + b2 * (cross + cross.T) - c2 * np.outer(t1, t1)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([grad, hess.ravel()]).tobytes()], pa.binary())], names=["part_sum"])
+
+    return run
+
+
+def _part_total(p: int):
+    k = 1 + p + p * (p + 1) // 2
+
+    def run(batches):
+        import pyarrow as pa
+
+        total, part = None, 0
+        for batch in batches:
+            for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums")):
+                own = np.frombuffer(sums.as_buffer())[1 + p:1 + p + k]
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
 
     return run
 
 
 def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str], penalizer: float = 0.1,
-            max_iter: int = 25, tol: float = 1e-9) -> DataFrame:
-    """V6: Cox proportional hazards, Breslow ties, ridge penalty on standardised
+            max_iter: int = 25, tol: float = 1e-9, ties: str = "efron") -> DataFrame:
+    """V6: Cox proportional hazards, Efron (or ``ties="breslow"``) ties, ridge penalty on standardised
     covariates (0.5 * penalizer * n * ||beta||^2), Newton-Raphson.
 
-    Every iteration is ONE distributed pass over the written input: per distinct
-    duration the sums of exp(b.x), x exp(b.x), x x' exp(b.x) and of the event
-    covariates. There are no more rows than distinct durations (days), so they
-    are brought to the driver, where the risk sets are suffix sums.
+    Every iteration is ONE distributed pass over the written input: per distinct duration the sums of exp(b.x),
+    x exp(b.x), x x' exp(b.x) over all rows and over the events, and of the event covariates. These meet in range
+    partitions of the duration, latest first; the risk sets are running sums (P0: one total per partition reaches the
+    driver, however many durations there are), and each partition gives one gradient and Hessian.
     Returns (covariate, coef, hazard_ratio, se) on the original scale.
     """
+    if ties not in ("efron", "breslow"):
+        raise ValueError(f"unknown ties {ties}")
     cov = list(covariates)
     p = len(cov)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
     df = cut_lineage(df.select(duration, event, *cov))  # every step reads it again
     st = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cov)],
                 *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cov)]).first()
@@ -140,28 +232,29 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
     sd[sd == 0] = 1.0
     base = cut_lineage(df.select(F.col(duration).alias("t"), F.col(event).alias("e"), F.array(*[
         ((F.col(c) - float(mean[i])) / float(sd[i])).cast("double") for i, c in enumerate(cov)]).alias("x")))
+    spark = df.sparkSession
     beta = np.zeros(p)
     hess = np.eye(p)
     for _ in range(max_iter):
-        parts = base.mapInArrow(_cox_sums(beta.tolist()), "t double, sums array<double>")
-        per_t = parts.select("t", F.posexplode("sums").alias("k", "v")).groupBy("t", "k").agg(F.sum("v").alias("v")) \
-            .groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s.v).alias("sums")).toPandas()
-        per_t = per_t.sort_values("t", ascending=False)
-        sums = np.array(per_t["sums"].tolist())
-        d, ex = sums[:, 0], sums[:, 1:1 + p]
-        risk = np.cumsum(sums[:, 1 + p:], axis=0)  # everybody with at least this duration
-        s0, s1 = risk[:, 0], risk[:, 1:1 + p] / risk[:, :1]
-        s2 = np.zeros((len(d), p, p))
-        for k, (i, j) in enumerate(pairs):
-            s2[:, i, j] = s2[:, j, i] = risk[:, 1 + p + k] / s0
-        grad = (ex - d[:, None] * s1).sum(axis=0) - n * penalizer * beta
-        hess = (d[:, None, None] * (s2 - s1[:, :, None] * s1[:, None, :])).sum(axis=0) + n * penalizer * np.eye(p)
+        parts = base.mapInArrow(_cox_sums(beta.tolist()), "t double, sums binary")
+        per_t = parts.repartitionByRange(F.desc("t")).sortWithinPartitions(F.desc("t")).mapInArrow(_cox_merge, "t double, sums binary")
+        per_t = cut_lineage(per_t.withColumn("part", F.spark_partition_id()))
+        totals = {r["part"]: np.frombuffer(r["total"]) for r in
+                  per_t.select("part", "sums").mapInArrow(_part_total(p), "part int, total binary").collect()}  # one row a partition
+        above, so_far = {}, np.zeros(1 + p + p * (p + 1) // 2)
+        for part in sorted(totals):
+            above[part] = so_far
+            so_far = so_far + totals[part]
+        shared = spark.sparkContext.broadcast(above)
+        got = per_t.select("part", "sums").mapInArrow(_cox_step(p, shared, ties), "part_sum binary").collect()  # one row a partition
+        got = np.sum([np.frombuffer(r[0]) for r in got], axis=0) if got else np.zeros(p + p * p)
+        grad = got[:p] - n * penalizer * beta
+        hess = got[p:].reshape(p, p) + n * penalizer * np.eye(p)
         step = np.linalg.solve(hess, grad)
         beta = beta + step
         if np.max(np.abs(step)) < tol:
             break
     se = np.sqrt(np.diag(np.linalg.inv(hess))) / sd
     coef = beta / sd
-    spark = df.sparkSession
     rows = [(c, float(coef[i]), float(np.exp(coef[i])), float(se[i])) for i, c in enumerate(cov)]
     return spark.createDataFrame(rows, "covariate string, coef double, hazard_ratio double, se double")
