@@ -62,14 +62,8 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     separate rows, and with fewer rows than shards some shards stay empty.
     """
     plain = docs.select(id_col, text_col, *[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(categories)])
-    if plain.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
-        packed = with_unique_ids(plain.select(id_col, F.to_json(F.struct(F.col(text_col).alias("t"), "_c0", "_c1")).alias("j")),
-                                 id_col, "j")
-        parts = F.from_json("text", "t string, _c0 string, _c1 string")
-        rows = packed.select("_id", "doc_id", parts.t.alias("text"), parts._c0.alias("_c0"), parts._c1.alias("_c1"))
-    else:
-        rows = plain.select(F.col(id_col).cast("long").alias("_id"), F.col(id_col).cast("long").alias("doc_id"),
-                            F.col(text_col).alias("text"), "_c0", "_c1")
+    rows = with_unique_ids(plain, id_col, text_col, carry=True).select(
+        "_id", "doc_id", "text", F.col("_row._c0").alias("_c0"), F.col("_row._c1").alias("_c1"))
     body = F.coalesce("text", F.lit(""))
     small = cut_table(rows.select(
         "_id", "doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),

@@ -19,8 +19,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16  # a width
 WINDOW = 256
 UNKNOWN = "und"
-#: Training documents a language (the bound of the sample) and languages at most, the most frequent first.
-PER_LANGUAGE, MAX_LANGUAGES = 400, 256
+#: Training documents a language, and characters of each: the bounds of the sample.
+PER_LANGUAGE, SAMPLE_CHARACTERS = 400, 1 << 16
 BATCH_BYTES = 1 << 19
 
 
@@ -140,13 +140,15 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str,
                     seed: int = 7) -> tuple[list[bytes], list[str]]:
     """About ``per_language`` labelled documents a language, drawn by a hash of the id over the whole table."""
     ok = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = ok.groupBy(F.col(label_col).alias("label")).count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES)
+    counts = ok.groupBy(F.col(label_col).alias("label")).count()
     share = {r["label"]: min(1.0, 1.5 * per_language / r["count"]) for r in counts.collect()}
     if not share:
         return [], []
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col(label_col)]
-    rows = ok.filter(draw < rate).select(draw.alias("draw"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).collect()
+    spare = F.greatest(F.length(text_col) - SAMPLE_CHARACTERS, F.lit(0)) + 1  # a longer text gives a stretch drawn by the hash
+    text = F.substr(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), spare.cast("long")) + 1).cast("int"), F.lit(SAMPLE_CHARACTERS))
+    rows = ok.filter(draw < rate).select(draw.alias("draw"), text.alias("text"), F.col(label_col).alias("label")).collect()
     texts, labels, seen = [], [], dict.fromkeys(share, 0)
     for r in sorted(rows, key=lambda r: (r["draw"], r["label"], r["text"])):
         if seen[r["label"]] < per_language:

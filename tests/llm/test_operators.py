@@ -276,9 +276,10 @@ def test_lm_base_score(docs, rows):
     got = {r.doc_id: r for r in lm_score(docs).collect()}
     for i, own in tokens.items():
         r = got[i]
-        base = sum(math.log10((count[t] + 1) / ((total + 1) * (distinct + 1))) for t in own)
+        base = sum(math.log10((count[t] + 1) / (total + 1 * (distinct + 1))) for t in own)
         assert r.base_score == pytest.approx(base) and r.train_tokens == total
         assert (r.n_tokens, r.n_known, r.held_out) == (len(own), sum(count[t] > 0 for t in own), i in held)
+    assert sum((c + 1) / (total + distinct + 1) for c in [*count.values(), 0]) == pytest.approx(1)
     per = lambda name: sum(getattr(got[i], name) for i in held) / sum(got[i].n_tokens for i in held)
     assert per("base_score") < per("score") < 0
 
