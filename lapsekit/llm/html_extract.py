@@ -21,13 +21,21 @@ from pyspark.sql import DataFrame, functions as F
 #: Fixed values of the HTML standard: elements without an end tag, with text that isn't markup, within lines, and
 #: those whose start ends an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select".split())
+RAW = frozenset("script style noscript template textarea title iframe canvas object select desc annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby "
-                   "s samp small span strike strong sub sup time tt u var br wbr img".split())
+                   "s samp small span strike strong sub sup time tt u var br wbr img "
+                   # formulas and drawings stand in their line, with the text that they show
+                   "math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+                   "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics "
+                   "svg circle clippath defs ellipse filter foreignobject g line lineargradient marker mask path pattern polygon "
+                   "polyline radialgradient rect stop symbol text textpath tspan use".split())
 ENDS_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"),
                "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+#: The rest of a tag by the standard: a value after an equals sign is quoted or ends at white space, and quotes anywhere
+#: else are part of names and values. It never steps back, so a tag is read once.
+REST = re.compile(r"((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*|(?=>)))*+)>")
+ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?", re.I)
 NAME = re.compile(r"[a-z]+")
 
 
@@ -70,6 +78,40 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def tags(source: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, whether it closes, name, attributes) of every tag; comments and declarations have no name, and an
+    element whose text isn't markup ends behind that text.
+
+    After a tag that no ``>`` ends by the standard's rules, quotes are not trusted any more and a tag ends at the next ``>``;
+    where there is none left, the rest is text. So every character is read a bounded number of times.
+    """
+    at, quotes, last, last_comment = 0, True, source.rfind(">"), source.rfind("-->")
+    unclosed: set[str] = set()  # elements that nothing from here on closes
+    while m := MARKUP.search(source, at):
+        start, tag = m.start(), m.group(2)
+        if m.group() == "<!--":
+            at = source.index("-->", m.end()) + 3 if last_comment >= m.end() else len(source)
+            yield start, at, False, None, ""
+            continue
+        if last < m.end():
+            return
+        rest = REST.match(source, m.end()) if tag and quotes else None
+        if rest is None:
+            quotes = quotes and not tag
+            at = source.index(">", m.end()) + 1
+        else:
+            at = rest.end()
+        tag, attributes = tag and tag.lower(), source[m.end():at - 1]
+        if tag in RAW and not m.group(1) and not attributes.rstrip().endswith("/"):
+            close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
+            if close:
+                at = close.end()
+            else:
+                unclosed.add(tag)
+                at = len(source) if tag in ("script", "style") else at
+        yield start, at, bool(m.group(1)), tag, attributes
+
+
 def parse(source: str) -> Page:
     """Nodes of a page. Inline elements melt into the text block around them; what isn't closed ends with its parent."""
     page = Page()
@@ -86,33 +128,24 @@ def parse(source: str) -> Page:
             run.clear()
         linked = 0
 
-    n = len(source)
-    search = TOKEN.search
-    while at < n:
-        m = search(source, at)
-        end = m.start() if m else n
+    def read(end: int) -> None:
+        nonlocal linked
         if end > at:
             run.append(source[at:end])
             if links:
                 linked += end - at
-        if not m:
-            break
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
+
+    for start, end, closing, tag, attributes in tags(source):
+        read(start)
+        at = end
+        if tag is None or tag in RAW:
             continue
-        tag, closing = tag.lower(), m.group(1)
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links + (-1 if closing else 1))
             elif tag == "br":
                 run.append(" ")
             continue
-        if tag in RAW:
-            if not closing and not m.group(3).rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-                at = close.end() if close else n if tag in ("script", "style") else at
-            continue
         flush()
         if tag in VOID:
             continue
@@ -134,7 +167,8 @@ def parse(source: str) -> Page:
                     break
         if tag in ("html", "body") and any(t == tag for t, _ in stack[1:]) or tag == "html":
             continue
-        stack.append((tag, page.add(tag, stack[-1][1], _names(m.group(3)))))
+        stack.append((tag, page.add(tag, stack[-1][1], _names(attributes))))
+    read(len(source))
     flush()
     return page.weigh()
 
