@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from lapsekit.session import cut_lineage
@@ -154,10 +155,124 @@ def top_k(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 
 def paginate(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    """LIMIT/OFFSET page (1-based page)."""
+    """LIMIT/OFFSET page (1-based page). Page k sorts k pages; ``SortedPages`` reads one."""
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+class SortedPages:
+    """W13 for deep pages: a table written once in range partitions of its sort key, each a folder of its own.
+
+    A page reads the folder in which it begins and as many of the next ones as hold its rows, whatever its number.
+    ``order`` is a list of (column, ascending); the columns together must be unique and not NULL. The index has a row per
+    folder: its first key and its number of rows.
+    """
+
+    INDEX = "_index"
+
+    def __init__(self, spark, path: str, order: Sequence[tuple[str, bool]], schema):
+        self.spark, self.path, self.order, self.schema = spark, path.rstrip("/"), list(order), schema
+        rows = sorted(spark.read.parquet(f"{self.path}/{self.INDEX}").collect(), key=lambda r: r["part"])
+        self.parts, self.first = [r["part"] for r in rows], [r["first"] for r in rows]
+        self.rows = [r["rows"] for r in rows]
+
+    @classmethod
+    def write(cls, df: DataFrame, path: str, order: Sequence[tuple[str, bool]], partitions: int | None = None) -> SortedPages:
+        keys = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
+        placed = df.repartitionByRange(*([partitions] if partitions else []), *keys)
+        names = [c for c, _ in order]
+        path = path.rstrip("/")
+        (placed.withColumn(PART, F.spark_partition_id()).sortWithinPartitions(*keys).write.partitionBy(PART).parquet(f"{path}/rows"))
+        schema = T.StructType([*df.schema.fields, T.StructField(PART, T.IntegerType())])
+        rows = df.sparkSession.read.schema(schema).parquet(f"{path}/rows")
+        by = F.struct(*[F.col(c) if up else cls._turned(df, c) for c, up in order])
+        index = rows.groupBy(F.col(PART).alias("part")).agg(F.min_by(F.struct(*names), by).alias("first"), F.count(F.lit(1)).alias("rows"))
+        index.coalesce(1).write.parquet(f"{path}/{cls.INDEX}")
+        return cls(df.sparkSession, path, order, schema)
+
+    @staticmethod
+    def _turned(df: DataFrame, column: str) -> Column:
+        kind = df.schema[column].dataType.typeName()
+        if kind in ("string", "binary", "boolean", "date", "timestamp", "timestamp_ntz"):
+            raise ValueError(f"{column}: only numbers can be in descending order")
+        return -F.col(column)
+
+    def _read(self, parts: list[int]) -> DataFrame:
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
+        return rows.filter(F.col(PART).isin(parts)).drop(PART)  # partition pruning: other folders aren't opened
+
+    def _sorted(self, df: DataFrame) -> DataFrame:
+        return df.orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in self.order])
+
+    def _from(self, at: int, rows: int) -> list[int]:
+        """Folder number ``at`` of the index and the next ones, until those behind the first hold ``rows`` rows."""
+        end, held = at + 1, 0
+        while end < len(self.parts) and held < rows:
+            held += self.rows[end]
+            end += 1
+        return self.parts[at:end]
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Rows of a 1-based page, as OFFSET would give them."""
+        skip, at = (number - 1) * size, 0
+        while at < len(self.parts) and skip >= self.rows[at]:
+            skip -= self.rows[at]
+            at += 1
+        return self._sorted(self._read(self._from(at, size) if at < len(self.parts) else [])).offset(skip).limit(size)
+
+    def cursor(self, page: DataFrame) -> tuple | None:
+        """Key of a page's last row; None of an empty page."""
+        rows = page.select(*[c for c, _ in self.order]).collect()  # at most a page
+        return tuple(rows[-1]) if rows else None
+
+    def after(self, cursor: tuple | None, size: int) -> DataFrame:
+        """The next ``size`` rows behind a key, which need not be there any more; None begins at the start."""
+        if cursor is None:
+            return self.page(1, size)
+        before = lambda first: next((x < y if up else x > y for x, y, (_, up) in zip(first, cursor, self.order) if x != y), True)
+        at = max((i for i, first in enumerate(self.first) if before(tuple(first))), default=0)
+        behind, same = F.lit(False), F.lit(True)
+        for value, (c, up) in zip(cursor, self.order):
+            behind = behind | (same & (F.col(c) > F.lit(value) if up else F.col(c) < F.lit(value)))
+            same = same & (F.col(c) == F.lit(value))
+        return self._sorted(self._read(self._from(at, size)).filter(behind)).limit(size)
+
+
+def sketch_bound(k: int) -> float:
+    """Normalised rank error of a KLL sketch with parameter k, at 99 % confidence for a single quantile."""
+    return 2.296 / k ** 0.9021
+
+
+def sketch_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], groups: Sequence[str] = (), k: int = 800) -> DataFrame:
+    """G17 by mergeable KLL sketches: one pass, a few kilobytes a column and task whatever the number of rows.
+
+    Result: one row per (groups, column, p) with ``value`` (a value of the column), ``n`` (its values) and ``bound``, the
+    normalised rank error that the value's rank keeps with 99 % confidence. ``exact_quantiles`` is the exact way; the
+    caller chooses. NULLs don't count; a column without values has no row.
+    """
+    groups = list(groups)
+    own = df.groupBy(*groups).agg(*[F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(k)).alias(c) for c in cols],
+                                  *[F.count(c).alias(f"__n_{c}") for c in cols])
+    long = own.select(*groups, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("sketch"), F.col(f"__n_{c}").alias("n"))
+                                                   for c in cols])).alias("s")).select(*groups, "s.*").filter("n > 0")
+    parts = [F.struct(F.lit(float(p)).alias("p"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("value")) for p in probs]
+    return long.select(*groups, "column", "n", F.explode(F.array(*parts)).alias("q")).select(
+        *groups, "column", "q.p", "q.value", "n", F.lit(sketch_bound(k)).alias("bound"))
+
+
+def quantile_rank_errors(df: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """Exact normalised rank error of ``sketch_quantiles`` without groups: how far p lies outside the ranks that the value
+    takes up in its column."""
+    rows = quantiles.collect()  # a row per column and probability
+    counts = []
+    for i, r in enumerate(rows):
+        c = F.col(r["column"]).cast("double")
+        counts += [F.count_if(c < r["value"]).alias(f"below{i}"), F.count_if(c <= r["value"]).alias(f"upto{i}")]
+    got = df.agg(*counts).first() if counts else None
+    out = [(r["column"], r["p"], r["value"], max(got[f"below{i}"] / r["n"] - r["p"], r["p"] - got[f"upto{i}"] / r["n"], 0.0), r["bound"])
+           for i, r in enumerate(rows)]
+    return df.sparkSession.createDataFrame(out, "column string, p double, value double, rank_error double, bound double")
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     groups: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile``/DuckDB ``quantile_cont``).

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lapsekit.operators import features as X
 from lapsekit.session import cut_lineage
 from lapsekit.sources import testdata
+from lapsekit.sources.tables import write_bucketed
 from lapsekit.spec import TESTDATA_SPEC, ObservationSpec
 
 
@@ -35,6 +36,20 @@ def assembled(spark: SparkSession, sf_dir: str, spec: ObservationSpec = TESTDATA
                       X.log_features(t["user_logs"], spec, last_log), key=spec.key)
 
 
+def bucketed_tables(spark: SparkSession, sf_dir: str, root: str, spec: ObservationSpec = TESTDATA_SPEC, buckets: int = 8) -> dict[str, DataFrame]:
+    """The domain tables and the split under ``root``, bucketed by customer: one shuffle each, paid when data arrive."""
+    t = domain_tables(spark, sf_dir)
+    t["split"] = X.stratified_split(t["labels"], spec.key, spec.label)
+    return {name: write_bucketed(df, f"{root.rstrip('/')}/{name}", spec.key, buckets) for name, df in t.items()}
+
+
+def assembled_bucketed(t: dict[str, DataFrame], spec: ObservationSpec = TESTDATA_SPEC, last_log: bool = False) -> DataFrame:
+    """``assembled`` over ``bucketed_tables``: aggregations and joins stay within buckets, no row moves."""
+    return X.assemble_bucketed(t["labels"], t["split"], X.member_features(t["members"], spec), X.transaction_features(t["transactions"], spec),
+                               X.log_features(t["user_logs"], spec, last_log), key=spec.key)
+
+
+# Names of the features that the training medians fill.
 MEDIAN_CANDIDATES = [
     "bd_clean", "tenure_days", "auto_renew_rate", "cancel_rate", "avg_discount", "last_payment_plan_days",
     "last_plan_list_price", "last_actual_amount_paid", "last_is_auto_renew", "days_since_last_txn",

@@ -11,6 +11,7 @@ from lapsekit.plans import model_table as MT
 from lapsekit.plans.catalog import query
 from lapsekit.plans.oracle_views import sql
 from lapsekit.sources import testdata as TD
+from lapsekit.session import cut_lineage
 from lapsekit.spec import TESTDATA_SPEC as SPEC
 
 LIFECYCLE_SQL = """CASE WHEN days_to_expire IS NULL THEN 'unknown' WHEN days_to_expire > 0 THEN 'active'
@@ -152,6 +153,16 @@ def q_assembled(spark, sf):
     return MT.assembled(spark, sf, SPEC)
 
 
+@query("assembled_bucketed", sql(["asm"], "SELECT * FROM asm"))
+def q_assembled_bucketed(spark, sf):
+    """X5/J1 over tables bucketed by customer: the aggregations and the five joins need no exchange."""
+    import uuid
+
+    from lapsekit.session import checkpoint_dir
+    root = f"{checkpoint_dir(spark).rstrip('/')}/buckets-{uuid.uuid4().hex}"
+    return MT.assembled_bucketed(MT.bucketed_tables(spark, sf, root, SPEC), SPEC)
+
+
 @query("coverage", sql(["asm"], """
     SELECT round_even(avg(CAST(city IS NOT NULL AS DOUBLE)), 6) AS member_coverage,
            round_even(avg(CAST(txn_count IS NOT NULL AS DOUBLE)), 6) AS transaction_coverage,
@@ -169,6 +180,19 @@ def q_impute_medians(spark, sf):
     return X.impute_fit(d, MT.MEDIAN_CANDIDATES)
 
 
+@query("sketch_medians", sql(["asm"], """
+    SELECT unnest([0.25, 0.5, 0.9]) AS p, TRUE AS within_bound FROM (SELECT 1) x"""))
+def q_sketch_medians(spark, sf):
+    """G17 by mergeable sketches: the rank error of every feature's quantiles, against the exact ranks, is within twice the
+    bound of a single one (there are many)."""
+    from lapsekit.operators.ordering import quantile_rank_errors, sketch_quantiles
+    d = X.sentinel_fill(X.zero_fill(X.presence_flags(MT.assembled(spark, sf, SPEC)))).select(*MT.MEDIAN_CANDIDATES)
+    d = cut_lineage(d)
+    probs = [0.25, 0.5, 0.9]
+    errors = quantile_rank_errors(d, sketch_quantiles(d, MT.MEDIAN_CANDIDATES, probs))
+    return errors.groupBy("p").agg(F.min(F.col("rank_error") <= 2 * F.col("bound")).alias("within_bound"))
+
+
 @query("filled_table", sql(["filled"], "SELECT * FROM filled"))
 def q_filled(spark, sf):
     """Flags, zero fill, sentinels, train-median fill."""

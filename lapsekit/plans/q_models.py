@@ -164,6 +164,19 @@ def q_page(spark, sf):
     return O.paginate(p, [F.col("churn_probability").desc(), F.col("customer_id").asc()], 3, 25)
 
 
+@query("page_by_cursor", sql(["preds"], """
+    SELECT customer_id, churn_probability FROM preds ORDER BY churn_probability DESC, customer_id LIMIT 25 OFFSET 50"""))
+def q_cursor(spark, sf):
+    """Third page of 25, by the cursor that the second page ends with, over files sorted by the key."""
+    import uuid
+
+    from lapsekit.session import checkpoint_dir
+    p = preds(spark, sf).select("customer_id", "churn_probability")
+    pages = O.SortedPages.write(p, f"{checkpoint_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex}", [("churn_probability", False), ("customer_id", True)])
+    cursor = pages.cursor(pages.page(2, 25))
+    return pages.after(cursor, 25).select("customer_id", "churn_probability")
+
+
 @query("riskiest_customer", sql(["preds"], """
     SELECT churn_probability, customer_id FROM preds ORDER BY churn_probability DESC, customer_id LIMIT 1"""))
 def q_riskiest(spark, sf):
