@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lapsekit.llm.common import buffers, pieces, ragged, release, releasing, tree_sum, word_hashes
+from lapsekit.llm.common import buffers, cut_table, pieces, ragged, release, releasing, tree_sum, word_hashes
 
 FEATURES = 2048
 RANK, SKETCH = 48, 64
@@ -36,6 +38,7 @@ FREQUENT = 0.001  # words with this share of the text are taken to be found wher
 WINDOWS = 4096  # stretches compared at a time
 TABLE = 1 << 22  # words times passages in a table
 ITEMS = 512  # passages searched at a time
+BLOCKS = 8  # blocks of passages that a task holds
 CHUNK = 1 << 20  # bytes of text worked on at a time
 DOCS = 2000  # documents that a Python worker gets at a time
 
@@ -335,6 +338,9 @@ class Search:
             by.setdefault(max(x for x in LENGTHS if x <= max(blocks, 1)), []).append(i)
         self.classes = {n: np.array(items) for n, items in by.items()}
         self.groups = _groups(passages)
+        self.group_of, self.at = np.zeros((2, len(passages.ids)), np.int64)
+        for g, group in enumerate(self.groups):
+            self.group_of[group.items], self.at[group.items] = g, np.arange(len(group.items))
 
     def run(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float]]:
         """(document, passage, share of its words) for every passage that a document holds."""
@@ -352,6 +358,7 @@ class Search:
         of_block = np.repeat(np.arange(len(words)), blocks)
         short = (hashes & np.uint64((1 << 14) - 1)).astype(np.int64)
         best: dict[tuple[int, int], float] = {}
+        rows = [group.rows(hashes) for group in self.groups]
         for n, items in self.classes.items():
             step = 1 if n < 8 else 2 if n < 32 else n // 16
             many = -(-blocks // step)  # from every step of each document, and none crosses its end
@@ -360,15 +367,14 @@ class Search:
             cosine = windows @ self.places[items].T
             window, item = np.divmod(np.flatnonzero(cosine >= COSINE), len(items))
             if len(window):
-                self._verify(best, at[window], n, self.owner[items[item]], hashes, short, first, base, of_block)
-        for group in self.groups:
-            self._by_words(best, group, hashes, first)
+                self._verify(best, at[window], n, self.owner[items[item]], hashes, short, first, base, of_block, rows)
+        for group, own in zip(self.groups, rows):
+            self._by_words(best, group, own, hashes, first)
         return [(d, i, share) for (d, i), share in best.items()]
 
-    def _by_words(self, best, group: Group, hashes: np.ndarray, first: np.ndarray) -> None:
+    def _by_words(self, best, group: Group, rows: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> None:
         """Check every stretch that holds enough of a passage's words: no common subsequence is longer than their
         count, so no passage is missed that the latent space leaves out."""
-        rows = group.rows(hashes)
         for found in group.stretches(rows, first):
             for a in range(0, len(found[0]), WINDOWS):
                 doc, low, high, k = (x[a:a + WINDOWS] for x in found)
@@ -391,7 +397,7 @@ class Search:
                 return
         best[d, i] = share
 
-    def _verify(self, best, block, n, item, hashes, short, first, base, of_block) -> None:
+    def _verify(self, best, block, n, item, hashes, short, first, base, of_block, rows) -> None:
         """Check windows of ``n`` blocks, with half as many words more on both sides, against their passage; around
         a piece of a long passage, 1.5 times the passage's words more."""
         doc = of_block[block]
@@ -408,13 +414,20 @@ class Search:
             inside = place < high[a:b, None]
             hits = self.member[item[a:b, None], short[np.minimum(place, len(short) - 1)]] & inside
             # no common subsequence is longer than the words that occur in the passage at all
-            for k in np.flatnonzero(hits.sum(axis=1) >= PARAPHRASE * sizes[item[a:b]]) + a:
-                d, i = int(doc[k]), int(item[k])
-                if best.get((d, i), 0) == 1:
-                    continue
-                text = hashes[low[k]:high[k]].tolist()
-                share = common_subsequence(self.masks[i], int(sizes[i]), text) / int(sizes[i])
-                self._settle(best, d, i, share, text)
+            some = np.flatnonzero(hits.sum(axis=1) >= PARAPHRASE * sizes[item[a:b]]) + a
+            for g in np.unique(self.group_of[item[some]]).tolist():
+                group, own = self.groups[g], some[self.group_of[item[some]] == g]
+                if group.bits is not None:
+                    k = self.at[item[own]]
+                    length = group.common(rows[g], low[own], high[own], k)
+                    enough = length >= group.least[k]
+                    own, length = own[enough], length[enough].tolist()
+                for j, w in enumerate(own.tolist()):
+                    d, i = int(doc[w]), int(item[w])
+                    if best.get((d, i), 0) < 1:
+                        text, size = hashes[low[w]:high[w]].tolist(), int(sizes[i])
+                        common = length[j] if group.bits is not None else common_subsequence(self.masks[i], size, text)
+                        self._settle(best, d, i, common / size, text)
 
 
 def search_udf(search: Search):
@@ -437,23 +450,43 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                item_text: str = "text", answer_col: str | None = None, into: str = "leaks") -> DataFrame:
     """``docs`` with an array column ``into`` of (item_id, share): the benchmark passages each document holds.
 
-    The benchmark is the query set; it is searched in blocks of ``ITEMS`` passages against all documents. Null or
+    A document holds a passage of n words if some stretch of at most ``SPAN`` * n of its words has a longest common
+    subsequence with the passage of at least ``OVERLAP`` * n words; or of at least ``PARAPHRASE`` * n words, if the
+    stretch also has a common subsequence with the passage's answer of at least ``ANSWER`` of the answer's words (the
+    answer column, else the passage's last sentence). Words are runs of letters and digits without regard to case, and
+    single characters in scripts without spaces. ``share`` is the largest found. Stretches a little longer may match too.
+
+    The benchmark is the query set; it is searched in blocks of ``ITEMS`` passages against all documents, ``BLOCKS`` blocks
+    a pass, so neither the driver nor a task ever holds more than a pass's passages. Null or
     empty texts and passages hold and match nothing; passages that repeat are all listed; a null item id is listed
     as null. An empty benchmark leaves every array empty.
     """
     space = LatentSpace.fit(docs, text_col)
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    rows = benchmark.select(F.col(item_col).cast("long"), F.lower(F.col(item_text)), F.lower(answer)).toLocalIterator()
-    found, block = [], []
-    for row in rows:
-        block.append(tuple(row))
-        if len(block) == ITEMS:
-            found.append(Passages.of(block))
-            block = []
-    found.append(Passages.of(block))
-    columns = [search_udf(Search(space, p))(F.lower(F.coalesce(F.col(text_col), F.lit("")))) for p in found if p.ids]
-    none = F.array().cast("array<struct<item_id:bigint,share:double>>")
-    return docs.withColumn(into, F.concat(*columns) if columns else none)
+    rows = (tuple(r) for r in benchmark.select(F.col(item_col).cast("long"), F.lower(F.col(item_text)), F.lower(answer)).toLocalIterator())
+
+    def searches(rows: Iterator[tuple]) -> list[Search]:
+        blocks = (Passages.of(list(islice(rows, ITEMS))) for _ in range(BLOCKS))
+        return [Search(space, p) for p in blocks if p.ids]
+
+    def found(own: list[Search], text: Column) -> Column:
+        text = F.lower(F.coalesce(text, F.lit("")))
+        none = F.array().cast("array<struct<item_id:bigint,share:double>>")
+        return F.concat(*[search_udf(s)(text) for s in own]) if own else none
+
+    own, more = searches(rows), next(rows, None)
+    if more is None:
+        return docs.withColumn(into, found(own, F.col(text_col)))
+    keyed = cut_table(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                                  F.monotonically_increasing_id().alias("n")), DOCS)
+    parts = [cut_table(keyed.select("n", found(own, F.col(f"row.`{text_col}`")).alias("leaks")).filter(F.size("leaks") > 0), DOCS)]
+    while more is not None:
+        rows = chain([more], rows)
+        own, more = searches(rows), next(rows, None)
+        parts.append(cut_table(keyed.select("n", found(own, F.col(f"row.`{text_col}`")).alias("leaks")).filter(F.size("leaks") > 0), DOCS))
+    leaks = reduce(DataFrame.unionByName, parts).groupBy("n").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    return keyed.join(leaks, "n", "left").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns],
+                                                 F.coalesce("leaks", found([], F.lit(""))).alias(into))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
