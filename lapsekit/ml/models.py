@@ -24,6 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapsekit.ml.perceptron import fit_perceptron
 from lapsekit.operators.features import sample_rows
 from lapsekit.operators.metrics import roc_auc, score_distribution
 from lapsekit.session import checkpoint_dir, cut_lineage
@@ -72,7 +73,8 @@ def learner(kind: str, prep: PipelineModel, features: Sequence[str], label: str
     if kind == "gbt":
         clf = GBTClassifier(featuresCol="features_raw", labelCol=label, maxIter=p.get("maxIter", 100), maxDepth=p.get("maxDepth", 5),
                             stepSize=p.get("stepSize", 0.1), subsamplingRate=p.get("subsamplingRate", 1.0),
-                            maxBins=bins, seed=p.get("seed", 42))
+                            minInstancesPerNode=p.get("minInstancesPerNode", 1),
+                            featureSubsetStrategy=str(p.get("featureSubsetStrategy", "all")), maxBins=bins, seed=p.get("seed", 42))
         if p.get("validationIndicatorCol"):
             clf.setValidationIndicatorCol(p["validationIndicatorCol"])
             clf = clf.copy({clf.validationTol: p.get("validationTol", 0.01)})
@@ -95,7 +97,7 @@ def learner(kind: str, prep: PipelineModel, features: Sequence[str], label: str
 
 
 def resample(df: DataFrame, label: str, weight: float, key: str = "customer_id", seed: int = 42) -> DataFrame:
-    """Class weight by repetition, for a learner without weights: a positive row is taken floor(weight) times, and
+    """Class weight by repetition, for a learner without weights: a positive row is taken floor(weight) times, and
     once more with the remaining probability (by a hash of its key)."""
     whole = int(weight)
     more = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) < weight - whole).cast("int")
@@ -111,7 +113,8 @@ def probability(pred: DataFrame, out: str = "churn_probability") -> DataFrame:
 def fit_and_score(table: DataFrame, kind: str, features: Sequence[str], categorical: Sequence[str] = (),
                   label: str = "is_churn", params: dict | None = None, balanced: bool = False):
     """Fit on the train split (GBT: stop early by the valid split, which teaches nothing else), score every row.
-    ``params["class_weight"]`` repeats positives (L5).  Returns (PipelineModel, predictions)."""
+    Returns (PipelineModel, predictions). A perceptron with ``params["class_weight"]`` weighs positives in its loss (L5)
+    and is returned as a ``perceptron.Perceptron`` in the model's place."""
     d = table
     wcol = None
     p = dict(params or {})
@@ -125,8 +128,10 @@ def fit_and_score(table: DataFrame, kind: str, features: Sequence[str], categori
     if kind == "gbt" and p.pop("early_stopping", True):
         p["validationIndicatorCol"] = "__is_valid"
         fit_rows = d.filter(F.col("split").isin("train", "valid")).withColumn("__is_valid", F.col("split") == "valid")
-    if p.get("class_weight"):
-        fit_rows = resample(fit_rows, label, p["class_weight"])
+    if kind == "mlp" and p.get("class_weight"):
+        net = fit_perceptron(prep.transform(fit_rows), "features", label, p.get("hidden", [128, 64]), float(p["class_weight"]),
+                             steps=p.get("maxIter", 60), seed=p.get("seed", 42), valid=prep.transform(d.filter(F.col("split") == "valid")))
+        return net, net.score(prep.transform(d))
     last = learner(kind, prep, features, label, p, wcol).fit(prep.transform(fit_rows))
     model = PipelineModel(stages=[*prep.stages, last])
     return model, probability(model.transform(d))
@@ -329,18 +334,11 @@ def tree_attributions(model: PipelineModel, scored: DataFrame, features: Sequenc
     return scored.select(key, vector_to_array("features_raw").alias("__x")).mapInArrow(run, schema)
 
 
-def random_search(table: DataFrame, kind: str, features: Sequence[str], categorical: Sequence[str],
-                  space: dict[str, tuple], n_trials: int = 10, seed: int = 42, label: str = "is_churn",
-                  sample: int | None = 50_000, parallelism: int = 4, key: str = "customer_id") -> DataFrame:
-    """Seeded random draws from ``space`` (name -> (low, high, 'int'|'float'|'log')),
-    each fitted on a sample of train (``sample`` rows, all if None) and scored by
-    exact valid AUC, ``parallelism`` trials at a time; the best is fitted again on
-    all of train.  One row per trial, and one with ``refit`` set."""
-    from multiprocessing.pool import ThreadPool
-
+def draw_params(space: dict[str, tuple], n: int, seed: int) -> list[dict]:
+    """``n`` seeded draws from ``space`` (name -> (low, high, 'int'|'float'|'log'))."""
     rng = random.Random(seed)
     draws = []
-    for _ in range(n_trials):
+    for _ in range(n):
         params = {}
         for name, (lo, hi, kind_) in space.items():
             if kind_ == "int":
@@ -350,16 +348,29 @@ def random_search(table: DataFrame, kind: str, features: Sequence[str], categori
             else:
                 params[name] = rng.uniform(lo, hi)
         draws.append(params)
+    return draws
+
+
+def _valid_auc(rows: DataFrame, kind: str, features, categorical, label: str, params: dict) -> float:
+    _, pred = fit_and_score(rows, kind, features, categorical, label, params)
+    v = pred.filter(F.col("split") == "valid")
+    return float(roc_auc(score_distribution(v, "churn_probability", label)).first()["auc"])
+
+
+def random_search(table: DataFrame, kind: str, features: Sequence[str], categorical: Sequence[str],
+                  space: dict[str, tuple], n_trials: int = 10, seed: int = 42, label: str = "is_churn",
+                  sample: int | None = 50_000, parallelism: int = 4, key: str = "customer_id") -> DataFrame:
+    """Seeded random draws from ``space`` (see ``draw_params``), each fitted on a sample of train (``sample`` rows,
+    all if None) and scored by exact valid AUC, ``parallelism`` trials at a time; the best is fitted again on
+    all of train.  One row per trial, and one with ``refit`` set."""
+    from multiprocessing.pool import ThreadPool
+
+    draws = draw_params(space, n_trials, seed)
     part = table
     if sample:
         drawn = sample_rows(table.filter("split = 'train'"), sample, seed, key)
         part = cut_lineage(drawn.unionByName(table.filter("split = 'valid'")))
-
-    def auc(params: dict, rows: DataFrame) -> float:
-        _, pred = fit_and_score(rows, kind, features, categorical, label, {**params, "early_stopping": False})
-        v = pred.filter(F.col("split") == "valid")
-        return float(roc_auc(score_distribution(v, "churn_probability", label)).first()["auc"])
-
+    auc = lambda params, rows: _valid_auc(rows, kind, features, categorical, label, {**params, "early_stopping": False})
     with ThreadPool(parallelism) as pool:
         scores = pool.map(lambda params: auc(params, part), draws)
     best = max(range(n_trials), key=lambda t: (scores[t], -t))
@@ -368,6 +379,41 @@ def random_search(table: DataFrame, kind: str, features: Sequence[str], categori
     return table.sparkSession.createDataFrame(rows, "trial int, params string, valid_auc double, refit boolean")
 
 
+def halving_search(table: DataFrame, kind: str, features: Sequence[str], categorical: Sequence[str], space: dict[str, tuple],
+                   n_trials: int = 25, seed: int = 42, label: str = "is_churn", sample: int = 300_000, rounds: int = 800,
+                   rungs: int = 4, keep: int = 3, parallelism: int = 4, key: str = "customer_id") -> DataFrame:
+    """L7 by successive halving: ``n_trials`` draws start on a small sample with few boosting rounds; of each rung the best
+    1 in ``keep`` go on with ``keep`` times the sample and rounds. The last rung has ``sample`` rows of train and
+    up to ``rounds`` rounds, the winner is fitted on all of train. Every fit stops early by the valid split.
+
+    Samples are nested (the first rows by a hash of the key), so a trial is compared on what it has seen and more. Returns one
+    row per trial and rung (rung -1: the winner on all of train): trial, rung, rows, rounds, params, valid_auc, seconds.
+    """
+    import time
+    from multiprocessing.pool import ThreadPool
+
+    draws = draw_params(space, n_trials, seed)
+    valid, train = table.filter("split = 'valid'"), table.filter("split = 'train'")
+    out, alive, n_train = [], list(range(n_trials)), train.count()
+
+    def fit(trial: int, rows: DataFrame, most: int) -> tuple[float, float]:
+        began = time.time()
+        return _valid_auc(rows, kind, features, categorical, label, {**draws[trial], "maxIter": most}), time.time() - began
+
+    for rung in range(rungs):
+        share = keep ** (rungs - 1 - rung)
+        n, most = min(n_train, max(1, sample // share)), max(1, rounds // share)
+        part = cut_lineage(sample_rows(train, n, seed, key).unionByName(valid))
+        with ThreadPool(parallelism) as pool:
+            got = pool.map(lambda t, part=part, most=most: fit(t, part, most), alive)
+        out += [(t, rung, n, most, json.dumps(draws[t], sort_keys=True), auc, s) for t, (auc, s) in zip(alive, got)]
+        order = sorted(range(len(alive)), key=lambda i: (-got[i][0], alive[i]))
+        alive = [alive[i] for i in order[:max(1, -(-len(alive) // keep))]]
+    auc, s = fit(alive[0], table, rounds)
+    out.append((alive[0], -1, n_train, rounds, json.dumps(draws[alive[0]], sort_keys=True), auc, s))
+    return table.sparkSession.createDataFrame(out, "trial int, rung int, rows long, rounds int, params string, valid_auc double, seconds double")
+
+
 def save_model(model: PipelineModel, path: str, features: Sequence[str], meta: dict | None = None) -> None:
     """Model + JSON sidecar with the ordered feature contract."""
     model.write().overwrite().save(path)

@@ -308,6 +308,19 @@ def q_search(spark, sf):
                          n_trials=8)
 
 
+#: The published search ranges of the parameters that Spark's boosted trees have.
+SEARCH = {"maxDepth": (3, 12, "int"), "stepSize": (0.01, 0.1, "log"), "minInstancesPerNode": (10, 200, "int"),
+          "featureSubsetStrategy": (0.6, 1.0, "float"), "subsamplingRate": (0.6, 1.0, "float")}
+
+
+@query("halving_search")
+def q_halving(spark, sf):
+    """25 trials by successive halving up to 300,000 rows and 800 rounds, each stopped early, and the winner on all of train."""
+    from lapsekit.ml.models import halving_search
+    from lapsekit.plans import model_table as MT
+    return halving_search(_table(spark, sf), "gbt", MT.FEATURE_COLS_V2, MT.CATEGORICAL_COLS, SEARCH)
+
+
 @query("feature_importance")
 def q_importance(spark, sf):
     """GBT feature importances ranked by name-mapped vector slots."""

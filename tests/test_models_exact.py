@@ -133,3 +133,70 @@ def test_shapley_of_a_path_with_many_features():
     passes, shares = rng.integers(0, 2, (5, 20)).astype(float), rng.random(20)
     got = _shapley_of_patterns(passes, shares)
     assert got.sum(axis=1) == pytest.approx(passes.prod(axis=1) - shares.prod(), abs=1e-9)
+
+
+# --- perceptron and search
+
+def net_rows(n, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 4))
+    return x, (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=n) > 0).astype(float), rng.uniform(0.5, 3, n)
+
+
+def test_perceptron_gradient_is_that_of_finite_differences():
+    from lapsekit.ml.perceptron import loss_and_gradient, start
+    x, y, w = net_rows(40)
+    layers = [4, 6, 5, 1]
+    theta = start(layers, 3) + 0.05 * np.random.default_rng(1).normal(size=len(start(layers, 3)))
+    got = loss_and_gradient(theta, layers, x, y, w)
+    step = 1e-6
+    for i in np.random.default_rng(2).choice(len(theta), 25, replace=False):
+        u = np.eye(1, len(theta), i)[0] * step
+        slope = (loss_and_gradient(theta + u, layers, x, y, w)[1] - loss_and_gradient(theta - u, layers, x, y, w)[1]) / (2 * step)
+        assert got[2 + i] == pytest.approx(slope, rel=1e-4, abs=1e-5)
+    assert got[0] == pytest.approx(w.sum())
+
+
+def test_weights_equal_repeated_rows_however_they_are_partitioned(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from lapsekit.ml.perceptron import Objective, fit_perceptron, start
+    x, y, _ = net_rows(60)
+    d = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "v array<double>, label int").withColumn("features", array_to_vector("v"))
+    twice = d.unionByName(d.filter("label = 1")).unionByName(d.filter("label = 1"))
+    a = fit_perceptron(d, "features", "label", [5], pos_weight=3.0, steps=15)
+    b = fit_perceptron(twice, "features", "label", [5], steps=15)
+    assert a.history == pytest.approx(b.history, rel=1e-6) and a.history[-1] < 0.6 * a.history[0]
+    rows = d.select(F.col("v").alias("x"), F.col("label").cast("double").alias("y"), F.lit(1.0).alias("w"))
+    theta = start([4, 5, 1], 1)
+    one, many = Objective(rows.coalesce(1), [4, 5, 1], 0.1)(theta), Objective(rows.repartition(70), [4, 5, 1], 0.1)(theta)
+    assert one[0] == pytest.approx(many[0]) and one[1] == pytest.approx(many[1])
+    p = {tuple(r.v): r.churn_probability for r in a.score(d).collect()}
+    assert np.mean([(p[tuple(v)] > 0.5) == bool(t) for v, t in zip(x.tolist(), y)]) > 0.7
+
+
+def test_least_validation_loss_is_kept(spark):
+    from lapsekit.ml.perceptron import Patience, minimise
+    f = lambda t: (float((t - 3) @ (t - 3)), 2 * (t - 3))
+    other = lambda t: (float((t - 1) @ (t - 1)), None)
+    watch = Patience(other, np.zeros(1), 2)
+    seen = []
+    minimise(f, np.zeros(1), 50, go_on=lambda t: (seen.append(t[0]), watch(t))[1])
+    assert watch.best[0] == min([0.0, *seen], key=lambda t: (t - 1) ** 2)
+
+
+def test_halving_keeps_the_best_on_growing_samples(spark):
+    from lapsekit.ml.models import halving_search
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i}", "train" if i % 4 else "valid", float(a), float(b), int(a + 0.5 * rng.normal() > 0))
+            for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    table = spark.createDataFrame(rows, "customer_id string, split string, x double, z double, is_churn int")
+    space = {"maxDepth": (1, 3, "int"), "stepSize": (0.05, 0.3, "log")}
+    out = halving_search(table, "gbt", ["x", "z"], [], space, n_trials=4, sample=200, rounds=6, rungs=2, keep=2).collect()
+    first, second, last = ([r for r in out if r.rung == k] for k in (0, 1, -1))
+    assert [len(first), len(second), len(last)] == [4, 2, 1]
+    assert {r.rows for r in first} == {100} and {r.rows for r in second} == {200} and last[0].rows == 300
+    best = sorted(first, key=lambda r: (-r.valid_auc, r.trial))[:2]
+    assert {r.trial for r in second} == {r.trial for r in best}
+    assert last[0].trial == max(second, key=lambda r: (r.valid_auc, -r.trial)).trial and last[0].valid_auc > 0.7
