@@ -18,10 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lapsekit.llm.common import buffers, cut_table, release, releasing, salted_lookup, with_unique_ids
+from lapsekit.operators.ordering import small
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Line rows a shard serves; the number of shards follows the table.
 SHARD_ROWS = 1 << 17
+#: Groups that share the lines of a shard; one with more lines than ``SHARD_ROWS``, as a line found everywhere makes it, gets
+#: more of them, so no group is larger.
 SALTS = 4
 DOCS = 2000  # documents that a Python worker gets at a time
 
@@ -216,9 +219,13 @@ def _screen(key: tuple, lines: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFr
 
 def dropped_keys(state: LineState, of: DataFrame | None = None) -> DataFrame:
     """(_id, drop: array of keys): the keys each document loses. of: the postings to judge (default: the state's)."""
-    salt = F.pmod(F.col("_id"), F.lit(SALTS)).cast("int")
-    lines = (of or state.postings).withColumn("shard", _shard(state.shards)).withColumn("salt", salt)
-    copies = state.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lines = (of or state.postings).withColumn("shard", _shard(state.shards))
+    crowded = lines.groupBy("shard").count().filter(F.col("count") > SHARD_ROWS).select(
+        "shard", (F.ceil(F.col("count") / SHARD_ROWS) * SALTS).cast("int").alias("salts"))
+    crowded = small(cut_table(crowded))
+    salts = F.coalesce("salts", F.lit(SALTS))
+    lines = lines.join(crowded, "shard", "left").withColumn("salt", F.pmod(F.xxhash64("_id"), salts).cast("int")).drop("salts")
+    copies = state.filters.join(crowded, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     maybe = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(
         _screen, "h1 long, h2 long, _id long")
     hot = state.counts.filter(F.col("refs") >= state.min_docs)

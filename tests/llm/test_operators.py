@@ -588,3 +588,23 @@ def test_many_benchmark_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCKS", 2)
     got = D.with_leaks(docs, bench)
     assert got.columns == [*docs.columns, "leaks"] and key(got) == want and sum(len(r.leaks) > 0 for r in got.collect()) == 26
+
+
+def test_a_line_in_half_of_all_documents_makes_no_large_group(spark, monkeypatch):
+    from lapsekit.llm import line_dedup as L
+
+    common = "a line that stands in half of all documents, whatever they are"
+    rows = [(i, f"{common}\nown line number {i} that is long enough to be a key of forty" if i % 2 else f"a line of document {i} alone, which is a key too") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r.doc_id, r.text) for r in L.line_dedup(docs).collect())
+    sizes, screen = spark.sparkContext.accumulator(0), L._screen
+    monkeypatch.setattr(L, "SHARD_ROWS", 40)
+
+    def watched(key, lines, filters):
+        if len(lines) > 40:
+            sizes.add(1)
+        return screen(key, lines, filters)
+
+    monkeypatch.setattr(L, "_screen", watched)
+    assert sorted((r.doc_id, r.text) for r in L.line_dedup(docs).collect()) == want
+    assert sizes.value == 0 and sum(common in t for _, t in want) == 1
