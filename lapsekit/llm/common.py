@@ -15,6 +15,8 @@ SALTS = 16
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Folders that this process's ``cut_table`` calls have written and that are still there, oldest first.
+WRITTEN: list[str] = []
 
 
 def cut_table(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
@@ -33,9 +35,18 @@ def cut_table(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(BATCH, before)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark, paths: list[str]) -> None:
+    """Delete folders of ``cut_table``. Only for those that no lazy frame in use reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        WRITTEN.remove(path)
+
+
 def with_unique_ids(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """Columns ``_id`` (unique, never null), ``doc_id`` and ``text`` of every row of ``df``.
 

@@ -43,7 +43,15 @@ def test_stages(spark, sf):
 
 
 def test_run(spark, sf):
-    assert P.run(spark, sf[0]).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    import os
+
+    from lapsekit.llm.common import WRITTEN
+
+    there = list(WRITTEN)
+    out = P.run(spark, sf[0])
+    assert out.count() > 0 and len(WRITTEN) - len(there) <= 5  # the last stage's, and the result it read
+    assert all(os.path.isdir(p.removeprefix("file:")) for p in WRITTEN[len(there):])
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert [n for n, _ in P.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "decontaminate", "best_fit_pack"]
 
 
