@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapsekit.llm.common import cut_table, with_unique_ids
+from lapsekit.llm.common import WRITTEN, cut_table, remove_tables, with_unique_ids
 from lapsekit.llm.decontaminate import with_leaks
 from lapsekit.llm.language_id import UNKNOWN, fit, with_language
 from lapsekit.llm.line_dedup import line_dedup
@@ -70,10 +70,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written to the shared folder and read again. What a stage wrote on the way,
+    and the result before it, are deleted as soon as its own result is there; the last stage's tables stay, for
+    its frame is lazy."""
+    out, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (_, stage) in enumerate(STAGES):
+        first = len(WRITTEN)
         out = stage(spark, out, sf_dir)
         if i + 1 < len(STAGES):
             out = cut_table(out)
+            remove_tables(spark, [*before, *WRITTEN[first:-1]])
+            before = WRITTEN[-1:]
     return out
