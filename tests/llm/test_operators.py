@@ -608,3 +608,17 @@ def test_a_line_in_half_of_all_documents_makes_no_large_group(spark, monkeypatch
     monkeypatch.setattr(L, "_screen", watched)
     assert sorted((r.doc_id, r.text) for r in L.line_dedup(docs).collect()) == want
     assert sizes.value == 0 and sum(common in t for _, t in want) == 1
+
+
+def test_lm_word_counts_in_crowded_buckets(spark, docs, monkeypatch):
+    """A word that all chunks have makes no large group, and the counts stay those of the corpus."""
+    from lapsekit.llm import lm_score as L
+
+    want = sorted((r.doc_id, r.n_known, round(r.base_score, 9)) for r in L.lm_score(docs).collect())
+    largest, hand_back = spark.sparkContext.accumulator(0), L._hand_back
+    monkeypatch.setattr(L, "BUCKET_WORDS", 64)
+    monkeypatch.setattr(L, "PARTIAL_WORDS", 300)
+    monkeypatch.setattr(L, "CHUNK", 2000) if hasattr(L, "CHUNK") else None
+    monkeypatch.setattr(L, "_hand_back", lambda key, dealt, totals: (largest.add(sum(len(x) // 8 for x in dealt["hashes"]) > 64 * 8), hand_back(key, dealt, totals))[1])
+    assert sorted((r.doc_id, r.n_known, round(r.base_score, 9)) for r in L.lm_score(docs).collect()) == want
+    assert largest.value == 0
