@@ -20,7 +20,7 @@ FILTERS = 16  # a width
 WINDOW = 256
 UNKNOWN = "und"
 #: Training documents a language, and characters of each: the bounds of the sample.
-PER_LANGUAGE, SAMPLE_CHARACTERS = 400, 1 << 16
+PER_LANGUAGE, SAMPLE_CHARACTERS = 400, 1 << 17
 BATCH_BYTES = 1 << 19
 
 
