@@ -337,9 +337,9 @@ class Search:
             blocks = -(-len(w) // BLOCK)
             by.setdefault(max(x for x in LENGTHS if x <= max(blocks, 1)), []).append(i)
         self.classes = {n: np.array(items) for n, items in by.items()}
-        self.groups = _groups(passages)
+        self.groups = self.tables = _groups(passages)  # looked for by words; and what checks candidates
         self.group_of, self.at = np.zeros((2, len(passages.ids)), np.int64)
-        for g, group in enumerate(self.groups):
+        for g, group in enumerate(self.tables):
             self.group_of[group.items], self.at[group.items] = g, np.arange(len(group.items))
 
     def run(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float]]:
@@ -358,7 +358,7 @@ class Search:
         of_block = np.repeat(np.arange(len(words)), blocks)
         short = (hashes & np.uint64((1 << 14) - 1)).astype(np.int64)
         best: dict[tuple[int, int], float] = {}
-        rows = [group.rows(hashes) for group in self.groups]
+        rows = [group.rows(hashes) for group in self.tables]
         for n, items in self.classes.items():
             step = 1 if n < 8 else 2 if n < 32 else n // 16
             many = -(-blocks // step)  # from every step of each document, and none crosses its end
@@ -416,7 +416,7 @@ class Search:
             # no common subsequence is longer than the words that occur in the passage at all
             some = np.flatnonzero(hits.sum(axis=1) >= PARAPHRASE * sizes[item[a:b]]) + a
             for g in np.unique(self.group_of[item[some]]).tolist():
-                group, own = self.groups[g], some[self.group_of[item[some]] == g]
+                group, own = self.tables[g], some[self.group_of[item[some]] == g]
                 if group.bits is not None:
                     k = self.at[item[own]]
                     length = group.common(rows[g], low[own], high[own], k)
