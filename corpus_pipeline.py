@@ -18,6 +18,8 @@ from lapsekit.llm.simhash import simhash_dedup
 
 #: The language stage rejects texts without letters and those for which no language is this likely.
 MIN_SCORE = 0.35
+#: Documents that a Python worker gets at a time where a stage's last step is a column function.
+DOCS = 500
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -33,14 +35,16 @@ def _unpacked(out: DataFrame, columns: list[str]) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told: ``und``, or a score under ``MIN_SCORE``."""
     out = with_language(_packed(docs), fit(docs))
-    return _unpacked(out.filter((F.col("language.lang") != UNKNOWN) & (F.col("language.score") >= MIN_SCORE)), docs.columns)
+    out = out.filter((F.col("language.lang") != UNKNOWN) & (F.col("language.score") >= MIN_SCORE))
+    return cut_table(_unpacked(out, docs.columns), DOCS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines. Every document stays, perhaps with an empty text; n_chars follows the text."""
     out = line_dedup(docs, carry=True)
     made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*[made[c].alias(c) if c in made else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    out = out.select(*[made[c].alias(c) if c in made else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return cut_table(out, DOCS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _unpacked(with_leaks(_packed(docs), benchmark).filter(F.size("leaks") == 0), docs.columns)
+    return cut_table(_unpacked(with_leaks(_packed(docs), benchmark).filter(F.size("leaks") == 0), docs.columns), DOCS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

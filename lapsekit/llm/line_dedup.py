@@ -26,7 +26,7 @@ SHARD_ROWS = 1 << 17
 #: Groups that share the lines of a shard; one with more lines than ``SHARD_ROWS``, as a line found everywhere makes it, gets
 #: more of them, so no group is larger.
 SALTS = 4
-DOCS = 2000  # documents that a Python worker gets at a time
+DOCS = 500  # documents that a Python worker gets at a time
 
 
 class CuckooFilter:

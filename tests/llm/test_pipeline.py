@@ -63,3 +63,20 @@ def test_odd_input(spark, sf, rows):
         assert all(r[f] == f"own {f}" for r in docs.collect() for f in CLASH)
     assert docs.columns == frame(spark, rows).columns
     assert (P.STAGES[-1][1](spark, docs, sf[0]).count() > 0) == bool(rows)
+
+
+def test_stages_bound_the_rows_of_a_worker(spark, sf, monkeypatch):
+    """A stage whose last step is a column function writes its result with few documents at a time."""
+    from lapsekit.llm import decontaminate, language_id, line_dedup
+
+    largest = spark.sparkContext.accumulator(0)
+    for module in (language_id, line_dedup, decontaminate):
+        read = module.buffers
+        monkeypatch.setattr(module, "buffers", lambda column, read=read: (largest.add(len(column) > 10), read(column))[1])
+    monkeypatch.setattr(P, "DOCS", 10, raising=False)
+    monkeypatch.setattr(line_dedup, "DOCS", 10)
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet").coalesce(1)
+    for stage in (P.language, P.lines, P.decontamination):
+        before = largest.value
+        stage(spark, docs, sf[0]).write.format("noop").mode("overwrite").save()
+        assert largest.value - before <= (stage is P.decontamination) * 1  # fitting its space reads larger batches
