@@ -21,11 +21,11 @@ from lapsekit.llm.common import buffers, cut_table, pieces, ragged, releasing, s
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text aligned at a time; the documents of a chunk share one row of pairs.
-CHUNK = 2 << 20
-DOCS = 4000  # documents that a Python worker gets at a time
+CHUNK = 1 << 20
+DOCS = 1000  # documents that a Python worker gets at a time
 CHUNKS = 4  # rows of chunks that a Python worker gets at a time
 #: Pieces a worker remembers; at this many it starts anew, which only costs work.
-KEPT = 120_000
+KEPT = 60_000
 
 LINK_SCHEMA = ("doc_id array<long>, groups array<string>, stats binary, own_ends binary, own_a binary, own_n binary, "
                "far_ends binary, far_at binary, far_n binary, pairs binary, pair_docs binary")

@@ -226,3 +226,15 @@ def test_links_of_odd_rows(spark):
     assert collections.Counter(r.doc_id for r in out) == collections.Counter(x[0] for x in ODD)
     assert all((r.groups == "") == (r.n_a == 0) for r in out) and sum(r.n_a == 0 for r in out) == 3
     assert token_align.align_tokens(frame(spark, [])).collect() == []
+
+
+def test_alignment_chunks_are_small():
+    """A worker aligns 1 MB of text at a time, and gets no more than a few such chunks at once."""
+    import pyarrow as pa
+
+    text = "and the words of it " * 5000
+    rows = pa.RecordBatch.from_arrays([pa.array(list(range(25))), pa.array([text] * 25)], names=["doc_id", "text"])
+    chunks = list(token_align._link(token_align.A_FILE, token_align.B_FILE, True)([rows]))
+    assert sum(len(c.column(0)[0]) for c in chunks) == 25
+    assert max(len(c.column(0)[0]) for c in chunks) * len(text) <= 1 << 20
+    assert token_align.DOCS <= 1000 and token_align.KEPT <= 60_000
