@@ -371,14 +371,16 @@ def q_kpi_cohorts(spark, sf):
 
 
 def kpi_bundle(spark, sf):
-    """The five reference tables of the KPI page, each in its serving order."""
+    """The five reference tables of the KPI page, each in its serving order. Importance and drivers read one model
+    table, which is built and written once."""
     from lapsekit.plans import q_analytics as QA
     from lapsekit.plans import q_models as QM
+    table = QM._table(spark, sf)
     return {
         "model_stats": QM.q_model_stats(spark, sf).orderBy("model"),
-        "importance": QM.q_attr(spark, sf).orderBy(F.desc("mean_abs"), "feature"),
+        "importance": QM.q_attr(spark, sf, table).orderBy(F.desc("mean_abs"), "feature"),
         "funnel": QA.q_funnel_all(spark, sf).orderBy("stage_no"),
-        "drivers": QM.q_driver_summary(spark, sf).orderBy(F.desc("pct"), "driver"),
+        "drivers": QM.q_driver_summary(spark, sf, table).orderBy(F.desc("pct"), "driver"),
         "cohorts": q_kpi_cohorts(spark, sf),
     }
 

@@ -237,10 +237,10 @@ def _table(spark, sf):
     return cut_lineage(MT.build_model_table(spark, sf))
 
 
-def _fit(spark, sf, kind, params, balanced=False):
+def _fit(spark, sf, kind, params, balanced=False, table=None):
     from lapsekit.ml.models import fit_and_score
     from lapsekit.plans import model_table as MT
-    return fit_and_score(_table(spark, sf), kind, MT.FEATURE_COLS_V2, MT.CATEGORICAL_COLS, params=params,
+    return fit_and_score(_table(spark, sf) if table is None else table, kind, MT.FEATURE_COLS_V2, MT.CATEGORICAL_COLS, params=params,
                          balanced=balanced)
 
 
@@ -331,12 +331,13 @@ def q_importance(spark, sf):
 
 
 @query("linear_attributions")
-def q_attr(spark, sf):
-    """Per-row linear attributions (additive to the margin) and their mean |phi| ranking."""
+def q_attr(spark, sf, table=None):
+    """Per-row linear attributions (additive to the margin) and their mean |phi| ranking. table: the written
+    model table, if there is one already."""
     from lapsekit.ml.models import linear_attributions
     from lapsekit.operators.quality import mean_abs
     from lapsekit.plans import model_table as MT
-    model, pred = _fit(spark, sf, "lr", {"regParam": 0.01}, balanced=True)
+    model, pred = _fit(spark, sf, "lr", {"regParam": 0.01}, balanced=True, table=table)
     att = linear_attributions(model, pred, MT.FEATURE_COLS_V2)
     return mean_abs(att, MT.FEATURE_COLS_V2)
 
@@ -394,13 +395,11 @@ def _attr_features():
     return [f for f in MT.FEATURE_COLS_V2 if f not in MT.CATEGORICAL_COLS]
 
 
-def _attributions(spark, sf):
+def _attributions(spark, sf, table=None):
     """Deterministic stand-in attributions for SQL-checkable reports:
     phi_f = round_even(x_f - mean(x_f), 6) over the model table (mean as a 1-row broadcast)."""
-    from lapsekit.plans import model_table as MT
-    from lapsekit.session import cut_lineage
     feats = _attr_features()
-    t = cut_lineage(MT.build_model_table(spark, sf))
+    t = _table(spark, sf) if table is None else table
     means = t.agg(*[F.avg(f).alias(f"__m_{f}") for f in feats])
     j = t.crossJoin(F.broadcast(means))
     return j.select("customer_id", TD.fixed_probability().alias("p"),
@@ -454,10 +453,10 @@ VIEWS["drivers"] = (["attr"], "SELECT customer_id, " + _argmax_sql(_attr_feature
 @query("driver_summary", sql(["drivers"], f"""
     SELECT driver, count(*) AS customers, round_even(count(*) / (SELECT count(*) FROM drivers) * 100, 6) AS pct,
            {_action_sql()} AS suggested_action FROM drivers GROUP BY driver"""))
-def q_driver_summary(spark, sf):
+def q_driver_summary(spark, sf, table=None):
     """Top single driver per high-risk customer, counts, share, suggested action."""
     from lapsekit.operators import drivers as D
-    a = _attributions(spark, sf).filter(F.col("p") >= 0.75)
+    a = _attributions(spark, sf, table).filter(F.col("p") >= 0.75)
     return D.driver_summary(D.top_driver(a, _attr_features()))
 
 

@@ -96,3 +96,12 @@ def test_sketch_quantiles_keep_their_rank_bound(spark):
     exact = {(r["g"], r["p"]): r["value"] for r in O.exact_quantiles(d, ["x"], [0.5], ["g"]).collect()}
     by = {(r["g"], r["p"]): r["value"] for r in O.sketch_quantiles(d, ["x"], [0.5], ["g"]).collect()}
     assert all(by[k] == pytest.approx(v, abs=30) for k, v in exact.items()) and len(by) == 2
+
+
+def test_kpi_bundle_builds_the_model_table_once(spark, monkeypatch):
+    from lapsekit.plans import q_campaign as Q
+
+    built, build = [], MT.build_model_table
+    monkeypatch.setattr(MT, "build_model_table", lambda *a, **k: (built.append(1), build(*a, **k))[1])
+    assert set(Q.kpi_bundle(spark, SF)) == {"model_stats", "importance", "funnel", "drivers", "cohorts"}
+    assert len(built) == 1
