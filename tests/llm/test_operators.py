@@ -622,3 +622,30 @@ def test_lm_word_counts_in_crowded_buckets(spark, docs, monkeypatch):
     monkeypatch.setattr(L, "_hand_back", lambda key, dealt, totals: (largest.add(sum(len(x) // 8 for x in dealt["hashes"]) > 64 * 8), hand_back(key, dealt, totals))[1])
     assert sorted((r.doc_id, r.n_known, round(r.base_score, 9)) for r in L.lm_score(docs).collect()) == want
     assert largest.value == 0
+
+
+def test_lm_learns_from_every_training_document(spark, docs, rows, monkeypatch):
+    """Each subword of each training document is a target once, in whatever chunk it is; held-out ones never are."""
+    from lapsekit.llm import lm_score as L
+    from lapsekit.llm.words import word_ids
+
+    monkeypatch.setattr(L, "CHUNK", 2000)
+    own = word_ids(L.VOCABULARY)
+    text = lambda r: np.frombuffer((r[1] or "").encode(), np.uint8)
+    want = Counter(x for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2
+                   for x in [*own.encode(text(r), np.array([0, len(text(r))]))[0].tolist(), L.END])
+    got, windows = Counter(), L._training_windows
+
+    def seen(row):
+        for batch in windows(row):
+            learned.add(int(batch[3].sum()))
+            yield batch
+
+    learned = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(L, "_training_windows", seen)
+    assert L.lm_score(docs).count() == len(rows) and learned.value == sum(want.values())
+    ids = docs.select("doc_id", "doc_id", L.held_out("doc_id").alias("held"), "text")
+    for row in L._rows(ids.toDF("_id", "doc_id", "held", "text").coalesce(1).mapInArrow(L._chunk(L.VOCABULARY), L.CHUNKS).toArrow().to_batches()):
+        for _, targets, _, valid in windows(row):
+            got.update(targets[valid].tolist())
+    assert got == want
