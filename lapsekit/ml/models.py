@@ -79,7 +79,8 @@ def learner(kind: str, prep: PipelineModel, features: Sequence[str], label: str
             clf.setValidationIndicatorCol(p["validationIndicatorCol"])
             clf = clf.copy({clf.validationTol: p.get("validationTol", 0.01)})
     elif kind == "rf":
-        clf = RandomForestClassifier(featuresCol="features_raw", labelCol=label, numTrees=p.get("numTrees", 300),
+        # rows keep their node in each tree, so that no pass walks the trees from their roots; the trees stay the same
+        clf = RandomForestClassifier(featuresCol="features_raw", labelCol=label, numTrees=p.get("numTrees", 300), cacheNodeIds=True,
                                      maxDepth=p.get("maxDepth", 14), minInstancesPerNode=p.get("minInstancesPerNode", 50),
                                      maxBins=bins, seed=p.get("seed", 42))
     elif kind == "lr":

@@ -105,3 +105,16 @@ def test_kpi_bundle_builds_the_model_table_once(spark, monkeypatch):
     monkeypatch.setattr(MT, "build_model_table", lambda *a, **k: (built.append(1), build(*a, **k))[1])
     assert set(Q.kpi_bundle(spark, SF)) == {"model_stats", "importance", "funnel", "drivers", "cohorts"}
     assert len(built) == 1
+
+
+def test_forest_keeps_node_ids_and_the_same_trees(spark):
+    from lapsekit.ml import models as M
+
+    checkpoint_dir(spark)
+    rows = spark.range(400).selectExpr("cast(id % 7 as double) a", "cast(id * 37 % 101 as double) b", "cast(id * 37 % 101 > 50 as int) is_churn")
+    prep = M.preprocessing("rf", ["a", "b"]).fit(rows)
+    clf = M.learner("rf", prep, ["a", "b"], params={"numTrees": 5, "maxDepth": 4, "minInstancesPerNode": 5})
+    assert clf.getCacheNodeIds()
+    data = prep.transform(rows)
+    plain = clf.copy({clf.cacheNodeIds: False}).fit(data)
+    assert clf.fit(data).toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
