@@ -280,9 +280,9 @@ class Encoder:
     def __init__(self, name: str, special: bool = True):
         self.vocabulary = Vocabulary(name)
         self.special = self.vocabulary.special if special else {}  # strings that are tokens of their own
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
@@ -354,7 +354,7 @@ class Encoder:
         cuts = self.cuts(data, offsets)
         found, which = distinct_strings(data, cuts)
         if len(self.known) + len(found) > KEPT:
-            self._forget()
+            self.forget()
         new = [p for p in found if p not in self.known]
         if new:
             self._learn(new)

@@ -26,6 +26,7 @@ DOCS = 1000  # documents that a Python worker gets at a time
 CHUNKS = 4  # rows of chunks that a Python worker gets at a time
 #: Pieces a worker remembers; at this many it starts anew, which only costs work.
 KEPT = 60_000
+LEARNED = 1 << 14  # new pieces encoded and aligned at a time
 
 LINK_SCHEMA = ("doc_id array<long>, groups array<string>, stats binary, own_ends binary, own_a binary, own_n binary, "
                "far_ends binary, far_at binary, far_n binary, pairs binary, pair_docs binary")
@@ -107,6 +108,11 @@ class Aligner:
         self.stats = np.zeros((0, 5), np.int64)  # A tokens, B tokens, groups, links, 1 if the bytes differ
         self.own, self.far = Pool([np.int32, np.int32]), Pool([np.int64, np.int64])
 
+    def forget(self) -> None:
+        """Give up what is remembered: an executor's workers live on, and the next task's chunks have other pieces."""
+        self._forget()
+        self.a.forget()
+
     def _b_ids(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """B ids of pieces that begin with a blank, which the tokenizer itself puts there."""
         lists = self.b.encode([u[1:].decode() for u in found], num_threads=1)
@@ -223,12 +229,11 @@ class Aligner:
         if len(self.known) + len(found) > KEPT:
             self._forget()
         new = [u for u in found if u not in self.known]
-        if new:
-            self._learn(new)
+        for i in range(0, len(new), LEARNED):
+            self._learn(new[i:i + LEARNED])
         at = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))[which]
         ends = np.searchsorted(cuts, offsets)
-        sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(self.stats[at], axis=0)])[ends]
-        stats = np.diff(sums, axis=0)
+        stats = np.stack([_sums(self.stats[at, k], ends) for k in range(5)], axis=1)
         good = stats[:, 4] == 0
         stats = np.where(good[:, None], stats[:, :4], 0)
         texts, order = self.texts, at.tolist()
@@ -260,6 +265,12 @@ def aligner(a_file: str, b_file: str) -> Aligner:
 def _link(a_file: str, b_file: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a_file, b_file)
+        try:
+            yield from linked(own, batches)
+        finally:
+            own.forget()
+
+    def linked(own: Aligner, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             for first, end in pieces(offsets, CHUNK):
@@ -341,7 +352,7 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a_size, b_size = vocabulary_sizes(a_file, b_file)
     linked = rows.mapInArrow(_link(a_file, b_file, digest), LINK_SCHEMA).withColumn("chunk", F.monotonically_increasing_id())
     linked = cut_table(linked, DOCS)
-    same = tree_sum(linked.select("own_a").mapInArrow(_count_same(a_size), "part binary"), a_size, CHUNKS).astype(np.int64)
+    same = tree_sum(linked.select("own_a"), a_size, CHUNKS, _count_same(a_size)).astype(np.int64)
     pairs = cut_table(linked.select("chunk", "pairs", "pair_docs").mapInArrow(_pairs, "chunk long, at int, pair long, docs long"), CHUNKS)
     totals = cut_table(pairs.groupBy("pair").agg(F.sum("docs").alias("total")))
     best = same.copy()

@@ -238,3 +238,37 @@ def test_alignment_chunks_are_small():
     assert sum(len(c.column(0)[0]) for c in chunks) == 25
     assert max(len(c.column(0)[0]) for c in chunks) * len(text) <= 1 << 20
     assert token_align.DOCS <= 1000 and token_align.KEPT <= 60_000
+
+
+def test_alignment_workers_stay_small(spark, monkeypatch):
+    """No task has two Python workers, which would both live on, and none remembers pieces after its task."""
+    import pyarrow as pa
+
+    from lapsekit.llm import common
+
+    nested, cut = [], common.cut_table
+
+    def watched(df, *args):
+        nested.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return cut(df, *args)
+
+    monkeypatch.setattr(common, "cut_table", watched)
+    monkeypatch.setattr(token_align, "cut_table", watched)
+    docs = spark.createDataFrame([(i, f"word {i} of the text") for i in range(20)], "doc_id long, text string")
+    assert token_align.align_tokens(docs).count() == 20
+    assert max(nested) == 1
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one more text", "and another"])], names=["doc_id", "text"])
+    assert len(list(token_align._link(token_align.A_FILE, token_align.B_FILE, True)([rows]))) == 1
+    own = token_align.aligner(token_align.A_FILE, token_align.B_FILE)
+    assert not own.known and not own.a.known and not own.texts
+
+
+def test_alignment_learns_pieces_in_parts(monkeypatch):
+    own = token_align.aligner(token_align.A_FILE, token_align.B_FILE)
+    data, offsets = token_align.joined([f"{w} \u2581 {w}é, {i}" .encode() for i, w in enumerate(["one", "two", "three", "an", "unseen"] * 4)])
+    want = own.rows(data, offsets, False)
+    own.forget()
+    monkeypatch.setattr(token_align, "LEARNED", 3)
+    got = own.rows(data, offsets, False)
+    assert (got[0] == want[0]).all() and got[1] == want[1] and (got[4] == want[4]).all()
+    assert all((x == y).all() for k in (2, 3) for x, y in zip(got[k], want[k]))
