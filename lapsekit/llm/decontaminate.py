@@ -111,8 +111,8 @@ class LatentSpace:
     @classmethod
     def fit(cls, docs: DataFrame, text_col: str = "text") -> LatentSpace:
         """From all passages of all documents. Partial sums are added up by tasks before they reach the driver."""
-        parts = docs.select(F.lower(F.col(text_col)).alias("text")).mapInArrow(releasing(_statistics), "part binary")
-        total = tree_sum(parts, 1 + FEATURES * (1 + SKETCH), DOCS)
+        texts = docs.select(F.lower(F.col(text_col)).alias("text"))
+        total = tree_sum(texts, 1 + FEATURES * (1 + SKETCH), DOCS, releasing(_statistics))
         return cls(cls._decompose(total[0], total[1:1 + FEATURES], total[1 + FEATURES:].reshape(FEATURES, SKETCH)))
 
     @staticmethod
