@@ -714,3 +714,43 @@ def test_lm_step_is_the_plain_one_at_less_cost():
 
     both = [(cost(model.step), cost(lambda *x: plain_lm_step(model, *x))) for _ in range(9)]
     assert min(a for a, _ in both) < 0.85 * min(b for _, b in both)
+
+
+def test_lm_step_of_runs_is_that_of_their_windows():
+    """A run of windows shares the embeddings of its halves; loss and gradients are those of the windows one by one."""
+    from lapsekit.llm import lm_score as L
+
+    model, rng = small_model(), np.random.default_rng(4)
+    model.shared["top0"] = rng.normal(size=L.CLASSES).astype(np.float32)
+    ids = rng.integers(0, L.SIZE, (6, (L.RUN + 1) * L.HALF))
+    goal = rng.integers(0, L.SIZE, (6, L.RUN * L.HALF))
+    hidden = np.zeros((6 * L.RUN, 2 * L.HALF), bool)
+    hidden[::5, :L.HALF] = True
+    windows = np.concatenate([ids[:, i * L.HALF:(i + 2) * L.HALF] for i in range(L.RUN)], axis=1).reshape(-1, 2 * L.HALF)
+    loss, grads, _ = model.step(ids, goal, hidden)
+    want_loss, want = plain_lm_step(model, windows, goal.reshape(-1, L.HALF), hidden)
+    assert loss == pytest.approx(want_loss, rel=1e-5)
+    for name in L.NAMES:
+        assert np.abs(grads[name] - want[name]).max() < 1e-4 * np.abs(want[name]).max(), name
+
+
+def test_words_met_again_are_kept(monkeypatch):
+    """A full table keeps the words that come back, so they are not learned again; ids stay the tokenizer's."""
+    from lapsekit.llm import words as W
+
+    monkeypatch.setattr(W, "WORDS_KEPT", 300)
+    own, learned, learn = W.WordIds("word_bpe_49k.json"), Counter(), W.WordIds._learn
+    monkeypatch.setattr(W.WordIds, "_learn", lambda self, hashes, words: (learned.update(words), learn(self, hashes, words))[1])
+    common = [f"again{i}" for i in range(40)]
+    for n in range(40):
+        text = " ".join([*common, *(f"once{n}x{i}" for i in range(50))])
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, _ = own.encode(data, np.array([0, len(data)]))
+        assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(own.hashes) <= 300
+    assert all(learned[w.encode()] == 1 for w in common) and len(learned) == 40 + 40 * 50
+    everything = " ".join(f"full{i}" for i in range(290))  # words met again that leave too little room go too
+    for text in (everything, everything, "more " * 20 + " ".join(f"new{i}" for i in range(40))):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert own.encode(data, np.array([0, len(data)]))[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(own.hashes) == 41
