@@ -24,6 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapsekit.ml.forest import fit_forest
 from lapsekit.ml.perceptron import fit_perceptron
 from lapsekit.operators.features import sample_rows
 from lapsekit.operators.metrics import roc_auc, score_distribution
@@ -115,9 +116,9 @@ def fit_and_score(table: DataFrame, kind: str, features: Sequence[str], categori
                   label: str = "is_churn", params: dict | None = None, balanced: bool = False):
     """Fit on the train split (GBT: stop early by the valid split, which teaches nothing else), score every row.
     Returns (PipelineModel, predictions). A perceptron with ``params["class_weight"]`` weighs positives in its loss (L5)
-    and is returned as a ``perceptron.Perceptron`` in the model's place."""
+    and is returned as a ``perceptron.Perceptron`` in the model's place; so is a random forest, as a ``forest.Forest``."""
     d = table
-    wcol = None
+    w, wcol = 1.0, None
     p = dict(params or {})
     train = F.col("split") == "train"
     if balanced:
@@ -133,6 +134,9 @@ def fit_and_score(table: DataFrame, kind: str, features: Sequence[str], categori
         net = fit_perceptron(prep.transform(fit_rows), "features", label, p.get("hidden", [128, 64]), float(p["class_weight"]),
                              steps=p.get("maxIter", 60), seed=p.get("seed", 42), valid=prep.transform(d.filter(F.col("split") == "valid")))
         return net, net.score(prep.transform(d))
+    if kind == "rf":
+        forest = fit_forest(prep.transform(fit_rows), learner(kind, prep, features, label, p), w)
+        return forest, forest.score(prep.transform(d))
     last = learner(kind, prep, features, label, p, wcol).fit(prep.transform(fit_rows))
     model = PipelineModel(stages=[*prep.stages, last])
     return model, probability(model.transform(d))
